@@ -8,3 +8,12 @@ from souklens.registry import register
 
 for _name, _job in sqlsuite.SUITE.items():
     register(_name, _job, "star", SUITE_SQL[_name])
+
+from souklens.oracle.kpi import KPI_SQL  # noqa: E402
+from souklens.plans import kpi  # noqa: E402
+
+for _name, _job in kpi.KPI_JOBS.items():
+    register(_name, _job, "star", KPI_SQL[_name])
+register("l06_payment_performance",
+         lambda L: kpi.l06_payment_performance(L.star, L.clean["order_payments"]), None,
+         KPI_SQL["l06_payment_performance"])
