@@ -17,3 +17,17 @@ for _name, _job in kpi.KPI_JOBS.items():
 register("l06_payment_performance",
          lambda L: kpi.l06_payment_performance(L.star, L.clean["order_payments"]), None,
          KPI_SQL["l06_payment_performance"])
+
+from pyspark.sql import types as _T  # noqa: E402
+
+from souklens.oracle.enrich import ENRICH_COLS, ENRICH_SQL  # noqa: E402
+
+
+def project_out(df, cols):
+    """Reference column order; DECIMAL money leaves as DOUBLE."""
+    types = dict((f.name, f.dataType) for f in df.schema.fields)
+    return df.select([df[c].cast("double").alias(c) if isinstance(types[c], _T.DecimalType) else df[c] for c in cols])
+
+
+for _name, (_table, _cols) in ENRICH_COLS.items():
+    register(_name, (lambda t, c: lambda E: project_out(E[t], c))(_table, _cols), "enriched", ENRICH_SQL[_name])
