@@ -31,3 +31,9 @@ def project_out(df, cols):
 
 for _name, (_table, _cols) in ENRICH_COLS.items():
     register(_name, (lambda t, c: lambda E: project_out(E[t], c))(_table, _cols), "enriched", ENRICH_SQL[_name])
+
+from souklens.oracle.eda import EDA_SQL  # noqa: E402
+from souklens.plans import eda  # noqa: E402
+
+for _name, _job in eda.EDA_JOBS.items():
+    register(_name, _job, None, EDA_SQL.get(_name))
