@@ -58,3 +58,58 @@ def histogram(df: DataFrame, value: str, bins: int, name: str) -> DataFrame:
         F.round((F.col("lo") + F.col("bin") * width).cast("decimal(38,10)"), 4).cast("double").alias("bin_start"),
         F.round((F.col("lo") + (F.col("bin") + 1) * width).cast("decimal(38,10)"), 4).cast("double").alias("bin_end"),
         "count"))
+
+
+QUINTILE_PROBS = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
+
+
+def quintile_edges(df: DataFrame, value: str) -> DataFrame:
+    """One row: exact quantile edges (linear interpolation), min and max of
+    ``value`` (NULLs ignored).  ``percentile`` keeps a value→count map, so its
+    memory grows with the number of distinct values, not with rows."""
+    probs = F.array(*[F.lit(p) for p in QUINTILE_PROBS])
+    v = F.col(value).cast("double")
+    return df.agg(F.percentile(v, probs).alias("_q"), F.min(v).alias("_mn"), F.max(v).alias("_mx"))
+
+
+def quintile_bin(value: str) -> Column:
+    return _bin(value, "_q", "_mn", "_mx")
+
+
+def _bin(value: str, qc: str, mnc: str, mxc: str) -> Column:
+    """1..5 for ``value`` given the edge columns of ``quintile_edges``.
+
+    Unique quantile edges → right-closed quantile bins, lowest included.
+    Repeated edges → equal-width bins over [min, max] (right-closed, min in
+    bin 1); all values equal → bin 3.
+    """
+    x = F.col(value).cast("double")
+    q = [F.col(qc)[i] for i in range(6)]
+    mn, mx = F.col(mnc), F.col(mxc)
+    unique = (q[0] < q[1]) & (q[1] < q[2]) & (q[2] < q[3]) & (q[3] < q[4]) & (q[4] < q[5])
+    by_q = F.when(x <= q[1], 1).when(x <= q[2], 2).when(x <= q[3], 3).when(x <= q[4], 4).otherwise(5)
+    step = (mx - mn) / F.lit(5.0)
+    by_w = (F.when(mn == mx, 3)
+            .when(x <= mn + step * 1, 1).when(x <= mn + step * 2, 2)
+            .when(x <= mn + step * 3, 3).when(x <= mn + step * 4, 4).otherwise(5))
+    return F.when(x.isNull(), F.lit(None)).when(unique, by_q).otherwise(by_w)
+
+
+def with_quintile(df: DataFrame, value: str, out: str, reverse: bool = False) -> DataFrame:
+    """Add ``out`` = quintile bin of ``value`` (6 - bin when ``reverse``)."""
+    return with_quintiles(df, [(value, out, reverse)])
+
+
+def with_quintiles(df: DataFrame, specs: Sequence[tuple[str, str, bool]]) -> DataFrame:
+    """Add one quintile column per (value, out, reverse) spec.  The edges of
+    all specs are one one-row aggregate, cross-joined back once."""
+    probs = F.array(*[F.lit(p) for p in QUINTILE_PROBS])
+    aggs = []
+    for i, (value, _, _) in enumerate(specs):
+        v = F.col(value).cast("double")
+        aggs += [F.percentile(v, probs).alias(f"_q{i}"), F.min(v).alias(f"_mn{i}"), F.max(v).alias(f"_mx{i}")]
+    out = df.crossJoin(df.agg(*aggs))
+    for i, (value, name, reverse) in enumerate(specs):
+        b = _bin(value, f"_q{i}", f"_mn{i}", f"_mx{i}")
+        out = out.withColumn(name, (F.lit(6) - b) if reverse else b)
+    return out.drop(*[f"{p}{i}" for i in range(len(specs)) for p in ("_q", "_mn", "_mx")])

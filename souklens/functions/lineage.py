@@ -1,0 +1,19 @@
+"""Lineage cuts for tables that are scored against their own aggregates.
+
+A per-entity table (persons, sellers) that is both aggregated (quantile
+edges, medians) and scored row by row would otherwise be planned and
+computed twice.  ``cut_lineage`` writes it once as a reliable checkpoint in
+the cluster's shared ``spark.checkpoint.dir`` (set by the operator; created
+only when unset, as in local tests), which also survives executor loss.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from souklens.session import ensure_checkpoint_dir
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

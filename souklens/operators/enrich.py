@@ -14,7 +14,8 @@ from souklens.functions.dates import day_name, year_month, year_quarter
 from souklens.functions.numeric import SECONDS_PER_HOUR, days_from_seconds, mean, seconds_between
 from souklens.functions.stats import asc, first_by, mode_by_count, sorted_set_join
 
-DELIVERED = F.col("order_status") == "delivered"
+def DELIVERED():
+    return F.col("order_status") == "delivered"
 
 
 def _items_per_order(items: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def customer_analytics(customers: DataFrame, orders: DataFrame, items: DataFrame
           .where(F.col("customer_unique_id").isNotNull()))
     agg = oc.groupBy("customer_unique_id").agg(
         F.count("order_id").alias("total_orders"),
-        F.count_if(DELIVERED).alias("delivered_orders"),
+        F.count_if(DELIVERED()).alias("delivered_orders"),
         F.min("order_purchase_timestamp").alias("first_order_date"),
         F.max("order_purchase_timestamp").alias("last_order_date"),
         F.coalesce(F.sum("order_payment_value"), F.lit(0).cast("decimal(28,2)")).alias("total_spend_payment"),
@@ -97,7 +98,7 @@ def customer_analytics(customers: DataFrame, orders: DataFrame, items: DataFrame
 
 
 def _delivered_items_with_review(items: DataFrame, orders: DataFrame, reviews: DataFrame) -> DataFrame:
-    d = orders.where(DELIVERED).select("order_id")
+    d = orders.where(DELIVERED()).select("order_id")
     return items.join(d, "order_id", "left_semi").join(_review_per_order(reviews), "order_id", "left")
 
 

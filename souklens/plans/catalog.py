@@ -37,3 +37,9 @@ from souklens.plans import eda  # noqa: E402
 
 for _name, _job in eda.EDA_JOBS.items():
     register(_name, _job, None, EDA_SQL.get(_name))
+
+from souklens.plans import cohort, rfm, sellers  # noqa: E402
+
+for _jobs in (rfm.RFM_JOBS, cohort.COHORT_JOBS, sellers.SELLER_JOBS):
+    for _name, _job in _jobs.items():
+        register(_name, _job, None, None)

@@ -16,8 +16,10 @@ from souklens.functions.buckets import fixed_bucket, histogram
 from souklens.functions.numeric import mean, mean_days, money, pct, ratio, rnd, share_if
 from souklens.plans.context import Layers
 
-DELIVERED = F.col("order_status") == "delivered"
-ONE = F.lit(1)
+def DELIVERED():
+    return F.col("order_status") == "delivered"
+def ONE():
+    return F.lit(1)
 
 # Bucket edges and labels.
 DELAY_EDGES = [-200, -14, -7, -3, 0, 3, 7, 14, 300]
@@ -47,11 +49,11 @@ def _items(L: Layers) -> DataFrame:
 
 
 def _del_items(L: Layers) -> DataFrame:
-    return _items(L).where(DELIVERED)
+    return _items(L).where(DELIVERED())
 
 
 def _del_orders_with_days(L: Layers) -> DataFrame:
-    return _orders(L).where(DELIVERED & F.col("delivery_seconds").isNotNull())
+    return _orders(L).where(DELIVERED() & F.col("delivery_seconds").isNotNull())
 
 
 def _reviews(L: Layers) -> DataFrame:
@@ -60,14 +62,14 @@ def _reviews(L: Layers) -> DataFrame:
 
 def a01_descriptive(L: Layers) -> DataFrame:
     o = _orders(L).agg(
-        F.count(ONE).alias("total_orders"), F.count_if(DELIVERED).alias("delivered_orders"),
+        F.count(ONE()).alias("total_orders"), F.count_if(DELIVERED()).alias("delivered_orders"),
         F.count_if(F.col("order_status") == "canceled").alias("canceled_orders"),
         F.min("order_purchase_timestamp").alias("_min"), F.max("order_purchase_timestamp").alias("_max"))
     c = L.enriched["customer_analytics"].agg(
         F.count_distinct("customer_unique_id").alias("total_unique_customers"),
         F.count_if("is_repeat_buyer").alias("repeat_buyers"))
-    p = L.enriched["product_analytics"].agg(F.count(ONE).alias("total_products_in_analytics"))
-    s = L.enriched["seller_analytics"].agg(F.count(ONE).alias("total_active_sellers"))
+    p = L.enriched["product_analytics"].agg(F.count(ONE()).alias("total_products_in_analytics"))
+    s = L.enriched["seller_analytics"].agg(F.count(ONE()).alias("total_active_sellers"))
     return (o.crossJoin(c).crossJoin(p).crossJoin(s).select(
         "total_orders", "delivered_orders", "canceled_orders", "total_unique_customers", "repeat_buyers",
         rnd(pct("repeat_buyers", "total_unique_customers")).alias("repeat_buyer_rate_pct"),
@@ -77,19 +79,19 @@ def a01_descriptive(L: Layers) -> DataFrame:
 
 
 def a02_status_distribution(L: Layers) -> DataFrame:
-    c = _orders(L).where(F.col("order_status").isNotNull()).groupBy("order_status").agg(F.count(ONE).alias("orders"))
+    c = _orders(L).where(F.col("order_status").isNotNull()).groupBy("order_status").agg(F.count(ONE()).alias("orders"))
     return _share_of_total(c, "orders", "pct_of_orders")
 
 
 def a03_payment_types(L: Layers) -> DataFrame:
     p = L.clean["order_payments"].where(F.col("payment_type").isNotNull())
-    c = p.groupBy("payment_type").agg(F.count(ONE).alias("payment_rows"), rnd(mean("payment_value")).alias("avg_payment_value"))
+    c = p.groupBy("payment_type").agg(F.count(ONE()).alias("payment_rows"), rnd(mean("payment_value")).alias("avg_payment_value"))
     return _share_of_total(c, "payment_rows", "pct_of_rows")
 
 
 def a04_review_distribution(L: Layers) -> DataFrame:
     r = _reviews(L).where(F.col("review_score").isNotNull())
-    c = r.groupBy("review_score").agg(F.count(ONE).alias("reviews"))
+    c = r.groupBy("review_score").agg(F.count(ONE()).alias("reviews"))
     avg = r.agg(rnd(mean("review_score"), 4).alias("avg_review_score"))
     return _share_of_total(c, "reviews", "pct_of_reviews").crossJoin(avg)
 
@@ -100,21 +102,21 @@ def a05_business_kpis(L: Layers) -> DataFrame:
         rnd(mean("freight_value")).alias("avg_freight_per_item"))
     o = _orders(L)
     late = F.col("is_delayed") == 1
-    has = DELIVERED & F.col("delivery_seconds").isNotNull()
+    has = DELIVERED() & F.col("delivery_seconds").isNotNull()
     has_delay = has & F.col("is_delayed").isNotNull()
     oa = o.agg(
-        F.count(ONE).alias("total_orders"), F.count_if(DELIVERED).alias("delivered_orders"),
-        rnd(mean(F.when(DELIVERED, F.col("total_order_revenue")))).alias("avg_order_value"),
-        rnd(mean(F.when(DELIVERED, F.col("item_count"))), 4).alias("avg_items_per_order"),
-        rnd(pct(F.count_if(F.col("order_status") == "canceled"), F.count(ONE))).alias("cancellation_rate_pct"),
+        F.count(ONE()).alias("total_orders"), F.count_if(DELIVERED()).alias("delivered_orders"),
+        rnd(mean(F.when(DELIVERED(), F.col("total_order_revenue")))).alias("avg_order_value"),
+        rnd(mean(F.when(DELIVERED(), F.col("item_count"))), 4).alias("avg_items_per_order"),
+        rnd(pct(F.count_if(F.col("order_status") == "canceled"), F.count(ONE()))).alias("cancellation_rate_pct"),
         rnd(mean_days(F.when(has, F.col("delivery_seconds")))).alias("avg_delivery_days"),
         pct(F.count_if(has_delay & late), F.count_if(has_delay)).alias("_late"),
         rnd(mean_days(F.when(has_delay & late, F.col("delay_seconds")))).alias("avg_delay_when_late_days"))
     ca = L.enriched["customer_analytics"].agg(
-        rnd(pct(F.count_if("is_repeat_buyer"), F.count(ONE))).alias("repeat_buyer_rate_pct"),
-        F.count(ONE).alias("total_unique_customers"))
+        rnd(pct(F.count_if("is_repeat_buyer"), F.count(ONE()))).alias("repeat_buyer_rate_pct"),
+        F.count(ONE()).alias("total_unique_customers"))
     rv = _reviews(L).agg(rnd(mean("review_score"), 4).alias("avg_review_score"))
-    sa = L.enriched["seller_analytics"].agg(F.count(ONE).alias("active_sellers"))
+    sa = L.enriched["seller_analytics"].agg(F.count(ONE()).alias("active_sellers"))
     return di.crossJoin(oa).crossJoin(ca).crossJoin(rv).crossJoin(sa).select(
         "total_orders", "delivered_orders", money("_rev").alias("total_revenue_brl"),
         money("_prod").alias("product_revenue_brl"), money("_fr").alias("freight_revenue_brl"),
@@ -128,7 +130,7 @@ def a05_business_kpis(L: Layers) -> DataFrame:
 def monthly_revenue_orders(L: Layers, month_range: tuple[str, str] | None = None) -> DataFrame:
     """Item revenue ⟗ delivered order count per purchase month; AOV."""
     rev = _del_items(L).groupBy("order_year_month").agg(F.sum("item_revenue").alias("revenue"))
-    n = _orders(L).where(DELIVERED).groupBy("order_year_month").agg(F.count("order_id").alias("n_orders"))
+    n = _orders(L).where(DELIVERED()).groupBy("order_year_month").agg(F.count("order_id").alias("n_orders"))
     m = rev.join(n, "order_year_month", "full_outer").where(F.col("order_year_month").isNotNull())
     if month_range:
         m = m.where(F.col("order_year_month").between(*month_range))
@@ -168,7 +170,7 @@ def a08_top_categories_volume(L: Layers, limit: int = 15) -> DataFrame:
 def a09_seller_concentration(L: Layers, top_n: int = 10) -> DataFrame:
     s = L.enriched["seller_analytics"]
     top = s.orderBy(F.desc("total_revenue"), "seller_id").limit(top_n).agg(F.sum("total_revenue").alias("_top"))
-    a = s.agg(F.count(ONE).alias("total_active_sellers"), money(F.max("total_revenue")).alias("top_seller_revenue"),
+    a = s.agg(F.count(ONE()).alias("total_active_sellers"), money(F.max("total_revenue")).alias("top_seller_revenue"),
               rnd(F.median(F.col("total_revenue").cast("double"))).alias("median_seller_revenue"), F.sum("total_revenue").alias("_all"),
               F.count_distinct("seller_state").alias("states_with_sellers"))
     return a.crossJoin(top).select("total_active_sellers", "top_seller_revenue", "median_seller_revenue",
@@ -193,13 +195,13 @@ def a10_revenue_by_seller_state(L: Layers) -> DataFrame:
 def a11_customers_by_state(L: Layers) -> DataFrame:
     c = (L.enriched["customer_analytics"].where(F.col("customer_state").isNotNull()).groupBy("customer_state")
          .agg(F.count("customer_unique_id").alias("n_customers"), rnd(mean("total_spend_payment")).alias("avg_spend")))
-    r = (_orders(L).where(DELIVERED & F.col("customer_state").isNotNull()).groupBy("customer_state")
+    r = (_orders(L).where(DELIVERED() & F.col("customer_state").isNotNull()).groupBy("customer_state")
          .agg(money(F.sum("total_order_revenue")).alias("total_revenue")))
     return c.join(r, "customer_state", "left")
 
 
 def a12_order_frequency(L: Layers) -> DataFrame:
-    c = L.enriched["customer_analytics"].groupBy("total_orders").agg(F.count(ONE).alias("customers"))
+    c = L.enriched["customer_analytics"].groupBy("total_orders").agg(F.count(ONE()).alias("customers"))
     return _share_of_total(c, "customers", "pct_of_customers")
 
 
@@ -232,7 +234,7 @@ def a14_logistics(L: Layers) -> DataFrame:
 def a15_delivery_by_state(L: Layers, min_orders: int = 200) -> DataFrame:
     d = _del_orders_with_days(L).where(F.col("customer_state").isNotNull())
     return (d.groupBy(F.col("customer_state").alias("state"))
-            .agg(rnd(mean_days("delivery_seconds")).alias("avg_days"), F.count(ONE).alias("n_orders"))
+            .agg(rnd(mean_days("delivery_seconds")).alias("avg_days"), F.count(ONE()).alias("n_orders"))
             .where(F.col("n_orders") >= min_orders))
 
 
@@ -290,8 +292,8 @@ def a19_review_by_delay_bucket(L: Layers) -> DataFrame:
 def a20_ontime_vs_late(L: Layers) -> DataFrame:
     d = _del_orders_reviewed(L).where(F.col("is_delayed").isNotNull() & F.col("review_score").isNotNull())
     g = F.when(F.col("is_delayed") == 1, F.lit("late")).otherwise(F.lit("on_time"))
-    c = d.groupBy(g.alias("delivery"), "review_score").agg(F.count(ONE).alias("orders"))
-    tot = d.groupBy(g.alias("delivery")).agg(F.count(ONE).alias("_t"), mean("review_score").alias("_m"))
+    c = d.groupBy(g.alias("delivery"), "review_score").agg(F.count(ONE()).alias("orders"))
+    tot = d.groupBy(g.alias("delivery")).agg(F.count(ONE()).alias("_t"), mean("review_score").alias("_m"))
     delta = d.agg((mean(F.when(F.col("is_delayed") == 1, F.col("review_score")))
                    - mean(F.when(F.col("is_delayed") == 0, F.col("review_score")))).alias("_d"))
     return (c.join(tot, "delivery").crossJoin(delta).select(

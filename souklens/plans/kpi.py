@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from souklens.functions.numeric import mean, mean_days, money, pct, rnd, share_if
 from souklens.plans.sqlsuite import DELIVERED, _with_customer, category_name, category_revenue
 
-IS_DELIVERED = F.coalesce(DELIVERED, F.lit(False))
+def IS_DELIVERED():
+    return F.coalesce(DELIVERED(), F.lit(False))
 
 
 def k1_kpi_summary(w) -> DataFrame:
-    d = w["fact_orders"].where(DELIVERED)
+    d = w["fact_orders"].where(DELIVERED())
     orders = d.agg(
         F.count(F.lit(1)).alias("delivered_orders"),
         money(F.sum("order_revenue")).alias("total_revenue"),
@@ -37,7 +38,7 @@ def k1_kpi_summary(w) -> DataFrame:
 
 
 def k2_monthly_performance(w) -> DataFrame:
-    return w["fact_orders"].where(DELIVERED).groupBy("order_year_month").agg(
+    return w["fact_orders"].where(DELIVERED()).groupBy("order_year_month").agg(
         F.count(F.lit(1)).alias("orders"), money(F.sum("order_revenue")).alias("revenue"),
         rnd(mean("order_revenue")).alias("average_order_value"))
 
@@ -48,14 +49,14 @@ def k3_category_performance(w) -> DataFrame:
 
 
 def k4_state_performance(w) -> DataFrame:
-    return _with_customer(w, w["fact_orders"].where(DELIVERED)).groupBy("customer_state").agg(
+    return _with_customer(w, w["fact_orders"].where(DELIVERED())).groupBy("customer_state").agg(
         F.count_distinct("order_id").alias("orders"), money(F.sum("order_revenue")).alias("revenue"),
         rnd(mean("order_revenue")).alias("average_order_value"))
 
 
 def k5_payment_performance(w) -> DataFrame:
     """Delivered orders by primary payment type; the NULL type keeps its row."""
-    return w["fact_orders"].where(DELIVERED).groupBy(F.col("primary_payment_type").alias("payment_type")).agg(
+    return w["fact_orders"].where(DELIVERED()).groupBy(F.col("primary_payment_type").alias("payment_type")).agg(
         F.count(F.lit(1)).alias("orders"), money(F.sum("payment_total")).alias("payment_value"),
         rnd(mean("payment_total")).alias("average_payment_value"))
 
@@ -70,18 +71,18 @@ def l01_validate_database(w) -> DataFrame:
 
 
 def _delivered_rev() -> F.Column:
-    return F.when(IS_DELIVERED, F.col("order_revenue"))
+    return F.when(IS_DELIVERED(), F.col("order_revenue"))
 
 
 def l02_kpis(w) -> DataFrame:
     fo = w["fact_orders"]
-    dl = F.count_if(IS_DELIVERED)
-    late = F.count_if(IS_DELIVERED & (F.col("is_delayed") == 1))
+    dl = F.count_if(IS_DELIVERED())
+    late = F.count_if(IS_DELIVERED() & (F.col("is_delayed") == 1))
     return fo.agg(
         F.count(F.lit(1)).alias("total_orders"), dl.alias("delivered_orders"),
         money(F.coalesce(F.sum(_delivered_rev()), F.lit(0))).alias("total_revenue"),
         rnd(mean(_delivered_rev())).alias("average_order_value"),
-        rnd(mean_days(F.when(IS_DELIVERED, F.col("delivery_seconds")))).alias("average_delivery_days"),
+        rnd(mean_days(F.when(IS_DELIVERED(), F.col("delivery_seconds")))).alias("average_delivery_days"),
         late.alias("delayed_orders"), rnd(pct(late, dl)).alias("delayed_rate"))
 
 
@@ -108,7 +109,7 @@ def l05_state_revenue(w) -> DataFrame:
 
 def l06_payment_performance(w, payments: DataFrame) -> DataFrame:
     """Payment-row grain: cleaned payments of delivered orders."""
-    d = w["fact_orders"].where(DELIVERED).select("order_id")
+    d = w["fact_orders"].where(DELIVERED()).select("order_id")
     p = payments.join(d, "order_id", "left_semi")
     return p.groupBy("payment_type").agg(
         F.count_distinct("order_id").alias("orders"), money(F.sum("payment_value")).alias("revenue"),
@@ -117,13 +118,13 @@ def l06_payment_performance(w, payments: DataFrame) -> DataFrame:
 
 def l07_delivery_performance(w) -> DataFrame:
     fo = w["fact_orders"]
-    dl = F.count_if(IS_DELIVERED)
-    late = F.count_if(IS_DELIVERED & (F.col("is_delayed") == 1))
+    dl = F.count_if(IS_DELIVERED())
+    late = F.count_if(IS_DELIVERED() & (F.col("is_delayed") == 1))
     return fo.agg(
         dl.alias("delivered_orders"),
-        rnd(mean_days(F.when(IS_DELIVERED, F.col("delivery_seconds")))).alias("average_delivery_days"),
-        rnd(mean_days(F.when(IS_DELIVERED, F.col("estimated_seconds")))).alias("average_estimated_days"),
-        rnd(mean_days(F.when(IS_DELIVERED, F.col("delay_seconds")))).alias("average_delay_days"),
+        rnd(mean_days(F.when(IS_DELIVERED(), F.col("delivery_seconds")))).alias("average_delivery_days"),
+        rnd(mean_days(F.when(IS_DELIVERED(), F.col("estimated_seconds")))).alias("average_estimated_days"),
+        rnd(mean_days(F.when(IS_DELIVERED(), F.col("delay_seconds")))).alias("average_delay_days"),
         late.alias("delayed_orders"), rnd(pct(late, dl)).alias("delayed_rate"))
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from souklens.functions.numeric import mean, mean_days, money, pct, ratio, rnd, share_if
 
-DELIVERED = F.col("order_status") == "delivered"
+def DELIVERED():
+    return F.col("order_status") == "delivered"
 
 
 def category_name() -> F.Column:
@@ -22,7 +23,7 @@ def category_name() -> F.Column:
 
 
 def _delivered_orders(w) -> DataFrame:
-    return w["fact_orders"].where(DELIVERED)
+    return w["fact_orders"].where(DELIVERED())
 
 
 def _with_customer(w, fo: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def q02_monthly_mom(w) -> DataFrame:
 
 def _sales_with_category(w) -> DataFrame:
     p = w["dim_product"].select("product_id", category_name().alias("category"))
-    return w["fact_sales"].where(DELIVERED).join(p, "product_id", "left") \
+    return w["fact_sales"].where(DELIVERED()).join(p, "product_id", "left") \
         .withColumn("category", F.coalesce(F.col("category"), F.lit("Unknown")))
 
 
@@ -99,7 +100,7 @@ def q05_top_customers(w, limit: int = 20) -> DataFrame:
 
 
 def q06_top_sellers(w, limit: int = 20) -> DataFrame:
-    per_order = (w["fact_sales"].where(DELIVERED).groupBy("seller_id", "order_id")
+    per_order = (w["fact_sales"].where(DELIVERED()).groupBy("seller_id", "order_id")
                  .agg(F.count(F.lit(1)).alias("n"), F.sum("item_revenue").alias("rev")))
     per = per_order.groupBy("seller_id").agg(F.count(F.lit(1)).alias("orders"), F.sum("n").alias("items"),
                                              F.sum("rev").alias("rev"))
@@ -108,7 +109,7 @@ def q06_top_sellers(w, limit: int = 20) -> DataFrame:
 
 
 def q07_seller_performance(w) -> DataFrame:
-    so = w["fact_sales"].where(DELIVERED).select("seller_id", "order_id").distinct()
+    so = w["fact_sales"].where(DELIVERED()).select("seller_id", "order_id").distinct()
     fo = _delivered_orders(w).select("order_id", "review_score", "delivery_seconds", "is_delayed")
     m = so.join(fo, "order_id")
     return m.groupBy("seller_id").agg(
