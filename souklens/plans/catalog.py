@@ -43,3 +43,8 @@ from souklens.plans import cohort, rfm, sellers  # noqa: E402
 for _jobs in (rfm.RFM_JOBS, cohort.COHORT_JOBS, sellers.SELLER_JOBS):
     for _name, _job in _jobs.items():
         register(_name, _job, None, None)
+
+from souklens.oracle.segments import SEG_SQL  # noqa: E402
+from souklens.registry import _SQL  # noqa: E402
+
+_SQL.update(SEG_SQL)

@@ -47,14 +47,14 @@ def seller_scorecard(L: Layers) -> DataFrame:
     d_orders = oe.where(DELIVERED() & F.col("delivery_seconds").isNotNull()).select("order_id", "delivery_seconds", "is_delayed")
     # Unknown delivery counts in the late-rate denominator
     deliv = pairs.join(d_orders, "order_id", "left").groupBy("seller_id").agg(
-        rnd(mean_days("delivery_seconds"), 4).alias("avg_delivery_days"),
-        rnd(share_if(F.col("is_delayed") == 1), 4).alias("late_rate_pct"),
+        mean_days("delivery_seconds").alias("avg_delivery_days"),
+        share_if(F.col("is_delayed") == 1).alias("late_rate_pct"),
         F.count_distinct("order_id").alias("n_delivered"))
     # Reviews of the seller's delivered orders; unreviewed orders stay in the denominator
     rv = L.clean["order_reviews"].select("order_id", "review_score")
     revs = pairs.join(rv, "order_id", "left").groupBy("seller_id").agg(
-        rnd(share_if(F.col("review_score") == 5), 4).alias("pct_5star"),
-        rnd(share_if(F.col("review_score") == 1), 4).alias("pct_1star"),
+        share_if(F.col("review_score") == 5).alias("pct_5star"),
+        share_if(F.col("review_score") == 1).alias("pct_1star"),
         F.count("review_score").alias("n_reviews"))
     # I4: distinct persons served (pre-distinct pairs, then count)
     cust = (d_items.select("order_id", "seller_id").join(oe.select("order_id", "customer_unique_id"), "order_id", "left")
@@ -83,10 +83,13 @@ SCORECARD_COLS = ["seller_id", "seller_state", "total_revenue", "n_unique_orders
                   "seller_aov", "revenue_tier", "review_tier", "delivery_tier", "late_rate_tier", "performance_flag"]
 
 
+ROUND4 = ("avg_review_score", "seller_aov", "avg_delivery_days", "late_rate_pct", "pct_5star", "pct_1star")
+
+
 def i1_seller_scorecard(L: Layers) -> DataFrame:
     sc = seller_scorecard(L)
     return sc.select([money(c).alias(c) if c == "total_revenue" else
-                      rnd(c, 4).alias(c) if c in ("avg_review_score", "seller_aov") else F.col(c) for c in SCORECARD_COLS])
+                      rnd(c, 4).alias(c) if c in ROUND4 else F.col(c) for c in SCORECARD_COLS])
 
 
 def i7_opportunity_lists(L: Layers, limit: int = 20) -> DataFrame:
@@ -99,7 +102,8 @@ def i7_opportunity_lists(L: Layers, limit: int = 20) -> DataFrame:
             ("under_performing", FLAGS[4], F.asc("total_revenue"))]
     parts = [sc.where(F.col("performance_flag") == flag).orderBy(order, "seller_id").limit(limit)
              .select(F.lit(name).alias("list"), "seller_id", money("total_revenue").alias("total_revenue"),
-                     rnd("avg_review_score", 4).alias("avg_review_score"), "late_rate_pct")
+                     rnd("avg_review_score", 4).alias("avg_review_score"),
+                     rnd("late_rate_pct", 4).alias("late_rate_pct"))
              for name, flag, order in spec]
     return reduce(DataFrame.unionByName, parts)
 
