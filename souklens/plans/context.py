@@ -2,17 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from souklens.operators import clean as C
+from souklens.operators import enrich as E
 from souklens.operators import star as D
 
 
+class LazyTables(Mapping):
+    """name → DataFrame, each built (analysed) on first access only, so a
+    job pays only for the tables it reads."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]):
+        self._builders = builders
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __contains__(self, name) -> bool:
+        return name in self._builders
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
 class Layers:
-    """raw → clean → star → enriched, each built on first use (all lazy
-    DataFrames; nothing runs until an action)."""
+    """raw → clean → star → enriched; every table a lazy DataFrame."""
 
     def __init__(self, spark: SparkSession, sf_dir: str | None = None, raw: dict[str, DataFrame] | None = None):
         self.spark = spark
@@ -20,24 +44,45 @@ class Layers:
         self._raw = raw
 
     @cached_property
-    def raw(self) -> dict[str, DataFrame]:
+    def raw(self) -> Mapping[str, DataFrame]:
         if self._raw is not None:
             return self._raw
-        from souklens.sources.fixtures import fixture_frames
-        return fixture_frames(self.spark, self.sf_dir)
+        from souklens.sources.fixtures import FIXTURE_SQL, fixture_frame
+        return LazyTables({n: (lambda n=n: fixture_frame(self.spark, self.sf_dir, n)) for n in FIXTURE_SQL})
 
     @cached_property
-    def clean(self) -> dict[str, DataFrame]:
-        return C.clean_all(self.raw)
+    def clean(self) -> Mapping[str, DataFrame]:
+        b = {n: (lambda n=n: C.CLEANERS[n](self.raw[n])) for n in C.CLEANERS if n in self.raw}
+        b["geolocation_zip"] = lambda: C.make_geolocation_zip(self.clean["geolocation"])
+        return LazyTables(b)
 
     @cached_property
-    def star(self) -> dict[str, DataFrame]:
-        return D.build_star(self.clean)
+    def star(self) -> Mapping[str, DataFrame]:
+        c = self.clean
+        return LazyTables({
+            "fact_orders": lambda: D.fact_orders(c["orders"], c["order_items"], c["order_payments"], c["order_reviews"]),
+            "fact_sales": lambda: D.fact_sales(c["order_items"], c["orders"]),
+            "dim_customer": lambda: D.dim_customer(c["customers"], c["orders"]),
+            "dim_product": lambda: D.dim_product(c["products"], c["category_translation"]),
+            "dim_seller": lambda: D.dim_seller(c["sellers"], c["order_items"]),
+            "dim_date": lambda: D.dim_date(c["orders"]),
+            "dim_geography": lambda: D.dim_geography(c["customers"], c["sellers"]),
+        })
 
     @cached_property
-    def enriched(self) -> dict[str, DataFrame]:
-        from souklens.operators.enrich import build_enriched
-        return build_enriched(self.clean)
+    def enriched(self) -> Mapping[str, DataFrame]:
+        c = self.clean
+        return LazyTables({
+            "orders_enriched": lambda: E.orders_enriched(c["orders"], c["customers"], c["order_payments"], c["order_items"]),
+            "order_items_enriched": lambda: E.order_items_enriched(c["order_items"], c["orders"], c["products"],
+                                                                   c["sellers"], c["category_translation"]),
+            "customer_analytics": lambda: E.customer_analytics(c["customers"], c["orders"], c["order_items"],
+                                                               c["order_reviews"], c["order_payments"]),
+            "product_analytics": lambda: E.product_analytics(c["products"], c["order_items"], c["order_reviews"],
+                                                             c["orders"], c["category_translation"]),
+            "seller_analytics": lambda: E.seller_analytics(c["sellers"], c["order_items"], c["orders"],
+                                                           c["order_reviews"], c["products"], c["category_translation"]),
+        })
 
     def __getitem__(self, name: str) -> DataFrame:
         for layer in ("star", "enriched", "clean"):
