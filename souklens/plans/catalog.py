@@ -48,3 +48,9 @@ from souklens.oracle.segments import SEG_SQL  # noqa: E402
 from souklens.registry import _SQL  # noqa: E402
 
 _SQL.update(SEG_SQL)
+
+from souklens.oracle.growth import GROWTH_SQL  # noqa: E402
+from souklens.plans import growth  # noqa: E402
+
+for _name, _job in growth.GROWTH_JOBS.items():
+    register(_name, _job, None, GROWTH_SQL.get(_name))
