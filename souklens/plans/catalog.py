@@ -54,3 +54,9 @@ from souklens.plans import growth  # noqa: E402
 
 for _name, _job in growth.GROWTH_JOBS.items():
     register(_name, _job, None, GROWTH_SQL.get(_name))
+
+from souklens.oracle.delivery import DELIVERY_SQL  # noqa: E402
+from souklens.plans import delivery  # noqa: E402
+
+for _name, _job in delivery.DELIVERY_JOBS.items():
+    register(_name, _job, None, DELIVERY_SQL.get(_name))

@@ -34,14 +34,9 @@ def _monthly(L: Layers) -> DataFrame:
             .withColumn("aov", ratio("revenue", "n_orders")))
 
 
-def _pct_change(c: str, w) -> F.Column:
-    """pandas pct_change: previous *observed* row, NULLs padded forward;
-    NULL (not inf) on a zero base."""
-    filled = F.last(F.col(c), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return filled, F.lag(filled).over(w)
-
-
 def monthly_growth(L: Layers) -> DataFrame:
+    """pandas pct_change: previous *observed* row with NULLs padded forward;
+    NULL (not inf) on a zero base."""
     w = Window.orderBy("ym_str")
     m = _monthly(L).withColumn("revenue", F.col("revenue").cast("double")).withColumn("n_orders", F.col("n_orders").cast("double"))
     for c in ("revenue", "n_orders", "aov"):
