@@ -60,3 +60,9 @@ from souklens.plans import delivery  # noqa: E402
 
 for _name, _job in delivery.DELIVERY_JOBS.items():
     register(_name, _job, None, DELIVERY_SQL.get(_name))
+
+from souklens.oracle.quality import QUALITY_SQL  # noqa: E402
+from souklens.plans import quality  # noqa: E402
+
+for _name, _job in quality.QUALITY_JOBS.items():
+    register(_name, _job, None, QUALITY_SQL.get(_name))
