@@ -94,3 +94,9 @@ register("d08_dim_product", lambda S: S["dim_product"], "star", MODEL_SQL["d08_d
 register("d09_dim_seller", lambda S: project_out(S["dim_seller"], DS), "star", MODEL_SQL["d09_dim_seller"])
 register("d10_dim_date", lambda S: S["dim_date"], "star", MODEL_SQL["d10_dim_date"])
 register("d11_dim_geography", lambda S: S["dim_geography"], "star", MODEL_SQL["d11_dim_geography"])
+
+from souklens.oracle.pages import PAGES_SQL  # noqa: E402
+from souklens.plans import pages  # noqa: E402
+
+for _name, _job in pages.PAGE_JOBS.items():
+    register(_name, _job, None, PAGES_SQL.get(_name))
