@@ -126,3 +126,28 @@ def test_warehouse_delay_flag_unknown_is_zero(spark):
                                "order_delivered_customer_date timestamp_ntz, order_estimated_delivery_date timestamp_ntz")
     out = {r.order_id: (r.is_delayed, r.delivery_days) for r in D.prepare_orders(df).collect()}
     assert out == {"a": (0, None), "b": (1, 3.0)}
+
+
+def test_typed_csv_roundtrip_and_unknown_name(spark, tmp_path):
+    import pytest
+
+    from souklens.plans.context import Layers
+    from souklens.sources import io
+
+    L = Layers(spark, "/root/testdata/sf0.001")
+    base = str(tmp_path)
+    for name in ("orders", "order_items"):
+        L.raw[name].write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{base}/{name}.csv")
+    back = io.load_table(spark, "orders", base)
+    assert back.schema.simpleString() == L.raw["orders"].schema.simpleString()
+    assert back.count() == L.raw["orders"].count()
+    assert back.exceptAll(L.raw["orders"]).count() == 0
+    with pytest.raises(ValueError):
+        io.load_table(spark, "nope", base)
+
+
+def test_run_script_keeps_going(spark):
+    from souklens.sources import io
+
+    out = io.run_script(spark, "SELECT 1 AS a; SELECT * FROM missing_table_xyz; SELECT 1 WHERE false -- c\n;").collect()
+    assert [(r.statement, r.status) for r in out] == [(1, "ok"), (2, "error"), (3, "empty")]
