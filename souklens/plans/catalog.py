@@ -100,3 +100,9 @@ from souklens.plans import pages  # noqa: E402
 
 for _name, _job in pages.PAGE_JOBS.items():
     register(_name, _job, None, PAGES_SQL.get(_name))
+
+from souklens.oracle.metrics import METRICS_SQL  # noqa: E402
+from souklens.plans import metrics  # noqa: E402
+
+for _name, _job in metrics.METRIC_JOBS.items():
+    register(_name, _job, None, METRICS_SQL.get(_name))
