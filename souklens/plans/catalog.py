@@ -106,3 +106,9 @@ from souklens.plans import metrics  # noqa: E402
 
 for _name, _job in metrics.METRIC_JOBS.items():
     register(_name, _job, None, METRICS_SQL.get(_name))
+
+from souklens.oracle.insights import INSIGHTS_SQL  # noqa: E402
+from souklens.plans import insights  # noqa: E402
+
+for _name, _job in insights.INSIGHT_JOBS.items():
+    register(_name, _job, None, INSIGHTS_SQL.get(_name))
