@@ -68,3 +68,38 @@ per AS (SELECT customer_unique_id, count(order_id) AS n, coalesce(sum(total_orde
 nc AS (SELECT {r(pct('sum(CASE WHEN n = 1 THEN rr END)', 'sum(rr)'))} AS one_time_revenue_share FROM per)
 SELECT * FROM lead CROSS JOIN sc CROSS JOIN tc CROSS JOIN fs CROSS JOIN nc""",
 }
+
+
+def _share(cond: str) -> str:
+    return pct(f"count(*) FILTER (WHERE coalesce({cond}, false))", "count(*)")
+
+
+PAGES_SQL.update({
+    "y03_sales_kpis": W + f"""st AS (SELECT customer_state, coalesce(sum(total_order_revenue), 0) AS rr FROM e_oe
+  WHERE {DLV} AND customer_state IS NOT NULL GROUP BY 1),
+lead AS (SELECT customer_state AS leading_state, {r(pct('rr', '(SELECT sum(rr) FROM st)'))} AS leading_state_share FROM st
+  ORDER BY rr DESC, customer_state DESC LIMIT 1)
+SELECT (SELECT {m('sum(item_revenue)')} FROM e_items WHERE {DLV}) AS total_revenue,
+  (SELECT {m('sum(price)')} FROM e_items WHERE {DLV}) AS product_revenue,
+  (SELECT {m('sum(freight_value)')} FROM e_items WHERE {DLV}) AS freight_revenue,
+  (SELECT {r(avg_('total_order_revenue'))} FROM e_oe WHERE {DLV}) AS aov, lead.* FROM lead""",
+    "y03_aov_by_month": W + f"""x AS (SELECT order_year_month AS ym_str, {r(avg_('total_order_revenue'))} AS aov,
+  (SELECT {r(avg_('total_order_revenue'))} FROM e_oe WHERE {DLV}) AS overall_aov FROM e_oe WHERE {DLV} GROUP BY 1) SELECT * FROM x""",
+    "y04_customer_kpis": W + f"""x AS (SELECT count(DISTINCT customer_unique_id) AS total_customers, count(*) FILTER (WHERE is_repeat_buyer) AS repeat_buyers,
+  {r(pct('count(*) FILTER (WHERE is_repeat_buyer)', 'count(*)'))} AS repeat_rate, {r(avg_('total_spend_payment'))} AS avg_spend,
+  {r(avg_('total_orders'), 4)} AS avg_orders FROM e_cust) SELECT * FROM x""",
+    "y05_product_kpis": W + f"""x AS (SELECT count(DISTINCT product_category_name_english) AS total_categories, {r(avg_('price'))} AS avg_price,
+  {r(f"median({pct('freight_value', 'price')})")} AS median_freight_pct FROM e_items WHERE {DLV}) SELECT * FROM x""",
+    "y05_category_table": W + f"""x AS (SELECT product_category_name_english AS category, {m('sum(item_revenue)')} AS revenue,
+  count(order_item_id) AS items_sold, {r(avg_('price'))} AS avg_price, {r(avg_('freight_value'))} AS avg_freight FROM e_items
+  WHERE {DLV} AND product_category_name_english IS NOT NULL GROUP BY 1) SELECT * FROM x""",
+    "y06_seller_kpis": W + f"""t AS (SELECT sum(total_revenue) AS top FROM (SELECT total_revenue FROM e_sell ORDER BY total_revenue DESC, seller_id LIMIT 10) z)
+SELECT count(*) AS sellers, {m('sum(total_revenue)')} AS total_revenue, {r('median(CAST(total_revenue AS DOUBLE))')} AS median_revenue,
+  {r(pct('(SELECT top FROM t)', 'sum(total_revenue)'))} AS top10_share FROM e_sell""",
+    "y06_sellers_by_state": W + f"""x AS (SELECT seller_state, {m('sum(total_revenue)')} AS revenue, count(seller_id) AS n_sellers,
+  {r(avg_('avg_review_score'), 4)} AS avg_score FROM e_sell WHERE seller_state IS NOT NULL GROUP BY 1) SELECT * FROM x""",
+    "y07_review_kpis": f"""SELECT {r(avg_('review_score'), 4)} AS avg_score, {r(_share('review_score = 5'))} AS pct_5star,
+  {r(_share('review_score = 1'))} AS pct_1star, {r(_share('has_comment'))} AS comment_rate FROM cl_reviews""",
+    "y07_monthly_reviews": f"""SELECT strftime(review_creation_date, '%Y-%m') AS ym_str, count(review_id) AS n_reviews,
+  {r(avg_('review_score'), 4)} AS avg_score FROM cl_reviews WHERE review_creation_date IS NOT NULL GROUP BY 1""",
+})

@@ -136,3 +136,85 @@ PAGE_JOBS = {"y01_filtered_kpis": y01_filtered_kpis, "f23_filter_share": f23_fil
              "f24_filter_options": f24_filter_options, "y02_status_counts": y02_status_counts,
              "y02_top5_category_share": y02_top5_category_share, "y08_state_summary": y08_state_summary,
              "y09_state_coverage": y09_state_coverage, "y10_executive_figures": y10_executive_figures}
+
+
+def y03_sales_kpis(L: Layers) -> DataFrame:
+    """Revenue split, AOV and the leading state's share of state revenue."""
+    it = L.enriched["order_items_enriched"].where(DELIVERED())
+    o = L.enriched["orders_enriched"].where(DELIVERED())
+    a = it.agg(money(F.sum("item_revenue")).alias("total_revenue"), money(F.sum("price")).alias("product_revenue"),
+               money(F.sum("freight_value")).alias("freight_revenue"))
+    b = o.agg(rnd(mean("total_order_revenue")).alias("aov"))
+    st = o.where(F.col("customer_state").isNotNull()).groupBy("customer_state").agg(
+        F.coalesce(F.sum("total_order_revenue"), F.lit(0)).alias("_r"))
+    c = st.agg(F.max(F.struct("_r", "customer_state")).alias("_m"), F.sum("_r").alias("_t")).select(
+        F.col("_m.customer_state").alias("leading_state"), rnd(pct("_m._r", "_t")).alias("leading_state_share"))
+    return a.crossJoin(b).crossJoin(c)
+
+
+def y03_aov_by_month(L: Layers) -> DataFrame:
+    """Mean order total per purchase month, with the overall mean."""
+    o = L.enriched["orders_enriched"].where(DELIVERED())
+    overall = o.agg(rnd(mean("total_order_revenue")).alias("overall_aov"))
+    return o.groupBy(F.col("order_year_month").alias("ym_str")).agg(
+        rnd(mean("total_order_revenue")).alias("aov")).crossJoin(overall)
+
+
+def y04_customer_kpis(L: Layers) -> DataFrame:
+    """Persons, repeat buyers and rate, average spend and orders."""
+    c = L.enriched["customer_analytics"]
+    return c.agg(F.count_distinct("customer_unique_id").alias("total_customers"),
+                 F.count_if("is_repeat_buyer").alias("repeat_buyers"),
+                 rnd(pct(F.count_if("is_repeat_buyer"), F.count(F.lit(1)))).alias("repeat_rate"),
+                 rnd(mean("total_spend_payment")).alias("avg_spend"), rnd(mean("total_orders"), 4).alias("avg_orders"))
+
+
+def y05_product_kpis(L: Layers) -> DataFrame:
+    """Categories sold, average price, median freight as % of price."""
+    it = L.enriched["order_items_enriched"].where(DELIVERED())
+    return it.agg(F.count_distinct("product_category_name_english").alias("total_categories"),
+                  rnd(mean("price")).alias("avg_price"),
+                  rnd(F.median(pct("freight_value", "price"))).alias("median_freight_pct"))
+
+
+def y05_category_table(L: Layers) -> DataFrame:
+    """Per category revenue, items, average price and freight."""
+    it = L.enriched["order_items_enriched"].where(DELIVERED() & F.col("product_category_name_english").isNotNull())
+    return it.groupBy(F.col("product_category_name_english").alias("category")).agg(
+        money(F.sum("item_revenue")).alias("revenue"), F.count("order_item_id").alias("items_sold"),
+        rnd(mean("price")).alias("avg_price"), rnd(mean("freight_value")).alias("avg_freight"))
+
+
+def y06_seller_kpis(L: Layers, top_n: int = 10) -> DataFrame:
+    s = L.enriched["seller_analytics"]
+    top = s.orderBy(F.desc("total_revenue"), "seller_id").limit(top_n).agg(F.sum("total_revenue").alias("_top"))
+    a = s.agg(F.count(F.lit(1)).alias("sellers"), money(F.sum("total_revenue")).alias("total_revenue"),
+              F.sum("total_revenue").alias("_all"), rnd(F.median(F.col("total_revenue").cast("double"))).alias("median_revenue"))
+    return a.crossJoin(top).select("sellers", "total_revenue", "median_revenue", rnd(pct("_top", "_all")).alias("top10_share"))
+
+
+def y06_sellers_by_state(L: Layers) -> DataFrame:
+    s = L.enriched["seller_analytics"].where(F.col("seller_state").isNotNull())
+    return s.groupBy("seller_state").agg(money(F.sum("total_revenue")).alias("revenue"),
+                                         F.count("seller_id").alias("n_sellers"),
+                                         rnd(mean("avg_review_score"), 4).alias("avg_score"))
+
+
+def y07_review_kpis(L: Layers) -> DataFrame:
+    r = L.clean["order_reviews"]
+    return r.agg(rnd(mean("review_score"), 4).alias("avg_score"), rnd(share_if(F.col("review_score") == 5)).alias("pct_5star"),
+                 rnd(share_if(F.col("review_score") == 1)).alias("pct_1star"),
+                 rnd(share_if(F.col("has_comment"))).alias("comment_rate"))
+
+
+def y07_monthly_reviews(L: Layers) -> DataFrame:
+    r = L.clean["order_reviews"].where(F.col("review_creation_date").isNotNull())
+    return r.groupBy(F.date_format("review_creation_date", "yyyy-MM").alias("ym_str")).agg(
+        F.count("review_id").alias("n_reviews"), rnd(mean("review_score"), 4).alias("avg_score"))
+
+
+PAGE_JOBS.update({"y03_sales_kpis": y03_sales_kpis, "y03_aov_by_month": y03_aov_by_month,
+                  "y04_customer_kpis": y04_customer_kpis, "y05_product_kpis": y05_product_kpis,
+                  "y05_category_table": y05_category_table, "y06_seller_kpis": y06_seller_kpis,
+                  "y06_sellers_by_state": y06_sellers_by_state, "y07_review_kpis": y07_review_kpis,
+                  "y07_monthly_reviews": y07_monthly_reviews})

@@ -184,3 +184,21 @@ def v14_null_counts(L: Layers) -> DataFrame:
 QUALITY_JOBS = {"v01_post_clean_validation": v01_post_clean_validation,
                 "v04_v09_warehouse_checks": v04_v09_warehouse_checks, "v11_table_inventory": v11_table_inventory,
                 "v14_orders_without_children": v14_orders_without_children, "v14_null_counts": v14_null_counts}
+
+
+def v13_engine_smoke(L: Layers) -> DataFrame:
+    """Shapes of the RFM table, cohort matrix, scorecard and growth
+    series, plus the peak month and the repeat rate, as one row."""
+    from souklens.plans import cohort, growth, rfm, sellers
+
+    r = rfm.compute_rfm(L).agg(F.count(F.lit(1)).alias("rfm_rows"))
+    c = cohort.cohort_long(L).agg(F.count_distinct("cohort_ym").alias("cohorts"),
+                                  (F.max("period_number") + 1).alias("periods"))
+    s = sellers.seller_scorecard(L).agg(F.count(F.lit(1)).alias("scorecard_rows"))
+    g = growth.w13_growth_headline(L).select(F.col("peak_month"))
+    m = growth.monthly_growth(L).agg(F.count(F.lit(1)).alias("growth_months"))
+    h = cohort.h6_h7_repeat_summary(L).select(F.col("repeat_rate_pct"))
+    return r.crossJoin(c).crossJoin(s).crossJoin(m).crossJoin(g).crossJoin(h)
+
+
+QUALITY_JOBS["v13_engine_smoke"] = v13_engine_smoke

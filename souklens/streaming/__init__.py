@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The workload has no streams, watermarks, state or late data; every input is a
+static table and refresh is a full batch rebuild.  Nothing is emulated here.
+"""
