@@ -32,9 +32,18 @@ def _f2(c: str) -> Column:
 INSIGHT_COLS = ["category", "metric", "value", "observation", "business_meaning"]
 
 
-def _ins(df: DataFrame, category: str, metric: str, value: Column, observation: Column, meaning: str) -> DataFrame:
-    return df.select(F.lit(category).alias("category"), F.lit(metric).alias("metric"), value.alias("value"),
-                     observation.alias("observation"), F.lit(meaning).alias("business_meaning"))
+def _ins(prefix: str, category: str, metric: str, value: Column, observation: Column, meaning: str) -> Column:
+    """One insight as a struct over the combined one-row frame (``prefix``
+    names the source struct column)."""
+    return F.struct(F.lit(category).alias("category"), F.lit(metric).alias("metric"), value.alias("value"),
+                    observation.alias("observation"), F.lit(meaning).alias("business_meaning"))
+
+
+def _one_row(**parts: DataFrame) -> DataFrame:
+    """Cross-join one-row frames, each packed into a struct column named by
+    its key; all are provably one row, so this is a tiny broadcast."""
+    frames = [df.select(F.struct(*df.columns).alias(name)) for name, df in parts.items()]
+    return reduce(DataFrame.crossJoin, frames)
 
 
 def _top1(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -42,57 +51,63 @@ def _top1(df: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def n01_business_insights(L: Layers) -> DataFrame:
-    """Fifteen insight rows from the KPI exports K1-K5."""
+    """Fifteen insight rows from the KPI exports K1-K5.  The six one-row
+    sources are combined into one row (struct per source) and expanded with
+    ``inline``, so each source is computed once."""
     w = L.star
-    k = kpi.k1_kpi_summary(w)
     mth = kpi.k2_monthly_performance(w)
-    best = _top1(mth, [F.desc("revenue"), "order_year_month"])
-    worst = _top1(mth, [F.asc("revenue"), "order_year_month"])
-    cat = _top1(kpi.k3_category_performance(w), [F.desc("revenue"), "category"])
-    st = _top1(kpi.k4_state_performance(w), [F.desc("revenue"), "customer_state"])
-    pay = _top1(kpi.k5_payment_performance(w).where(F.col("payment_type").isNotNull()), [F.desc("payment_value"), "payment_type"])
+    one = _one_row(
+        k=kpi.k1_kpi_summary(w),
+        best=_top1(mth, [F.desc("revenue"), "order_year_month"]),
+        worst=_top1(mth, [F.asc("revenue"), "order_year_month"]),
+        cat=_top1(kpi.k3_category_performance(w), [F.desc("revenue"), "category"]),
+        st=_top1(kpi.k4_state_performance(w), [F.desc("revenue"), "customer_state"]),
+        pay=_top1(kpi.k5_payment_performance(w).where(F.col("payment_type").isNotNull()), [F.desc("payment_value"), "payment_type"]))
+    month_obs = "%s generated R$ %s revenue from %s orders."
     rows = [
-        _ins(k, "Overall Performance", "Delivered Orders", _i("delivered_orders"),
-             F.format_string("%s orders were delivered.", _i("delivered_orders")), "Completed-order volume behind the revenue figures."),
-        _ins(k, "Overall Performance", "Total Revenue", F.format_string("R$ %s", _m("total_revenue")),
-             F.format_string("Delivered-order revenue reached R$ %s.", _m("total_revenue")), "Primary revenue KPI."),
-        _ins(k, "Overall Performance", "Average Order Value", F.format_string("R$ %s", _m("average_order_value")),
-             F.format_string("The average delivered order generated R$ %s.", _m("average_order_value")), "Baseline for basket-size strategies."),
-        _ins(k, "Customer", "Unique Customers", _i("unique_customers"),
-             F.format_string("%s unique customers are represented in delivered-order analytics.", _i("unique_customers")),
+        _ins("k", "Overall Performance", "Delivered Orders", _i("k.delivered_orders"),
+             F.format_string("%s orders were delivered.", _i("k.delivered_orders")), "Completed-order volume behind the revenue figures."),
+        _ins("k", "Overall Performance", "Total Revenue", F.format_string("R$ %s", _m("k.total_revenue")),
+             F.format_string("Delivered-order revenue reached R$ %s.", _m("k.total_revenue")), "Primary revenue KPI."),
+        _ins("k", "Overall Performance", "Average Order Value", F.format_string("R$ %s", _m("k.average_order_value")),
+             F.format_string("The average delivered order generated R$ %s.", _m("k.average_order_value")),
+             "Baseline for basket-size strategies."),
+        _ins("k", "Customer", "Unique Customers", _i("k.unique_customers"),
+             F.format_string("%s unique customers are represented in delivered-order analytics.", _i("k.unique_customers")),
              "Customer base of the delivered-order analysis."),
-        _ins(k, "Customer", "Repeat Customers", _i("repeat_customers"),
-             F.format_string("%s customers placed more than one delivered order.", _i("repeat_customers")), "Observed returning segment."),
-        _ins(k, "Customer", "Repeat Customer Rate", F.format_string("%s%%", _f2("repeat_customer_rate")),
-             F.format_string("The repeat customer rate is %s%%.", _f2("repeat_customer_rate")), "Retention is an opportunity area."),
-        _ins(k, "Delivery", "Average Delivery Time", F.format_string("%s days", _f2("average_delivery_days")),
-             F.format_string("Average delivery time was %s days.", _f2("average_delivery_days")), "Logistics baseline."),
-        _ins(k, "Delivery", "Estimated Delivery Time", F.format_string("%s days", _f2("average_estimated_delivery_days")),
-             F.format_string("The average estimated delivery time was %s days.", _f2("average_estimated_delivery_days")),
+        _ins("k", "Customer", "Repeat Customers", _i("k.repeat_customers"),
+             F.format_string("%s customers placed more than one delivered order.", _i("k.repeat_customers")),
+             "Observed returning segment."),
+        _ins("k", "Customer", "Repeat Customer Rate", F.format_string("%s%%", _f2("k.repeat_customer_rate")),
+             F.format_string("The repeat customer rate is %s%%.", _f2("k.repeat_customer_rate")), "Retention is an opportunity area."),
+        _ins("k", "Delivery", "Average Delivery Time", F.format_string("%s days", _f2("k.average_delivery_days")),
+             F.format_string("Average delivery time was %s days.", _f2("k.average_delivery_days")), "Logistics baseline."),
+        _ins("k", "Delivery", "Estimated Delivery Time", F.format_string("%s days", _f2("k.average_estimated_delivery_days")),
+             F.format_string("The average estimated delivery time was %s days.", _f2("k.average_estimated_delivery_days")),
              "Actual versus promised delivery."),
-        _ins(k, "Delivery", "Average Delivery Difference", F.format_string("%s days", _f2("average_delivery_delay_days")),
-             F.format_string("Average delivery difference was %s days.", _f2("average_delivery_delay_days")),
+        _ins("k", "Delivery", "Average Delivery Difference", F.format_string("%s days", _f2("k.average_delivery_delay_days")),
+             F.format_string("Average delivery difference was %s days.", _f2("k.average_delivery_delay_days")),
              "Negative means earlier than estimated on average."),
-        _ins(k, "Delivery", "Delayed Order Rate", F.format_string("%s%%", _f2("delayed_order_rate")),
-             F.format_string("%s delivered orders were classified as delayed, representing %s%%.", _i("delayed_orders"),
-                             _f2("delayed_order_rate")), "Share of completed orders past the estimate."),
-        _ins(best, "Monthly Performance", "Highest Revenue Month", F.col("order_year_month"),
-             F.format_string("%s generated R$ %s revenue from %s orders.", F.col("order_year_month"), _m("revenue"), _i("orders")),
+        _ins("k", "Delivery", "Delayed Order Rate", F.format_string("%s%%", _f2("k.delayed_order_rate")),
+             F.format_string("%s delivered orders were classified as delayed, representing %s%%.", _i("k.delayed_orders"),
+                             _f2("k.delayed_order_rate")), "Share of completed orders past the estimate."),
+        _ins("best", "Monthly Performance", "Highest Revenue Month", F.col("best.order_year_month"),
+             F.format_string(month_obs, F.col("best.order_year_month"), _m("best.revenue"), _i("best.orders")),
              "Strongest monthly revenue period."),
-        _ins(worst, "Monthly Performance", "Lowest Revenue Month", F.col("order_year_month"),
-             F.format_string("%s generated R$ %s revenue from %s orders.", F.col("order_year_month"), _m("revenue"), _i("orders")),
+        _ins("worst", "Monthly Performance", "Lowest Revenue Month", F.col("worst.order_year_month"),
+             F.format_string(month_obs, F.col("worst.order_year_month"), _m("worst.revenue"), _i("worst.orders")),
              "Weakest monthly revenue period."),
-        _ins(cat, "Product Category", "Top Revenue Category", F.col("category"),
-             F.format_string("%s generated R$ %s revenue across %s orders.", F.col("category"), _m("revenue"), _i("orders")),
-             "Leading revenue category."),
-        _ins(st, "Geography", "Top Customer State", F.col("customer_state"),
-             F.format_string("%s generated R$ %s revenue from %s delivered orders.", F.col("customer_state"), _m("revenue"),
-                             _i("orders")), "Largest revenue state."),
-        _ins(pay, "Payment", "Top Payment Method", F.col("payment_type"),
-             F.format_string("%s accounted for R$ %s across %s delivered orders.", F.col("payment_type"), _m("payment_value"),
-                             _i("orders")), "Dominant payment method."),
+        _ins("cat", "Product Category", "Top Revenue Category", F.col("cat.category"),
+             F.format_string("%s generated R$ %s revenue across %s orders.", F.col("cat.category"), _m("cat.revenue"),
+                             _i("cat.orders")), "Leading revenue category."),
+        _ins("st", "Geography", "Top Customer State", F.col("st.customer_state"),
+             F.format_string("%s generated R$ %s revenue from %s delivered orders.", F.col("st.customer_state"),
+                             _m("st.revenue"), _i("st.orders")), "Largest revenue state."),
+        _ins("pay", "Payment", "Top Payment Method", F.col("pay.payment_type"),
+             F.format_string("%s accounted for R$ %s across %s delivered orders.", F.col("pay.payment_type"),
+                             _m("pay.payment_value"), _i("pay.orders")), "Dominant payment method."),
     ]
-    return reduce(DataFrame.unionByName, rows)
+    return one.select(F.inline(F.array(*rows)))
 
 
 def n02_report_lines(L: Layers) -> DataFrame:
@@ -119,22 +134,27 @@ def n02_report_lines(L: Layers) -> DataFrame:
 
 
 def n03_executive_insights(L: Layers) -> DataFrame:
-    """Executive insight rows from the page figures."""
+    """Executive insight rows from the page figures (Y10), one row in,
+    five rows out."""
     y = y10_executive_figures(L)
+
+    def row(i, title, metric, detail):
+        return F.struct(F.lit(i).alias("id"), F.lit(title).alias("title"), metric.alias("metric"), detail.alias("detail"))
+
     rows = [
-        y.select(F.lit(1).alias("id"), F.lit("Leading state").alias("title"), F.col("leading_state").alias("metric"),
-                 F.format_string("%s holds %.2f%% of delivered revenue.", "leading_state", "leading_state_share").alias("detail")),
-        y.select(F.lit(2), F.lit("Delivery drives satisfaction"), F.format_string("%.4f vs %.4f", "ontime_score", "late_score"),
-                 F.format_string("On-time orders score %.4f, late orders %.4f.", "ontime_score", "late_score")),
-        y.select(F.lit(3), F.lit("Top category"), F.col("top_category"),
-                 F.format_string("%s earns R$ %s against a category mean of R$ %s.", F.col("top_category"),
-                                 _m("top_category_revenue"), _m("mean_category_revenue"))),
-        y.select(F.lit(4), F.lit("Delivery gap"), F.concat_ws(" / ", "fastest_state", "slowest_state"),
-                 F.format_string("Fastest state %s, slowest state %s.", "fastest_state", "slowest_state")),
-        y.select(F.lit(5), F.lit("One-time buyers"), F.format_string("%.2f%%", "one_time_revenue_share"),
-                 F.format_string("One-time buyers bring %.2f%% of delivered revenue.", "one_time_revenue_share")),
+        row(1, "Leading state", F.col("leading_state"),
+            F.format_string("%s holds %.2f%% of delivered revenue.", "leading_state", "leading_state_share")),
+        row(2, "Delivery drives satisfaction", F.format_string("%.4f vs %.4f", "ontime_score", "late_score"),
+            F.format_string("On-time orders score %.4f, late orders %.4f.", "ontime_score", "late_score")),
+        row(3, "Top category", F.col("top_category"),
+            F.format_string("%s earns R$ %s against a category mean of R$ %s.", F.col("top_category"),
+                            _m("top_category_revenue"), _m("mean_category_revenue"))),
+        row(4, "Delivery gap", F.concat_ws(" / ", "fastest_state", "slowest_state"),
+            F.format_string("Fastest state %s, slowest state %s.", "fastest_state", "slowest_state")),
+        row(5, "One-time buyers", F.format_string("%.2f%%", "one_time_revenue_share"),
+            F.format_string("One-time buyers bring %.2f%% of delivered revenue.", "one_time_revenue_share")),
     ]
-    return reduce(DataFrame.union, rows)
+    return y.select(F.inline(F.array(*rows)))
 
 
 def n04_overview_kpis(L: Layers) -> DataFrame:
@@ -173,10 +193,10 @@ def a25_eda_insights(L: Layers) -> DataFrame:
         ("Freight and price", F.format_string("Freight-price correlation r = %.4f.", "freight_price_correlation")),
         ("Peak month", F.format_string("Peak revenue month %s with R$ %s.", F.col("peak_revenue_month"), _m("peak_revenue_value"))),
     ]
-    rows = [x.select(F.lit(i + 1).alias("id"), F.lit(t).alias("topic"), e.alias("insight")) for i, (t, e) in enumerate(lines)]
-    tc = top.select(F.lit(len(lines) + 1).alias("id"), F.lit("Top category").alias("topic"),
-                    F.format_string("%s leads with R$ %s.", F.col("category"), _m("revenue")).alias("insight"))
-    return reduce(DataFrame.unionByName, rows + [tc])
+    lines.append(("Top category", F.format_string("%s leads with R$ %s.", F.col("category"), _m("revenue"))))
+    x = x.crossJoin(top)
+    rows = [F.struct(F.lit(i + 1).alias("id"), F.lit(t).alias("topic"), e.alias("insight")) for i, (t, e) in enumerate(lines)]
+    return x.select(F.inline(F.array(*rows)))
 
 
 INSIGHT_JOBS = {"n01_business_insights": n01_business_insights, "n02_report_lines": n02_report_lines,
