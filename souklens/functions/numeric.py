@@ -64,3 +64,12 @@ def mean_days(sec) -> Column:
     """Aggregate: mean of a seconds column, expressed in days."""
     x = col_(sec)
     return ratio(F.sum(x), F.count(x) * F.lit(SECONDS_PER_DAY))
+
+
+def brl(c) -> Column:
+    """Currency display: millions as 'R$x.xxM', thousands as 'R$x.xK',
+    else 'R$x.xx' (rounded half-up first, so the text is engine-independent)."""
+    x = col_(c).cast("double")
+    return (F.when(x >= 1_000_000, F.format_string("R$%.2fM", rnd(x / F.lit(1_000_000.0), 2)))
+            .when(x >= 1_000, F.format_string("R$%.1fK", rnd(x / F.lit(1_000.0), 1)))
+            .otherwise(F.format_string("R$%.2f", rnd(x, 2))))

@@ -4,6 +4,13 @@ from souklens.oracle.base import avg_, avg_days, m, pct, r
 from souklens.oracle.enrich import E_ORDERS
 
 W = "WITH " + E_ORDERS + ",\n"
+
+
+def brl(x: str) -> str:
+    v = f"CAST(({x}) AS DOUBLE)"
+    return (f"CASE WHEN {v} >= 1000000 THEN 'R$' || format('{{:.2f}}', {r(f'{v} / 1000000.0', 2)}) || 'M' "
+            f"WHEN {v} >= 1000 THEN 'R$' || format('{{:.1f}}', {r(f'{v} / 1000.0', 1)}) || 'K' "
+            f"ELSE 'R$' || format('{{:.2f}}', {r(v, 2)}) END")
 DLV = "order_status = 'delivered'"
 FO = "fo AS (SELECT * FROM e_oe WHERE order_status IN ('delivered', 'shipped')),\n"
 HAS = f"{DLV} AND delivery_seconds IS NOT NULL"
@@ -41,7 +48,7 @@ ds AS (SELECT customer_state, {avg_days('delivery_seconds')} AS d FROM e_oe WHER
 s AS (SELECT coalesce(cs.customer_state, rs.customer_state) AS customer_state, coalesce(cs.n_customers, 0) AS n_customers,
   coalesce({r('cs.avg_spend')}, 0.0) AS avg_spend, coalesce(rs.revenue, 0) AS rev, coalesce({r('ds.d')}, 0.0) AS avg_delivery_days
   FROM cs FULL OUTER JOIN rs ON rs.customer_state = cs.customer_state LEFT JOIN ds ON ds.customer_state = coalesce(cs.customer_state, rs.customer_state))
-SELECT customer_state, n_customers, avg_spend, {m('rev')} AS revenue, avg_delivery_days,
+SELECT customer_state, n_customers, avg_spend, {m('rev')} AS revenue, {brl('rev')} AS revenue_fmt, avg_delivery_days,
   {r(pct('rev', '(SELECT sum(rev) FROM s)'), 1)} AS rev_share FROM s""",
     "y09_state_coverage": W + """cs AS (SELECT DISTINCT customer_state AS state FROM e_cust WHERE customer_state IS NOT NULL),
 ss AS (SELECT DISTINCT seller_state AS state FROM e_sell WHERE seller_state IS NOT NULL),
@@ -96,8 +103,9 @@ SELECT (SELECT {m('sum(item_revenue)')} FROM e_items WHERE {DLV}) AS total_reven
     "y06_seller_kpis": W + f"""t AS (SELECT sum(total_revenue) AS top FROM (SELECT total_revenue FROM e_sell ORDER BY total_revenue DESC, seller_id LIMIT 10) z)
 SELECT count(*) AS sellers, {m('sum(total_revenue)')} AS total_revenue, {r('median(CAST(total_revenue AS DOUBLE))')} AS median_revenue,
   {r(pct('(SELECT top FROM t)', 'sum(total_revenue)'))} AS top10_share FROM e_sell""",
-    "y06_sellers_by_state": W + f"""x AS (SELECT seller_state, {m('sum(total_revenue)')} AS revenue, count(seller_id) AS n_sellers,
-  {r(avg_('avg_review_score'), 4)} AS avg_score FROM e_sell WHERE seller_state IS NOT NULL GROUP BY 1) SELECT * FROM x""",
+    "y06_sellers_by_state": W + f"""x AS (SELECT seller_state, {m('sum(total_revenue)')} AS revenue, {brl('sum(total_revenue)')} AS rev_fmt,
+  count(seller_id) AS n_sellers, {r(avg_('avg_review_score'), 4)} AS avg_score FROM e_sell WHERE seller_state IS NOT NULL GROUP BY 1)
+SELECT * FROM x""",
     "y07_review_kpis": f"""SELECT {r(avg_('review_score'), 4)} AS avg_score, {r(_share('review_score = 5'))} AS pct_5star,
   {r(_share('review_score = 1'))} AS pct_1star, {r(_share('has_comment'))} AS comment_rate FROM cl_reviews""",
     "y07_monthly_reviews": f"""SELECT strftime(review_creation_date, '%Y-%m') AS ym_str, count(review_id) AS n_reviews,

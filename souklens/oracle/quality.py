@@ -142,3 +142,32 @@ FROM fx_orders o GROUP BY 1""",
         f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(*) AS rows FROM fx_{t}"
         for t, cols in RAW_COLS.items() for c in cols) + ") z",
 }
+
+
+def _spot() -> str:
+    from souklens.oracle.base import avg_, pct as _pct
+
+    items = [
+        ("total_orders", "(SELECT count(*) FROM e_oe)"),
+        ("delivered_orders", "(SELECT count(*) FILTER (WHERE order_status = 'delivered') FROM e_oe)"),
+        ("unique_customers", "(SELECT count(DISTINCT customer_unique_id) FROM e_cust)"),
+        ("repeat_buyers", "(SELECT count(*) FILTER (WHERE is_repeat_buyer) FROM e_cust)"),
+        ("repeat_pct", "(SELECT " + r(_pct("count(*) FILTER (WHERE is_repeat_buyer)", "count(*)")) + " FROM e_cust)"),
+        ("total_revenue_all_items", "(SELECT round(sum(item_revenue), 2) FROM e_items)"),
+        ("revenue_delivered", "(SELECT round(sum(item_revenue) FILTER (WHERE order_status = 'delivered'), 2) FROM e_items)"),
+        ("avg_order_value", "(SELECT " + r(avg_("CASE WHEN order_status = 'delivered' THEN total_order_revenue END")) + " FROM e_oe)"),
+        ("avg_review_score", "(SELECT " + r(avg_("review_score"), 4) + " FROM cl_reviews)"),
+        ("avg_delivery_days", "(SELECT " + r("CAST(sum(delivery_seconds) AS DOUBLE) / (count(delivery_seconds) * 86400.0)") + " FROM e_oe)"),
+        ("late_rate_pct", "(SELECT " + r(_pct("count(*) FILTER (WHERE is_delayed = 1)", "count(is_delayed)")) + " FROM e_oe)"),
+        ("dup_orders_enriched", "(SELECT count(*) - count(DISTINCT order_id) FROM e_oe)"),
+        ("dup_customer_analytics", "(SELECT count(*) - count(DISTINCT customer_unique_id) FROM e_cust)"),
+        ("dup_product_analytics", "(SELECT count(*) - count(DISTINCT product_id) FROM e_prod)"),
+        ("dup_seller_analytics", "(SELECT count(*) - count(DISTINCT seller_id) FROM e_sell)"),
+        ("dup_order_reviews", "(SELECT count(*) - count(DISTINCT order_id) FROM cl_reviews)"),
+        ("double_count_diff", "(SELECT round(abs(coalesce((SELECT sum(total_order_revenue) FROM e_oe), 0) "
+                              "- coalesce((SELECT sum(item_revenue) FROM e_items), 0)), 2))"),
+    ]
+    return W + "q AS (" + "\nUNION ALL ".join(f"SELECT '{n}' AS \"check\", CAST({e} AS DOUBLE) AS value" for n, e in items) + ") SELECT * FROM q"
+
+
+QUALITY_SQL["v12_spot_checks"] = _spot()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souklens.functions.numeric import mean, mean_days, money, pct, rnd, share_if
+from souklens.functions.numeric import brl, mean, mean_days, money, pct, rnd, share_if
 from souklens.operators.filters import FilterSpec, apply_filters, filter_options, kept_share
 from souklens.plans.context import Layers
 
@@ -83,7 +83,8 @@ def y08_state_summary(L: Layers) -> DataFrame:
                  F.coalesce(rnd("avg_delivery_days"), F.lit(0.0)).alias("avg_delivery_days"))
     tot = s.agg(F.sum("_rev").alias("_t"))
     return s.crossJoin(tot).select("customer_state", "n_customers", "avg_spend", money("_rev").alias("revenue"),
-                                   "avg_delivery_days", rnd(pct("_rev", "_t"), 1).alias("rev_share"))
+                                   brl("_rev").alias("revenue_fmt"), "avg_delivery_days",
+                                   rnd(pct("_rev", "_t"), 1).alias("rev_share"))
 
 
 def y09_state_coverage(L: Layers, universe: tuple[str, ...] | None = None) -> DataFrame:
@@ -195,9 +196,9 @@ def y06_seller_kpis(L: Layers, top_n: int = 10) -> DataFrame:
 
 def y06_sellers_by_state(L: Layers) -> DataFrame:
     s = L.enriched["seller_analytics"].where(F.col("seller_state").isNotNull())
-    return s.groupBy("seller_state").agg(money(F.sum("total_revenue")).alias("revenue"),
-                                         F.count("seller_id").alias("n_sellers"),
-                                         rnd(mean("avg_review_score"), 4).alias("avg_score"))
+    return (s.groupBy("seller_state").agg(F.sum("total_revenue").alias("_r"), F.count("seller_id").alias("n_sellers"),
+                                          rnd(mean("avg_review_score"), 4).alias("avg_score"))
+            .select("seller_state", money("_r").alias("revenue"), brl("_r").alias("rev_fmt"), "n_sellers", "avg_score"))
 
 
 def y07_review_kpis(L: Layers) -> DataFrame:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souklens.functions.numeric import pct, rnd
+from souklens.functions.numeric import money, pct, rnd
 from souklens.plans.context import Layers
 
 
@@ -202,3 +202,39 @@ def v13_engine_smoke(L: Layers) -> DataFrame:
 
 
 QUALITY_JOBS["v13_engine_smoke"] = v13_engine_smoke
+
+
+def v12_spot_checks(L: Layers) -> DataFrame:
+    """Spot metrics as (check, value) rows: totals, duplicates on the
+    enriched tables and the double-count difference."""
+    e, c = L.enriched, L.clean
+    oe, ie = e["orders_enriched"], e["order_items_enriched"]
+    dlv = F.col("order_status") == "delivered"
+    o = oe.agg(F.count(F.lit(1)).alias("total_orders"), F.count_if(dlv).alias("delivered_orders"),
+               F.sum("total_order_revenue").alias("_oe_rev"),
+               rnd(F.sum(F.when(dlv, F.col("total_order_revenue"))).cast("double") /
+                   F.count(F.when(dlv, F.col("total_order_revenue")))).alias("avg_order_value"),
+               rnd(F.sum("delivery_seconds") / (F.count("delivery_seconds") * 86400.0)).alias("avg_delivery_days"),
+               rnd(pct(F.count_if(F.col("is_delayed") == 1), F.count("is_delayed"))).alias("late_rate_pct"),
+               (F.count(F.lit(1)) - F.count_distinct("order_id")).alias("dup_orders_enriched"))
+    i = ie.agg(F.sum("item_revenue").alias("_it_rev"), F.sum(F.when(dlv, F.col("item_revenue"))).alias("_del_rev"))
+    ca = e["customer_analytics"].agg(F.count_distinct("customer_unique_id").alias("unique_customers"),
+                                     F.count_if("is_repeat_buyer").alias("repeat_buyers"),
+                                     rnd(pct(F.count_if("is_repeat_buyer"), F.count(F.lit(1)))).alias("repeat_pct"),
+                                     (F.count(F.lit(1)) - F.count_distinct("customer_unique_id")).alias("dup_customer_analytics"))
+    pa = e["product_analytics"].agg((F.count(F.lit(1)) - F.count_distinct("product_id")).alias("dup_product_analytics"))
+    sa = e["seller_analytics"].agg((F.count(F.lit(1)) - F.count_distinct("seller_id")).alias("dup_seller_analytics"))
+    rv = c["order_reviews"].agg(rnd(F.avg("review_score"), 4).alias("avg_review_score"),
+                                (F.count(F.lit(1)) - F.count_distinct("order_id")).alias("dup_order_reviews"))
+    one = o.crossJoin(i).crossJoin(ca).crossJoin(pa).crossJoin(sa).crossJoin(rv).select(
+        "*", money("_it_rev").alias("total_revenue_all_items"), money("_del_rev").alias("revenue_delivered"),
+        money(F.abs(F.coalesce(F.col("_oe_rev"), F.lit(0)) - F.coalesce(F.col("_it_rev"), F.lit(0)))).alias("double_count_diff"))
+    names = ["total_orders", "delivered_orders", "unique_customers", "repeat_buyers", "repeat_pct", "total_revenue_all_items",
+             "revenue_delivered", "avg_order_value", "avg_review_score", "avg_delivery_days", "late_rate_pct",
+             "dup_orders_enriched", "dup_customer_analytics", "dup_product_analytics", "dup_seller_analytics",
+             "dup_order_reviews", "double_count_diff"]
+    stack = ", ".join(f"'{n}', cast(`{n}` as double)" for n in names)
+    return one.selectExpr(f"stack({len(names)}, {stack}) as (check, value)")
+
+
+QUALITY_JOBS["v12_spot_checks"] = v12_spot_checks
