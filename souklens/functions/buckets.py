@@ -100,14 +100,20 @@ def with_quintile(df: DataFrame, value: str, out: str, reverse: bool = False) ->
     return with_quintiles(df, [(value, out, reverse)])
 
 
-def with_quintiles(df: DataFrame, specs: Sequence[tuple[str, str, bool]]) -> DataFrame:
+def with_quintiles(df: DataFrame, specs: Sequence[tuple[str, str, bool]], accuracy: int | None = None) -> DataFrame:
     """Add one quintile column per (value, out, reverse) spec.  The edges of
-    all specs are one one-row aggregate, cross-joined back once."""
+    all specs are one one-row aggregate, cross-joined back once.
+
+    Exact edges (default) match the reference's interpolated quantiles; the
+    exact aggregate's buffer grows with the number of distinct values.  For
+    very wide domains pass ``accuracy`` to use ``percentile_approx`` (bounded
+    memory, rank error about 1/accuracy)."""
     probs = F.array(*[F.lit(p) for p in QUINTILE_PROBS])
     aggs = []
     for i, (value, _, _) in enumerate(specs):
         v = F.col(value).cast("double")
-        aggs += [F.percentile(v, probs).alias(f"_q{i}"), F.min(v).alias(f"_mn{i}"), F.max(v).alias(f"_mx{i}")]
+        q = F.percentile(v, probs) if accuracy is None else F.percentile_approx(v, probs, accuracy)
+        aggs += [q.alias(f"_q{i}"), F.min(v).alias(f"_mn{i}"), F.max(v).alias(f"_mx{i}")]
     out = df.crossJoin(df.agg(*aggs))
     for i, (value, name, reverse) in enumerate(specs):
         b = _bin(value, f"_q{i}", f"_mn{i}", f"_mx{i}")

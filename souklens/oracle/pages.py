@@ -111,3 +111,6 @@ SELECT * FROM x""",
     "y07_monthly_reviews": f"""SELECT strftime(review_creation_date, '%Y-%m') AS ym_str, count(review_id) AS n_reviews,
   {r(avg_('review_score'), 4)} AS avg_score FROM cl_reviews WHERE review_creation_date IS NOT NULL GROUP BY 1""",
 })
+
+PAGES_SQL["y02_payment_counts"] = ("SELECT payment_type, count(*) AS payments FROM cl_payments "
+                                   "WHERE payment_type IS NOT NULL GROUP BY 1")

@@ -119,3 +119,15 @@ COHORT_JOBS = {"h1_cohort_retention": h1_cohort_retention, "h3_cohort_range": h3
                "h4_cohort_summary": h4_cohort_summary, "h5_cohort_heatmap": h5_cohort_heatmap,
                "h6_h7_repeat_summary": h6_h7_repeat_summary, "h8_frequency_distribution": h8_frequency_distribution,
                "h9_clv_distribution": h9_clv_distribution, "h10_clv_by_orders": h10_clv_by_orders}
+
+
+def h2_cohort_pivot_all(L: Layers) -> DataFrame:
+    """H2: cohorts × every observed period number (0.0 where nobody
+    returned).  The period list is discovered by Spark's pivot (one small
+    distinct over period numbers, bounded by the calendar)."""
+    c = cohort_long(L)
+    p = c.groupBy("cohort_ym", "cohort_size").pivot("period_number").agg(F.first("retention_pct"))
+    return p.na.fill(0.0)
+
+
+COHORT_JOBS["h2_cohort_pivot_all"] = h2_cohort_pivot_all

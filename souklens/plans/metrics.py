@@ -112,13 +112,14 @@ def m11_seller_diversity(L: Layers) -> DataFrame:
     return pairs.groupBy("category").agg(F.count(F.lit(1)).alias("sellers"))
 
 
-def _seller_ranks(L: Layers, partitions: int = 16) -> DataFrame:
+def _seller_ranks(L: Layers, partitions: int | None = None) -> DataFrame:
     """Ascending 1-based revenue rank of every selling seller without a
     single-partition window: range-partition on (revenue, seller_id), number
     rows inside each partition, add the row count of all lower partitions
     (a table with one row per partition)."""
     s = L.enriched["seller_analytics"].select("seller_id", F.col("total_revenue").cast("double").alias("x"))
-    r = s.repartitionByRange(partitions, "x", "seller_id").withColumn("_p", F.spark_partition_id())
+    n = partitions or int(L.spark.conf.get("spark.sql.shuffle.partitions"))
+    r = s.repartitionByRange(n, "x", "seller_id").withColumn("_p", F.spark_partition_id())
     r = r.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("x", "seller_id")))
     sizes = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"), F.sum("x").alias("_s"))
     off = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_off"),

@@ -219,3 +219,14 @@ PAGE_JOBS.update({"y03_sales_kpis": y03_sales_kpis, "y03_aov_by_month": y03_aov_
                   "y05_category_table": y05_category_table, "y06_seller_kpis": y06_seller_kpis,
                   "y06_sellers_by_state": y06_sellers_by_state, "y07_review_kpis": y07_review_kpis,
                   "y07_monthly_reviews": y07_monthly_reviews})
+
+
+def y02_payment_counts(L: Layers, payment_types: tuple[str, ...] = ()) -> DataFrame:
+    """Y2: payment rows per type, optionally limited to the selected types."""
+    p = L.clean["order_payments"].where(F.col("payment_type").isNotNull())
+    if payment_types:
+        p = p.where(F.col("payment_type").isin(*payment_types))
+    return p.groupBy("payment_type").agg(F.count(F.lit(1)).alias("payments"))
+
+
+PAGE_JOBS["y02_payment_counts"] = y02_payment_counts
