@@ -38,11 +38,23 @@ class LazyTables(Mapping):
 class Layers:
     """raw → clean → star → enriched; every table a lazy DataFrame."""
 
+    _shared: dict[tuple, "Layers"] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str | None = None, raw: dict[str, DataFrame] | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self._raw = raw
 
+    @classmethod
+    def shared(cls, spark: SparkSession, sf_dir: str) -> "Layers":
+        """One set of lazy layer definitions per (session, application, input
+        directory).  Only DataFrame *definitions* are memoised — nothing is
+        cached or materialised — so every job still reads its inputs."""
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+        if key not in cls._shared:
+            cls._shared[key] = cls(spark, sf_dir)
+        return cls._shared[key]
+
     @cached_property
     def raw(self) -> Mapping[str, DataFrame]:
         if self._raw is not None:

@@ -39,7 +39,7 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
 
     def make(n):
-        return lambda spark, sf_dir: run(n, Layers(spark, sf_dir))
+        return lambda spark, sf_dir: run(n, Layers.shared(spark, sf_dir))
 
     return {n: make(n) for n in _JOBS}
 
