@@ -56,7 +56,7 @@ def x11_delivery_gap(L: Layers, min_orders: int = 100) -> DataFrame:
     return s.agg(F.min(F.struct("_d", "state")).alias("_f"), F.max(F.struct("_d", F.col("state"))).alias("_s")).select(
         F.col("_f.state").alias("fastest_state"), rnd("_f._d").alias("fastest_days"),
         F.col("_s.state").alias("slowest_state"), rnd("_s._d").alias("slowest_days"),
-        rnd(F.col("_s._d") - F.col("_f._d")).alias("gap_days"))
+        rnd(F.col("_s._d") - F.col("_f._d")).alias("gap_days")).where(F.col("fastest_state").isNotNull())
 
 
 def x12_late_rate_by_state(L: Layers, limit: int = 15) -> DataFrame:
