@@ -155,3 +155,4 @@ SELECT orders, customers, {r(pct('customers', '(SELECT sum(customers) FROM fc)')
   (SELECT {r('median(CAST(total_revenue AS DOUBLE))')} FROM sc) AS median_revenue
 FROM sc WHERE avg_review_score IS NOT NULL AND total_revenue > 0""",
 }
+

@@ -112,3 +112,7 @@ from souklens.plans import insights  # noqa: E402
 
 for _name, _job in insights.INSIGHT_JOBS.items():
     register(_name, _job, None, INSIGHTS_SQL.get(_name))
+
+from souklens.oracle.cleanlog import CLEANLOG_SQL  # noqa: E402
+
+_SQL.update(CLEANLOG_SQL)
