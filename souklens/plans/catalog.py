@@ -116,3 +116,7 @@ for _name, _job in insights.INSIGHT_JOBS.items():
 from souklens.oracle.cleanlog import CLEANLOG_SQL  # noqa: E402
 
 _SQL.update(CLEANLOG_SQL)
+
+from souklens.oracle.opportunities import OPP_SQL  # noqa: E402
+
+_SQL.update(OPP_SQL)

@@ -105,7 +105,9 @@ OPP_COLS = ["title", "description", "metric_value", "category", "priority"]
 
 
 def _fmt0(c) -> F.Column:
-    return F.format_number(F.col(c).cast("double"), 0)
+    """Thousands-separated whole number, rounded half-up first so the text
+    does not depend on an engine's tie-breaking."""
+    return F.format_number(rnd(F.col(c) if isinstance(c, str) else c, 0), 0)
 
 
 def _opp(df: DataFrame, title, description, metric, category: str, priority: str) -> DataFrame:
@@ -129,8 +131,8 @@ def opportunities(L: Layers) -> DataFrame:
           .orderBy(F.desc("revenue"), "product_category_name_english").limit(3))
     o1 = _opp(o1, F.format_string("Improve Quality in '%s'", "product_category_name_english"),
               F.format_string("Revenue R$%s at %.2f/5.0 stars, %.2f below the platform average.",
-                              _fmt0("revenue"), "avg_score", F.col("_avg_score") - F.col("avg_score")),
-              F.format_string("Revenue: R$%s | Score: %.2f", _fmt0("revenue"), "avg_score"),
+                              _fmt0("revenue"), rnd("avg_score"), rnd(F.col("_avg_score") - F.col("avg_score"))),
+              F.format_string("Revenue: R$%s | Score: %.2f", _fmt0("revenue"), rnd("avg_score")),
               "Customer Satisfaction", "High")
     # O2: states with >= 100 delivered orders and no seller
     cs = o.where(F.col("customer_state").isNotNull()).groupBy(F.col("customer_state").alias("state")).agg(
@@ -151,8 +153,8 @@ def opportunities(L: Layers) -> DataFrame:
           .orderBy(F.desc("n_items"), "product_category_name_english").limit(2))
     o3 = _opp(o3, F.format_string("Bundle Strategy for '%s'", "product_category_name_english"),
               F.format_string("%s items at an average price of R$%.2f against R$%.2f overall.",
-                              _fmt0("n_items"), "avg_price", "_avg_price"),
-              F.format_string("Items: %s | Avg Price: R$%.2f", _fmt0("n_items"), "avg_price"), "Revenue Growth", "Medium")
+                              _fmt0("n_items"), rnd("avg_price"), rnd("_avg_price")),
+              F.format_string("Items: %s | Avg Price: R$%.2f", _fmt0("n_items"), rnd("avg_price")), "Revenue Growth", "Medium")
     # States with >= 200 orders of known punctuality and late rate above 15 %
     hd = o.where(F.col("is_delayed").isNotNull() & F.col("customer_state").isNotNull())
     sl = (hd.groupBy("customer_state").agg(share_if(F.col("is_delayed") == 1).alias("late_rate"),
@@ -160,8 +162,8 @@ def opportunities(L: Layers) -> DataFrame:
           .where((F.col("n_orders") >= 200) & (F.col("late_rate") > 15))
           .orderBy(F.desc("late_rate"), "customer_state").limit(3))
     o4 = _opp(sl, F.format_string("Fix Delivery Reliability in %s", "customer_state"),
-              F.format_string("%s has a late delivery rate of %.1f%%.", "customer_state", "late_rate"),
-              F.format_string("Late Rate: %.1f%% | Avg delay: %.1fd", "late_rate", "avg_delay"), "Logistics", "High")
+              F.format_string("%s has a late delivery rate of %.1f%%.", "customer_state", rnd("late_rate", 1)),
+              F.format_string("Late Rate: %.1f%% | Avg delay: %.1fd", rnd("late_rate", 1), rnd("avg_delay", 1)), "Logistics", "High")
     # Sellers above 10,000 revenue with a score below 3.5 (a row only if any)
     sa = L.enriched["seller_analytics"].where((F.col("total_revenue") > 10000) & (F.col("avg_review_score") < 3.5))
     s5 = sa.agg(F.count(F.lit(1)).alias("n"), F.sum("total_revenue").alias("at_risk")).where(F.col("n") > 0)
@@ -174,8 +176,8 @@ def opportunities(L: Layers) -> DataFrame:
     rr = per.agg(share_if(F.col("n") > 1).alias("rate")).crossJoin(o.agg(mean("total_order_revenue").alias("_aov")))
     o6 = _opp(rr, F.lit("Retention Programme — 97% of Customers Are One-Time Buyers"),
               F.format_string("Only %.1f%% of customers placed a second order; doubling it adds about R$%s.",
-                              "rate", F.format_number(F.col("_aov") * 2000, 0)),
-              F.format_string("Current repeat rate: %.1f%%", "rate"), "Customer Retention", "Critical")
+                              rnd("rate", 1), _fmt0(F.col("_aov") * 2000)),
+              F.format_string("Current repeat rate: %.1f%%", rnd("rate", 1)), "Customer Retention", "Critical")
     allo = reduce(DataFrame.unionByName, [o1, o2, o3, o4, o5, o6])
     rank = F.array_position(F.array(*[F.lit(p) for p in PRIORITY_ORDER]), F.col("priority"))
     return allo.withColumn("priority_rank", rank.cast("int"))
