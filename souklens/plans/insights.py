@@ -150,7 +150,8 @@ def n03_executive_insights(L: Layers) -> DataFrame:
             F.format_string("%s earns R$ %s against a category mean of R$ %s.", F.col("top_category"),
                             _m("top_category_revenue"), _m("mean_category_revenue"))),
         row(4, "Delivery gap", F.concat_ws(" / ", "fastest_state", "slowest_state"),
-            F.format_string("Fastest state %s, slowest state %s.", "fastest_state", "slowest_state")),
+            F.format_string("Fastest state %s, slowest state %s.", F.coalesce("fastest_state", F.lit("n/a")),
+                            F.coalesce("slowest_state", F.lit("n/a")))),
         row(5, "One-time buyers", F.format_string("%.2f%%", "one_time_revenue_share"),
             F.format_string("One-time buyers bring %.2f%% of delivered revenue.", "one_time_revenue_share")),
     ]
