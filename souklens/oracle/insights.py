@@ -163,3 +163,18 @@ def _n2() -> str:
 INSIGHTS_SQL["a25_eda_insights"] = _a25()
 INSIGHTS_SQL["n03_executive_insights"] = _n3()
 INSIGHTS_SQL["n02_report_lines"] = _n2()
+
+
+def _v13() -> str:
+    from souklens.oracle.growth import GROWTH_SQL, MONTHLY
+    from souklens.oracle.segments import COHORT_CTES, SEG_SQL, SELLER_CTES
+    return ("SELECT (SELECT count(*) FROM (" + SEG_SQL["r11_rfm_table"] + ") a) AS rfm_rows,\n"
+            "(SELECT count(DISTINCT cohort_ym) FROM (" + COHORT_CTES + "SELECT * FROM clong) b) AS cohorts,\n"
+            "(SELECT max(period_number) + 1 FROM (" + COHORT_CTES + "SELECT * FROM clong) c) AS periods,\n"
+            "(SELECT count(*) FROM (" + SELLER_CTES + "SELECT * FROM sc) d) AS scorecard_rows,\n"
+            "(SELECT count(*) FROM (" + MONTHLY + "SELECT * FROM gr) e) AS growth_months,\n"
+            "(SELECT peak_month FROM (" + GROWTH_SQL["w13_growth_headline"] + ") f) AS peak_month,\n"
+            "(SELECT repeat_rate_pct FROM (" + SEG_SQL["h6_h7_repeat_summary"] + ") g) AS repeat_rate_pct")
+
+
+INSIGHTS_SQL["v13_engine_smoke"] = _v13()

@@ -120,3 +120,4 @@ _SQL.update(CLEANLOG_SQL)
 from souklens.oracle.opportunities import OPP_SQL  # noqa: E402
 
 _SQL.update(OPP_SQL)
+_SQL["v13_engine_smoke"] = INSIGHTS_SQL["v13_engine_smoke"]
