@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souklens.functions.stats import asc, desc_ts, first_by
+from souklens.sources.inline import local_table
 
 # Bounding box of valid coordinates (inclusive).
 LAT_MIN, LAT_MAX = -35.0, 5.5
@@ -118,7 +119,7 @@ def clean_sellers(df: DataFrame) -> DataFrame:
 def clean_category_translation(df: DataFrame) -> DataFrame:
     """Append the three fixed rows."""
     spark = df.sparkSession
-    extra = spark.createDataFrame(EXTRA_TRANSLATIONS, "product_category_name string, product_category_name_english string")
+    extra = local_table(spark, EXTRA_TRANSLATIONS, "product_category_name string, product_category_name_english string")
     return df.unionByName(extra)
 
 
@@ -153,7 +154,7 @@ def _log_rows(spark: SparkSession, table: str, counts: DataFrame, items: list[tu
     gives (key, issue, action, reason).  Unpivoted into log rows."""
     stack = ", ".join(f"'{k}', cast(`{k}` as bigint)" for k, _, _, _ in items)
     long = counts.selectExpr(f"stack({len(items)}, {stack}) as (k, rows_affected)")
-    meta = spark.createDataFrame([(k, i, a, r) for k, i, a, r in items], "k string, issue string, action string, reason string")
+    meta = local_table(spark, [(k, i, a, r) for k, i, a, r in items], "k string, issue string, action string, reason string")
     return (long.join(meta, "k").select(F.lit(table).alias("table"), "issue", "rows_affected", "action", "reason"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from souklens.plans import eda, kpi
 from souklens.plans.context import Layers
 from souklens.plans.pages import y10_executive_figures
+from souklens.sources.inline import local_table
 
 
 def _i(c: str) -> Column:
@@ -126,9 +127,9 @@ def n02_report_lines(L: Layers) -> DataFrame:
     states = kpi.k4_state_performance(w).select(
         F.lit(4).alias("section"), F.format_string("| %s | %s | R$ %s |", "customer_state", _i("orders"), _m("revenue")).alias("line"),
         F.col("customer_state").alias("key"))
-    titles = L.spark.createDataFrame([(0, "# Business performance report", ""), (1, "## Key figures", " "),
-                                      (2, "## Monthly performance", " "), (3, "## Categories", " "), (4, "## States", " ")],
-                                     "section int, line string, key string")
+    titles = local_table(L.spark, [(0, "# Business performance report", ""), (1, "## Key figures", " "),
+                                   (2, "## Monthly performance", " "), (3, "## Categories", " "), (4, "## States", " ")],
+                         "section int, line string, key string")
     body = reduce(DataFrame.unionByName, [titles, head, months, cats, states])
     return body.select("section", "key", "line")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from souklens.functions.numeric import brl, mean, mean_days, money, pct, rnd, share_if
 from souklens.operators.filters import FilterSpec, apply_filters, filter_options, kept_share
 from souklens.plans.context import Layers
+from souklens.sources.inline import local_table
 
 # The 27 state codes of the reference's market (pass as
 # ``universe`` to y09_state_coverage to reproduce its fixed list).
@@ -96,7 +97,7 @@ def y09_state_coverage(L: Layers, universe: tuple[str, ...] | None = None) -> Da
     ss = L.enriched["seller_analytics"].where(F.col("seller_state").isNotNull()).select(
         F.col("seller_state").alias("state")).distinct().withColumn("has_sellers", F.lit(True))
     if universe:
-        u = spark.createDataFrame([(s,) for s in universe], "state string")
+        u = local_table(spark, [(s,) for s in universe], "state string")
     else:
         u = cs.select("state").unionByName(ss.select("state")).distinct()
     x = u.join(cs, "state", "left").join(ss, "state", "left").select(

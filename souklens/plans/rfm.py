@@ -10,6 +10,7 @@ from souklens.functions.lineage import cut_lineage
 from souklens.functions.numeric import mean, money, pct, rnd
 from souklens.functions.stats import asc, first_by
 from souklens.plans.context import Layers
+from souklens.sources.inline import local_table
 
 # Fixed values: (R, F) score pair → segment; pairs not listed → Hibernating.
 SEGMENT_MAP = {
@@ -29,7 +30,7 @@ DEFAULT_SEGMENT = "Hibernating"
 
 def segment_table(spark) -> DataFrame:
     """The 25-row lookup (a fixed, provably tiny broadcast side)."""
-    return spark.createDataFrame([(r, f, s) for (r, f), s in SEGMENT_MAP.items()], "R int, F int, segment string")
+    return local_table(spark, [(r, f, s) for (r, f), s in SEGMENT_MAP.items()], "R int, F int, segment string")
 
 
 def compute_rfm(L: Layers) -> DataFrame:
