@@ -121,3 +121,9 @@ from souklens.oracle.opportunities import OPP_SQL  # noqa: E402
 
 _SQL.update(OPP_SQL)
 _SQL["v13_engine_smoke"] = INSIGHTS_SQL["v13_engine_smoke"]
+
+from souklens.oracle.sqlsuite import SCRIPT_SQL  # noqa: E402
+from souklens.plans import script  # noqa: E402
+
+for _name, _job in script.SCRIPT_JOBS.items():
+    register(_name, _job, None, SCRIPT_SQL.get(_name))
