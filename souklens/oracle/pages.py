@@ -29,6 +29,14 @@ SELECT oa.*, (SELECT {m('coalesce(sum(item_revenue), 0)')} FROM e_items WHERE {D
   (SELECT count(*) FROM e_sell) AS total_sellers FROM oa""",
     "f23_filter_share": W + FO + f"""x AS (SELECT (SELECT count(*) FROM fo) AS kept_orders, (SELECT count(*) FROM e_oe) AS total_orders)
 SELECT kept_orders, total_orders, {r('kept_orders * 100.0 / NULLIF(total_orders, 0)', 1)} AS kept_pct FROM x""",
+    "f21_order_filter": W + """x AS (SELECT order_status, count(*) AS orders, min(order_purchase_timestamp) AS first_purchase,
+  max(order_purchase_timestamp) AS last_purchase FROM e_oe
+  WHERE order_purchase_timestamp >= TIMESTAMP '1995-01-01 00:00:00' AND order_purchase_timestamp <= TIMESTAMP '1995-12-31 00:00:00'
+    AND order_status IN ('delivered', 'shipped') GROUP BY 1) SELECT * FROM x""",
+    "f22_item_filter": W + f"""x AS (SELECT order_status, count(*) AS items, count(DISTINCT order_id) AS orders, {m('sum(item_revenue)')} AS revenue
+  FROM e_items
+  WHERE order_purchase_timestamp >= TIMESTAMP '1995-01-01 00:00:00' AND order_purchase_timestamp <= TIMESTAMP '1995-12-31 00:00:00'
+    AND order_status IN ('delivered', 'shipped') GROUP BY 1) SELECT * FROM x""",
     "f24_filter_options": W + """x AS (
   SELECT DISTINCT 'customer_state' AS option, customer_state AS value FROM e_oe WHERE customer_state IS NOT NULL
   UNION ALL SELECT DISTINCT 'seller_state', seller_state FROM e_sell WHERE seller_state IS NOT NULL

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souklens.functions.numeric import brl, mean, mean_days, money, pct, rnd, share_if
-from souklens.operators.filters import FilterSpec, apply_filters, filter_options, kept_share
+from souklens.operators.filters import (FilterSpec, apply_filters, apply_item_filters, apply_order_filters,
+                                        filter_options, kept_share)
 from souklens.plans.context import Layers
 from souklens.sources.inline import local_table
 
@@ -16,6 +19,9 @@ REFERENCE_STATES = ("AC", "AL", "AP", "AM", "BA", "CE", "DF", "ES", "GO", "MA",
                     "PI", "RJ", "RN", "RS", "RO", "RR", "SC", "SP", "SE", "TO")
 # Registered example filter: delivered and shipped orders only.
 EXAMPLE_FILTER = FilterSpec(order_statuses=("delivered", "shipped"))
+# Registered example for the helper filters F21/F22: purchases from the
+# first to the last day of 1995 (the end bound is that day's midnight).
+EXAMPLE_DATES = (dt.date(1995, 1, 1), dt.date(1995, 12, 31))
 
 
 def DELIVERED():
@@ -50,6 +56,23 @@ def f23_filter_share(L: Layers, spec: FilterSpec = EXAMPLE_FILTER) -> DataFrame:
     return kept_share(L.enriched["orders_enriched"], _bundle(L, spec)["orders"])
 
 
+def f21_order_filter(L: Layers, date_range=EXAMPLE_DATES, statuses=EXAMPLE_FILTER.order_statuses) -> DataFrame:
+    """F21 on the whole orders table: kept orders per status and the purchase
+    span they cover (the last kept purchase is at most the end day's midnight)."""
+    o = apply_order_filters(L.enriched["orders_enriched"], date_range, None, statuses, ("voucher",))
+    return o.groupBy("order_status").agg(F.count(F.lit(1)).alias("orders"),
+                                         F.min("order_purchase_timestamp").alias("first_purchase"),
+                                         F.max("order_purchase_timestamp").alias("last_purchase"))
+
+
+def f22_item_filter(L: Layers, date_range=EXAMPLE_DATES, statuses=EXAMPLE_FILTER.order_statuses) -> DataFrame:
+    """F22 on the whole item table: kept items, orders and revenue per status."""
+    it = apply_item_filters(L.enriched["order_items_enriched"], date_range, None, None, None, statuses)
+    per_order = it.groupBy("order_status", "order_id").agg(F.count(F.lit(1)).alias("n"), F.sum("item_revenue").alias("rev"))
+    return per_order.groupBy("order_status").agg(F.sum("n").alias("items"), F.count(F.lit(1)).alias("orders"),
+                                                 money(F.sum("rev")).alias("revenue"))
+
+
 def f24_filter_options(L: Layers) -> DataFrame:
     return filter_options(L.enriched["orders_enriched"], L.enriched["order_items_enriched"],
                           L.enriched["seller_analytics"], L.clean["order_payments"])
@@ -134,7 +157,8 @@ def y10_executive_figures(L: Layers) -> DataFrame:
     return lead.crossJoin(sc).crossJoin(tc).crossJoin(fs).crossJoin(nc)
 
 
-PAGE_JOBS = {"y01_filtered_kpis": y01_filtered_kpis, "f23_filter_share": f23_filter_share,
+PAGE_JOBS = {"y01_filtered_kpis": y01_filtered_kpis, "f21_order_filter": f21_order_filter,
+             "f22_item_filter": f22_item_filter, "f23_filter_share": f23_filter_share,
              "f24_filter_options": f24_filter_options, "y02_status_counts": y02_status_counts,
              "y02_top5_category_share": y02_top5_category_share, "y08_state_summary": y08_state_summary,
              "y09_state_coverage": y09_state_coverage, "y10_executive_figures": y10_executive_figures}
