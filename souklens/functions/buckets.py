@@ -100,21 +100,36 @@ def with_quintile(df: DataFrame, value: str, out: str, reverse: bool = False) ->
     return with_quintiles(df, [(value, out, reverse)])
 
 
-def with_quintiles(df: DataFrame, specs: Sequence[tuple[str, str, bool]], accuracy: int | None = None) -> DataFrame:
+def with_quintiles(df: DataFrame, specs: Sequence[tuple[str, str, bool]], accuracy: int | None = None,
+                   distributed: Sequence[str] = ()) -> DataFrame:
     """Add one quintile column per (value, out, reverse) spec.  The edges of
-    all specs are one one-row aggregate, cross-joined back once.
+    all specs are one-row aggregates, cross-joined back once.
+
+    Exact edges (default) match the reference's interpolated quantiles.  The
+    inline exact aggregate gathers the distinct values of a column in one
+    task, so it suits bounded domains (days, counts); value columns listed in
+    ``distributed`` (per-entity amounts whose distinct count grows with the
+    data) get the same exact edges from ``exact_quantiles`` instead.  For an
+    approximate answer with bounded memory pass ``accuracy``
+    (``percentile_approx``, rank error about 1/accuracy)."""
+    from souklens.functions.quantiles import exact_quantiles
 
-    Exact edges (default) match the reference's interpolated quantiles; the
-    exact aggregate's buffer grows with the number of distinct values.  For
-    very wide domains pass ``accuracy`` to use ``percentile_approx`` (bounded
-    memory, rank error about 1/accuracy)."""
     probs = F.array(*[F.lit(p) for p in QUINTILE_PROBS])
     aggs = []
+    edges = []
     for i, (value, _, _) in enumerate(specs):
         v = F.col(value).cast("double")
+        if value in distributed and accuracy is None:
+            edges.append(exact_quantiles(df, value, QUINTILE_PROBS).select(
+                F.col("_q").alias(f"_q{i}"), F.col("_q")[0].alias(f"_mn{i}"), F.col("_q")[5].alias(f"_mx{i}")))
+            continue
         q = F.percentile(v, probs) if accuracy is None else F.percentile_approx(v, probs, accuracy)
         aggs += [q.alias(f"_q{i}"), F.min(v).alias(f"_mn{i}"), F.max(v).alias(f"_mx{i}")]
-    out = df.crossJoin(df.agg(*aggs))
+    if aggs:
+        edges.append(df.agg(*aggs))
+    out = df
+    for e in edges:
+        out = out.crossJoin(e)
     for i, (value, name, reverse) in enumerate(specs):
         b = _bin(value, f"_q{i}", f"_mn{i}", f"_mx{i}")
         out = out.withColumn(name, (F.lit(6) - b) if reverse else b)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from souklens.functions.buckets import histogram
 from souklens.functions.numeric import mean, money, pct, rnd
+from souklens.functions.quantiles import exact_quantiles
 from souklens.plans.context import Layers
 
 def DELIVERED():
@@ -105,9 +106,10 @@ def h8_frequency_distribution(L: Layers) -> DataFrame:
 def h9_clv_distribution(L: Layers, bins: int = 60, upper_q: float = 0.99) -> DataFrame:
     """CLV values up to the 99th percentile: mean, median and a histogram."""
     p = _per_person(L).withColumn("clv", F.col("clv").cast("double"))
-    cut = p.agg(F.percentile("clv", upper_q).alias("_p99"))
-    kept = p.crossJoin(cut).where(F.col("clv") <= F.col("_p99"))
-    stats = p.agg(rnd(mean("clv")).alias("mean_clv"), rnd(F.median("clv")).alias("median_clv"))
+    # one value per person: exact quantiles without gathering them in one task
+    q = exact_quantiles(p, "clv", [upper_q, 0.5])
+    kept = p.crossJoin(q.select(F.col("_q")[0].alias("_p99"))).where(F.col("clv") <= F.col("_p99"))
+    stats = p.agg(rnd(mean("clv")).alias("mean_clv")).crossJoin(q.select(rnd(F.col("_q")[1]).alias("median_clv")))
     return histogram(kept, "clv", bins, "clv").crossJoin(stats)
 
 

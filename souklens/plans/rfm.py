@@ -50,8 +50,10 @@ def compute_rfm(L: Layers) -> DataFrame:
            .withColumn("recency_days",
                        F.floor(F.timestamp_diff("SECOND", F.col("last_order_date"), F.col("_snap")) / 86400).cast("int"))
            .drop("_snap").join(place, "customer_unique_id", "left"))
+    # recency (days) and frequency (order counts) have calendar/count-bounded
+    # domains; a person's spend does not, so its edges stay distributed
     rfm = with_quintiles(cut_lineage(rfm), [("recency_days", "R", True), ("frequency", "F", False),
-                                            ("monetary", "M", False)])
+                                            ("monetary", "M", False)], distributed=("monetary",))
     rfm = rfm.withColumn("rfm_score", F.concat(F.col("R").cast("string"), F.col("F").cast("string"),
                                                F.col("M").cast("string")))
     seg = F.broadcast(segment_table(L.spark))
