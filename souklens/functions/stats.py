@@ -34,6 +34,14 @@ def desc_num(c) -> list[Column]:
     return [x.isNull(), -x]
 
 
+def first_of(order: Sequence[Column], cols: Sequence[str], name: str = "_best") -> Column:
+    """Aggregate: a struct holding ``cols`` of the row that sorts first under
+    ``order`` (see ``first_by``); combine it with a key's other aggregates so
+    one pass gives both.  Read the values back with ``col(f"{name}.{c}")``."""
+    parts = [c.alias(f"_k{i}") for i, c in enumerate(order)] + [F.col(c).alias(c) for c in cols]
+    return F.min(F.struct(*parts)).alias(name)
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Sequence[str]) -> DataFrame:
     """One row per ``keys``: the values of ``cols`` from the row that sorts
     first under ``order`` (a list of ascending sort-key parts; include a

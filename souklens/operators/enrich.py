@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from souklens.functions.dates import day_name, year_month, year_quarter
 from souklens.functions.numeric import SECONDS_PER_HOUR, days_from_seconds, mean, seconds_between
-from souklens.functions.stats import asc, first_by, mode_by_count, sorted_set_join
+from souklens.functions.stats import asc, first_of, mode_by_count, sorted_set_join
 
 def DELIVERED():
     return F.col("order_status") == "delivered"
@@ -89,10 +89,10 @@ def customer_analytics(customers: DataFrame, orders: DataFrame, items: DataFrame
         F.max("order_purchase_timestamp").alias("last_order_date"),
         F.coalesce(F.sum("order_payment_value"), F.lit(0).cast("decimal(28,2)")).alias("total_spend_payment"),
         F.coalesce(F.sum("items_count"), F.lit(0).cast("bigint")).alias("total_items_bought"),
-        mean("review_score").alias("avg_review_score"))
-    place = first_by(oc, ["customer_unique_id"], asc("order_purchase_timestamp") + asc("order_id"),
-                     ["customer_state", "customer_city"])
-    return (agg.join(place, "customer_unique_id", "left")
+        mean("review_score").alias("avg_review_score"),
+        first_of(asc("order_purchase_timestamp") + asc("order_id"), ["customer_state", "customer_city"]))
+    return (agg.withColumns({"customer_state": F.col("_best.customer_state"), "customer_city": F.col("_best.customer_city")})
+            .drop("_best")
             .withColumns({"is_repeat_buyer": F.col("total_orders") >= 2,
                           "avg_order_value": F.col("total_spend_payment").cast("double") / F.col("total_orders")}))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from souklens.functions.buckets import with_quintiles
 from souklens.functions.lineage import cut_lineage
 from souklens.functions.numeric import mean, money, pct, rnd
-from souklens.functions.stats import asc, first_by
+from souklens.functions.stats import asc, first_of
 from souklens.plans.context import Layers
 from souklens.sources.inline import local_table
 
@@ -43,13 +43,15 @@ def compute_rfm(L: Layers) -> DataFrame:
         F.max("order_purchase_timestamp").alias("last_order_date"),
         F.min("order_purchase_timestamp").alias("first_order_date"),
         F.count("order_id").alias("frequency"),
-        F.sum("total_order_revenue").alias("monetary"))
-    place = first_by(o, ["customer_unique_id"], asc("order_purchase_timestamp") + asc("order_id"),
-                     ["customer_state", "customer_city"])
+        F.sum("total_order_revenue").alias("monetary"),
+        # the place of the person's first order, in the same pass
+        first_of(asc("order_purchase_timestamp") + asc("order_id"), ["customer_state", "customer_city"]))
     rfm = (per.crossJoin(snap)
-           .withColumn("recency_days",
-                       F.floor(F.timestamp_diff("SECOND", F.col("last_order_date"), F.col("_snap")) / 86400).cast("int"))
-           .drop("_snap").join(place, "customer_unique_id", "left"))
+           .withColumns({"recency_days": F.floor(F.timestamp_diff("SECOND", F.col("last_order_date"),
+                                                                  F.col("_snap")) / 86400).cast("int"),
+                         "customer_state": F.col("_best.customer_state"),
+                         "customer_city": F.col("_best.customer_city")})
+           .drop("_snap", "_best"))
     # recency (days) and frequency (order counts) have calendar/count-bounded
     # domains; a person's spend does not, so its edges stay distributed
     rfm = with_quintiles(cut_lineage(rfm), [("recency_days", "R", True), ("frequency", "F", False),
