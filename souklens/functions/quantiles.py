@@ -32,30 +32,43 @@ def _buckets(df: DataFrame, buckets: int | None) -> int:
     return buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def running_total(df: DataFrame, order: str, weight: str, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """``df`` (``order`` unique per row) with ``_cum`` = sum of ``weight`` over
-    all rows with ``order`` ≤ this row's, and a one-row ``_n`` = total weight."""
+def running_total(df: DataFrame, order: str, weight: str, buckets: int | None = None,
+                  keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """``df`` (``order`` unique per row within ``keys``) with ``_cum`` = sum of
+    ``weight`` over the rows of the same ``keys`` with ``order`` ≤ this row's,
+    and the totals ``_n`` (one row per key; one row overall without keys).
+
+    Each key's values are cut at its own approximate quantile edges, so a key
+    holding a third of all values is still spread over ``buckets`` ranges."""
+    keys = list(keys)
     k = _buckets(df, buckets)
     probs = [i / k for i in range(1, k)]
-    edges = df.agg(F.percentile_approx(F.col(order), probs, 10000).alias("_e"))
-    b = df.crossJoin(F.broadcast(edges)).withColumn(
-        "_p", F.size(F.filter(F.col("_e"), lambda e: e < F.col(order)))).drop("_e")
-    local = F.sum(weight).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    sizes = b.groupBy("_p").agg(F.sum(weight).alias("_ps"))  # at most ``k`` rows
-    off = sizes.select("_p", (F.sum("_ps").over(Window.orderBy("_p")) - F.col("_ps")).alias("_off"))
-    cum = (b.withColumn("_lc", local).join(F.broadcast(off), "_p")
+    e = F.percentile_approx(F.col(order), probs, 10000).alias("_e")
+    if keys:
+        b = df.join(df.groupBy(*keys).agg(e), keys)
+    else:
+        b = df.crossJoin(F.broadcast(df.agg(e)))
+    b = b.withColumn("_p", F.size(F.filter(F.col("_e"), lambda x: x < F.col(order)))).drop("_e")
+    local = F.sum(weight).over(Window.partitionBy(*keys, "_p").orderBy(order)
+                               .rowsBetween(Window.unboundedPreceding, 0))
+    sizes = b.groupBy(*keys, "_p").agg(F.sum(weight).alias("_ps"))  # at most ``buckets`` rows per key
+    off = sizes.select(*keys, "_p", (F.sum("_ps").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_ps")).alias("_off"))
+    off = off if keys else F.broadcast(off)
+    cum = (b.withColumn("_lc", local).join(off, [*keys, "_p"])
            .withColumn("_cum", F.col("_off") + F.col("_lc")).drop("_p", "_lc", "_off"))
-    return cum, sizes.agg(F.sum("_ps").alias("_n"))
+    return cum, sizes.groupBy(*keys).agg(F.sum("_ps").alias("_n"))
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], buckets: int | None = None) -> DataFrame:
-    """One row: ``_q`` = array of the exact ``probs`` quantiles of ``value``
-    (NULLs ignored; NULL when there is no value), equal to
-    ``percentile(value, array(probs))``."""
-    counts = (df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v"))
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], buckets: int | None = None,
+                    keys: Sequence[str] = ()) -> DataFrame:
+    """``_q`` = array of the exact ``probs`` quantiles of ``value`` (NULLs
+    ignored; NULL when there is no value), equal to ``percentile(value,
+    array(probs))``: one row, or one row per ``keys`` with a value."""
+    keys = list(keys)
+    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v"))
               .agg(F.count(F.lit(1)).alias("_c")))
-    cum, total = running_total(counts, "_v", "_c", buckets)
-    x = cum.crossJoin(F.broadcast(total))
+    cum, total = running_total(counts, "_v", "_c", buckets, keys)
+    x = cum.join(total, keys) if keys else cum.crossJoin(F.broadcast(total))
     first = F.col("_cum") - F.col("_c")  # 0-based rank of the value's first copy
 
     def at(rank):
@@ -65,7 +78,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], buckets:
     for i, p in enumerate(probs):
         pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
         aggs += [at(F.floor(pos)).alias(f"_lo{i}"), at(F.ceil(pos)).alias(f"_hi{i}")]
-    one = x.agg(*aggs)
+    one = x.groupBy(*keys).agg(*aggs)
     qs = []
     for i, p in enumerate(probs):
         pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
@@ -73,4 +86,4 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], buckets:
         vlo, vhi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         qs.append(F.when((hi == lo) | (vhi == vlo), vlo)
                   .otherwise((hi.cast("double") - pos) * vlo + (pos - lo.cast("double")) * vhi))
-    return one.select(F.when(F.col("_n") > 0, F.array(*qs)).alias("_q"))
+    return one.select(*keys, F.when(F.col("_n") > 0, F.array(*qs)).alias("_q"))

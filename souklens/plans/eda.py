@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from souklens.functions.buckets import fixed_bucket, histogram
 from souklens.functions.numeric import mean, mean_days, money, pct, ratio, rnd, share_if
+from souklens.functions.quantiles import exact_quantiles
 from souklens.plans.context import Layers
 
 def DELIVERED():
@@ -222,13 +223,16 @@ def a14_logistics(L: Layers) -> DataFrame:
     d = _del_orders_with_days(L)
     late = F.col("is_delayed") == 1
     o = d.agg(rnd(mean_days("delivery_seconds")).alias("avg_delivery_days"),
-              rnd(F.median("delivery_seconds") / 86400.0).alias("median_delivery_days"),
-              rnd(F.percentile("delivery_seconds", 0.9) / 86400.0).alias("p90_delivery_days"),
               rnd(share_if(late)).alias("late_rate_pct"),
               rnd(mean_days(F.when(late, F.col("delay_seconds")))).alias("avg_delay_when_late"))
+    # order-grain durations in seconds: quantiles stay distributed
+    q = exact_quantiles(d, "delivery_seconds", [0.5, 0.9]).select(
+        rnd(F.col("_q")[0] / 86400.0).alias("median_delivery_days"), rnd(F.col("_q")[1] / 86400.0).alias("p90_delivery_days"))
+    # freight is in cents of a bounded price list: the inline exact median is fine
     i = _del_items(L).agg(rnd(mean("freight_value")).alias("avg_freight_per_item"),
                           rnd(F.median(F.col("freight_value").cast("double"))).alias("median_freight"))
-    return o.crossJoin(i)
+    return o.crossJoin(q).crossJoin(i).select("avg_delivery_days", "median_delivery_days", "p90_delivery_days", "late_rate_pct",
+                                              "avg_delay_when_late", "avg_freight_per_item", "median_freight")
 
 
 def a15_delivery_by_state(L: Layers, min_orders: int = 200) -> DataFrame:
@@ -241,8 +245,10 @@ def a15_delivery_by_state(L: Layers, min_orders: int = 200) -> DataFrame:
 def a16_freight_pct_by_category(L: Layers, limit: int = 12) -> DataFrame:
     i = _del_items(L).where(F.col("product_category_name_english").isNotNull()).withColumn(
         "freight_pct", pct("freight_value", "price"))
-    c = i.groupBy(F.col("product_category_name_english").alias("category")).agg(
-        F.median("freight_pct").alias("_m")).where(F.col("_m").isNotNull())
+    # a continuous ratio per item: per-category exact medians that split hot categories
+    c = (exact_quantiles(i.withColumnRenamed("product_category_name_english", "category"), "freight_pct", [0.5],
+                         keys=["category"])
+         .select("category", F.col("_q")[0].alias("_m")).where(F.col("_m").isNotNull()))
     return c.orderBy(F.desc("_m"), "category").limit(limit).select("category", rnd("_m").alias("median_freight_pct"))
 
 

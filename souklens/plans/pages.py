@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souklens.functions.numeric import brl, mean, mean_days, money, pct, rnd, share_if
+from souklens.functions.quantiles import exact_quantiles
 from souklens.operators.filters import (FilterSpec, apply_filters, apply_item_filters, apply_order_filters,
                                         filter_options, kept_share)
 from souklens.plans.context import Layers
@@ -198,9 +199,9 @@ def y04_customer_kpis(L: Layers) -> DataFrame:
 def y05_product_kpis(L: Layers) -> DataFrame:
     """Categories sold, average price, median freight as % of price."""
     it = L.enriched["order_items_enriched"].where(DELIVERED())
+    med = exact_quantiles(it.withColumn("_fp", pct("freight_value", "price")), "_fp", [0.5])  # continuous ratio per item
     return it.agg(F.count_distinct("product_category_name_english").alias("total_categories"),
-                  rnd(mean("price")).alias("avg_price"),
-                  rnd(F.median(pct("freight_value", "price"))).alias("median_freight_pct"))
+                  rnd(mean("price")).alias("avg_price")).crossJoin(med.select(rnd(F.col("_q")[0]).alias("median_freight_pct")))
 
 
 def y05_category_table(L: Layers) -> DataFrame:

@@ -48,3 +48,15 @@ def test_distributed_quintiles_match_inline(spark):
     inline = [tuple(r) for r in with_quintiles(df, specs).orderBy("id").collect()]
     dist = [tuple(r) for r in with_quintiles(df, specs, distributed=("a", "b")).orderBy("id").collect()]
     assert inline == dist
+
+
+def test_grouped_quantiles_equal_percentile_per_key(spark):
+    rnd = random.Random(4)
+    # one hot key with most of the rows, a few small keys, a key with only NULLs
+    rows = [("hot", rnd.random() * 100) for _ in range(2000)] + [(f"k{i}", float(rnd.randint(0, 9)))
+                                                                 for i in range(5) for _ in range(i + 1)]
+    rows += [("nulls", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(p) for p in PROBS])).alias("q")).collect()}
+    got = {r.g: r._q for r in exact_quantiles(df, "v", PROBS, buckets=6, keys=["g"]).collect()}
+    assert {k: v for k, v in want.items() if v is not None} == got
