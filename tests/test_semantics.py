@@ -151,3 +151,19 @@ def test_run_script_keeps_going(spark):
 
     out = io.run_script(spark, "SELECT 1 AS a; SELECT * FROM missing_table_xyz; SELECT 1 WHERE false -- c\n;").collect()
     assert [(r.statement, r.status) for r in out] == [(1, "ok"), (2, "error"), (3, "empty")]
+
+
+def test_order_filter_end_bound_is_midnight_and_day_filter_is_inclusive(spark):
+    from souklens.operators.filters import FilterSpec, apply_order_filters, filter_orders_by_day
+
+    ts = [dt.datetime(2020, 1, 1, 0, 0), dt.datetime(2020, 1, 31, 0, 0), dt.datetime(2020, 1, 31, 10, 0),
+          dt.datetime(2020, 2, 1, 0, 0)]
+    o = spark.createDataFrame([(f"o{i}", t, "SP", "delivered") for i, t in enumerate(ts)],
+                              "order_id string, order_purchase_timestamp timestamp_ntz, customer_state string, order_status string")
+    window = (dt.date(2020, 1, 1), dt.date(2020, 1, 31))
+    # the end date's later orders fall outside; payment types are accepted and ignored
+    kept = apply_order_filters(o, window, None, ["delivered"], ["voucher"]).select("order_id").collect()
+    assert sorted(r.order_id for r in kept) == ["o0", "o1"]
+    # whole calendar days on both ends
+    kept = filter_orders_by_day(o, FilterSpec(date_range=window)).select("order_id").collect()
+    assert sorted(r.order_id for r in kept) == ["o0", "o1", "o2"]
