@@ -45,22 +45,21 @@ def seller_scorecard(L: Layers) -> DataFrame:
     d_items = L.enriched["order_items_enriched"].where(DELIVERED())
     pairs = d_items.select("order_id", "seller_id").distinct()
     d_orders = oe.where(DELIVERED() & F.col("delivery_seconds").isNotNull()).select("order_id", "delivery_seconds", "is_delayed")
-    # Unknown delivery counts in the late-rate denominator
-    deliv = pairs.join(d_orders, "order_id", "left").groupBy("seller_id").agg(
-        mean_days("delivery_seconds").alias("avg_delivery_days"),
-        share_if(F.col("is_delayed") == 1).alias("late_rate_pct"),
-        F.count_distinct("order_id").alias("n_delivered"))
-    # Reviews of the seller's delivered orders; unreviewed orders stay in the denominator
     rv = L.clean["order_reviews"].select("order_id", "review_score")
-    revs = pairs.join(rv, "order_id", "left").groupBy("seller_id").agg(
-        share_if(F.col("review_score") == 5).alias("pct_5star"),
-        share_if(F.col("review_score") == 1).alias("pct_1star"),
-        F.count("review_score").alias("n_reviews"))
-    # I4: distinct persons served (pre-distinct pairs, then count)
-    cust = (d_items.select("order_id", "seller_id").join(oe.select("order_id", "customer_unique_id"), "order_id", "left")
-            .where(F.col("customer_unique_id").isNotNull()).select("seller_id", "customer_unique_id").distinct()
-            .groupBy("seller_id").agg(F.count(F.lit(1)).alias("n_customers_served")))
-    sc = (sa.join(deliv, "seller_id", "left").join(revs, "seller_id", "left").join(cust, "seller_id", "left")
+    who = oe.select("order_id", "customer_unique_id")
+    # I2-I4 in one aggregate over the seller's distinct delivered orders; every
+    # right side has one row per order, so the left joins keep the pair grain.
+    # Unknown delivery and unreviewed orders stay in the share denominators.
+    per = (pairs.join(d_orders, "order_id", "left").join(rv, "order_id", "left").join(who, "order_id", "left")
+           .groupBy("seller_id").agg(
+               mean_days("delivery_seconds").alias("avg_delivery_days"),
+               share_if(F.col("is_delayed") == 1).alias("late_rate_pct"),
+               F.count("order_id").alias("n_delivered"),
+               share_if(F.col("review_score") == 5).alias("pct_5star"),
+               share_if(F.col("review_score") == 1).alias("pct_1star"),
+               F.count("review_score").alias("n_reviews"),
+               F.nullif(F.count_distinct("customer_unique_id"), F.lit(0)).alias("n_customers_served")))
+    sc = (sa.join(per, "seller_id", "left")
           .withColumn("seller_aov", ratio("total_revenue", "n_unique_orders")))
     sc = with_tiers(cut_lineage(sc))
     return sc.withColumn("performance_flag", performance_flag())
