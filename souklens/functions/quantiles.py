@@ -28,8 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Default number of value ranges: enough parallelism for the per-range sort,
+# while the range lookup (a comparison with each edge) stays cheap per row.
+MAX_BUCKETS = 256
+
+
 def _buckets(df: DataFrame, buckets: int | None) -> int:
-    return buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return buckets or min(MAX_BUCKETS, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def running_total(df: DataFrame, order: str, weight: str, buckets: int | None = None,
