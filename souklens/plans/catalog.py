@@ -127,3 +127,18 @@ from souklens.plans import script  # noqa: E402
 
 for _name, _job in script.SCRIPT_JOBS.items():
     register(_name, _job, None, SCRIPT_SQL.get(_name))
+
+# The cleaned tables themselves; D3/D4: the per-order summaries
+# folded into fact_orders.  The oracle reads the same cleaned/warehouse CTEs.
+from souklens.operators import star as _D  # noqa: E402
+
+_CLEAN_OUTPUTS = {"c01_customers": ("customers", "cl_customers"), "c02_geolocation": ("geolocation", "cl_geo"),
+                  "c04_orders": ("orders", "cl_orders"), "c05_order_items": ("order_items", "cl_items"),
+                  "c06_order_payments": ("order_payments", "cl_payments"), "c07_order_reviews": ("order_reviews", "cl_reviews"),
+                  "c08_products": ("products", "cl_products"), "c09_sellers": ("sellers", "cl_sellers"),
+                  "c10_category_translation": ("category_translation", "cl_translation")}
+for _name, (_table, _cte) in _CLEAN_OUTPUTS.items():
+    register(_name, lambda L, t=_table: L.clean[t], None, f"SELECT * FROM {_cte}")
+register("d03_payment_summary", lambda L: _D.payment_summary(L.clean["order_payments"]), None,
+         "SELECT p.*, t.primary_payment_type FROM o_pay p LEFT JOIN o_pay_type t ON p.order_id = t.order_id")
+register("d04_item_summary", lambda L: _D.item_summary(L.clean["order_items"]), None, "SELECT * FROM o_items")
