@@ -142,3 +142,5 @@ for _name, (_table, _cte) in _CLEAN_OUTPUTS.items():
 register("d03_payment_summary", lambda L: _D.payment_summary(L.clean["order_payments"]), None,
          "SELECT p.*, t.primary_payment_type FROM o_pay p LEFT JOIN o_pay_type t ON p.order_id = t.order_id")
 register("d04_item_summary", lambda L: _D.item_summary(L.clean["order_items"]), None, "SELECT * FROM o_items")
+register("d01_prepare_orders", lambda L: _D.prepare_orders(L.clean["orders"]), None,
+         "SELECT * FROM o_orders")
