@@ -37,15 +37,20 @@ def _buckets(df: DataFrame, buckets: int | None) -> int:
     return buckets or min(MAX_BUCKETS, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def running_total(df: DataFrame, order: str, weight: str, buckets: int | None = None,
+def running_total(df: DataFrame, order: str, weight: str | Sequence[str], buckets: int | None = None,
                   keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """``df`` (``order`` unique per row within ``keys``) with ``_cum`` = sum of
     ``weight`` over the rows of the same ``keys`` with ``order`` ≤ this row's,
     and the totals ``_n`` (one row per key; one row overall without keys).
+    For a list of weights the columns are ``_cum_<w>`` and ``_n_<w>``.
 
     Each key's values are cut at its own approximate quantile edges, so a key
     holding a third of all values is still spread over ``buckets`` ranges."""
     keys = list(keys)
+    single = isinstance(weight, str)
+    weights = [weight] if single else list(weight)
+    cum_name = (lambda w: "_cum") if single else (lambda w: f"_cum_{w}")
+    tot_name = (lambda w: "_n") if single else (lambda w: f"_n_{w}")
     k = _buckets(df, buckets)
     probs = [i / k for i in range(1, k)]
     e = F.percentile_approx(F.col(order), probs, 10000).alias("_e")
@@ -54,14 +59,18 @@ def running_total(df: DataFrame, order: str, weight: str, buckets: int | None =
     else:
         b = df.crossJoin(F.broadcast(df.agg(e)))
     b = b.withColumn("_p", F.size(F.filter(F.col("_e"), lambda x: x < F.col(order)))).drop("_e")
-    local = F.sum(weight).over(Window.partitionBy(*keys, "_p").orderBy(order)
-                               .rowsBetween(Window.unboundedPreceding, 0))
-    sizes = b.groupBy(*keys, "_p").agg(F.sum(weight).alias("_ps"))  # at most ``buckets`` rows per key
-    off = sizes.select(*keys, "_p", (F.sum("_ps").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_ps")).alias("_off"))
+    w_local = Window.partitionBy(*keys, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w_off = Window.partitionBy(*keys).orderBy("_p")
+    # range sizes: at most ``buckets`` rows per key
+    sizes = b.groupBy(*keys, "_p").agg(*[F.sum(w).alias(f"_ps{i}") for i, w in enumerate(weights)])
+    off = sizes.select(*keys, "_p", *[(F.sum(f"_ps{i}").over(w_off) - F.col(f"_ps{i}")).alias(f"_off{i}")
+                                      for i in range(len(weights))])
     off = off if keys else F.broadcast(off)
-    cum = (b.withColumn("_lc", local).join(off, [*keys, "_p"])
-           .withColumn("_cum", F.col("_off") + F.col("_lc")).drop("_p", "_lc", "_off"))
-    return cum, sizes.groupBy(*keys).agg(F.sum("_ps").alias("_n"))
+    cum = (b.withColumns({f"_lc{i}": F.sum(w).over(w_local) for i, w in enumerate(weights)})
+           .join(off, [*keys, "_p"])
+           .withColumns({cum_name(w): F.col(f"_off{i}") + F.col(f"_lc{i}") for i, w in enumerate(weights)})
+           .drop("_p", *[f"{p}{i}" for i in range(len(weights)) for p in ("_lc", "_off")]))
+    return cum, sizes.groupBy(*keys).agg(*[F.sum(f"_ps{i}").alias(tot_name(w)) for i, w in enumerate(weights)])
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], buckets: int | None = None,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souklens.functions.numeric import mean, mean_days, money, pct, ratio, rnd, share_if
+from souklens.functions.quantiles import running_total
 from souklens.plans.context import Layers
 
 ONE_DAY = 86400.0
@@ -112,40 +113,57 @@ def m11_seller_diversity(L: Layers) -> DataFrame:
     return pairs.groupBy("category").agg(F.count(F.lit(1)).alias("sellers"))
 
 
-def _seller_ranks(L: Layers, partitions: int | None = None) -> DataFrame:
-    """Ascending 1-based revenue rank of every selling seller without a
-    single-partition window: range-partition on (revenue, seller_id), number
-    rows inside each partition, add the row count of all lower partitions
-    (a table with one row per partition)."""
-    s = L.enriched["seller_analytics"].select("seller_id", F.col("total_revenue").cast("double").alias("x"))
-    n = partitions or int(L.spark.conf.get("spark.sql.shuffle.partitions"))
-    r = s.repartitionByRange(n, "x", "seller_id").withColumn("_p", F.spark_partition_id())
-    r = r.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("x", "seller_id")))
-    sizes = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"), F.sum("x").alias("_s"))
-    off = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_off"),
-                       (F.sum("_s").over(Window.orderBy("_p")) - F.col("_s")).alias("_soff"))
-    r = r.join(F.broadcast(off), "_p")
-    r = r.withColumn("rank", F.col("_off") + F.col("_i"))
-    cum_local = F.sum("x").over(Window.partitionBy("_p").orderBy("x", "seller_id").rowsBetween(Window.unboundedPreceding, 0))
-    return r.withColumn("cum_x", F.col("_soff") + cum_local).select("seller_id", "x", "rank", "cum_x")
+def _revenue_groups(L: Layers, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Selling sellers' revenue as groups (x, c sellers, s revenue) with ``c0``
+    and ``s0``, the sellers and revenue of all lower values, and the one-row
+    totals ``_n_c`` / ``_n_s``.
+
+    Ranks inside a group of equal values do not change the Gini sum or any
+    Lorenz point, so no per-seller rank (and no single ordered partition) is
+    needed: the running total over value ranges is deterministic and a value
+    shared by a third of all sellers is one row."""
+    x = L.enriched["seller_analytics"].select(F.col("total_revenue").cast("double").alias("x"))
+    g = x.groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.sum("x").alias("s"))
+    cum, tot = running_total(g, "x", ["c", "s"], buckets)
+    return (cum.withColumns({"c0": F.col("_cum_c") - F.col("c"), "s0": F.col("_cum_s") - F.col("s")})
+            .drop("_cum_c", "_cum_s")), tot
 
 
 def m12_seller_gini(L: Layers) -> DataFrame:
-    """Gini = 2·Σ(i·x_i) / (n·Σx) − (n + 1) / n over ascending revenue."""
-    r = _seller_ranks(L)
-    return r.agg(F.count(F.lit(1)).alias("sellers"), F.sum(F.col("rank") * F.col("x")).alias("_ix"), F.sum("x").alias("_x")).select(
+    """Gini = 2·Σ(i·x_i) / (n·Σx) − (n + 1) / n over ascending revenue; the
+    c sellers of value x hold ranks c0+1 … c0+c, so they add x·(c·c0 + c(c+1)/2)."""
+    g, _ = _revenue_groups(L)
+    ix = F.col("x") * (F.col("c") * F.col("c0") + F.col("c") * (F.col("c") + 1) / 2)
+    return g.agg(F.sum("c").alias("sellers"), F.sum(ix).alias("_ix"), F.sum("s").alias("_x")).select(
         "sellers", rnd(F.lit(2.0) * F.col("_ix") / (F.col("sellers") * F.col("_x"))
                        - (F.col("sellers") + 1) / F.col("sellers"), 4).alias("gini"))
 
 
 def m12_lorenz_curve(L: Layers, points: int = 20) -> DataFrame:
-    """Cumulative revenue share at each 1/points of sellers (ascending)."""
-    r = _seller_ranks(L)
-    tot = r.agg(F.count(F.lit(1)).alias("_n"), F.sum("x").alias("_t"))
-    x = r.crossJoin(tot).withColumn("pt", F.ceil(F.col("rank") * points / F.col("_n")).cast("int"))
-    return x.groupBy("pt").agg(F.max("rank").alias("_r"), F.max("cum_x").alias("_c"), F.first("_n").alias("_n"),
-                               F.first("_t").alias("_t")).select(
-        "pt", rnd(F.col("_r") * 100.0 / F.col("_n")).alias("seller_pct"), rnd(F.col("_c") * 100.0 / F.col("_t")).alias("revenue_pct"))
+    """Cumulative revenue share at each 1/points of sellers (ascending): point
+    pt ends at rank R = floor(pt·n/points) when some rank falls in it
+    (ceil(R·points/n) = pt); the revenue of the R smallest sellers comes from
+    the value group holding rank R.  One aggregate with ``points``
+    conditional sums; no per-seller rank."""
+    g, tot = _revenue_groups(L)
+    x = g.crossJoin(F.broadcast(tot))
+    n = F.col("_n_c")
+
+    def end_rank(pt: int):
+        return F.floor(F.lit(pt) * n / F.lit(points))
+
+    aggs = [F.max(n).alias("_n"), F.max("_n_s").alias("_t")]
+    for pt in range(1, points + 1):
+        r = end_rank(pt)
+        holds = (F.col("c0") < r) & (r <= F.col("c0") + F.col("c"))
+        aggs.append(F.max(F.when(holds, F.col("s0") + (r - F.col("c0")) * F.col("x"))).alias(f"_c{pt}"))
+    one = x.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(pt).alias("pt"), F.floor(F.lit(pt) * F.col("_n") / F.lit(points)).alias("r"),
+                              F.col(f"_c{pt}").alias("c")) for pt in range(1, points + 1)])
+    pts = one.select("_n", "_t", F.inline(rows))
+    pts = pts.where((F.col("r") >= 1) & (F.ceil(F.col("r") * points / F.col("_n")) == F.col("pt")))
+    return pts.select(F.col("pt").cast("int").alias("pt"), rnd(F.col("r") * 100.0 / F.col("_n")).alias("seller_pct"),
+                      rnd(F.col("c") * 100.0 / F.col("_t")).alias("revenue_pct"))
 
 
 def m13_freight_by_state(L: Layers) -> DataFrame:
