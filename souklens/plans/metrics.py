@@ -113,8 +113,8 @@ def m11_seller_diversity(L: Layers) -> DataFrame:
     return pairs.groupBy("category").agg(F.count(F.lit(1)).alias("sellers"))
 
 
-def _revenue_groups(L: Layers, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Selling sellers' revenue as groups (x, c sellers, s revenue) with ``c0``
+def value_groups(values: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Values (column ``x``, e.g. selling sellers' revenue) as groups (x, c sellers, s revenue) with ``c0``
     and ``s0``, the sellers and revenue of all lower values, and the one-row
     totals ``_n_c`` / ``_n_s``.
 
@@ -122,30 +122,37 @@ def _revenue_groups(L: Layers, buckets: int | None = None) -> tuple[DataFrame, D
     Lorenz point, so no per-seller rank (and no single ordered partition) is
     needed: the running total over value ranges is deterministic and a value
     shared by a third of all sellers is one row."""
-    x = L.enriched["seller_analytics"].select(F.col("total_revenue").cast("double").alias("x"))
-    g = x.groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.sum("x").alias("s"))
+    g = values.where(F.col("x").isNotNull()).groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.sum("x").alias("s"))
     cum, tot = running_total(g, "x", ["c", "s"], buckets)
     return (cum.withColumns({"c0": F.col("_cum_c") - F.col("c"), "s0": F.col("_cum_s") - F.col("s")})
             .drop("_cum_c", "_cum_s")), tot
 
 
-def m12_seller_gini(L: Layers) -> DataFrame:
-    """Gini = 2·Σ(i·x_i) / (n·Σx) − (n + 1) / n over ascending revenue; the
-    c sellers of value x hold ranks c0+1 … c0+c, so they add x·(c·c0 + c(c+1)/2)."""
-    g, _ = _revenue_groups(L)
+def _seller_revenue(L: Layers) -> DataFrame:
+    return L.enriched["seller_analytics"].select(F.col("total_revenue").cast("double").alias("x"))
+
+
+def gini(values: DataFrame) -> DataFrame:
+    """Gini = 2·Σ(i·x_i) / (n·Σx) − (n + 1) / n over ascending ``x``; the c
+    rows of value x hold ranks c0+1 … c0+c, so they add x·(c·c0 + c(c+1)/2)."""
+    g, _ = value_groups(values)
     ix = F.col("x") * (F.col("c") * F.col("c0") + F.col("c") * (F.col("c") + 1) / 2)
     return g.agg(F.sum("c").alias("sellers"), F.sum(ix).alias("_ix"), F.sum("s").alias("_x")).select(
         "sellers", rnd(F.lit(2.0) * F.col("_ix") / (F.col("sellers") * F.col("_x"))
                        - (F.col("sellers") + 1) / F.col("sellers"), 4).alias("gini"))
 
 
-def m12_lorenz_curve(L: Layers, points: int = 20) -> DataFrame:
-    """Cumulative revenue share at each 1/points of sellers (ascending): point
+def m12_seller_gini(L: Layers) -> DataFrame:
+    return gini(_seller_revenue(L))
+
+
+def lorenz(values: DataFrame, points: int = 20) -> DataFrame:
+    """Cumulative share of ``x`` at each 1/points of rows (ascending): point
     pt ends at rank R = floor(pt·n/points) when some rank falls in it
     (ceil(R·points/n) = pt); the revenue of the R smallest sellers comes from
     the value group holding rank R.  One aggregate with ``points``
     conditional sums; no per-seller rank."""
-    g, tot = _revenue_groups(L)
+    g, tot = value_groups(values)
     x = g.crossJoin(F.broadcast(tot))
     n = F.col("_n_c")
 
@@ -166,6 +173,10 @@ def m12_lorenz_curve(L: Layers, points: int = 20) -> DataFrame:
                       rnd(F.col("c") * 100.0 / F.col("_t")).alias("revenue_pct"))
 
 
+def m12_lorenz_curve(L: Layers, points: int = 20) -> DataFrame:
+    return lorenz(_seller_revenue(L), points)
+
+
 def m13_freight_by_state(L: Layers) -> DataFrame:
     x = _items_with_order_days(L).where(F.col("customer_state").isNotNull())
     return x.groupBy("customer_state").agg(rnd(mean("freight_value")).alias("avg_freight"),

@@ -60,3 +60,31 @@ def test_grouped_quantiles_equal_percentile_per_key(spark):
     want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(p) for p in PROBS])).alias("q")).collect()}
     got = {r.g: r._q for r in exact_quantiles(df, "v", PROBS, buckets=6, keys=["g"]).collect()}
     assert {k: v for k, v in want.items() if v is not None} == got
+
+
+def _brute_gini_lorenz(xs, points):
+    xs = sorted(xs)
+    n, t = len(xs), sum(xs)
+    g = 2.0 * sum((i + 1) * x for i, x in enumerate(xs)) / (n * t) - (n + 1) / n
+    ends = {}
+    cum = 0.0
+    for i, x in enumerate(xs, start=1):
+        cum += x
+        pt = -(-i * points // n)  # ceil
+        ends[pt] = (i, cum)
+    return round(g, 4), {pt: (round(r * 100.0 / n, 2), round(c * 100.0 / t, 2)) for pt, (r, c) in ends.items()}
+
+
+@pytest.mark.parametrize("n_hot, n_rest, points", [(40, 80, 20), (3, 7, 20), (0, 5, 4)])
+def test_gini_and_lorenz_with_a_hot_value(spark, n_hot, n_rest, points):
+    from souklens.plans.metrics import gini, lorenz
+
+    rnd = random.Random(n_hot + n_rest)
+    xs = [12.5] * n_hot + [float(rnd.randint(1, 300)) for _ in range(n_rest)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    want_g, want_l = _brute_gini_lorenz(xs, points)
+    assert gini(df).first().gini == pytest.approx(want_g, abs=1e-4)
+    got = {r.pt: (r.seller_pct, r.revenue_pct) for r in lorenz(df, points).collect()}
+    assert got.keys() == want_l.keys()
+    for pt, (sp, rp) in want_l.items():
+        assert got[pt][0] == pytest.approx(sp, abs=0.011) and got[pt][1] == pytest.approx(rp, abs=0.011)
