@@ -55,6 +55,39 @@ class Layers:
             cls._shared[key] = cls(spark, sf_dir)
         return cls._shared[key]
 
+    @classmethod
+    def from_warehouse(cls, spark: SparkSession, wh_dir: str, fmt: str = "parquet") -> "Layers":
+        """Layers over tables written by ``io.build_warehouse``: the cleaned
+        tables, the star schema and the enriched order/item tables are read
+        back (partition columns pruned by time filters); the per-entity
+        enriched tables derive from them as usual.  Columns come back in the
+        order and types of the lazily defined tables (taken from a plan over
+        empty inputs, so no job runs).  The raw inputs are not available here,
+        so the raw-audit jobs (C11, C12, V14 null counts) need ``Layers(spark,
+        sf_dir)``."""
+        from pyspark.sql import functions as F
+
+        from souklens.sources.io import CLEAN_OUTPUTS, MATERIALISED_ENRICHED
+        from souklens.sources.schema import RAW_SCHEMAS
+
+        shape = cls(spark, raw={n: spark.createDataFrame([], st) for n, st in RAW_SCHEMAS.items()})
+        w = cls(spark, wh_dir)
+
+        def reader(layer: str, name: str) -> Callable[[], DataFrame]:
+            def read() -> DataFrame:
+                want = getattr(shape, layer)[name].schema
+                df = spark.read.format(fmt).load(f"{wh_dir}/{name}")
+                return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in want.fields])
+            return read
+
+        w.__dict__["raw"] = LazyTables({})
+        w.__dict__["clean"] = LazyTables({n: reader("clean", n) for n in CLEAN_OUTPUTS})
+        w.__dict__["star"] = LazyTables({n: reader("star", n) for n in shape.star})
+        enriched = dict(Layers.enriched.func(w)._builders)
+        enriched.update({n: reader("enriched", n) for n in MATERIALISED_ENRICHED})
+        w.__dict__["enriched"] = LazyTables(enriched)
+        return w
+
     @cached_property
     def raw(self) -> Mapping[str, DataFrame]:
         if self._raw is not None:
