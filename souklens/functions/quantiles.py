@@ -9,10 +9,10 @@ spend or lifetime value).  ``exact_quantiles`` gives the same numbers
 
 1. counts per distinct value — a grouped aggregate, combined map-side;
 2. a global running total of those counts: values are cut into ~``buckets``
-   ranges at approximate quantile edges of the value (a one-row aggregate with
-   a bounded buffer), a running sum inside each range (a window partitioned
-   by range), plus the total of all lower ranges (a table with one row per
-   range);
+   ranges at quantile edges of a bounded, hash-chosen subset of the values
+   (deterministic, so every consumer of a range id agrees), a running sum
+   inside each range (a window partitioned by range), plus the total of all
+   lower ranges (a table with one row per range);
 3. for every wanted rank, the value whose cumulative range covers it — a
    global aggregate of conditional maxima, whose buffer has a constant size.
 
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 # Default number of value ranges: enough parallelism for the per-range sort,
 # while the range lookup (a comparison with each edge) stays cheap per row.
 MAX_BUCKETS = 256
+# Rows per key used to place the bucket edges.
+EDGE_SAMPLE = 100_000
 
 
 def _buckets(df: DataFrame, buckets: int | None) -> int:
@@ -52,13 +54,19 @@ def running_total(df: DataFrame, order: str, weight: str | Sequence[str], bucket
     cum_name = (lambda w: "_cum") if single else (lambda w: f"_cum_{w}")
     tot_name = (lambda w: "_n") if single else (lambda w: f"_n_{w}")
     k = _buckets(df, buckets)
-    probs = [i / k for i in range(1, k)]
-    e = F.percentile_approx(F.col(order), probs, 10000).alias("_e")
-    if keys:
-        b = df.join(df.groupBy(*keys).agg(e), keys)
-    else:
-        b = df.crossJoin(F.broadcast(df.agg(e)))
-    b = b.withColumn("_p", F.size(F.filter(F.col("_e"), lambda x: x < F.col(order)))).drop("_e")
+    probs = F.array(*[F.lit(i / k) for i in range(1, k)])
+    # Bucket edges: exact quantiles of a hash-chosen subset of the rows (about
+    # EDGE_SAMPLE per key), so they are a deterministic function of the data —
+    # every consumer of ``_p`` (running sums, range sizes) agrees even when a
+    # stage is recomputed — and their buffer is bounded.  The subset only
+    # places the edges; all rows are counted.
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    step = F.greatest(F.lit(1), F.ceil(F.col("_rows") / F.lit(EDGE_SAMPLE))).cast("long")
+    picked = (df.join(n, keys) if keys else df.crossJoin(F.broadcast(n))).where(
+        F.pmod(F.xxhash64(F.col(order)), step) == 0)
+    edges = picked.groupBy(*keys).agg(F.percentile(F.col(order).cast("double"), probs).alias("_e"))
+    b = df.join(edges, keys, "left") if keys else df.crossJoin(F.broadcast(edges))
+    b = b.withColumn("_p", F.coalesce(F.size(F.filter(F.col("_e"), lambda x: x < F.col(order))), F.lit(0))).drop("_e")
     w_local = Window.partitionBy(*keys, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     w_off = Window.partitionBy(*keys).orderBy("_p")
     # range sizes: at most ``buckets`` rows per key
