@@ -46,8 +46,9 @@ def running_total(df: DataFrame, order: str, weight: str | Sequence[str], bucket
     and the totals ``_n`` (one row per key; one row overall without keys).
     For a list of weights the columns are ``_cum_<w>`` and ``_n_<w>``.
 
-    Each key's values are cut at its own approximate quantile edges, so a key
-    holding a third of all values is still spread over ``buckets`` ranges."""
+    Each key's values are cut at its own quantile edges (from a bounded,
+    hash-chosen subset), so a key holding a third of all values is still
+    spread over ``buckets`` ranges."""
     keys = list(keys)
     single = isinstance(weight, str)
     weights = [weight] if single else list(weight)
