@@ -28,16 +28,6 @@ def fixed_bucket(c, edges: Sequence[float], labels: Sequence[str]) -> Column:
     return out
 
 
-def fixed_bucket_order(c, edges: Sequence[float]) -> Column:
-    """Ordinal (0-based) of the bin, same rule as ``fixed_bucket``."""
-    x = col_(c)
-    out = None
-    for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
-        cond = (x > F.lit(lo)) & (x <= F.lit(hi))
-        out = F.when(cond, F.lit(i)) if out is None else out.when(cond, F.lit(i))
-    return out
-
-
 def histogram(df: DataFrame, value: str, bins: int, name: str) -> DataFrame:
     """Counts per equal-width bin of ``value`` (NULLs ignored).
 
@@ -51,9 +41,9 @@ def histogram(df: DataFrame, value: str, bins: int, name: str) -> DataFrame:
         F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
         F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"))
     idx = F.least(F.floor((F.col("v") - F.col("lo")) * F.lit(bins) / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
-    counts = v.crossJoin(rng).groupBy(idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = v.crossJoin(F.broadcast(rng)).groupBy(idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    return (counts.crossJoin(rng).select(
+    return (counts.crossJoin(F.broadcast(rng)).select(
         F.lit(name).alias("histogram"), "bin",
         F.round((F.col("lo") + F.col("bin") * width).cast("decimal(38,10)"), 4).cast("double").alias("bin_start"),
         F.round((F.col("lo") + (F.col("bin") + 1) * width).cast("decimal(38,10)"), 4).cast("double").alias("bin_end"),
@@ -63,29 +53,15 @@ def histogram(df: DataFrame, value: str, bins: int, name: str) -> DataFrame:
 QUINTILE_PROBS = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
 
 
-def quintile_edges(df: DataFrame, value: str) -> DataFrame:
-    """One row: exact quantile edges (linear interpolation), min and max of
-    ``value`` (NULLs ignored).  ``percentile`` keeps a value→count map, so its
-    memory grows with the number of distinct values, not with rows."""
-    probs = F.array(*[F.lit(p) for p in QUINTILE_PROBS])
-    v = F.col(value).cast("double")
-    return df.agg(F.percentile(v, probs).alias("_q"), F.min(v).alias("_mn"), F.max(v).alias("_mx"))
-
-
-def quintile_bin(value: str) -> Column:
-    return _bin(value, "_q", "_mn", "_mx")
-
-
-def _bin(value: str, qc: str, mnc: str, mxc: str) -> Column:
-    """1..5 for ``value`` given the edge columns of ``quintile_edges``.
+def quintile_of(value: Column, edges: Column, mn: Column, mx: Column) -> Column:
+    """1..5 for ``value`` given its quantile edges, minimum and maximum.
 
     Unique quantile edges → right-closed quantile bins, lowest included.
     Repeated edges → equal-width bins over [min, max] (right-closed, min in
     bin 1); all values equal → bin 3.
     """
-    x = F.col(value).cast("double")
-    q = [F.col(qc)[i] for i in range(6)]
-    mn, mx = F.col(mnc), F.col(mxc)
+    x = value.cast("double")
+    q = [edges[i] for i in range(6)]
     unique = (q[0] < q[1]) & (q[1] < q[2]) & (q[2] < q[3]) & (q[3] < q[4]) & (q[4] < q[5])
     by_q = F.when(x <= q[1], 1).when(x <= q[2], 2).when(x <= q[3], 3).when(x <= q[4], 4).otherwise(5)
     step = (mx - mn) / F.lit(5.0)
@@ -129,8 +105,8 @@ def with_quintiles(df: DataFrame, specs: Sequence[tuple[str, str, bool]], accura
         edges.append(df.agg(*aggs))
     out = df
     for e in edges:
-        out = out.crossJoin(e)
+        out = out.crossJoin(F.broadcast(e))
     for i, (value, name, reverse) in enumerate(specs):
-        b = _bin(value, f"_q{i}", f"_mn{i}", f"_mx{i}")
+        b = quintile_of(F.col(value), F.col(f"_q{i}"), F.col(f"_mn{i}"), F.col(f"_mx{i}"))
         out = out.withColumn(name, (F.lit(6) - b) if reverse else b)
     return out.drop(*[f"{p}{i}" for i in range(len(specs)) for p in ("_q", "_mn", "_mx")])

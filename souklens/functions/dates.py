@@ -29,9 +29,3 @@ def day_name(ts) -> Column:
 
 def month_name(ts) -> Column:
     return F.date_format(col_(ts), "MMMM")
-
-
-def month_number(ts) -> Column:
-    """Months since year 0, so differences are whole-month periods."""
-    t = col_(ts)
-    return F.year(t) * 12 + F.month(t)

@@ -47,12 +47,12 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cols:
     first under ``order`` (a list of ascending sort-key parts; include a
     unique column last for a deterministic pick).
 
-    ``min(struct)`` is an ordinary aggregate with partial aggregation, so it
-    is skew-safe and needs no window.
+    Each column is its own ``min_by`` over the sort key: an ordinary aggregate
+    with partial aggregation, so it is skew-safe and needs no window, and a
+    consumer that reads only some columns prunes the others down to the scan.
     """
-    parts = [c.alias(f"_k{i}") for i, c in enumerate(order)] + [F.col(c).alias(c) for c in cols]
-    best = F.min(F.struct(*parts)).alias("_best")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_best.{c}").alias(c) for c in cols])
+    key = F.struct(*[c.alias(f"_k{i}") for i, c in enumerate(order)])
+    return df.groupBy(*keys).agg(*[F.min_by(F.col(c), key).alias(c) for c in cols])
 
 
 def mode_by_count(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

@@ -136,13 +136,6 @@ CLEANERS = {
 }
 
 
-def clean_all(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    out = {name: CLEANERS[name](df) for name, df in raw.items() if name in CLEANERS}
-    if "geolocation" in out:
-        out["geolocation_zip"] = make_geolocation_zip(out["geolocation"])
-    return out
-
-
 # ---------------------------------------------------------------------------
 # Audit tables
 
@@ -166,7 +159,7 @@ def cleaning_log(raw: dict[str, DataFrame]) -> DataFrame:
     g =(geo.groupBy(*geo.columns).agg(F.count(F.lit(1)).alias("n"))
          .agg(F.sum(F.col("n") - 1).alias("dup")))
     g_out = geo.dropDuplicates().agg(F.count_if(_outside_box()).alias("outlier"))
-    geo_counts = g.crossJoin(g_out)
+    geo_counts = g.crossJoin(F.broadcast(g_out))
     o = raw["orders"].agg(
         F.count_if(F.col("order_approved_at").isNull()).alias("no_approved"),
         F.count_if(F.col("order_delivered_carrier_date").isNull()).alias("no_carrier"),
@@ -183,7 +176,7 @@ def cleaning_log(raw: dict[str, DataFrame]) -> DataFrame:
                       F.count_if(F.col("review_comment_title").isNull()).alias("null_title"),
                       F.count_if(F.col("review_comment_message").isNull()).alias("null_msg"))
     r_after = rv.agg(F.count_distinct("order_id").alias("kept"))
-    r = r_before.crossJoin(r_after).select((F.col("n") - F.col("kept")).alias("dedup"),
+    r = r_before.crossJoin(F.broadcast(r_after)).select((F.col("n") - F.col("kept")).alias("dedup"),
                                            (F.col("null_title") + F.col("null_msg")).alias("null_text"))
     pr = raw["products"].agg(F.count_if(F.col("product_category_name").isNull()).alias("null_cat"),
                              F.count_if(F.col("product_weight_g") == 0).alias("zero_weight"),
@@ -230,6 +223,6 @@ def row_counts(raw: dict[str, DataFrame], clean: dict[str, DataFrame]) -> DataFr
     for name, df in raw.items():
         b = df.agg(F.count(F.lit(1)).alias("rows_before"))
         a = clean[name].agg(F.count(F.lit(1)).alias("rows_after"))
-        parts.append(b.crossJoin(a).select(F.lit(name).alias("table"), "rows_before", "rows_after",
+        parts.append(b.crossJoin(F.broadcast(a)).select(F.lit(name).alias("table"), "rows_before", "rows_after",
                                            (F.col("rows_before") - F.col("rows_after")).alias("rows_removed")))
     return reduce(DataFrame.unionByName, parts)

@@ -53,16 +53,21 @@ def orders_enriched(orders: DataFrame, customers: DataFrame, payments: DataFrame
     })
 
 
+def _products(products: DataFrame, translation: DataFrame) -> DataFrame:
+    """Product fields with the English category name, joined at product grain:
+    item rows then need one product join and no shuffle by category."""
+    return products.select("product_id", "product_category_name", "product_weight_g", "product_length_cm",
+                           "product_height_cm", "product_width_cm").join(translation, "product_category_name", "left")
+
+
 def order_items_enriched(items: DataFrame, orders: DataFrame, products: DataFrame, sellers: DataFrame,
                          translation: DataFrame) -> DataFrame:
     """One row per item with order, product, category and seller fields."""
     o = orders.select("order_id", "order_status", "order_purchase_timestamp", "order_delivered_customer_date",
                       "order_estimated_delivery_date", "customer_id")
-    pr = products.select("product_id", "product_category_name", "product_weight_g", "product_length_cm",
-                         "product_height_cm", "product_width_cm")
+    pr = _products(products, translation)
     s = sellers.select("seller_id", "seller_state", "seller_city")
-    return (items.join(o, "order_id", "left").join(pr, "product_id", "left")
-            .join(translation, "product_category_name", "left").join(s, "seller_id", "left")
+    return (items.join(o, "order_id", "left").join(pr, "product_id", "left").join(s, "seller_id", "left")
             .withColumns({"item_revenue": F.col("price") + F.col("freight_value"),
                           "order_year_month": year_month("order_purchase_timestamp")}))
 
@@ -114,10 +119,8 @@ def product_analytics(products: DataFrame, items: DataFrame, reviews: DataFrame,
         mean("freight_value").alias("avg_freight"),
         mean("review_score").alias("avg_review_score"),
         F.count_distinct("order_id").alias("n_unique_orders"))
-    pr = products.select("product_id", "product_category_name", "product_weight_g", "product_length_cm",
-                         "product_height_cm", "product_width_cm")
     return (agg.withColumn("total_revenue", F.col("total_product_revenue") + F.col("total_freight_revenue"))
-            .join(pr, "product_id", "left").join(translation, "product_category_name", "left"))
+            .join(_products(products, translation), "product_id", "left"))
 
 
 def seller_analytics(sellers: DataFrame, items: DataFrame, orders: DataFrame, reviews: DataFrame,
@@ -125,8 +128,7 @@ def seller_analytics(sellers: DataFrame, items: DataFrame, orders: DataFrame, re
     """E5: one row per selling seller (delivered orders); top category is the
     most frequent English name, smallest on ties, 'unknown' if none."""
     x = (_delivered_items_with_review(items, orders, reviews)
-         .join(products.select("product_id", "product_category_name"), "product_id", "left")
-         .join(translation, "product_category_name", "left"))
+         .join(_products(products, translation).select("product_id", "product_category_name_english"), "product_id", "left"))
     agg = x.groupBy("seller_id").agg(
         F.count("order_item_id").alias("total_items_sold"),
         F.sum("price").alias("total_product_revenue"),
@@ -142,15 +144,3 @@ def seller_analytics(sellers: DataFrame, items: DataFrame, orders: DataFrame, re
             .withColumns({"top_category": F.coalesce(F.col("top_category"), F.lit("unknown")),
                           "total_revenue": F.col("total_product_revenue") + F.col("total_freight_revenue")})
             .join(sellers.select("seller_id", "seller_state", "seller_city"), "seller_id", "left"))
-
-
-def build_enriched(clean: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    o, it, p, r = clean["orders"], clean["order_items"], clean["order_payments"], clean["order_reviews"]
-    c, pr, s, t = clean["customers"], clean["products"], clean["sellers"], clean["category_translation"]
-    return {
-        "orders_enriched": orders_enriched(o, c, p, it),
-        "order_items_enriched": order_items_enriched(it, o, pr, s, t),
-        "customer_analytics": customer_analytics(c, o, it, r, p),
-        "product_analytics": product_analytics(pr, it, r, o, t),
-        "seller_analytics": seller_analytics(s, it, o, r, pr, t),
-    }

@@ -90,7 +90,7 @@ def kept_share(orders: DataFrame, filtered: DataFrame) -> DataFrame:
     """orders kept by the filters, and their share of all orders."""
     a = filtered.agg(F.count(F.lit(1)).alias("kept_orders"))
     b = orders.agg(F.count(F.lit(1)).alias("total_orders"))
-    return a.crossJoin(b).withColumn(
+    return a.crossJoin(F.broadcast(b)).withColumn(
         "kept_pct", F.round((F.col("kept_orders") * 100.0 / F.nullif(F.col("total_orders"), F.lit(0))).cast("decimal(38,10)"), 1)
         .cast("double"))
 

@@ -129,20 +129,6 @@ def dim_geography(customers: DataFrame, sellers: DataFrame) -> DataFrame:
     return c.unionByName(s).distinct()
 
 
-def build_star(clean: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All warehouse tables (lazy) from the cleaned tables."""
-    o, it, p, r = clean["orders"], clean["order_items"], clean["order_payments"], clean["order_reviews"]
-    return {
-        "fact_orders": fact_orders(o, it, p, r),
-        "fact_sales": fact_sales(it, o),
-        "dim_customer": dim_customer(clean["customers"], o),
-        "dim_product": dim_product(clean["products"], clean["category_translation"]),
-        "dim_seller": dim_seller(clean["sellers"], it),
-        "dim_date": dim_date(o),
-        "dim_geography": dim_geography(clean["customers"], clean["sellers"]),
-    }
-
-
-__all__ = ["SECONDS_PER_DAY", "build_star", "fact_orders", "fact_sales", "dim_customer", "dim_product",
+__all__ = ["SECONDS_PER_DAY", "fact_orders", "fact_sales", "dim_customer", "dim_product",
            "dim_seller", "dim_date", "dim_geography", "prepare_orders", "prepare_reviews", "payment_summary",
            "item_summary"]

@@ -186,6 +186,12 @@ SELECT category, {r('md')} AS median_freight_pct FROM x WHERE md IS NOT NULL ORD
 x AS (SELECT {r('corr(CAST(price AS DOUBLE), CAST(freight_value AS DOUBLE))', 4)} AS freight_price_correlation FROM e_items WHERE {DLV})
 SELECT * FROM x""",
 
+    "a17_freight_price_sample": W + f"""
+x AS (SELECT order_id, order_item_id, CAST(price AS DOUBLE) AS price, CAST(freight_value AS DOUBLE) AS freight_value FROM e_items
+  WHERE {DLV} AND price <= 1000
+  ORDER BY md5(CAST(order_id AS VARCHAR) || '|' || CAST(order_item_id AS VARCHAR) || '|42'), order_id, order_item_id LIMIT 8000)
+SELECT * FROM x""",
+
     "a18_review_by_category": W + f"""
 c AS (SELECT product_category_name_english AS category, {avg_('review_score')} AS s, count(DISTINCT order_id) AS n_orders
   FROM ({ITEMS_REVIEWED}) z WHERE product_category_name_english IS NOT NULL GROUP BY 1 HAVING count(DISTINCT order_id) >= 200),

@@ -151,13 +151,14 @@ def _n2() -> str:
               "(2, ' ', '## Monthly performance'), (3, ' ', '## Categories'), (4, ' ', '## States')) v(section, \"key\", line)")
     return ("WITH ins AS (" + INSIGHTS_SQL["n01_business_insights"] + "),\nk2 AS (" + _body("k2_monthly_performance")
             + "),\nk3 AS (" + _body("k3_category_performance") + "),\nk4 AS (" + _body("k4_state_performance") + ")\n"
+            + "SELECT section, \"key\", line, CAST(row_number() OVER (ORDER BY section, \"key\" NULLS FIRST) AS INTEGER) AS seq FROM ("
             + titles + "\nUNION ALL SELECT 1, metric, '- ' || metric || ': ' || value FROM ins"
             + f"\nUNION ALL SELECT 2, order_year_month, '| ' || order_year_month || ' | ' || {i('orders')} || ' | R$ ' || {m('revenue')}"
               f" || ' | R$ ' || {m('average_order_value')} || ' |' FROM k2"
             + f"\nUNION ALL SELECT 3, category, '| ' || category || ' | ' || {i('orders')} || ' | ' || {i('items_sold')} || ' | R$ '"
               f" || {m('revenue')} || ' |' FROM k3"
             + f"\nUNION ALL SELECT 4, customer_state, '| ' || customer_state || ' | ' || {i('orders')} || ' | R$ ' || {m('revenue')}"
-              " || ' |' FROM k4")
+              " || ' |' FROM k4) lines")
 
 
 INSIGHTS_SQL["a25_eda_insights"] = _a25()

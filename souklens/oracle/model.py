@@ -23,7 +23,7 @@ DS = ["seller_id", "seller_zip_code_prefix", "seller_city", "seller_state", "ite
 MODEL_SQL = {
     "c03_geolocation_zip": "WITH " + EXTRA + "SELECT geolocation_zip_code_prefix, " + r("geolocation_lat", 6) + " AS geolocation_lat, "
     + r("geolocation_lng", 6) + " AS geolocation_lng, geolocation_city, geolocation_state FROM cl_geo_zip",
-    "c12_row_counts": """SELECT * FROM (
+    "c12_row_counts": """SELECT *, rows_before - rows_after AS rows_removed FROM (
   SELECT 'customers' AS "table", (SELECT count(*) FROM fx_customers) AS rows_before, (SELECT count(*) FROM cl_customers) AS rows_after
   UNION ALL SELECT 'geolocation', (SELECT count(*) FROM fx_geolocation), (SELECT count(*) FROM cl_geo)
   UNION ALL SELECT 'orders', (SELECT count(*) FROM fx_orders), (SELECT count(*) FROM cl_orders)
@@ -33,7 +33,7 @@ MODEL_SQL = {
   UNION ALL SELECT 'products', (SELECT count(*) FROM fx_products), (SELECT count(*) FROM cl_products)
   UNION ALL SELECT 'sellers', (SELECT count(*) FROM fx_sellers), (SELECT count(*) FROM cl_sellers)
   UNION ALL SELECT 'category_translation', (SELECT count(*) FROM fx_category_translation), (SELECT count(*) FROM cl_translation)
-) z""".replace("rows_after\n", "rows_after\n"),
+) z""",
     "d05_fact_orders": "SELECT " + cast_money(FO) + " FROM fact_orders",
     "d06_fact_sales": "SELECT " + cast_money(FS) + " FROM fact_sales",
     "d07_dim_customer": "SELECT * FROM dim_customer",

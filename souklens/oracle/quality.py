@@ -131,6 +131,9 @@ RAW_COLS = {
 QUALITY_SQL = {
     "v01_post_clean_validation": W + "q AS (" + "\nUNION ALL ".join(V1) + ") SELECT * FROM q",
     "v04_v09_warehouse_checks": "WITH q AS (" + "\nUNION ALL ".join(V49) + ") SELECT * FROM q",
+    "v02_v03_table_checks": "WITH " + EXTRA + "\nSELECT * FROM (" + "\nUNION ALL ".join(
+        f"SELECT 'Table exists: {t}' AS \"check\", 'PASS' AS status, 'found' AS detail UNION ALL SELECT 'Row count: {t}', "
+        f"if(count(*) > 0, 'PASS', 'FAIL'), count(*) || ' rows, expected at least 1' FROM {v}" for t, v in TABLES.items()) + ") z",
     "v11_table_inventory": "WITH " + EXTRA + "\nSELECT * FROM (" + "\nUNION ALL ".join(
         f"SELECT '{t}' AS \"table\", count(*) AS rows, {COLS[t]} AS columns FROM {v}" for t, v in TABLES.items()) + ") z",
     "v14_orders_without_children": """SELECT o.order_status, count(*) AS orders,

@@ -158,11 +158,6 @@ FROM sc WHERE avg_review_score IS NOT NULL AND total_revenue > 0""",
 
 
 
-def _h2() -> str:
-    from souklens.oracle.base import compose
-    src = compose(COHORT_CTES + "SELECT cohort_ym, cohort_size, period_number, retention_pct FROM clong")
-    return ("SELECT cohort_ym, cohort_size, coalesce(COLUMNS(* EXCLUDE (cohort_ym, cohort_size)), CAST(0.0 AS DOUBLE)) FROM "
-            "(PIVOT (" + src + ") ON period_number USING first(retention_pct) GROUP BY cohort_ym, cohort_size) pv")
-
-
-SEG_SQL["h2_cohort_pivot_all"] = _h2()
+SEG_SQL["h2_cohort_pivot_all"] = COHORT_CTES + "SELECT cohort_ym, cohort_size, " + ", ".join(
+    f"coalesce(max(retention_pct) FILTER (WHERE period_number = {k}), 0.0) AS p{k}" for k in range(120)
+) + " FROM clong GROUP BY cohort_ym, cohort_size"

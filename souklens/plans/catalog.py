@@ -67,16 +67,10 @@ from souklens.plans import quality  # noqa: E402
 for _name, _job in quality.QUALITY_JOBS.items():
     register(_name, _job, None, QUALITY_SQL.get(_name))
 
-from pyspark.sql import functions as _F  # noqa: E402
-
 from souklens.operators import clean as _C  # noqa: E402
 from souklens.oracle.model import DS, FO, FS, MODEL_SQL  # noqa: E402
 
 
-def _c12(L):
-    return _C.row_counts({k: L.raw[k] for k in L.raw}, L.clean).withColumn("rows_removed", _F.col("rows_removed"))
-
-
 def _c03(L):
     from souklens.functions.numeric import rnd
     z = L.clean["geolocation_zip"]
@@ -85,7 +79,7 @@ def _c03(L):
 
 register("c03_geolocation_zip", _c03, None, MODEL_SQL["c03_geolocation_zip"])
 register("c11_cleaning_log", lambda L: _C.cleaning_log({k: L.raw[k] for k in L.raw}), None)
-register("c12_row_counts", lambda L: _C.row_counts({k: L.raw[k] for k in L.raw}, L.clean).drop("rows_removed"), None,
+register("c12_row_counts", lambda L: _C.row_counts({k: L.raw[k] for k in L.raw}, L.clean), None,
          MODEL_SQL["c12_row_counts"])
 register("d05_fact_orders", lambda S: project_out(S["fact_orders"], FO), "star", MODEL_SQL["d05_fact_orders"])
 register("d06_fact_sales", lambda S: project_out(S["fact_sales"], FS), "star", MODEL_SQL["d06_fact_sales"])

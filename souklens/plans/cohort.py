@@ -100,7 +100,7 @@ def h6_h7_repeat_summary(L: Layers) -> DataFrame:
 def h8_frequency_distribution(L: Layers) -> DataFrame:
     c = _per_person(L).groupBy("orders").agg(F.count(F.lit(1)).alias("customers"))
     tot = c.agg(F.sum("customers").alias("_t"))
-    return c.crossJoin(tot).select("orders", "customers", rnd(pct("customers", "_t")).alias("pct")).drop("_t")
+    return c.crossJoin(F.broadcast(tot)).select("orders", "customers", rnd(pct("customers", "_t")).alias("pct")).drop("_t")
 
 
 def h9_clv_distribution(L: Layers, bins: int = 60, upper_q: float = 0.99) -> DataFrame:
@@ -108,9 +108,9 @@ def h9_clv_distribution(L: Layers, bins: int = 60, upper_q: float = 0.99) -> Dat
     p = _per_person(L).withColumn("clv", F.col("clv").cast("double"))
     # one value per person: exact quantiles without gathering them in one task
     q = exact_quantiles(p, "clv", [upper_q, 0.5])
-    kept = p.crossJoin(q.select(F.col("_q")[0].alias("_p99"))).where(F.col("clv") <= F.col("_p99"))
-    stats = p.agg(rnd(mean("clv")).alias("mean_clv")).crossJoin(q.select(rnd(F.col("_q")[1]).alias("median_clv")))
-    return histogram(kept, "clv", bins, "clv").crossJoin(stats)
+    kept = p.crossJoin(F.broadcast(q.select(F.col("_q")[0].alias("_p99")))).where(F.col("clv") <= F.col("_p99"))
+    stats = p.agg(rnd(mean("clv")).alias("mean_clv")).crossJoin(F.broadcast(q.select(rnd(F.col("_q")[1]).alias("median_clv"))))
+    return histogram(kept, "clv", bins, "clv").crossJoin(F.broadcast(stats))
 
 
 def h10_clv_by_orders(L: Layers) -> DataFrame:
@@ -123,13 +123,14 @@ COHORT_JOBS = {"h1_cohort_retention": h1_cohort_retention, "h3_cohort_range": h3
                "h9_clv_distribution": h9_clv_distribution, "h10_clv_by_orders": h10_clv_by_orders}
 
 
-def h2_cohort_pivot_all(L: Layers) -> DataFrame:
-    """H2: cohorts × every observed period number (0.0 where nobody
-    returned).  The period list is discovered by Spark's pivot (one small
-    distinct over period numbers, bounded by the calendar)."""
-    c = cohort_long(L)
-    p = c.groupBy("cohort_ym", "cohort_size").pivot("period_number").agg(F.first("retention_pct"))
-    return p.na.fill(0.0)
+# Ten years of monthly periods: the columns of H2 are a parameter, so no pass
+# over the data is needed to discover them.
+ALL_PERIODS = tuple(range(120))
+
+
+def h2_cohort_pivot_all(L: Layers, periods: tuple[int, ...] = ALL_PERIODS) -> DataFrame:
+    """H2: cohorts × period numbers (0.0 where nobody returned)."""
+    return cohort_pivot(L, list(periods))
 
 
 COHORT_JOBS["h2_cohort_pivot_all"] = h2_cohort_pivot_all

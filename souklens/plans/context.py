@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from souklens.operators import clean as C
 from souklens.operators import enrich as E
@@ -65,8 +66,6 @@ class Layers:
         empty inputs, so no job runs).  The raw inputs are not available here,
         so the raw-audit jobs (C11, C12, V14 null counts) need ``Layers(spark,
         sf_dir)``."""
-        from pyspark.sql import functions as F
-
         from souklens.sources.io import CLEAN_OUTPUTS, MATERIALISED_ENRICHED
         from souklens.sources.schema import RAW_SCHEMAS
 
@@ -88,6 +87,20 @@ class Layers:
         w.__dict__["enriched"] = LazyTables(enriched)
         return w
 
+    def over_clean(self, clean_dir: str, fmt: str = "parquet") -> "Layers":
+        """The same layers on top of cleaned tables written to ``clean_dir``."""
+        w = Layers(self.spark, self.sf_dir, self._raw)
+        shape = self.clean
+
+        def reader(name: str) -> Callable[[], DataFrame]:
+            def read() -> DataFrame:
+                df = self.spark.read.format(fmt).load(f"{clean_dir}/{name}")
+                return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in shape[name].schema.fields])
+            return read
+
+        w.__dict__["clean"] = LazyTables({n: reader(n) for n in shape})
+        return w
+
     @cached_property
     def raw(self) -> Mapping[str, DataFrame]:
         if self._raw is not None:

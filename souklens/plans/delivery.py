@@ -33,14 +33,14 @@ def _has_delay(L: Layers) -> DataFrame:
 def x10_delivery_kpis(L: Layers) -> DataFrame:
     h = _has_del(L)
     # order-grain durations in seconds: quantiles stay distributed
-    d = h.agg(rnd(mean_days("delivery_seconds")).alias("avg_delivery_days")).crossJoin(
+    d = h.agg(rnd(mean_days("delivery_seconds")).alias("avg_delivery_days")).crossJoin(F.broadcast(
         exact_quantiles(h, "delivery_seconds", [0.5, 0.9]).select(
             rnd(F.col("_q")[0] / 86400.0).alias("median_delivery_days"),
-            rnd(F.col("_q")[1] / 86400.0).alias("p90_delivery_days")))
+            rnd(F.col("_q")[1] / 86400.0).alias("p90_delivery_days"))))
     late = F.col("is_delayed") == 1
     k = _has_delay(L).agg(share_if(late).alias("_late"),
                           rnd(mean_days(F.when(late, F.col("delay_seconds")))).alias("avg_delay_when_late"))
-    return d.crossJoin(k).select("avg_delivery_days", "median_delivery_days", "p90_delivery_days",
+    return d.crossJoin(F.broadcast(k)).select("avg_delivery_days", "median_delivery_days", "p90_delivery_days",
                                  rnd("_late").alias("late_rate_pct"), rnd(F.lit(100.0) - F.col("_late")).alias("on_time_rate_pct"),
                                  "avg_delay_when_late")
 
@@ -79,7 +79,7 @@ def x14_delay_buckets(L: Layers) -> DataFrame:
     b = (_has_delay(L).withColumn("bucket", fixed_bucket("delivery_delay_days", PAGE_DELAY_EDGES, PAGE_DELAY_LABELS))
          .where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.count(F.lit(1)).alias("orders")))
     tot = b.agg(F.sum("orders").alias("_t"))
-    return b.crossJoin(tot).select("bucket", "orders", rnd(pct("orders", "_t")).alias("pct"))
+    return b.crossJoin(F.broadcast(tot)).select("bucket", "orders", rnd(pct("orders", "_t")).alias("pct"))
 
 
 def _items_with_days(L: Layers) -> DataFrame:

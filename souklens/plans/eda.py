@@ -7,8 +7,6 @@ window, so no step funnels all rows into one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +36,7 @@ REFERENCE_MONTH_RANGE = ("2016-10", "2018-08")
 
 def _share_of_total(df: DataFrame, count_col: str, out: str, digits: int = 2) -> DataFrame:
     total = df.agg(F.sum(count_col).alias("_total"))
-    return df.crossJoin(total).withColumn(out, rnd(pct(count_col, "_total"), digits)).drop("_total")
+    return df.crossJoin(F.broadcast(total)).withColumn(out, rnd(pct(count_col, "_total"), digits)).drop("_total")
 
 
 def _orders(L: Layers) -> DataFrame:
@@ -53,6 +51,11 @@ def _del_items(L: Layers) -> DataFrame:
     return _items(L).where(DELIVERED())
 
 
+def _del_sales(L: Layers) -> DataFrame:
+    """Delivered item rows for jobs that need no product or seller field."""
+    return L.star["fact_sales"].where(DELIVERED())
+
+
 def _del_orders_with_days(L: Layers) -> DataFrame:
     return _orders(L).where(DELIVERED() & F.col("delivery_seconds").isNotNull())
 
@@ -71,7 +74,7 @@ def a01_descriptive(L: Layers) -> DataFrame:
         F.count_if("is_repeat_buyer").alias("repeat_buyers"))
     p = L.enriched["product_analytics"].agg(F.count(ONE()).alias("total_products_in_analytics"))
     s = L.enriched["seller_analytics"].agg(F.count(ONE()).alias("total_active_sellers"))
-    return (o.crossJoin(c).crossJoin(p).crossJoin(s).select(
+    return (o.crossJoin(F.broadcast(c)).crossJoin(F.broadcast(p)).crossJoin(F.broadcast(s)).select(
         "total_orders", "delivered_orders", "canceled_orders", "total_unique_customers", "repeat_buyers",
         rnd(pct("repeat_buyers", "total_unique_customers")).alias("repeat_buyer_rate_pct"),
         "total_products_in_analytics", "total_active_sellers",
@@ -94,11 +97,11 @@ def a04_review_distribution(L: Layers) -> DataFrame:
     r = _reviews(L).where(F.col("review_score").isNotNull())
     c = r.groupBy("review_score").agg(F.count(ONE()).alias("reviews"))
     avg = r.agg(rnd(mean("review_score"), 4).alias("avg_review_score"))
-    return _share_of_total(c, "reviews", "pct_of_reviews").crossJoin(avg)
+    return _share_of_total(c, "reviews", "pct_of_reviews").crossJoin(F.broadcast(avg))
 
 
 def a05_business_kpis(L: Layers) -> DataFrame:
-    di = _del_items(L).agg(
+    di = _del_sales(L).agg(
         F.sum("item_revenue").alias("_rev"), F.sum("price").alias("_prod"), F.sum("freight_value").alias("_fr"),
         rnd(mean("freight_value")).alias("avg_freight_per_item"))
     o = _orders(L)
@@ -118,7 +121,7 @@ def a05_business_kpis(L: Layers) -> DataFrame:
         F.count(ONE()).alias("total_unique_customers"))
     rv = _reviews(L).agg(rnd(mean("review_score"), 4).alias("avg_review_score"))
     sa = L.enriched["seller_analytics"].agg(F.count(ONE()).alias("active_sellers"))
-    return di.crossJoin(oa).crossJoin(ca).crossJoin(rv).crossJoin(sa).select(
+    return di.crossJoin(F.broadcast(oa)).crossJoin(F.broadcast(ca)).crossJoin(F.broadcast(rv)).crossJoin(F.broadcast(sa)).select(
         "total_orders", "delivered_orders", money("_rev").alias("total_revenue_brl"),
         money("_prod").alias("product_revenue_brl"), money("_fr").alias("freight_revenue_brl"),
         rnd(pct("_fr", "_rev")).alias("freight_pct_of_revenue"), "avg_order_value", "avg_items_per_order",
@@ -172,9 +175,10 @@ def a09_seller_concentration(L: Layers, top_n: int = 10) -> DataFrame:
     s = L.enriched["seller_analytics"]
     top = s.orderBy(F.desc("total_revenue"), "seller_id").limit(top_n).agg(F.sum("total_revenue").alias("_top"))
     a = s.agg(F.count(ONE()).alias("total_active_sellers"), money(F.max("total_revenue")).alias("top_seller_revenue"),
-              rnd(F.median(F.col("total_revenue").cast("double"))).alias("median_seller_revenue"), F.sum("total_revenue").alias("_all"),
+              F.sum("total_revenue").alias("_all"),
               F.count_distinct("seller_state").alias("states_with_sellers"))
-    return a.crossJoin(top).select("total_active_sellers", "top_seller_revenue", "median_seller_revenue",
+    med = exact_quantiles(s, "total_revenue", [0.5]).select(rnd(F.col("_q")[0]).alias("median_seller_revenue"))
+    return a.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(med)).select("total_active_sellers", "top_seller_revenue", "median_seller_revenue",
                                    rnd(pct("_top", "_all")).alias("top_10_sellers_pct_of_total_revenue"),
                                    "states_with_sellers")
 
@@ -229,9 +233,9 @@ def a14_logistics(L: Layers) -> DataFrame:
     q = exact_quantiles(d, "delivery_seconds", [0.5, 0.9]).select(
         rnd(F.col("_q")[0] / 86400.0).alias("median_delivery_days"), rnd(F.col("_q")[1] / 86400.0).alias("p90_delivery_days"))
     # freight is in cents of a bounded price list: the inline exact median is fine
-    i = _del_items(L).agg(rnd(mean("freight_value")).alias("avg_freight_per_item"),
+    i = _del_sales(L).agg(rnd(mean("freight_value")).alias("avg_freight_per_item"),
                           rnd(F.median(F.col("freight_value").cast("double"))).alias("median_freight"))
-    return o.crossJoin(q).crossJoin(i).select("avg_delivery_days", "median_delivery_days", "p90_delivery_days", "late_rate_pct",
+    return o.crossJoin(F.broadcast(q)).crossJoin(F.broadcast(i)).select("avg_delivery_days", "median_delivery_days", "p90_delivery_days", "late_rate_pct",
                                               "avg_delay_when_late", "avg_freight_per_item", "median_freight")
 
 
@@ -253,15 +257,16 @@ def a16_freight_pct_by_category(L: Layers, limit: int = 12) -> DataFrame:
 
 
 def a17_freight_price_corr(L: Layers) -> DataFrame:
-    return _del_items(L).agg(rnd(F.corr(F.col("price").cast("double"), F.col("freight_value").cast("double")), 4)
+    return _del_sales(L).agg(rnd(F.corr(F.col("price").cast("double"), F.col("freight_value").cast("double")), 4)
                              .alias("freight_price_correlation"))
 
 
 def a17_freight_price_sample(L: Layers, n: int = 8000, seed: int = 42, max_price: float = 1000) -> DataFrame:
     """Deterministic seeded sample: the ``n`` rows with the smallest
-    xxhash64(order_id, order_item_id, seed).  The limit is the feature."""
-    i = _del_items(L).where(F.col("price") <= max_price)
-    key = F.xxhash64(F.col("order_id"), F.col("order_item_id"), F.lit(seed))
+    md5('order_id|order_item_id|seed').  The limit is the feature."""
+    i = _del_sales(L).where(F.col("price") <= max_price)
+    key = F.md5(F.concat_ws("|", F.col("order_id").cast("string"), F.col("order_item_id").cast("string"),
+                            F.lit(str(seed))).cast("binary"))
     return (i.select("order_id", "order_item_id", F.col("price").cast("double").alias("price"),
                      F.col("freight_value").cast("double").alias("freight_value"), key.alias("_h"))
             .orderBy("_h", "order_id", "order_item_id").limit(n).drop("_h"))
@@ -302,7 +307,7 @@ def a20_ontime_vs_late(L: Layers) -> DataFrame:
     tot = d.groupBy(g.alias("delivery")).agg(F.count(ONE()).alias("_t"), mean("review_score").alias("_m"))
     delta = d.agg((mean(F.when(F.col("is_delayed") == 1, F.col("review_score")))
                    - mean(F.when(F.col("is_delayed") == 0, F.col("review_score")))).alias("_d"))
-    return (c.join(tot, "delivery").crossJoin(delta).select(
+    return (c.join(tot, "delivery").crossJoin(F.broadcast(delta)).select(
         "delivery", "review_score", "orders", rnd(pct("orders", "_t")).alias("pct_of_group"),
         rnd("_m", 4).alias("avg_score"), rnd("_d", 4).alias("score_delta_late_vs_ontime")))
 
@@ -338,15 +343,8 @@ def a23_review_by_delivery_bin(L: Layers) -> DataFrame:
 
 def a24_histograms(L: Layers) -> DataFrame:
     d = _del_orders_with_days(L).select(F.least(F.col("delivery_days"), F.lit(60.0)).alias("x"))
-    f = _del_items(L).select(F.least(F.col("freight_value").cast("double"), F.lit(80.0)).alias("x"))
+    f = _del_sales(L).select(F.least(F.col("freight_value").cast("double"), F.lit(80.0)).alias("x"))
     return histogram(d, "x", 50, "delivery_days").unionByName(histogram(f, "x", 60, "freight_value"))
 
 
 EDA_JOBS = {name: fn for name, fn in dict(globals()).items() if name[:1] == "a" and name[1:3].isdigit()}
-
-
-def all_outputs(L: Layers) -> dict[str, DataFrame]:
-    return {name: fn(L) for name, fn in EDA_JOBS.items()}
-
-
-__all__ = ["EDA_JOBS", "all_outputs", "reduce"]

@@ -26,7 +26,7 @@ PRIORITY_ORDER = ["Critical", "High", "Medium", "Low"]
 
 
 def _monthly(L: Layers) -> DataFrame:
-    it = L.enriched["order_items_enriched"].where(DELIVERED())
+    it = L.star["fact_sales"].where(DELIVERED())
     o = L.enriched["orders_enriched"].where(DELIVERED())
     rev = it.groupBy(F.col("order_year_month").alias("ym_str")).agg(F.sum("item_revenue").alias("revenue"))
     n = o.groupBy(F.col("order_year_month").alias("ym_str")).agg(F.count("order_id").alias("n_orders"))
@@ -81,7 +81,7 @@ def w13_growth_headline(L: Layers) -> DataFrame:
     """Peak month, mean revenue, last vs second month growth, strong months."""
     m = monthly_growth(L).withColumn("_rn", F.row_number().over(Window.orderBy("ym_str")))
     n = m.agg(F.max("_rn").alias("_n"))
-    x = m.crossJoin(n)
+    x = m.crossJoin(F.broadcast(n))
     return x.agg(
         F.min(F.when(F.col("revenue").isNotNull(), F.struct((-F.col("revenue")).alias("k"), F.col("ym_str").alias("m")))).alias("_pk"),
         mean("revenue").alias("_avg"),
@@ -125,8 +125,8 @@ def opportunities(L: Layers) -> DataFrame:
     cat = (iwr.where(F.col("product_category_name_english").isNotNull()).groupBy("product_category_name_english")
            .agg(F.sum("item_revenue").alias("revenue"), mean("review_score").alias("avg_score"),
                 F.count_distinct("order_id").alias("n_orders")).where(F.col("n_orders") >= 200))
-    ref = cat.agg(mean("revenue").alias("_avg_rev")).crossJoin(iwr.agg(mean("review_score").alias("_avg_score")))
-    o1 = (cat.crossJoin(ref).where((F.col("revenue") > F.col("_avg_rev"))
+    ref = cat.agg(mean("revenue").alias("_avg_rev")).crossJoin(F.broadcast(iwr.agg(mean("review_score").alias("_avg_score"))))
+    o1 = (cat.crossJoin(F.broadcast(ref)).where((F.col("revenue") > F.col("_avg_rev"))
                                    & (F.col("avg_score") < F.col("_avg_score") - 0.3))
           .orderBy(F.desc("revenue"), "product_category_name_english").limit(3))
     o1 = _opp(o1, F.format_string("Improve Quality in '%s'", "product_category_name_english"),
@@ -147,9 +147,9 @@ def opportunities(L: Layers) -> DataFrame:
     # O3: categories >= 500 items, items above p75, average price below half the overall
     ca = (it.where(F.col("product_category_name_english").isNotNull()).groupBy("product_category_name_english")
           .agg(F.count("order_item_id").alias("n_items"), mean("price").alias("avg_price")).where(F.col("n_items") >= 500))
-    ref3 = ca.agg(F.percentile(F.col("n_items").cast("double"), 0.75).alias("_p75")).crossJoin(
-        it.agg(mean("price").alias("_avg_price")))
-    o3 = (ca.crossJoin(ref3).where((F.col("n_items") > F.col("_p75")) & (F.col("avg_price") < F.col("_avg_price") * 0.5))
+    ref3 = ca.agg(F.percentile(F.col("n_items").cast("double"), 0.75).alias("_p75")).crossJoin(F.broadcast(
+        it.agg(mean("price").alias("_avg_price"))))
+    o3 = (ca.crossJoin(F.broadcast(ref3)).where((F.col("n_items") > F.col("_p75")) & (F.col("avg_price") < F.col("_avg_price") * 0.5))
           .orderBy(F.desc("n_items"), "product_category_name_english").limit(2))
     o3 = _opp(o3, F.format_string("Bundle Strategy for '%s'", "product_category_name_english"),
               F.format_string("%s items at an average price of R$%.2f against R$%.2f overall.",
@@ -173,7 +173,7 @@ def opportunities(L: Layers) -> DataFrame:
               F.format_string("Sellers: %d | Revenue at risk: R$%s", "n", _fmt0("at_risk")), "Seller Management", "High")
     # Repeat-rate uplift (always one row)
     per = o.where(F.col("customer_unique_id").isNotNull()).groupBy("customer_unique_id").agg(F.count("order_id").alias("n"))
-    rr = per.agg(share_if(F.col("n") > 1).alias("rate")).crossJoin(o.agg(mean("total_order_revenue").alias("_aov")))
+    rr = per.agg(share_if(F.col("n") > 1).alias("rate")).crossJoin(F.broadcast(o.agg(mean("total_order_revenue").alias("_aov"))))
     o6 = _opp(rr, F.lit("Retention Programme — 97% of Customers Are One-Time Buyers"),
               F.format_string("Only %.1f%% of customers placed a second order; doubling it adds about R$%s.",
                               rnd("rate", 1), _fmt0(F.col("_aov") * 2000)),
@@ -184,7 +184,8 @@ def opportunities(L: Layers) -> DataFrame:
 
 
 def o7_opportunities(L: Layers) -> DataFrame:
-    return opportunities(L).select(*OPP_COLS, "priority_rank")
+    """All opportunities by priority; equal ones by title."""
+    return opportunities(L).select(*OPP_COLS, "priority_rank").orderBy("priority_rank", "title")
 
 
 def o8_opportunities_by_category(L: Layers, priorities: tuple[str, ...] = tuple(PRIORITY_ORDER)) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from souklens.plans import eda, kpi
@@ -112,7 +113,7 @@ def n01_business_insights(L: Layers) -> DataFrame:
 
 
 def n02_report_lines(L: Layers) -> DataFrame:
-    """The report as ordered text lines (section, key, line) built from the same
+    """The report as ordered text lines (section, key, line, seq) built from the same
     tables: a title, a KPI section, and one line per month, category and state."""
     ins = n01_business_insights(L)
     w = L.star
@@ -131,7 +132,8 @@ def n02_report_lines(L: Layers) -> DataFrame:
                                    (2, "## Monthly performance", " "), (3, "## Categories", " "), (4, "## States", " ")],
                          "section int, line string, key string")
     body = reduce(DataFrame.unionByName, [titles, head, months, cats, states])
-    return body.select("section", "key", "line")
+    # one row per month, category and state: the numbering is over a bounded set
+    return body.select("section", "key", "line", F.row_number().over(Window.orderBy("section", "key")).alias("seq"))
 
 
 def n03_executive_insights(L: Layers) -> DataFrame:
@@ -179,7 +181,7 @@ def a25_eda_insights(L: Layers) -> DataFrame:
     corr = eda.a17_freight_price_corr(L)
     top = eda.a07_top_categories_revenue(L).orderBy(F.desc("revenue"), "category").limit(1)
     ms = eda.a06_monthly_summary(L)
-    x = k.crossJoin(lg.drop("avg_delivery_days", "avg_freight_per_item")).crossJoin(ot).crossJoin(corr).crossJoin(ms)
+    x = k.crossJoin(F.broadcast(lg.drop("avg_delivery_days", "avg_freight_per_item"))).crossJoin(F.broadcast(ot)).crossJoin(F.broadcast(corr)).crossJoin(F.broadcast(ms))
     lines = [
         ("Revenue", F.format_string("Delivered revenue R$ %s from %s delivered orders.", _m("total_revenue_brl"), _i("delivered_orders"))),
         ("Freight", F.format_string("Freight is %.2f%% of revenue.", "freight_pct_of_revenue")),
@@ -196,7 +198,7 @@ def a25_eda_insights(L: Layers) -> DataFrame:
         ("Peak month", F.format_string("Peak revenue month %s with R$ %s.", F.col("peak_revenue_month"), _m("peak_revenue_value"))),
     ]
     lines.append(("Top category", F.format_string("%s leads with R$ %s.", F.col("category"), _m("revenue"))))
-    x = x.crossJoin(top)
+    x = x.crossJoin(F.broadcast(top))
     rows = [F.struct(F.lit(i + 1).alias("id"), F.lit(t).alias("topic"), e.alias("insight")) for i, (t, e) in enumerate(lines)]
     return x.select(F.inline(F.array(*rows)))
 

@@ -37,7 +37,7 @@ def k1_kpi_summary(w) -> DataFrame:
     cust = per.agg(F.count(F.lit(1)).alias("unique_customers"),
                    F.count_if(F.col("n") > 1).alias("repeat_customers"),
                    rnd(pct(F.count_if(F.col("n") > 1), F.count(F.lit(1)))).alias("repeat_customer_rate"))
-    return orders.crossJoin(cust)
+    return orders.crossJoin(F.broadcast(cust))
 
 
 def k2_monthly_performance(w) -> DataFrame:

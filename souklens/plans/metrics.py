@@ -62,7 +62,7 @@ def m05_installments_vs_value(L: Layers) -> DataFrame:
     corr = p.agg(rnd(F.corr(F.col("payment_installments").cast("double"), F.col("payment_value").cast("double")), 4)
                  .alias("installments_value_corr"))
     return p.groupBy("payment_installments").agg(F.count(F.lit(1)).alias("payments"),
-                                                 rnd(mean("payment_value")).alias("avg_payment_value")).crossJoin(corr)
+                                                 rnd(mean("payment_value")).alias("avg_payment_value")).crossJoin(F.broadcast(corr))
 
 
 def m06_process_times(L: Layers) -> DataFrame:
@@ -73,7 +73,7 @@ def m06_process_times(L: Layers) -> DataFrame:
                .alias("avg_carrier_handoff_days"))
     hr = r.agg(rnd(mean_days(F.timestamp_diff("SECOND", F.col("review_creation_date"), F.col("review_answer_timestamp"))), 4)
                .alias("avg_review_response_days"))
-    return ho.crossJoin(hr)
+    return ho.crossJoin(F.broadcast(hr))
 
 
 def _items_with_order_days(L: Layers) -> DataFrame:

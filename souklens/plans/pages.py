@@ -50,7 +50,7 @@ def y01_filtered_kpis(L: Layers, spec: FilterSpec = EXAMPLE_FILTER) -> DataFrame
     ca = L.enriched["customer_analytics"].agg(F.count_distinct("customer_unique_id").alias("total_customers"),
                                               rnd(pct(F.count_if("is_repeat_buyer"), F.count(F.lit(1)))).alias("repeat_buyer_rate"))
     sa = b["sellers"].agg(F.count(F.lit(1)).alias("total_sellers"))
-    return oa.crossJoin(ia).crossJoin(ra).crossJoin(ca).crossJoin(sa)
+    return oa.crossJoin(F.broadcast(ia)).crossJoin(F.broadcast(ra)).crossJoin(F.broadcast(ca)).crossJoin(F.broadcast(sa))
 
 
 def f23_filter_share(L: Layers, spec: FilterSpec = EXAMPLE_FILTER) -> DataFrame:
@@ -89,7 +89,7 @@ def y02_top5_category_share(L: Layers, k: int = 5) -> DataFrame:
     c = it.groupBy(F.col("product_category_name_english").alias("category")).agg(F.sum("item_revenue").alias("_r"))
     top = c.orderBy(F.desc("_r"), "category").limit(k)
     tot = top.agg(F.sum("_r").alias("_t"))
-    return top.crossJoin(tot).select("category", money("_r").alias("revenue"), rnd(pct("_r", "_t")).alias("share_of_top"))
+    return top.crossJoin(F.broadcast(tot)).select("category", money("_r").alias("revenue"), rnd(pct("_r", "_t")).alias("share_of_top"))
 
 
 def y08_state_summary(L: Layers) -> DataFrame:
@@ -107,7 +107,7 @@ def y08_state_summary(L: Layers) -> DataFrame:
                  F.coalesce(F.col("revenue"), F.lit(0)).alias("_rev"),
                  F.coalesce(rnd("avg_delivery_days"), F.lit(0.0)).alias("avg_delivery_days"))
     tot = s.agg(F.sum("_rev").alias("_t"))
-    return s.crossJoin(tot).select("customer_state", "n_customers", "avg_spend", money("_rev").alias("revenue"),
+    return s.crossJoin(F.broadcast(tot)).select("customer_state", "n_customers", "avg_spend", money("_rev").alias("revenue"),
                                    brl("_rev").alias("revenue_fmt"), "avg_delivery_days",
                                    rnd(pct("_rev", "_t"), 1).alias("rev_share"))
 
@@ -155,7 +155,7 @@ def y10_executive_figures(L: Layers) -> DataFrame:
     per = o.where(F.col("customer_unique_id").isNotNull()).groupBy("customer_unique_id").agg(
         F.count("order_id").alias("_n"), F.coalesce(F.sum("total_order_revenue"), F.lit(0)).alias("_r"))
     nc = per.agg(rnd(pct(F.sum(F.when(F.col("_n") == 1, F.col("_r"))), F.sum("_r"))).alias("one_time_revenue_share"))
-    return lead.crossJoin(sc).crossJoin(tc).crossJoin(fs).crossJoin(nc)
+    return lead.crossJoin(F.broadcast(sc)).crossJoin(F.broadcast(tc)).crossJoin(F.broadcast(fs)).crossJoin(F.broadcast(nc))
 
 
 PAGE_JOBS = {"y01_filtered_kpis": y01_filtered_kpis, "f21_order_filter": f21_order_filter,
@@ -167,7 +167,7 @@ PAGE_JOBS = {"y01_filtered_kpis": y01_filtered_kpis, "f21_order_filter": f21_ord
 
 def y03_sales_kpis(L: Layers) -> DataFrame:
     """Revenue split, AOV and the leading state's share of state revenue."""
-    it = L.enriched["order_items_enriched"].where(DELIVERED())
+    it = L.star["fact_sales"].where(DELIVERED())
     o = L.enriched["orders_enriched"].where(DELIVERED())
     a = it.agg(money(F.sum("item_revenue")).alias("total_revenue"), money(F.sum("price")).alias("product_revenue"),
                money(F.sum("freight_value")).alias("freight_revenue"))
@@ -176,7 +176,7 @@ def y03_sales_kpis(L: Layers) -> DataFrame:
         F.coalesce(F.sum("total_order_revenue"), F.lit(0)).alias("_r"))
     c = st.agg(F.max(F.struct("_r", "customer_state")).alias("_m"), F.sum("_r").alias("_t")).select(
         F.col("_m.customer_state").alias("leading_state"), rnd(pct("_m._r", "_t")).alias("leading_state_share"))
-    return a.crossJoin(b).crossJoin(c)
+    return a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))
 
 
 def y03_aov_by_month(L: Layers) -> DataFrame:
@@ -184,7 +184,7 @@ def y03_aov_by_month(L: Layers) -> DataFrame:
     o = L.enriched["orders_enriched"].where(DELIVERED())
     overall = o.agg(rnd(mean("total_order_revenue")).alias("overall_aov"))
     return o.groupBy(F.col("order_year_month").alias("ym_str")).agg(
-        rnd(mean("total_order_revenue")).alias("aov")).crossJoin(overall)
+        rnd(mean("total_order_revenue")).alias("aov")).crossJoin(F.broadcast(overall))
 
 
 def y04_customer_kpis(L: Layers) -> DataFrame:
@@ -199,9 +199,10 @@ def y04_customer_kpis(L: Layers) -> DataFrame:
 def y05_product_kpis(L: Layers) -> DataFrame:
     """Categories sold, average price, median freight as % of price."""
     it = L.enriched["order_items_enriched"].where(DELIVERED())
-    med = exact_quantiles(it.withColumn("_fp", pct("freight_value", "price")), "_fp", [0.5])  # continuous ratio per item
+    sold = L.star["fact_sales"].where(DELIVERED())  # prices need no product or seller join
+    med = exact_quantiles(sold.withColumn("_fp", pct("freight_value", "price")), "_fp", [0.5])  # continuous ratio per item
     return it.agg(F.count_distinct("product_category_name_english").alias("total_categories"),
-                  rnd(mean("price")).alias("avg_price")).crossJoin(med.select(rnd(F.col("_q")[0]).alias("median_freight_pct")))
+                  rnd(mean("price")).alias("avg_price")).crossJoin(F.broadcast(med.select(rnd(F.col("_q")[0]).alias("median_freight_pct"))))
 
 
 def y05_category_table(L: Layers) -> DataFrame:
@@ -216,8 +217,9 @@ def y06_seller_kpis(L: Layers, top_n: int = 10) -> DataFrame:
     s = L.enriched["seller_analytics"]
     top = s.orderBy(F.desc("total_revenue"), "seller_id").limit(top_n).agg(F.sum("total_revenue").alias("_top"))
     a = s.agg(F.count(F.lit(1)).alias("sellers"), money(F.sum("total_revenue")).alias("total_revenue"),
-              F.sum("total_revenue").alias("_all"), rnd(F.median(F.col("total_revenue").cast("double"))).alias("median_revenue"))
-    return a.crossJoin(top).select("sellers", "total_revenue", "median_revenue", rnd(pct("_top", "_all")).alias("top10_share"))
+              F.sum("total_revenue").alias("_all"))
+    med = exact_quantiles(s, "total_revenue", [0.5]).select(rnd(F.col("_q")[0]).alias("median_revenue"))
+    return a.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(med)).select("sellers", "total_revenue", "median_revenue", rnd(pct("_top", "_all")).alias("top10_share"))
 
 
 def y06_sellers_by_state(L: Layers) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from souklens.functions.numeric import money, pct, rnd
 from souklens.plans.context import Layers
+from souklens.sources.inline import local_table
 
 
 def _n(c) -> Column:
@@ -59,11 +60,11 @@ def v01_post_clean_validation(L: Layers) -> DataFrame:
         _orphans(items, c["sellers"], "seller_id", "order_items→sellers FK", "%s orphan items (seller)"),
         _orphans(c["order_payments"], c["orders"], "order_id", "order_payments→orders FK", "%s orphan payments"),
         _unique(oe, ["order_id"], "orders_enriched grain = 1 row per order"),
-        _row(ie.agg(F.count(F.lit(1)).alias("a")).crossJoin(items.agg(F.count(F.lit(1)).alias("b"))),
+        _row(ie.agg(F.count(F.lit(1)).alias("a")).crossJoin(F.broadcast(items.agg(F.count(F.lit(1)).alias("b")))),
              "items_enriched row count matches order_items", F.col("a") == F.col("b"),
              F.format_string("items_enriched=%s, order_items=%s", _n("a"), _n("b"))),
         _row(items.agg((F.coalesce(F.sum("price"), F.lit(0)) + F.coalesce(F.sum("freight_value"), F.lit(0))).alias("a"))
-             .crossJoin(oe.agg(F.coalesce(F.sum("total_order_revenue"), F.lit(0)).alias("b")))
+             .crossJoin(F.broadcast(oe.agg(F.coalesce(F.sum("total_order_revenue"), F.lit(0)).alias("b"))))
              .withColumn("d", F.abs(F.col("a") - F.col("b"))),
              "Revenue consistency: sum(order_items) ≈ sum(orders_enriched.total_order_revenue)", F.col("d") < 1.0,
              F.format_string("order_items sum=R$%s, enriched sum=R$%s, diff=R$%s", F.format_number("a", 2),
@@ -99,7 +100,7 @@ def v04_v09_warehouse_checks(L: Layers) -> DataFrame:
     # V6: delivered revenue at order grain equals revenue at item grain
     a = d.agg(F.coalesce(F.sum("order_revenue"), F.lit(0)).alias("a"))
     b = fs.where(F.col("order_status") == "delivered").agg(F.coalesce(F.sum("item_revenue"), F.lit(0)).alias("b"))
-    checks.append(_row(a.crossJoin(b).withColumn("dd", F.abs(F.col("a") - F.col("b"))), "Fact revenue reconciliation",
+    checks.append(_row(a.crossJoin(F.broadcast(b)).withColumn("dd", F.abs(F.col("a") - F.col("b"))), "Fact revenue reconciliation",
                        F.col("dd") < 0.01, F.format_string("fact_orders=R$%s, fact_sales=R$%s, diff=R$%s",
                                                            F.format_number("a", 2), F.format_number("b", 2),
                                                            F.format_number("dd", 2))))
@@ -113,7 +114,7 @@ def v04_v09_warehouse_checks(L: Layers) -> DataFrame:
     pa = fo.agg(F.coalesce(F.sum("payment_total"), F.lit(0)).alias("a"))
     pb = c["order_payments"].join(fo.select("order_id"), "order_id", "left_semi").agg(
         F.coalesce(F.sum("payment_value"), F.lit(0)).alias("b"))
-    checks.append(_row(pa.crossJoin(pb), "Payment totals not duplicated", F.abs(F.col("a") - F.col("b")) < 0.01,
+    checks.append(_row(pa.crossJoin(F.broadcast(pb)), "Payment totals not duplicated", F.abs(F.col("a") - F.col("b")) < 0.01,
                        F.format_string("fact_orders=R$%s, order_payments=R$%s", F.format_number("a", 2),
                                        F.format_number("b", 2))))
     # V9: sanity ranges
@@ -148,11 +149,36 @@ WAREHOUSE_TABLES = ["customers", "orders", "order_items", "order_payments", "ord
                     "dim_product", "dim_seller", "dim_date", "dim_geography"]
 
 
+def _table(L: Layers, name: str) -> DataFrame | None:
+    return L.star[name] if name in L.star else L.clean[name] if name in L.clean else None
+
+
+def v02_v03_table_checks(L: Layers, expected: dict[str, int | None] | None = None) -> DataFrame:
+    """V2/V3: for each expected table whether it exists, and whether it has the
+    expected number of rows, as (check, status, detail) rows.  ``expected``
+    maps table names to row counts; None asks for one row at least.  Without
+    it every warehouse table is expected, with rows."""
+    parts = []
+    for name, rows in (expected or dict.fromkeys(WAREHOUSE_TABLES)).items():
+        df = _table(L, name)
+        parts.append(local_table(L.spark, [(f"Table exists: {name}", "FAIL" if df is None else "PASS",
+                                            "missing" if df is None else "found")],
+                                 "check string, status string, detail string"))
+        if df is None:
+            continue
+        n = df.agg(F.count(F.lit(1)).alias("n"))
+        good = F.col("n") > 0 if rows is None else F.col("n") == rows
+        want = "at least 1" if rows is None else str(rows)
+        parts.append(n.select(F.lit(f"Row count: {name}").alias("check"), F.when(good, "PASS").otherwise("FAIL").alias("status"),
+                              F.format_string(f"%d rows, expected {want}", F.col("n")).alias("detail")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def v11_table_inventory(L: Layers) -> DataFrame:
-    """Every warehouse table with its row and column count."""
+    """Every warehouse table with its row and column count."""
     parts = []
     for t in WAREHOUSE_TABLES:
-        df = L.star[t] if t in L.star else L.clean[t]
+        df = _table(L, t)
         parts.append(df.agg(F.count(F.lit(1)).alias("rows")).select(
             F.lit(t).alias("table"), "rows", F.lit(len(df.columns)).alias("columns")))
     return reduce(DataFrame.unionByName, parts)
@@ -182,7 +208,8 @@ def v14_null_counts(L: Layers) -> DataFrame:
 
 
 QUALITY_JOBS = {"v01_post_clean_validation": v01_post_clean_validation,
-                "v04_v09_warehouse_checks": v04_v09_warehouse_checks, "v11_table_inventory": v11_table_inventory,
+                "v04_v09_warehouse_checks": v04_v09_warehouse_checks, "v02_v03_table_checks": v02_v03_table_checks,
+                "v11_table_inventory": v11_table_inventory,
                 "v14_orders_without_children": v14_orders_without_children, "v14_null_counts": v14_null_counts}
 
 
@@ -198,7 +225,7 @@ def v13_engine_smoke(L: Layers) -> DataFrame:
     g = growth.w13_growth_headline(L).select(F.col("peak_month"))
     m = growth.monthly_growth(L).agg(F.count(F.lit(1)).alias("growth_months"))
     h = cohort.h6_h7_repeat_summary(L).select(F.col("repeat_rate_pct"))
-    return r.crossJoin(c).crossJoin(s).crossJoin(m).crossJoin(g).crossJoin(h)
+    return r.crossJoin(F.broadcast(c)).crossJoin(F.broadcast(s)).crossJoin(F.broadcast(m)).crossJoin(F.broadcast(g)).crossJoin(F.broadcast(h))
 
 
 QUALITY_JOBS["v13_engine_smoke"] = v13_engine_smoke
@@ -226,7 +253,7 @@ def v12_spot_checks(L: Layers) -> DataFrame:
     sa = e["seller_analytics"].agg((F.count(F.lit(1)) - F.count_distinct("seller_id")).alias("dup_seller_analytics"))
     rv = c["order_reviews"].agg(rnd(F.avg("review_score"), 4).alias("avg_review_score"),
                                 (F.count(F.lit(1)) - F.count_distinct("order_id")).alias("dup_order_reviews"))
-    one = o.crossJoin(i).crossJoin(ca).crossJoin(pa).crossJoin(sa).crossJoin(rv).select(
+    one = o.crossJoin(F.broadcast(i)).crossJoin(F.broadcast(ca)).crossJoin(F.broadcast(pa)).crossJoin(F.broadcast(sa)).crossJoin(F.broadcast(rv)).select(
         "*", money("_it_rev").alias("total_revenue_all_items"), money("_del_rev").alias("revenue_delivered"),
         money(F.abs(F.coalesce(F.col("_oe_rev"), F.lit(0)) - F.coalesce(F.col("_it_rev"), F.lit(0)))).alias("double_count_diff"))
     names = ["total_orders", "delivered_orders", "unique_customers", "repeat_buyers", "repeat_pct", "total_revenue_all_items",

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souklens.functions.buckets import with_quintiles
-from souklens.functions.lineage import cut_lineage
 from souklens.functions.numeric import mean, money, pct, rnd
+from souklens.functions.reuse import reused
 from souklens.functions.stats import asc, first_of
 from souklens.plans.context import Layers
 from souklens.sources.inline import local_table
@@ -46,7 +46,7 @@ def compute_rfm(L: Layers) -> DataFrame:
         F.sum("total_order_revenue").alias("monetary"),
         # the place of the person's first order, in the same pass
         first_of(asc("order_purchase_timestamp") + asc("order_id"), ["customer_state", "customer_city"]))
-    rfm = (per.crossJoin(snap)
+    rfm = (per.crossJoin(F.broadcast(snap))
            .withColumns({"recency_days": F.floor(F.timestamp_diff("SECOND", F.col("last_order_date"),
                                                                   F.col("_snap")) / 86400).cast("int"),
                          "customer_state": F.col("_best.customer_state"),
@@ -54,7 +54,7 @@ def compute_rfm(L: Layers) -> DataFrame:
            .drop("_snap", "_best"))
     # recency (days) and frequency (order counts) have calendar/count-bounded
     # domains; a person's spend does not, so its edges stay distributed
-    rfm = with_quintiles(cut_lineage(rfm), [("recency_days", "R", True), ("frequency", "F", False),
+    rfm = with_quintiles(reused(rfm), [("recency_days", "R", True), ("frequency", "F", False),
                                             ("monetary", "M", False)], distributed=("monetary",))
     rfm = rfm.withColumn("rfm_score", F.concat(F.col("R").cast("string"), F.col("F").cast("string"),
                                                F.col("M").cast("string")))
@@ -77,7 +77,7 @@ def r13_segment_summary(L: Layers) -> DataFrame:
         rnd(mean("frequency"), 4).alias("avg_frequency"), rnd(mean("monetary")).alias("avg_monetary"),
         F.sum("monetary").alias("_rev"))
     tot = s.agg(F.sum("_rev").alias("_tot"))
-    return s.crossJoin(tot).select("segment", "n_customers", "avg_recency", "avg_frequency", "avg_monetary",
+    return s.crossJoin(F.broadcast(tot)).select("segment", "n_customers", "avg_recency", "avg_frequency", "avg_monetary",
                                    money("_rev").alias("total_revenue"),
                                    rnd(pct("_rev", "_tot")).alias("revenue_share_pct"))
 

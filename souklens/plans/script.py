@@ -1,190 +1,54 @@
-"""The analytical suite as a SQL script, and V10: "the script has 18
-statements and every one runs".
-
-``SUITE_SCRIPT`` is plain Spark SQL over the warehouse tables, written as
-``{fact_orders}``-style placeholders that ``spark.sql`` binds to the lazy
-warehouse DataFrames (so nothing is registered globally).  The DataFrame
-jobs in ``sqlsuite`` are the primary Q1-Q18; this text is what a user of the
-warehouse would run by hand, and the script runner (S7) runs it.
-
-V10 stays lazy: each statement becomes a row count, and the counts are one
-union, so "runs" means every statement is executed in full on the cluster.
-Statements that fail analysis are caught while the plan is built and
-reported in the detail; the job itself never collects anything.
+"""V10: "the analytical suite has 18 queries and every one runs".
+
+A query runs in full only if all its columns are computed: a bare row count
+lets Catalyst drop them.  ``run_in_full`` therefore counts rows together with
+a hash of every output column.  Queries are run one after the other, so a
+query that fails, when it is analysed or only when it runs, gives a FAIL row
+and the others still run.  This is the one check that starts Spark jobs while
+it is built: its result is whether they end well.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from souklens.plans.context import Layers
+from souklens.plans.sqlsuite import SUITE
 from souklens.sources.inline import local_table
-from souklens.sources.io import split_statements
+from souklens.sources.io import run_in_full, split_statements
 
 EXPECTED_STATEMENTS = 18
-WAREHOUSE_VIEWS = ("fact_orders", "fact_sales", "dim_customer", "dim_product")
-
-SUITE_SCRIPT = """
--- Q1 delivered orders, revenue, average order value
-SELECT count(*) AS delivered_orders, round(sum(order_revenue), 2) AS total_revenue,
-       round(sum(order_revenue) / count(*), 2) AS average_order_value
-FROM {fact_orders} WHERE order_status = 'delivered';
-
--- Q2 monthly delivered revenue with month-over-month growth
-WITH m AS (SELECT order_year_month, sum(order_revenue) AS revenue FROM {fact_orders}
-           WHERE order_status = 'delivered' GROUP BY order_year_month),
-     l AS (SELECT order_year_month, revenue, lag(revenue) OVER (ORDER BY order_year_month) AS prev FROM m)
-SELECT order_year_month, revenue, prev AS previous_month_revenue,
-       round((revenue - prev) * 100 / nullif(prev, 0), 2) AS mom_growth_percent
-FROM l ORDER BY order_year_month;
-
--- Q3 top 20 categories by delivered revenue
-SELECT coalesce(p.product_category_name_english, p.product_category_name, 'Unknown') AS category,
-       count(DISTINCT s.order_id) AS orders, count(*) AS items, round(sum(s.item_revenue), 2) AS revenue
-FROM {fact_sales} s LEFT JOIN {dim_product} p ON s.product_id = p.product_id
-WHERE s.order_status = 'delivered'
-GROUP BY 1 ORDER BY sum(s.item_revenue) DESC, category LIMIT 20;
-
--- Q4 repeat-customer rate over all statuses
-WITH per AS (SELECT c.customer_unique_id, count(DISTINCT o.order_id) AS n
-             FROM {fact_orders} o JOIN {dim_customer} c ON o.customer_id = c.customer_id
-             GROUP BY c.customer_unique_id)
-SELECT count(*) AS total_customers, count_if(n > 1) AS repeat_customers,
-       round(count_if(n > 1) * 100.0 / count(*), 2) AS repeat_customer_rate_percent
-FROM per;
-
--- Q5 top 20 customers by delivered revenue
-SELECT c.customer_unique_id, count(DISTINCT o.order_id) AS orders, round(sum(o.order_revenue), 2) AS lifetime_revenue,
-       round(avg(o.order_revenue), 2) AS average_order_value,
-       min(o.order_purchase_timestamp) AS first_purchase, max(o.order_purchase_timestamp) AS last_purchase
-FROM {fact_orders} o JOIN {dim_customer} c ON o.customer_id = c.customer_id
-WHERE o.order_status = 'delivered'
-GROUP BY c.customer_unique_id ORDER BY sum(o.order_revenue) DESC, c.customer_unique_id LIMIT 20;
-
--- Q6 top 20 sellers by delivered revenue
-SELECT seller_id, count(DISTINCT order_id) AS orders, count(*) AS items, round(sum(item_revenue), 2) AS revenue
-FROM {fact_sales} WHERE order_status = 'delivered'
-GROUP BY seller_id ORDER BY sum(item_revenue) DESC, seller_id LIMIT 20;
-
--- Q7 seller performance over each seller's distinct delivered orders
-WITH so AS (SELECT DISTINCT seller_id, order_id FROM {fact_sales} WHERE order_status = 'delivered')
-SELECT so.seller_id, count(DISTINCT so.order_id) AS orders, round(avg(o.review_score), 2) AS avg_review_score,
-       round(avg(o.delivery_days), 2) AS avg_delivery_days,
-       round(avg(CASE WHEN o.is_delayed = 1 THEN 100.0 ELSE 0.0 END), 2) AS delayed_order_percent
-FROM so JOIN {fact_orders} o ON so.order_id = o.order_id
-WHERE o.order_status = 'delivered'
-GROUP BY so.seller_id;
-
--- Q8 delivery KPIs
-SELECT count(*) AS delivered_orders, round(avg(delivery_days), 2) AS avg_delivery_days,
-       round(avg(estimated_delivery_days), 2) AS avg_estimated_delivery_days,
-       round(avg(delivery_delay_days), 2) AS avg_delay_days, count_if(is_delayed = 1) AS delayed_orders,
-       round(count_if(is_delayed = 1) * 100.0 / count(*), 2) AS delayed_order_percent
-FROM {fact_orders} WHERE order_status = 'delivered';
+WAREHOUSE_VIEWS = ("fact_orders", "fact_sales", "dim_customer", "dim_product", "dim_seller", "dim_date", "dim_geography")
 
--- Q9 revenue by customer state
-SELECT c.customer_state, count(DISTINCT o.order_id) AS orders, round(sum(o.order_revenue), 2) AS revenue,
-       round(avg(o.order_revenue), 2) AS average_order_value
-FROM {fact_orders} o JOIN {dim_customer} c ON o.customer_id = c.customer_id
-WHERE o.order_status = 'delivered'
-GROUP BY c.customer_state ORDER BY revenue DESC;
 
--- Q10 delivery and delay by review score
-SELECT review_score, count(*) AS orders, round(avg(delivery_days), 2) AS avg_delivery_days,
-       round(avg(delivery_delay_days), 2) AS avg_delay_days,
-       round(count_if(is_delayed = 1) * 100.0 / count(*), 2) AS delayed_percent
-FROM {fact_orders} WHERE order_status = 'delivered' AND review_score IS NOT NULL
-GROUP BY review_score ORDER BY review_score;
+def statements(L: Layers, script: str) -> list[Callable[[], DataFrame]]:
+    """The statements of a script of Spark SQL; ``{fact_orders}``-style names
+    stand for the warehouse tables."""
+    def bound(text: str) -> DataFrame:
+        return L.spark.sql(text, **{v: L.star[v] for v in WAREHOUSE_VIEWS if "{" + v + "}" in text})
 
--- Q11 orders and value by primary payment type
-SELECT primary_payment_type AS payment_type, count(*) AS orders, round(sum(payment_total), 2) AS payment_value,
-       round(avg(payment_total), 2) AS average_payment_value
-FROM {fact_orders} WHERE primary_payment_type IS NOT NULL
-GROUP BY primary_payment_type ORDER BY orders DESC;
+    return [lambda t=t: bound(t) for t in split_statements(script)]
 
--- Q12 category share of delivered revenue, top 10
-WITH c AS (SELECT coalesce(p.product_category_name_english, p.product_category_name, 'Unknown') AS category,
-                  sum(s.item_revenue) AS revenue
-           FROM {fact_sales} s LEFT JOIN {dim_product} p ON s.product_id = p.product_id
-           WHERE s.order_status = 'delivered' GROUP BY 1),
-     t AS (SELECT sum(revenue) AS total FROM c)
-SELECT c.category, round(c.revenue, 2) AS revenue, round(c.revenue * 100 / t.total, 2) AS revenue_share_percent
-FROM c CROSS JOIN t ORDER BY c.revenue DESC, c.category LIMIT 10;
 
--- Q13 monthly delivered orders, revenue and average order value
-SELECT order_year_month, count(*) AS orders, round(sum(order_revenue), 2) AS revenue,
-       round(avg(order_revenue), 2) AS average_order_value
-FROM {fact_orders} WHERE order_status = 'delivered'
-GROUP BY order_year_month ORDER BY order_year_month;
-
--- Q14 single versus multiple payments (no payment row counts as single)
-SELECT CASE WHEN payment_rows > 1 THEN 'Multiple Payments' ELSE 'Single Payment' END AS payment_behavior,
-       count(*) AS orders, round(sum(payment_total), 2) AS payment_value, round(avg(payment_total), 2) AS average_payment
-FROM {fact_orders} GROUP BY 1;
-
--- Q15 top 20 products by delivered revenue, with category
-SELECT s.product_id, coalesce(p.product_category_name_english, p.product_category_name, 'Unknown') AS category,
-       count(*) AS items_sold, count(DISTINCT s.order_id) AS orders, round(sum(s.item_revenue), 2) AS revenue
-FROM {fact_sales} s LEFT JOIN {dim_product} p ON s.product_id = p.product_id
-WHERE s.order_status = 'delivered'
-GROUP BY 1, 2 ORDER BY sum(s.item_revenue) DESC, s.product_id, category LIMIT 20;
-
--- Q16 delivery performance by customer state
-SELECT c.customer_state, count(*) AS delivered_orders, round(avg(o.delivery_days), 2) AS avg_delivery_days,
-       round(avg(o.delivery_delay_days), 2) AS avg_delay_days,
-       round(count_if(o.is_delayed = 1) * 100.0 / count(*), 2) AS delayed_percent
-FROM {fact_orders} o JOIN {dim_customer} c ON o.customer_id = c.customer_id
-WHERE o.order_status = 'delivered'
-GROUP BY c.customer_state ORDER BY avg_delivery_days DESC;
-
--- Q17 orders paid in more than one payment
-SELECT count(*) AS multiple_payment_orders, round(sum(payment_total), 2) AS payment_value,
-       round(avg(payment_total), 2) AS average_payment_value
-FROM {fact_orders} WHERE payment_rows > 1;
-
--- Q18 quarterly delivered revenue and orders
-SELECT year(order_purchase_timestamp) AS order_year, 'Q' || quarter(order_purchase_timestamp) AS quarter,
-       round(sum(order_revenue), 2) AS revenue, count(*) AS orders
-FROM {fact_orders} WHERE order_status = 'delivered'
-GROUP BY 1, 2 ORDER BY 1, 2
-"""
-
-
-def script_frames(L: Layers, script: str = SUITE_SCRIPT) -> tuple[list[DataFrame | None], list[str]]:
-    """Each statement bound to the warehouse tables; ``None`` (and an error
-    text) for a statement that does not parse or resolve."""
-    frames: list[DataFrame | None] = []
-    errors: list[str] = []
-    for i, stmt in enumerate(split_statements(script), start=1):
-        tables = {v: L.star[v] for v in WAREHOUSE_VIEWS if "{" + v + "}" in stmt}
+def v10_script_check(L: Layers, script: str | None = None, expected: int = EXPECTED_STATEMENTS) -> DataFrame:
+    """V10 as (check, status, detail) rows: the number of queries, one row per
+    query with its result size or its error, and the verdict over all.
+    ``script`` is the text of a script; without one the suite Q1-Q18 is run."""
+    queries = [lambda job=job: job(L.star) for job in SUITE.values()] if script is None else statements(L, script)
+    rows = [(f"{expected} analytical SQL queries found", "PASS" if len(queries) == expected else "FAIL",
+             f"Queries found: {len(queries)}")]
+    errors = []
+    for i, query in enumerate(queries, start=1):
         try:
-            frames.append(L.spark.sql(stmt, **tables))
-        except (AnalysisException, ParseException) as e:
-            frames.append(None)
-            errors.append(f"Query {i}: {str(e).splitlines()[0][:300]}")
-    return frames, errors
-
-
-def v10_script_check(L: Layers, script: str = SUITE_SCRIPT) -> DataFrame:
-    """V10 as (check, status, detail) rows: the statement count, one row per
-    statement with its result size, and the all-statements-run verdict."""
-    frames, errors = script_frames(L, script)
-    n = len(frames)
-    head = local_table(L.spark, [(f"{EXPECTED_STATEMENTS} analytical SQL queries found",
-                                  "PASS" if n == EXPECTED_STATEMENTS else "FAIL", f"Queries found: {n}")],
-                       "check string, status string, detail string")
-    runs = [f.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(f"Query {i} executes").alias("check"), F.lit("PASS").alias("status"),
-        F.format_string("%d rows", F.col("n")).alias("detail"))
-        for i, f in enumerate(frames, start=1) if f is not None]
-    tail = local_table(L.spark, [("All analytical SQL queries execute", "FAIL" if errors else "PASS",
-                                  " | ".join(errors) if errors else "No SQL execution errors")],
-                       "check string, status string, detail string")
-    return reduce(DataFrame.unionByName, [head, *runs, tail])
+            rows.append((f"Query {i} executes", "PASS", f"{run_in_full(query())} rows"))
+        except Exception as e:  # noqa: BLE001 - any failure of a query is this check's result
+            errors.append(f"Query {i}: {e}")
+            rows.append((f"Query {i} executes", "FAIL", str(e)))
+    rows.append(("All analytical SQL queries execute", "FAIL" if errors else "PASS",
+                 " | ".join(errors) or "No SQL execution errors"))
+    return local_table(L.spark, rows, "check string, status string, detail string")
 
 
 SCRIPT_JOBS = {"v10_script_check": v10_script_check}

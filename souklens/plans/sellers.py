@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souklens.functions.buckets import with_quintiles
-from souklens.functions.lineage import cut_lineage
+from souklens.functions.buckets import QUINTILE_PROBS, quintile_of
 from souklens.functions.numeric import mean, mean_days, money, ratio, rnd, share_if
+from souklens.functions.quantiles import filled_quantiles
+from souklens.functions.reuse import reused
 from souklens.plans.context import Layers
 
 def DELIVERED():
@@ -26,16 +27,15 @@ TIERS = [("total_revenue", "revenue_tier", False), ("avg_review_score", "review_
 
 
 def with_tiers(df: DataFrame) -> DataFrame:
-    """Quintile tiers, NULLs first filled with the column median.  One
-    aggregate for the medians and one for all quintile edges."""
-    med = df.agg(*[F.median(F.col(v).cast("double")).alias(f"_med{i}") for i, (v, _, _) in enumerate(TIERS)])
-    filled = df.crossJoin(med).withColumns(
-        {f"_v{i}": F.coalesce(F.col(v).cast("double"), F.col(f"_med{i}")) for i, (v, _, _) in enumerate(TIERS)})
-    scored = with_quintiles(filled, [(f"_v{i}", f"_b{i}", False) for i in range(len(TIERS))])
-    for i, (_, out, reverse) in enumerate(TIERS):
+    """Quintile tiers, NULLs first filled with the column median; medians
+    (``_m0`` …, in the order of ``TIERS``) and edges from one distributed pass."""
+    scored = df.crossJoin(F.broadcast(filled_quantiles(df, [v for v, _, _ in TIERS], QUINTILE_PROBS)))
+    for i, (value, out, reverse) in enumerate(TIERS):
+        edges, v = F.col(f"_e{i}"), F.coalesce(F.col(value).cast("double"), F.col(f"_m{i}"))
         labels = TIER_LABELS[::-1] if reverse else TIER_LABELS
-        scored = scored.withColumn(out, F.element_at(F.array(*[F.lit(x) for x in labels]), F.col(f"_b{i}")))
-    return scored.drop(*[f"{p}{i}" for i in range(len(TIERS)) for p in ("_med", "_v", "_b")])
+        scored = scored.withColumn(out, F.element_at(F.array(*[F.lit(x) for x in labels]),
+                                                     quintile_of(v, edges, edges[0], edges[5])))
+    return scored.drop(*[f"_e{i}" for i in range(len(TIERS))])
 
 
 def seller_scorecard(L: Layers) -> DataFrame:
@@ -61,7 +61,7 @@ def seller_scorecard(L: Layers) -> DataFrame:
                F.nullif(F.count_distinct("customer_unique_id"), F.lit(0)).alias("n_customers_served")))
     sc = (sa.join(per, "seller_id", "left")
           .withColumn("seller_aov", ratio("total_revenue", "n_unique_orders")))
-    sc = with_tiers(cut_lineage(sc))
+    sc = with_tiers(reused(sc))
     return sc.withColumn("performance_flag", performance_flag())
 
 
@@ -114,13 +114,11 @@ def i8_flag_summary(L: Layers) -> DataFrame:
 
 def i9_seller_scatter(L: Layers, size_cap: int = 500) -> DataFrame:
     sc = seller_scorecard(L)
-    med = sc.agg(rnd(F.median(F.col("avg_review_score")), 4).alias("median_review"),
-                 rnd(F.median(F.col("total_revenue").cast("double"))).alias("median_revenue"))
     pts = sc.where(F.col("avg_review_score").isNotNull() & (F.col("total_revenue") > 0))
-    return pts.crossJoin(med).select(
+    return pts.select(
         "seller_id", money("total_revenue").alias("total_revenue"), rnd("avg_review_score", 4).alias("avg_review_score"),
-        F.least(F.col("n_unique_orders"), F.lit(size_cap)).alias("size"), "performance_flag", "median_review",
-        "median_revenue")
+        F.least(F.col("n_unique_orders"), F.lit(size_cap)).alias("size"), "performance_flag",
+        rnd("_m1", 4).alias("median_review"), rnd("_m0").alias("median_revenue"))
 
 
 SELLER_JOBS = {"i1_seller_scorecard": i1_seller_scorecard, "i7_opportunity_lists": i7_opportunity_lists,

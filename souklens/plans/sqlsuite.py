@@ -125,11 +125,6 @@ def q07_seller_performance(w) -> DataFrame:
         rnd(_delayed_pct()).alias("delayed_order_percent"))
 
 
-def _delivery_block(prefix_count: str) -> list[F.Column]:
-    return [F.count(F.lit(1)).alias(prefix_count),
-            rnd(mean_days("delivery_seconds")).alias("avg_delivery_days")]
-
-
 def q08_delivery_kpis(w) -> DataFrame:
     return _delivered_orders(w).agg(
         F.count(F.lit(1)).alias("delivered_orders"),
@@ -166,7 +161,7 @@ def q11_payment_types(w) -> DataFrame:
 def q12_category_share(w, limit: int = 10) -> DataFrame:
     c = category_revenue(w)
     total = c.agg(F.sum("revenue_dec").alias("total"))  # one row
-    return (c.crossJoin(total).orderBy(F.desc("revenue_dec"), "category").limit(limit)
+    return (c.crossJoin(F.broadcast(total)).orderBy(F.desc("revenue_dec"), "category").limit(limit)
             .select("category", money("revenue_dec").alias("revenue"),
                     rnd(pct("revenue_dec", "total")).alias("revenue_share_percent")))
 

@@ -1,14 +1,14 @@
 """Plan hygiene for every registered job: no cartesian products, no Python
 evaluation, and every nested-loop join broadcasts a side of at most one row."""
 
-import __spark_entry__ as E
+from souklens import registry
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_no_cartesian_product_or_python_eval(spark):
     # one plan at a time, keeping only its text
-    for name, q in E.queries().items():
+    for name, q in registry.spark_queries().items():
         text = q(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in text, name
         assert "EvalPython" not in text, name
@@ -34,7 +34,7 @@ def test_joins_without_keys_have_a_one_row_side(spark):
     # a side Catalyst proves to hold at most one row
     equi = getattr(spark._jvm.org.apache.spark.sql.catalyst.planning, "ExtractEquiJoinKeys$").__getattr__("MODULE$")
     seen = 0
-    for name, q in E.queries().items():
+    for name, q in registry.spark_queries().items():
         opt = q(spark, SF)._jdf.queryExecution().optimizedPlan()
         for p in _nodes(opt):
             if p.nodeName() == "Join" and equi.unapply(p).isEmpty():

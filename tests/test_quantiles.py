@@ -88,3 +88,22 @@ def test_gini_and_lorenz_with_a_hot_value(spark, n_hot, n_rest, points):
     assert got.keys() == want_l.keys()
     for pt, (sp, rp) in want_l.items():
         assert got[pt][0] == pytest.approx(sp, abs=0.011) and got[pt][1] == pytest.approx(rp, abs=0.011)
+
+
+def test_filled_quantiles_equal_percentile_of_filled_column(spark):
+    from souklens.functions.quantiles import filled_quantiles
+
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 0.0, -1.5, 2.0, rng.uniform(-5, 5)]), rng.choice([None, None, 3.0, rng.uniform(0, 1e6)]), None, 7.0)
+            for _ in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, n double, one double")
+    got = filled_quantiles(df, df.columns, PROBS).first()
+    for i, c in enumerate(df.columns):
+        m = df.agg(F.median(c)).first()[0]
+        want = df.select(F.coalesce(F.col(c), F.lit(m).cast("double")).alias(c)).agg(
+            F.percentile(c, F.array(*[F.lit(p) for p in PROBS]))).first()[0]
+        assert got[f"_m{i}"] == m
+        if want is None:
+            assert got[f"_e{i}"] is None
+        else:
+            assert all(abs(x - y) <= 1e-9 * max(1, abs(y)) for x, y in zip(got[f"_e{i}"], want))

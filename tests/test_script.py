@@ -1,45 +1,41 @@
-"""The SQL script version of the suite (V10) against the DataFrame jobs."""
+"""V10 over the suite and over scripts of our own."""
 
 from pyspark.sql import functions as F
 
 from souklens.plans.context import Layers
-from souklens.plans.script import EXPECTED_STATEMENTS, SUITE_SCRIPT, script_frames, v10_script_check
-from souklens.plans.sqlsuite import SUITE
+from souklens.plans.script import EXPECTED_STATEMENTS, v10_script_check
 from souklens.sources.inline import local_table
 
 SF = "/root/testdata/sf0.001"
+SCRIPT = """-- orders by status
+SELECT order_status, count(*) AS n FROM {fact_orders} GROUP BY order_status;
+SELECT sum(item_revenue) AS revenue FROM {fact_sales} -- all items
+"""
 
-# (statement index, job, key columns compared value by value)
-KEYS = {1: ["delivered_orders"], 2: ["order_year_month"], 3: ["category", "orders", "items"],
-        4: ["total_customers", "repeat_customers"], 5: ["customer_unique_id", "orders"], 6: ["seller_id", "orders", "items"],
-        7: ["seller_id", "orders"], 8: ["delivered_orders", "delayed_orders"], 9: ["customer_state", "orders"],
-        10: ["review_score", "orders"], 11: ["payment_type", "orders"], 12: ["category"], 13: ["order_year_month", "orders"],
-        14: ["payment_behavior", "orders"], 15: ["product_id", "category", "items_sold", "orders"],
-        16: ["customer_state", "delivered_orders"], 17: ["multiple_payment_orders"], 18: ["order_year", "quarter", "orders"]}
 
-
-def test_script_statements_agree_with_jobs(spark):
-    L = Layers(spark, SF)
-    frames, errors = script_frames(L)
-    assert not errors and len(frames) == EXPECTED_STATEMENTS
-    for i, (name, job) in enumerate(SUITE.items(), start=1):
-        keys = KEYS[i]
-        got = sorted(tuple(r) for r in frames[i - 1].select(*keys).collect())
-        want = sorted(tuple(r) for r in job(L.star).select(*keys).collect())
-        assert got == want, name
-
-
-def test_script_check_rows(spark):
+def test_suite_check_rows(spark):
     rows = v10_script_check(Layers(spark, SF)).collect()
     assert len(rows) == EXPECTED_STATEMENTS + 2
     assert rows[0].detail == "Queries found: 18" and all(r.status == "PASS" for r in rows)
 
 
-def test_script_check_reports_bad_statement(spark):
-    bad = SUITE_SCRIPT + ";\nSELECT no_such_column FROM {fact_orders}"
-    rows = v10_script_check(Layers(spark, SF), bad).collect()
-    assert rows[0].status == "FAIL" and rows[0].detail == "Queries found: 19"
-    assert rows[-1].status == "FAIL" and rows[-1].detail.startswith("Query 19:")
+def test_script_that_runs(spark):
+    rows = v10_script_check(Layers(spark, SF), SCRIPT, expected=2).collect()
+    assert [r.status for r in rows] == ["PASS"] * 4 and rows[2].detail == "1 rows"
+
+
+def test_statement_that_does_not_resolve(spark):
+    rows = v10_script_check(Layers(spark, SF), SCRIPT + ";SELECT no_such_column FROM {fact_orders}", expected=2).collect()
+    assert rows[0].status == "FAIL" and rows[0].detail == "Queries found: 3"
+    assert [r.status for r in rows[1:4]] == ["PASS", "PASS", "FAIL"] and "no_such_column" in rows[3].detail
+    assert rows[-1].status == "FAIL" and rows[-1].detail.startswith("Query 3:")
+
+
+def test_statement_that_fails_only_when_it_runs(spark):
+    """The failing column would be dropped by a bare count."""
+    bad = "SELECT order_id, raise_error(order_status) AS x FROM {fact_orders}"
+    rows = v10_script_check(Layers(spark, SF), SCRIPT + ";" + bad, expected=3).collect()
+    assert [r.status for r in rows] == ["PASS", "PASS", "PASS", "FAIL", "FAIL"]
 
 
 def test_local_table_is_a_local_relation(spark):
