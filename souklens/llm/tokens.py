@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -30,14 +31,53 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in plain else up[b] for b in range(256)]
 
 
+class _Words(dict):
+    """word -> number in order of first use; remembers the words that are new."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
+class _Table:
+    """Words and their ids, one after the other."""
+
+    def __init__(self):
+        self.words, self.pieces = _Words(), {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.first, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def add(self, ids: list[list[int]]) -> None:
+        """The ids of the newest words, in their order."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        total, at = int(sizes.sum()), len(self.words) - len(ids)
+        if len(self.words) > len(self.first):
+            self.first, self.count = (np.resize(x, 2 * len(self.words)) for x in (self.first, self.count))
+        if self.used + total > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + total))
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.count[at:at + len(ids)] = sizes
+        self.first[at:at + len(ids)] = self.used + np.cumsum(sizes) - sizes
+        self.used += total
+
+    def get(self, word: bytes) -> list[int] | None:
+        n = self.words.get(word)
+        return None if n is None else self.flat[self.first[n]:self.first[n] + self.count[n]].tolist()
+
+
 class Encoder:
     """``encode_batch`` of a tokenizer, faster for files whose pieces never span white space.
 
     Where the file drops white space and splits at it, the ids of a text are those of its white-space separated words
     one after the other, so each distinct word is encoded once and then looked up.  Other files use plain
-    ``encode_batch``.  The tables start anew at ``most`` words, which bounds memory and changes no id."""
+    ``encode_batch``.  A table of ``most`` words becomes the old one and is asked once more for each of its words, so
+    frequent words stay; this bounds memory and changes no id."""
 
-    def __init__(self, path: str | None = None, most: int = 300_000):
+    def __init__(self, path: str | None = None, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,13 +87,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.by_word = _splits_at_space(json.load(f))
         self.chars = _byte_chars()
-        self._clear()
-
-    def _clear(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.now, self.old = _Table(), _Table()
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) in order and the number of ids of each text."""
@@ -62,31 +96,47 @@ class Encoder:
                                                               add_special_tokens=False)]
             sizes = np.array([len(i) for i in ids], np.int64)
             return np.array([x for i in ids for x in i], np.uint32), sizes
+        if len(self.now.words) > self.most:
+            self.now, self.old = _Table(), self.now
         words: list[bytes] = []
-        ends = []
+        ends = [0]
         for t in texts:
             words += t.split()
             ends.append(len(words))
-        if len(self.words) > self.most:
-            self._clear()
-        new = {w for w in words if w not in self.words}
-        if new:
-            self._learn(sorted(new))
-        numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        sizes = self.count[numbers]
+        table = self.now
+        numbers = np.fromiter(map(table.words.__getitem__, words), np.int64, len(words))
+        if table.words.new:
+            table.add(self._encode(table.words.new))
+            table.words.new = []
+        sizes = table.count[numbers]
         before = np.concatenate([[0], np.cumsum(sizes)])
-        where = np.repeat(self.first[numbers] - before[:-1], sizes) + np.arange(before[-1])
-        return self.flat[where], np.diff(before[np.concatenate([[0], ends]).astype(np.int64)])
-
-    def _learn(self, new: list[bytes]) -> None:
-        slow, known = [], {}
-        for w in new:
+        where = np.repeat(table.first[numbers] - before[:-1], sizes) + np.arange(before[-1])
+        return table.flat[where], np.diff(before[ends])
+
+    def _encode(self, new: list[bytes]) -> list[list[int]]:
+        out: list = [None] * len(new)
+        slow, plain, pieces, tokenize, known = [], _PLAIN.fullmatch, self.now.pieces, self.tokenizer.model.tokenize, self.old.words
+        for i, w in enumerate(new):
+            if w in known:
+                out[i] = self.old.get(w)
+                continue
             text = w.decode("utf-8", "replace")
-            m = _PLAIN.fullmatch(text)
+            m = plain(text)
             if m is None:
-                slow.append((w, text))
-            else:
-                known[w] = self._piece(m[1].lower()) + (self._piece(m[2]) if m[2] else [])
+                slow.append((i, text))
+                continue
+            letters, marks = m.groups()
+            letters = letters.lower()
+            ids = pieces.get(letters)
+            if ids is None:
+                chars = letters if letters.isascii() else "".join(map(self.chars.__getitem__, letters.encode()))
+                ids = pieces[letters] = [t.id for t in tokenize(chars)]
+            if marks:
+                more = pieces.get(marks)
+                if more is None:
+                    more = pieces[marks] = [t.id for t in tokenize(marks)]
+                ids = ids + more
+            out[i] = ids
         for at in range(0, len(slow), 2_000):
             some = slow[at:at + 2_000]
             starts = np.cumsum([0] + [len(t) + 1 for _, t in some])
@@ -94,26 +144,10 @@ class Encoder:
             word = np.searchsorted(starts, [a for a, _ in got.offsets], "right") - 1
             ends = np.searchsorted(word, np.arange(len(some)), "right")
             ids, a = got.ids, 0
-            for (w, _), b in zip(some, ends.tolist()):
-                known[w] = ids[a:b]
+            for (i, _), b in zip(some, ends.tolist()):
+                out[i] = ids[a:b]
                 a = b
-        for w, ids in known.items():
-            n = len(self.words)
-            if n == len(self.first):
-                self.first, self.count = np.resize(self.first, 2 * n), np.resize(self.count, 2 * n)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.first[n], self.count[n] = self.used, len(ids)
-            self.used += len(ids)
-            self.words[w] = n
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            chars = piece if piece.isascii() else "".join(map(self.chars.__getitem__, piece.encode()))
-            ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(chars)]
-        return ids
+        return out
 
 
 def _splits_at_space(spec: dict) -> bool:
