@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,22 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links (u, v) and, for each, the smallest node that it reaches through them: as many rows as nodes,
+    however many links there are."""
+    nodes, both = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = both[:len(u)], both[len(u):]
+    least = np.arange(len(nodes))
+    while True:
+        new = least.copy()
+        np.minimum.at(new, x, least[y])
+        np.minimum.at(new, y, least[x])
+        new = np.minimum(new, new[new])
+        if (new == least).all():
+            return nodes, nodes[least]
+        least = new
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"),
                     F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souklens.llm.components import connected_components
+from souklens.llm.components import connected_components, stars
 from souklens.llm.storage import cut
 
 THRESHOLD = 0.98
@@ -58,21 +58,6 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, codes_a, codes_b)
     return (np.concatenate(rows) if rows else none), (np.concatenate(cols) if cols else none)
 
 
-def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each node of the links (u, v), the smallest node that it reaches through them."""
-    nodes, both = np.unique(np.concatenate([u, v]), return_inverse=True)
-    x, y = both[:len(u)], both[len(u):]
-    least = np.arange(len(nodes))
-    while True:
-        new = least.copy()
-        np.minimum.at(new, x, least[y])
-        np.minimum.at(new, y, least[x])
-        new = np.minimum(new, new[new])
-        if (new == least).all():
-            return nodes, nodes[least]
-        least = new
-
-
 def _usable():
     v = F.col("embedding")
     good = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
@@ -132,7 +117,7 @@ def linked_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int =
         x, y = tile_links(a, b, threshold, qa, qb)
         x, y = (x[x < y], y[x < y]) if i == j else (x, y)
         u, v, count = np.concatenate([id_a[x], id_b[y]]), np.concatenate([id_b[y], id_a[x]]), np.concatenate([n_b[y], n_a[x]])
-        nodes, least = _stars(u, v)
+        nodes, least = stars(u, v)
         n = np.bincount(np.searchsorted(nodes, u), count, len(nodes))
         return pa.table({"u": nodes, "v": least, "n": n.astype(np.int64)})
 

@@ -6,9 +6,10 @@
 2. Documents with equal sets form a class, represented by the smallest doc_id; only classes go on.
 3. Classes that share a band key are candidates.  First the signature of each one is held against those of the smallest
    classes of its keys, and its full set against the smallest of these that agrees.  Components of these links are found.
-4. Keys whose classes are still in more than one component are searched in full, in blocks of bounded size, for pairs
-   across components: signatures inside the blocks, full sets of what remains.  So a bucket of thousands of near copies
-   costs one comparison each, and no link is lost to a cap.
+4. Keys whose classes are still in more than one component are searched in full, in blocks of bounded size: signatures
+   first, then the full sets of the classes that agree with one of another component, whose common shingles are counted
+   through the postings of the block.  A block gives its links as stars, so a bucket of thousands of near copies gives
+   some rows each, and no link is lost to a cap.
 5. Components by alternating large-star and small-star over both kinds of links.
 
 A pair of similarity 0.75 shares no key in one of 2*10^5 cases, and passes the signature test (70 of 128 equal minima)
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souklens.llm.components import connected_components
+from souklens.llm.components import connected_components, stars
 from souklens.llm.storage import cut
 from souklens.llm.text import WordHashes, chunks, mix, shingle_sets
 
@@ -36,7 +37,8 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 THRESHOLD = 75          # percent
 SIGNATURE_LEAST = 70    # equal minima of 128 that a pair needs before its sets are compared
-BLOCK = 1_500           # classes in one block of a bucket that is searched in full
+BLOCK = 1_500           # classes in one block of a bucket that is searched in full, and their shingles
+BLOCK_SHINGLES = 1_000_000
 
 _rng = np.random.default_rng(20_240_229)
 _A = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,12 +104,12 @@ def _set_of(text: bytes, hashes: WordHashes) -> np.ndarray:
     return shingle_sets([text], hashes)[0]
 
 
-def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return bool(len(a)) and 100 * both >= percent * (len(a) + len(b) - both)
+    return bool(len(a)) and 100 * both >= THRESHOLD * (len(a) + len(b) - both)
 
 
-def confirm_on_sets(pairs: DataFrame, texts: DataFrame, percent: int = THRESHOLD) -> DataFrame:
+def confirm_on_sets(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The ``pairs(u, v)`` whose full shingle sets reach the threshold; ``texts(id, text)``."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, kept = WordHashes(), None, None
@@ -118,7 +120,7 @@ def confirm_on_sets(pairs: DataFrame, texts: DataFrame, percent: int = THRESHOLD
             for x, y, s, t in zip(u, v, a, b):
                 if s != last:
                     last, kept = s, _set_of(s or b"", hashes)
-                good.append(_alike(kept, _set_of(t or b"", hashes), percent))
+                good.append(_alike(kept, _set_of(t or b"", hashes)))
             rows = batch.filter(pa.array(good, pa.bool_()))
             yield pa.record_batch([rows.column(0), rows.column(1)], ["u", "v"])
 
@@ -142,54 +144,69 @@ def _signatures_agree(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.select("u", "v", "su", "sv").mapInArrow(check, "u long, v long")
 
 
-def _pairs_across(members: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs of different components within a key whose signatures agree.
-
-    Members of a key are dealt into blocks by a hash; each pair of blocks is one bounded group, whatever the key's size.
-    Of the links that a block pair finds, those that join components not yet joined there go on first; every other pair
-    with agreeing signatures goes on too, so nothing is lost."""
-    sized = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("a"),
-                                       F.max("component").alias("b")).filter("a < b")
-    dealt = (members.join(sized.select("key", "size"), "key")
-             .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-             .withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
-             .join(sigs, "id"))
-    spread = dealt.select("key", "id", "component", "sig", "block",
-                          F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "key", "id", "component", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-    def search(table: pa.Table) -> pa.Table:
-        ids, comp, block = (table.column(c).to_numpy() for c in ("id", "component", "block"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, MINIMA)
-        left, right = (np.flatnonzero(block == i), np.flatnonzero(block == j))
-        u, v = [], []
-        for at in range(0, len(left), 64):
-            rows = left[at:at + 64]
-            same = np.zeros((len(rows), len(right)), np.int16)
-            for k in range(MINIMA):
-                same += sig[rows, k][:, None] == sig[right, k][None, :]
-            hit = (same >= SIGNATURE_LEAST) & (comp[rows][:, None] != comp[right][None, :])
-            if i == j:
-                hit &= ids[rows][:, None] < ids[right][None, :]
-            x, y = np.nonzero(hit)
-            u.append(ids[rows[x]])
-            v.append(ids[right[y]])
-        u, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (u, v))
-        return pa.table({"u": np.minimum(u, v).astype(np.int64), "v": np.maximum(u, v).astype(np.int64)})
-
-    return spread.groupBy("key", "i", "j").applyInArrow(search, "u long, v long").distinct()
-
-
-def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
+def _blocks(members: DataFrame) -> DataFrame:
+    """The members of keys with more than one component, once for each pair (i, j) of blocks that their block is in.
+
+    A key's blocks are bounded in members and in shingles, whatever the key's size; members are dealt by a hash."""
+    sized = members.groupBy("key").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
+        F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
+    dealt = members.join(sized.select("key", "blocks"), "key").withColumn(
+        "block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
+
+
+def _with_partners(table: pa.Table) -> pa.Table:
+    """The members of a block pair whose signature agrees with one of another component."""
+    comp, block = (table.column(c).to_numpy() for c in ("component", "block"))
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, MINIMA)
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    found = np.zeros(len(block), bool)
+    for at in range(0, len(left), 64):
+        rows = left[at:at + 64]
+        same = np.zeros((len(rows), len(right)), np.uint8)
+        for k in range(MINIMA):
+            same += sig[rows, k][:, None] == sig[right, k][None, :]
+        hit = (same >= SIGNATURE_LEAST) & (comp[rows][:, None] != comp[right][None, :])
+        found[rows] |= hit.any(1)
+        found[right] |= hit.any(0)
+    return table.select(["key", "i", "j", "id", "component"]).filter(pa.array(found))
+
+
+def _component_links(table: pa.Table) -> pa.Table:
+    """Links between components of a block pair, confirmed on full sets.  The members' postings give the intersections of
+    one set with all others at once; the links are reduced to stars."""
+    hashes = WordHashes()
+    sets = shingle_sets([t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()], hashes)
+    comp, size = table.column("component").to_numpy(), np.array([len(s) for s in sets])
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)[np.argsort(place, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(place))])
+    ends = np.cumsum(size)
+    u, v = [], []
+    for x in range(len(sets)):
+        mine = place[ends[x] - size[x]:ends[x]]
+        many = first[mine + 1] - first[mine]
+        before = np.cumsum(many) - many
+        both = np.bincount(owner[np.repeat(first[mine] - before, many) + np.arange(many.sum())], minlength=len(sets))
+        good = np.flatnonzero((100 * both >= THRESHOLD * (size[x] + size - both)) & (comp != comp[x]))
+        u.append(np.full(len(good), comp[x]))
+        v.append(comp[good])
+    nodes, least = stars(np.concatenate(u), np.concatenate(v))
+    return pa.table({"u": nodes.astype(np.int64), "v": least.astype(np.int64)})
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``."""
     table = cut(signature_table(docs), "minhash-signatures")
     named = ["n_shingles", "f1", "f2"]
     classes = table.filter("n_shingles > 0").groupBy(*named).agg(F.min("doc_id").alias("id"))
     rep = cut(table.join(classes.filter("id is not null").select(*named, F.col("id").alias("doc_id")), [*named, "doc_id"],
-                         "left_semi").select(F.col("doc_id").alias("id"), "sig", "bands").dropDuplicates(["id"]),
-              "minhash-classes")
-    keys = rep.select("id", F.explode("bands").alias("key"))
+                         "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands")
+              .dropDuplicates(["id"]), "minhash-classes")
+    keys = rep.select("id", "n_shingles", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut(keys.join(shared.select("key", "first"), "key"), "minhash-buckets")
     some = cut(members.select("id").distinct(), "minhash-candidates")
@@ -198,15 +215,14 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
                 "minhash-candidate-texts")
     star = members.filter("first < id").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
     star = _signatures_agree(star, sigs).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    links = cut(confirm_on_sets(star, texts, percent), "minhash-links")
+    links = cut(confirm_on_sets(star, texts), "minhash-links")
     first = cut(connected_components(links), "minhash-components")
     of = some.join(first, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
-    spread = cut(members.select("key", "id").join(of, "id"), "minhash-members")
-    across = cut(_pairs_across(spread, sigs), "minhash-pairs")
-    more = confirm_on_sets(across, texts, percent)
-    joined = cut(more.join(of.select(F.col("id").alias("u"), F.col("component").alias("cu")), "u")
-                 .join(of.select(F.col("id").alias("v"), F.col("component").alias("cv")), "v")
-                 .select(F.col("cu").alias("u"), F.col("cv").alias("v")), "minhash-more-links")
+    spread = cut(members.select("key", "id", "n_shingles").join(of, "id"), "minhash-members")
+    open_ = cut(_blocks(spread).join(sigs, "id").groupBy("key", "i", "j").applyInArrow(
+        _with_partners, "key long, i int, j int, id long, component long"), "minhash-open")
+    joined = cut(open_.join(texts, "id").groupBy("key", "i", "j").applyInArrow(_component_links, "u long, v long")
+                 .filter("u <> v").distinct(), "minhash-more-links")
     second = connected_components(joined).select(F.col("node").alias("component"), F.col("component").alias("merged"))
     final = of.join(second, "component", "left").select("id", F.coalesce("merged", "component").alias("component_id"))
     final = cut(final.filter("id <> component_id"), "minhash-merged")
@@ -217,10 +233,10 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def keep_one_each(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
+def keep_one_each(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each group of near duplicates, all columns as they are.  Of rows that share the kept
     doc_id one stays; rows without words stay, one for each doc_id; rows without doc_id stay when no text is like theirs."""
-    found = near_duplicates(docs, percent)
+    found = near_duplicates(docs)
     # Rows without doc_id are told apart by nothing but their text: they stay unless a document with an id has their set.
     drop = cut(found.groupBy("doc_id").agg(F.max("kept").alias("keep"), F.count(F.lit(1)).alias("n"))
                .filter("doc_id is not null and (not keep or n > 1)")
