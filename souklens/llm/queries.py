@@ -11,6 +11,7 @@ from souklens.llm.decontaminate import op6_positional_index
 from souklens.llm.embeddings import op9_int8_tiles
 from souklens.llm.lm import op8_stupid_backoff
 from souklens.llm.minhash import op2_minhash
+from souklens.llm.oracles import ORACLES  # noqa: F401
 from souklens.llm.packing import op7_sum_of_squares
 from souklens.llm.pages import op5_template_removal
 from souklens.llm.pii import op1_anchor_expansion
@@ -29,5 +30,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_int8_tiles": op9_int8_tiles,
     "op10_line_field": op10_line_field,
 }
-
-ORACLES: dict[str, str] = {}
