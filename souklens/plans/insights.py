@@ -45,7 +45,7 @@ def _one_row(**parts: DataFrame) -> DataFrame:
     """Cross-join one-row frames, each packed into a struct column named by
     its key; all are provably one row, so this is a tiny broadcast."""
     frames = [df.select(F.struct(*df.columns).alias(name)) for name, df in parts.items()]
-    return reduce(DataFrame.crossJoin, frames)
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), frames)
 
 
 def _top1(df: DataFrame, order: list[Column]) -> DataFrame:

@@ -70,7 +70,7 @@ def l01_validate_database(w) -> DataFrame:
     counts = [w[t].agg(F.count(F.lit(1)).alias(alias)) for t, alias in
               [("fact_orders", "fact_orders"), ("fact_sales", "fact_sales"), ("dim_customer", "customers"),
                ("dim_product", "products"), ("dim_seller", "sellers")]]
-    return reduce(DataFrame.crossJoin, counts)
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), counts)
 
 
 def _delivered_rev() -> F.Column:

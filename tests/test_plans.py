@@ -41,3 +41,44 @@ def test_joins_without_keys_have_a_one_row_side(spark):
                 seen += 1
                 assert _at_most_one_row(p.left()) or _at_most_one_row(p.right()), name
     assert seen > 0
+
+
+SCORE_JOBS = ("q10_review_vs_delay", "a04_review_distribution", "e3_customer_analytics", "i1_seller_scorecard")
+PRICE_JOBS = ("a14_logistics", "a17_freight_price_corr", "w10_monthly_growth", "w13_growth_headline", "w14_rolling_revenue")
+
+
+def test_score_jobs_do_not_read_review_texts(spark):
+    qs = registry.spark_queries()
+    for name in SCORE_JOBS:
+        text = qs[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "review_comment_message" not in text and "review_comment_title" not in text, name
+
+
+def test_price_jobs_read_neither_products_nor_sellers(spark):
+    qs = registry.spark_queries()
+    for name in PRICE_JOBS:
+        text = qs[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "part.parquet" not in text and "supplier.parquet" not in text, name
+
+
+def test_no_cartesian_product_with_broadcast_off(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, q in registry.spark_queries().items():
+            if name == "v10_script_check":  # runs its queries while it is built
+                continue
+            assert "CartesianProduct" not in q(spark, SF)._jdf.queryExecution().executedPlan().toString(), name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_building_a_plan_starts_no_job(spark):
+    sc = spark.sparkContext
+    sc.setJobGroup("plans", "building plans")
+    try:
+        for name, q in registry.spark_queries().items():
+            if name != "v10_script_check":
+                q(spark, SF)
+        assert not list(sc.statusTracker().getJobIdsForGroup("plans"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
