@@ -2,14 +2,16 @@
 
 The counts of all n-grams of the corpus (orders 1 to ``ORDER``) meet the n-grams of every document by hash:
 
-1. Documents are gathered into blocks of about a million words; a block keeps its own dictionary and its words as numbers.
-2. Every block gives its distinct n-grams with their counts, cut by the upper bits of the n-gram's 64-bit hash into
+1. Documents are gathered into blocks of some 250,000 words; a block keeps its own dictionary and its words as numbers.
+2. Every block gives its distinct n-grams with their counts, cut by the upper bits of the n-gram's 56-bit hash into
    partitions of the count table: one row for each block and partition.  Counting within the block first means that an
    n-gram of a third of all documents is one entry of each block.
 3. Each partition adds up the counts of its n-grams and answers every block with the totals of that block's n-grams.
 4. A block with its answers scores its documents.  A document's own occurrences are taken off the counts, so that a text
    is never scored by itself.
 
+Hashes have 56 bits: of 10^9 distinct n-grams some 10 share a hash with another, of 10^13 some 10^9, a ten-thousandth.
+
 The score of a word is count(n-gram) / count(context) at the longest order where the n-gram is known, times 0.4 for each
 order that was left out; a word unknown to all other documents counts as one occurrence.  Words are those of
 ``alnum_words``; contexts do not reach over a document's start.  A document's score is the sum of the logarithms.
@@ -35,14 +37,15 @@ from souklens.llm.text import Interner, alnum_words, chunks, ngram_hashes
 
 ORDER = 3
 BACKOFF = 0.4
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 250_000
+HASH_BITS = 56
 PARTITION_GRAMS = 2_000_000
 _SALT = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63],
                  np.uint64)
 
 
 def word_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(block, ids, sizes, terms, numbers): documents as numbers (u4) into the block's own dictionary."""
+    """(block, ids, sizes, terms, numbers): documents as packed numbers into the block's own dictionary."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
         ids, sizes, numbers, terms, total = [], [], [], Interner(), 0
@@ -52,7 +55,7 @@ def word_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
             out = pa.record_batch(
                 [pa.array([(part << 32) + made], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
                  pa.array([sizes], pa.list_(pa.int64())), pa.array([b" ".join(terms)], pa.binary()),
-                 pa.array([np.concatenate(numbers).astype("<u4").tobytes()], pa.binary())],
+                 pa.array([pack_numbers(np.concatenate(numbers))], pa.binary())],
                 ["block", "ids", "sizes", "terms", "numbers"])
             made, ids, sizes, numbers, terms, total = made + 1, [], [], [], Interner(), 0
             return out
@@ -79,7 +82,7 @@ class Grams:
     def __init__(self, sizes: list[int], terms: bytes, numbers: bytes, order: int):
         self.sizes = np.array(sizes, np.int64)
         table = np.array([xxhash.xxh3_64_intdigest(w) for w in terms.split()], np.uint64)
-        words = table[np.frombuffer(numbers, "<u4")] if len(numbers) else np.zeros(0, np.uint64)
+        words = table[unpack_numbers(numbers).astype(np.int64)]
         self.document = np.repeat(np.arange(len(sizes)), self.sizes)
         self.depth = np.arange(len(words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         self.order, self.words = order, words
@@ -87,11 +90,26 @@ class Grams:
     def hashes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(last word's place, hash) of each n-gram within a document."""
         at = np.flatnonzero(self.depth >= n - 1)
-        return at, ngram_hashes(self.words, n)[at - n + 1] ^ _SALT[n]
+        return at, (ngram_hashes(self.words, n)[at - n + 1] ^ _SALT[n]) >> np.uint64(64 - HASH_BITS)
 
 
 def _bucket_bounds(bits: int) -> np.ndarray:
-    return np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
+    return np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(HASH_BITS - bits) if bits else np.zeros(0, np.uint64)
+
+
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Numbers as byte planes, lowest bytes first, as many as the largest needs: the upper planes are almost empty, so
+    the exchange's compression leaves little of them."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + np.ascontiguousarray(planes).tobytes()
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :data[0]] = planes.T
+    return out.view("<u8").ravel()
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -128,22 +146,23 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, block_words: int = BLOCK
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
                 grams, counts = distinct(Grams(r["sizes"], r["terms"], r["numbers"], order))
                 cuts = np.concatenate([[0], np.searchsorted(grams, bounds), [len(grams)]]).tolist()
                 yield pa.record_batch(
                     [pa.array(range(len(cuts) - 1), pa.int32()), pa.array([r["block"]] * (len(cuts) - 1), pa.int64()),
                      pa.array([pack_sorted(grams[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                     pa.array([counts[a:b].astype("<u4").tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
+                     pa.array([pack_numbers(counts[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())],
                     ["bucket", "block", "grams", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         grams = [unpack_sorted(x) for x in table.column("grams").to_pylist()]
-        counts = [np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]
+        counts = [unpack_numbers(x) for x in table.column("counts").to_pylist()]
         all_, where = np.unique(np.concatenate(grams), return_inverse=True)
         sums = np.bincount(where, np.concatenate(counts), len(all_)).astype("<u8")
         ends = np.cumsum([len(g) for g in grams])
-        answers = [sums[w].tobytes() for w in np.split(where, ends[:-1])]
+        answers = [pack_numbers(sums[w]) for w in np.split(where, ends[:-1])]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "totals": pa.array(answers, pa.binary())})
 
     answers = (blocks.select("block", "sizes", "terms", "numbers")
@@ -155,7 +174,7 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, block_words: int = BLOCK
         grams = Grams(r["sizes"], r["terms"], r["numbers"], order)
         known = distinct(grams)[0]
         told = sorted(zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist()))
-        sums = np.frombuffer(b"".join(t for _, t in told), "<u8").astype(np.int64)
+        sums = np.concatenate([unpack_numbers(t) for _, t in told]).astype(np.int64)
         n = len(grams.words)
         others = np.zeros((order + 1, n), np.int64)  # occurrences in other documents, by order and last word
         for k in range(1, order + 1):

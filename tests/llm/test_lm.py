@@ -62,6 +62,11 @@ def test_differences_round_trip():
         assert (lm.unpack_sorted(lm.pack_sorted(v)) == v).all() and len(lm.unpack_sorted(lm.pack_sorted(v))) == len(v)
 
 
+def test_byte_planes_round_trip():
+    for v in ([], [0], [1, 255, 256, 2**40], list(range(1000))):
+        assert lm.unpack_numbers(lm.pack_numbers(np.array(v, np.uint64))).tolist() == v
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
