@@ -151,7 +151,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 codes, sizes = Codes(row["codes"]), np.array(row["sizes"], np.int64)
                 ends = np.cumsum(sizes)
                 yield pa.record_batch(

@@ -173,7 +173,8 @@ def search(index: DataFrame, benchmark: DataFrame, slop: int | None = None, wind
     def matcher(windows: Windows):
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
+                for k in range(batch.num_rows):
+                    row = batch.slice(k, 1).to_pylist()[0]
                     block = Block(row["sizes"], row["terms"], row["counts"], row["low"], row["high"])
                     edge = np.zeros(int(block.starts[-1]) + 1, np.int32)
                     items, near = defaultdict(set), 0

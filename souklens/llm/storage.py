@@ -20,6 +20,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python tasks get in bytes and in rows: texts are long, and a batch is held on both
+    sides of the pipe.  Settings that the session already has are kept."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"),
+                       ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))):
+        if key not in spark.conf.getAll:
+            spark.conf.set(key, value)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 

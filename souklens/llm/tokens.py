@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
+from array import array
 
 import numpy as np
 
@@ -51,22 +51,22 @@ class _Table:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def add(self, ids: list[list[int]]) -> None:
+    def add(self, ids: list[bytes]) -> None:
         """The ids of the newest words, in their order."""
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         total, at = int(sizes.sum()), len(self.words) - len(ids)
         if len(self.words) > len(self.first):
             self.first, self.count = (np.resize(x, 2 * len(self.words)) for x in (self.first, self.count))
         if self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * (self.used + total))
-        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.flat[self.used:self.used + total] = np.frombuffer(b"".join(ids), np.uint32)
         self.count[at:at + len(ids)] = sizes
         self.first[at:at + len(ids)] = self.used + np.cumsum(sizes) - sizes
         self.used += total
 
-    def get(self, word: bytes) -> list[int] | None:
-        n = self.words.get(word)
-        return None if n is None else self.flat[self.first[n]:self.first[n] + self.count[n]].tolist()
+    def get(self, word: bytes) -> bytes:
+        n = self.words[word]
+        return self.flat[self.first[n]:self.first[n] + self.count[n]].tobytes()
 
 
 class Encoder:
@@ -113,7 +113,7 @@ class Encoder:
         where = np.repeat(table.first[numbers] - before[:-1], sizes) + np.arange(before[-1])
         return table.flat[where], np.diff(before[ends])
 
-    def _encode(self, new: list[bytes]) -> list[list[int]]:
+    def _encode(self, new: list[bytes]) -> list[bytes]:
         out: list = [None] * len(new)
         slow, plain, pieces, tokenize, known = [], _PLAIN.fullmatch, self.now.pieces, self.tokenizer.model.tokenize, self.old.words
         for i, w in enumerate(new):
@@ -130,11 +130,11 @@ class Encoder:
             ids = pieces.get(letters)
             if ids is None:
                 chars = letters if letters.isascii() else "".join(map(self.chars.__getitem__, letters.encode()))
-                ids = pieces[letters] = [t.id for t in tokenize(chars)]
+                ids = pieces[letters] = array("I", [t.id for t in tokenize(chars)]).tobytes()
             if marks:
                 more = pieces.get(marks)
                 if more is None:
-                    more = pieces[marks] = [t.id for t in tokenize(marks)]
+                    more = pieces[marks] = array("I", [t.id for t in tokenize(marks)]).tobytes()
                 ids = ids + more
             out[i] = ids
         for at in range(0, len(slow), 2_000):
@@ -145,7 +145,7 @@ class Encoder:
             ends = np.searchsorted(word, np.arange(len(some)), "right")
             ids, a = got.ids, 0
             for (i, _), b in zip(some, ends.tolist()):
-                out[i] = ids[a:b]
+                out[i] = array("I", ids[a:b]).tobytes()
                 a = b
         return out
 
