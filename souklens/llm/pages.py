@@ -2,15 +2,15 @@
 
 1. Every page is read into its elements.  Each block element with text gets a hash of its subtree: tag names and texts, but
    no attributes, since links and counters differ from page to page.
-2. Spark counts, for each host, the pages that hold a subtree.  Subtrees on at least half of a host's pages, and on ten at
-   least, are its template.  Every page adds to the counts, so a host's template has at most twice as many subtrees as its
-   pages have elements on average.
-3. Each page drops its host's template subtrees, then everything that its markup names as no main text (menus, headers,
+2. Spark counts, for each host, the different pages that hold a subtree outside their article; pages that give the same
+   text count as one.  Subtrees on at least half of a host's pages, and on ten at least, are its template.
+3. Each page drops its host's template subtrees, except those that are, hold or stand inside its article or main element,
+   which stays whole however often it or its parts recur.  It also drops everything that its markup names as no main text (menus, headers,
    footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers), and gives the blocks of its article,
    or else of its main element, or else of its body without blocks made of links.
 
 Defined cases: null and empty html give the empty text; pages without a host are their own and have no template.  Repeated
-rows count as pages of their own and give equal texts.  Broken markup is read as browsers read it: an open paragraph ends
+rows count once and give equal texts.  Broken markup is read as browsers read it: an open paragraph ends
 where the next block starts, unknown end tags are skipped, open elements end with the page.  Other columns are not read.
 """
 
@@ -60,12 +60,13 @@ _RAW_END = {n: re.compile(rf"</{n}[^>]*>", re.I) for n in RAW}
 
 
 class Element:
-    __slots__ = ("tag", "first", "end", "junk", "main", "parts", "digest", "depth")
+    __slots__ = ("tag", "first", "end", "junk", "main", "parts", "digest", "depth", "spared")
 
     def __init__(self, tag: str, first: int, junk: bool, main: str, depth: int):
         self.tag, self.first, self.end, self.junk, self.main, self.depth = tag, first, first, junk, main, depth
         self.parts: list[str] | None = [tag]
         self.digest = 0
+        self.spared = False     # is, holds or stands inside the page's article or main element
 
 
 class Page:
@@ -103,6 +104,27 @@ class Page:
             self._text(s[at:])
         while self._stack:
             self._pop()
+        self._spare()
+
+    def _spare(self) -> None:
+        """Mark the article and main elements that hold text, and the elements over and inside them."""
+        shown = bytearray(not t.isspace() and t != "" for t in self.texts)
+        for e in self.elements:
+            if e.junk:
+                shown[e.first:e.end] = bytes(e.end - e.first)
+        inside = None
+        for e in self.elements:
+            if inside is not None and e.depth <= inside:
+                inside = None
+            e.spared = inside is not None or e.main != "" and shown.find(1, e.first, e.end) >= 0
+            if inside is None and e.spared:
+                inside = e.depth
+        below = 0
+        for e in reversed(self.elements):
+            if e.spared:
+                below = e.depth
+            elif e.depth < below:
+                e.spared, below = True, e.depth
 
     def _text(self, raw: str) -> None:
         if raw.isspace() and not self.texts:
@@ -180,14 +202,20 @@ class Page:
             self._stack[-1].parts.append(f"{e.tag}{e.digest:x}")
 
     def subtrees(self) -> set[int]:
-        """Signed hashes of the block elements that hold text."""
+        """Signed hashes of the block elements that hold text and may be template."""
         return {_signed(e.digest) for e in self.elements
-                if e.tag in BLOCK and e.tag not in ("html", "body") and any(t.strip() for t in self.texts[e.first:e.end])}
+                if e.tag in BLOCK and e.tag not in ("html", "body") and not e.spared
+                and any(t.strip() for t in self.texts[e.first:e.end])}
+
+    def identity(self) -> int:
+        """Signed hash of the text that the page gives without a template: copies of a page have the same."""
+        return _signed(xxhash.xxh3_64_intdigest(self.main_text(frozenset()).encode("utf-8", "replace")))
 
     def main_text(self, template: frozenset) -> str:
         keep = bytearray(b"\x01") * len(self.texts)
         for e in self.elements:
-            if e.junk or template and e.tag in BLOCK and e.tag not in ("html", "body") and _signed(e.digest) in template:
+            if e.junk or (template and e.tag in BLOCK and e.tag not in ("html", "body") and not e.spared
+                          and _signed(e.digest) in template):
                 keep[e.first:e.end] = bytes(e.end - e.first)
         for kind in ("article", "main"):
             inside = bytearray(len(self.texts))
@@ -230,18 +258,21 @@ def host_of(url: str | None) -> str:
 
 
 def site_templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
-    """(host, template): for each host the hashes of the subtrees that recur across its pages."""
+    """(host, template): for each host the hashes of the subtrees that recur across its different pages."""
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found = [], []
+            hosts, same, found = [], [], []
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if host := host_of(url):
+                    page = Page(source or "")
                     hosts.append(host)
-                    found.append([None, *Page(source or "").subtrees()])
-            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(found, pa.list_(pa.int64()))], ["host", "subtrees"])
+                    same.append(page.identity())
+                    found.append([None, *page.subtrees()])
+            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(same, pa.int64()),
+                                   pa.array(found, pa.list_(pa.int64()))], ["host", "page", "subtrees"])
 
-    rows = (pages.select("url", "html").mapInArrow(subtrees, "host string, subtrees array<long>")
-            .select("host", F.explode("subtrees").alias("subtree")))
+    rows = (pages.select("url", "html").mapInArrow(subtrees, "host string, page long, subtrees array<long>")
+            .select("host", "page", F.explode("subtrees").alias("subtree")).distinct())
     counts = cut(rows.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(f"n >= {least}"), "subtree-counts")
     total = counts.filter("subtree is null").select("host", F.col("n").alias("pages"))
     often = counts.filter("subtree is not null").join(total, "host").filter(F.col("n") >= share * F.col("pages"))

@@ -56,6 +56,24 @@ def test_template_of_a_host_goes(spark):
     assert p.main_texts(frame.limit(0)).collect() == []
 
 
+def test_articles_stay_whole_however_often_they_recur(spark):
+    def page(k, article):
+        return (k, f"http://copies.example/{k}", f"<body><div><p>Menu</p></div>{article}<div><p>Imprint</p></div></body>")
+    copy = "<article><h2>News</h2><p>The same story.</p></article>"
+    rows = [page(k, copy) for k in range(30)]
+    rows += [page(k, f"<div><article><h2>News</h2><p>Story {k}.</p><ul><li>Share it</ul></article></div>") for k in range(30, 45)]
+    rows += [page(k, f"<p>Plain {k}.</p>") for k in range(45, 50)] + [page(50, "<main><p>Menu</p><p>In main.</p></main>")]
+    # A body without an article that most of a host's rows repeat is one page, not a template.
+    rows += [(100 + k, "http://body.example/", "<p>Only text.</p>") for k in range(30)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in p.main_texts(frame).collect()}
+    assert all(got[k] == "News\nThe same story." for k in range(30))
+    assert all(got[k] == f"News\nStory {k}.\nShare it" for k in range(30, 45))
+    assert all(got[k] == f"Plain {k}." for k in range(45, 50))
+    assert got[50] == "Menu\nIn main."
+    assert all(got[100 + k] == "Only text." for k in range(30))
+
+
 @pytest.mark.parametrize("url,host", [("http://A.b.C:80/x", "a.b.c"), ("https://u:p@h.x?q", "h.x"), ("//h.y/z", "h.y"), ("", ""),
                                       (None, ""), ("mailto:a@b", ""), ("http://dot./", "dot"), ("HTTP://Q#f", "q")])
 def test_hosts_are_the_same_in_both_places(spark, url, host):
