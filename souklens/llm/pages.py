@@ -12,6 +12,9 @@
 Defined cases: null and empty html give the empty text; pages without a host are their own and have no template.  Repeated
 rows count once and give equal texts.  Broken markup is read as browsers read it: an open paragraph ends
 where the next block starts, unknown end tags are skipped, open elements end with the page.  Other columns are not read.
+
+A class or id name marks an element only as a whole name (``ad``, not ``has-sidebar``), never one that is or holds an article
+or main element (but for articles named as a reader's comment), and no heading or section inside an article.
 """
 
 from __future__ import annotations
@@ -34,7 +37,6 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]
 _NAMED = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?",
                     re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0  -     　\x85]+")
-_WORD = re.compile(r"[a-z]+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)|^//(?:[^/?#@]*@)?([^/?#:]+)")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +51,8 @@ JUNK_WORDS = frozenset("""ad ads adv advert adverts advertisement advertisements
     overlay sidebar sidebars widget widgets menu menus navbar nav navigation breadcrumb breadcrumbs masthead footer footers
     comment comments disqus reply replies respond share sharing social related recommended recommendations newsletter
     subscribe subscription signup login search searchbox pagination pager toolbar skip""".split())
+READER_WORDS = frozenset(("comment", "reply"))     # class names of an article that a reader wrote
+HEADED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar "
                        "toolbar".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -60,10 +64,11 @@ _RAW_END = {n: re.compile(rf"</{n}[^>]*>", re.I) for n in RAW}
 
 
 class Element:
-    __slots__ = ("tag", "first", "end", "junk", "main", "parts", "digest", "depth", "spared")
+    __slots__ = ("tag", "first", "end", "junk", "named", "main", "parts", "digest", "depth", "spared")
 
-    def __init__(self, tag: str, first: int, junk: bool, main: str, depth: int):
+    def __init__(self, tag: str, first: int, junk: bool, named: bool, main: str, depth: int):
         self.tag, self.first, self.end, self.junk, self.main, self.depth = tag, first, first, junk, main, depth
+        self.named = named      # a class or id name says that it is no main text
         self.parts: list[str] | None = [tag]
         self.digest = 0
         self.spared = False     # is, holds or stands inside the page's article or main element
@@ -116,15 +121,18 @@ class Page:
         for e in self.elements:
             if inside is not None and e.depth <= inside:
                 inside = None
-            e.spared = inside is not None or e.main != "" and shown.find(1, e.first, e.end) >= 0
+            e.spared = inside is not None or e.main != "" and not e.named and shown.find(1, e.first, e.end) >= 0
             if inside is None and e.spared:
                 inside = e.depth
+            elif inside is not None and e.tag in HEADED:
+                e.named = False
         below = 0
         for e in reversed(self.elements):
             if e.spared:
                 below = e.depth
             elif e.depth < below:
                 e.spared, below = True, e.depth
+                e.named = False
 
     def _text(self, raw: str) -> None:
         if raw.isspace() and not self.texts:
@@ -147,12 +155,12 @@ class Page:
             if tag == "br":
                 self._text(" ")
             return
-        junk, main = tag in JUNK_TAGS, tag if tag in ("article", "main") else ""
+        junk, main, names = tag in JUNK_TAGS, tag if tag in ("article", "main") else "", []
         if attributes and "=" in attributes or "hidden" in attributes:
             for a in _NAMED.finditer(attributes):
                 key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
                 if key in ("class", "id"):
-                    junk |= tag not in ("body", "html") and not JUNK_WORDS.isdisjoint(_WORD.findall(value))
+                    names += value.split()
                 elif key == "role":
                     junk |= value in JUNK_ROLES
                     main = main or ("main" if value == "main" else "article" if value == "article" else "")
@@ -164,7 +172,9 @@ class Page:
                     junk |= value != "false" if key == "aria-hidden" else True
         if tag == "header" and not any(e.tag == "article" for e in self._stack):
             junk = True
-        e = Element(tag, len(self.texts), junk, main, len(self._stack))
+        words = (JUNK_WORDS if not main else READER_WORDS if main == "article" else frozenset())
+        named = tag not in ("body", "html") and not words.isdisjoint(names)
+        e = Element(tag, len(self.texts), junk, named, main, len(self._stack))
         self.elements.append(e)
         self._stack.append(e)
         self._links += tag == "a"
@@ -212,9 +222,14 @@ class Page:
         return _signed(xxhash.xxh3_64_intdigest(self.main_text(frozenset()).encode("utf-8", "replace")))
 
     def main_text(self, template: frozenset) -> str:
+        """The text without template and junk; class and id names count for nothing where they leave no text at all."""
+        return self._main_text(template, True) or (
+            self._main_text(template, False) if any(e.named for e in self.elements) else "")
+
+    def _main_text(self, template: frozenset, by_name: bool) -> str:
         keep = bytearray(b"\x01") * len(self.texts)
         for e in self.elements:
-            if e.junk or (template and e.tag in BLOCK and e.tag not in ("html", "body") and not e.spared
+            if e.junk or e.named and by_name or (template and e.tag in BLOCK and e.tag not in ("html", "body") and not e.spared
                           and _signed(e.digest) in template):
                 keep[e.first:e.end] = bytes(e.end - e.first)
         for kind in ("article", "main"):

@@ -32,6 +32,20 @@ def test_markup(html, want):
     assert text(html) == want
 
 
+@pytest.mark.parametrize("html,want", [
+    ('<div class="has-sidebar"><article><p>x</p></article></div>', "x"), ('<article class="post comments-open"><p>x</p></article>', "x"),
+    ('<main class="with-sidebar"><p>x</p></main>', "x"), ('<main id="search"><p>x</p></main>', "x"),
+    ('<div class="widget"><article><p>x</p><div class="ad">buy</div></article></div>', "x"),
+    ('<article class="sponsored post"><p>x</p></article>', "x"), ('<div class="social"><main><p>x</p></main></div>', "x"),
+    ('<article><h2 id="search-algorithms">h</h2><section id="related-work"><p>x</p></section></article>', "h\nx"),
+    ('<article><h2 id="search">h</h2><section id="related"><p>x</p></section></article>', "h\nx"),
+    ('<div class="overlay"><p>the only text</p></div>', "the only text"),
+    ('<p>story</p><div class="comments"><article class="comment">reader</article></div>', "story"),
+    ('<article><div class="ad"><p>buy</p></div><p>x</p></article>', "x"), ('<div class="big ad">buy</div><p>x</p>', "x")])
+def test_names_take_no_article(html, want):
+    assert text(html) == want
+
+
 def test_long_and_deep_pages():
     assert text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
     assert text("<p>" + "w " * 300_000) == ("w " * 300_000).strip()
