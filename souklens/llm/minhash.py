@@ -3,7 +3,8 @@
 1. One pass over the texts: the distinct five-word shingles of each document (the whole sequence where it has fewer
    words), 128 minima of universal hashes (32 bits of a*x+b mod 2^64), 32 band keys of four minima, and a 128-bit
    fingerprint of the set.
-2. Documents with equal sets form a class, represented by the smallest doc_id; only classes go on.
+2. Rows with equal sets form a class, with or without doc_id; classes are numbered and only they go on.  A class is
+   represented by its smallest doc_id and, of rows that share it or have none, the smallest hash of the text.
 3. Classes that share a band key are candidates.  First the signature of each one is held against those of the smallest
    classes of its keys, and its full set against the smallest of these that agrees.  Components of these links are found.
 4. Keys whose classes are still in more than one component are searched in full, in blocks of bounded size: signatures
@@ -15,9 +16,10 @@
 A pair of similarity 0.75 shares no key in one of 2*10^5 cases, and passes the signature test (70 of 128 equal minima)
 but for one of 10^7; at 0.85 both are below 10^-9.
 
-Defined cases: null and empty texts have n_shingles 0 and are their own component.  doc_id is the identity: rows that
-share a doc_id are one node.  A row without doc_id gets the component of its class and is never kept.  Empty tables give
-empty results; other columns are not read.
+Defined cases: null and empty texts have n_shingles 0 and are their own component.  Rows that share a doc_id are searched
+one by one.  A component is named by its smallest doc_id, and by null where all its rows have none; ``kept`` marks the rows
+with that doc_id, so it is false for rows without one (``keep_one_each`` keeps one of them where no row has one).  Empty
+tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -77,8 +79,14 @@ def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.add.reduceat(mix(flat, seed), starts).view(np.int64) for seed in (_P, _Q))
 
 
+def _key() -> list:
+    """doc_id and 128 bits of hash of the text: rows that agree in them are the same."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(1), "text").alias("h1"),
+            F.xxhash64(F.lit(2), "text").alias("h2")]
+
+
 def signature_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, sig, bands) for each row; the last four are null where there are no words."""
+    """(doc_id, h1, h2, n_shingles, f1, f2, sig, bands) for each row; the last four are null where there are no words."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part, texts in chunks(batches, "text", 400_000):
@@ -92,12 +100,12 @@ def signature_table(docs: DataFrame) -> DataFrame:
                 for i, a, b, s, k in zip(has.tolist(), *(x.tolist() for x in fingerprints(full)), signatures,
                                          band_keys(signatures)):
                     f1[i], f2[i], sig[i], bands[i] = a, b, s.tobytes(), k
-            yield pa.record_batch([part.column(0), pa.array(n), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
+            yield pa.record_batch([*part.columns[:3], pa.array(n), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
                                    pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                                  ["doc_id", "n_shingles", "f1", "f2", "sig", "bands"])
+                                  ["doc_id", "h1", "h2", "n_shingles", "f1", "f2", "sig", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        make, "doc_id long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>")
+    return docs.select(*_key(), "text").mapInArrow(
+        make, "doc_id long, h1 long, h2 long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>")
 
 
 def _set_of(text: bytes, hashes: WordHashes) -> np.ndarray:
@@ -198,20 +206,26 @@ def _component_links(table: pa.Table) -> pa.Table:
     return pa.table({"u": nodes.astype(np.int64), "v": least.astype(np.int64)})
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``."""
+NAMED = ["n_shingles", "f1", "f2"]
+
+
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signature table, the classes (NAMED, id, component) and the components (component, least): ``least`` is the
+    doc_id, h1 and h2 of the row that represents the component."""
     table = cut(signature_table(docs), "minhash-signatures")
-    named = ["n_shingles", "f1", "f2"]
-    classes = table.filter("n_shingles > 0").groupBy(*named).agg(F.min("doc_id").alias("id"))
-    rep = cut(table.join(classes.filter("id is not null").select(*named, F.col("id").alias("doc_id")), [*named, "doc_id"],
-                         "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands")
-              .dropDuplicates(["id"]), "minhash-classes")
+    least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")
+    rep = cut(table.filter("n_shingles > 0").groupBy(*NAMED).agg(
+        F.min(least).alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+        .withColumn("id", F.monotonically_increasing_id()), "minhash-classes")
     keys = rep.select("id", "n_shingles", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut(keys.join(shared.select("key", "first"), "key"), "minhash-buckets")
     some = cut(members.select("id").distinct(), "minhash-candidates")
     sigs = cut(rep.select("id", "sig").join(some, "id", "left_semi"), "minhash-candidate-signatures")
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(some, "id", "left_semi"),
+    want = rep.join(some, "id", "left_semi").select("id", F.col("least.doc_id").alias("d"), F.col("least.h1").alias("a"),
+                                                    F.col("least.h2").alias("b"))
+    texts = cut(docs.select(*_key(), "text").join(want, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h1") == F.col("a"))
+                                                  & (F.col("h2") == F.col("b"))).select("id", "text").dropDuplicates(["id"]),
                 "minhash-candidate-texts")
     star = members.filter("first < id").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
     star = _signatures_agree(star, sigs).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
@@ -224,26 +238,45 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     joined = cut(open_.join(texts, "id").groupBy("key", "i", "j").applyInArrow(_component_links, "u long, v long")
                  .filter("u <> v").distinct(), "minhash-more-links")
     second = connected_components(joined).select(F.col("node").alias("component"), F.col("component").alias("merged"))
-    final = of.join(second, "component", "left").select("id", F.coalesce("merged", "component").alias("component_id"))
-    final = cut(final.filter("id <> component_id"), "minhash-merged")
-    by_class = classes.join(final, "id", "left").select(*named, F.coalesce("component_id", "id").alias("component_id"))
-    out = table.select("doc_id", *named).join(by_class, named, "left")
-    component = F.coalesce("component_id", "doc_id")
+    final = of.join(second, "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
+    classes = cut(rep.select(*NAMED, "id", "least").join(final.filter("id <> component"), "id", "left").select(
+        *NAMED, "id", F.coalesce("component", "id").alias("component"), "least"), "minhash-merged")
+    parts = cut(classes.groupBy("component").agg(F.min("least").alias("least")), "minhash-least")
+    return table, classes.drop("least"), parts
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``."""
+    table, classes, parts = _components(docs)
+    names = parts.select("component", F.col("least.doc_id").alias("component_id"))
+    by_class = cut(classes.join(names, "component").select(*NAMED, "component_id"), "minhash-named")
+    out = table.select("doc_id", *NAMED).join(by_class, NAMED, "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each group of near duplicates, all columns as they are.  Of rows that share the kept
-    doc_id one stays; rows without words stay, one for each doc_id; rows without doc_id stay when no text is like theirs."""
-    found = near_duplicates(docs)
-    # Rows without doc_id are told apart by nothing but their text: they stay unless a document with an id has their set.
-    drop = cut(found.groupBy("doc_id").agg(F.max("kept").alias("keep"), F.count(F.lit(1)).alias("n"))
-               .filter("doc_id is not null and (not keep or n > 1)")
-               .select(F.col("doc_id").alias("__id"), "keep", "n"), "minhash-dropped")
-    named = docs.columns
-    once = docs.join(drop, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
-    twice = docs.join(drop.filter("keep"), F.col("doc_id").cast("long") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    """One row of ``docs`` for each group of near duplicates, all columns as they are, whether its rows have a doc_id or
+    not.  Rows without words stay; of those that share doc_id and text one stays, and all that have no doc_id."""
+    table, _, parts = _components(docs)
+    key = ["doc_id", "h1", "h2"]
+    least = parts.select("least.doc_id", "least.h1", "least.h2").select(*[F.col(c).alias(f"__{c}") for c in key])
+
+    def same(right: DataFrame, h1: str, h2: str):
+        return F.col("doc_id").cast("long").eqNullSafe(right["__doc_id"]) & (F.col(h1) == right["__h1"]) & (
+            F.col(h2) == right["__h2"])
+
+    rows = table.groupBy(*key).agg(F.max(F.col("n_shingles") > 0).alias("worded"), F.count(F.lit(1)).alias("n"))
+    marked = rows.join(least, same(least, "h1", "h2"), "left").withColumn("keep", F.col("__h1").isNotNull() | ~F.col("worded"))
+    drop = cut(marked.filter("(not keep or n > 1) and (worded or doc_id is not null)")
+               .select(*[F.col(c).alias(f"__{c}") for c in key], "keep"), "minhash-dropped")
+    named, hashes = docs.columns, {"__a": _key()[1], "__b": _key()[2]}
+    keyed = docs.withColumns(hashes)
+
+    once = keyed.join(drop, same(drop, "__a", "__b"), "left_anti")
+    kept = drop.filter("keep")
+    twice = keyed.join(kept, same(kept, "__a", "__b"), "left_semi").dropDuplicates(["doc_id", "__a", "__b"])
     return once.select(*named).unionByName(twice.select(*named))
 
 

@@ -101,6 +101,24 @@ def test_stage_keeps_one_row_of_each_group(docs):
     assert minhash.keep_one_each(docs([])).collect() == []
 
 
+def test_stage_with_rows_that_no_id_tells_apart(docs):
+    a, b, near = "a b c d e f", "only null ids have this text", " ".join(f"n{k}" for k in range(200))
+    rows = [(1, a), (None, a), (None, a), (None, b), (None, b), (None, near), (None, near + " more"), (None, None), (None, "")]
+    kept = minhash.keep_one_each(docs(rows))
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert len(got) == 5 and [g for g in got if g[0] == 1] == [(1, a)]
+    texts = [t for i, t in got if i is None]
+    assert texts.count(b) == 1 and texts.count(None) == 1 and texts.count("") == 1
+    assert sum((t or "").startswith("n0") for t in texts) == 1
+
+
+def test_stage_keeps_different_texts_of_one_id(docs):
+    near = " ".join(f"n{k}" for k in range(200))
+    rows = [(1, "first text of this id"), (1, near), (2, near + " more"), (3, "a b c"), (3, "a b c"), (4, "first text of this id")]
+    kept = sorted((r["doc_id"], r["text"]) for r in minhash.keep_one_each(docs(rows)).collect())
+    assert kept == [(1, "first text of this id"), (1, near), (3, "a b c")]
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(k, k + 1) for k in range(60)], [(0, k) for k in range(1, 200)],
                                    [(5, 3), (3, 5), (9, 7), (7, 8), (20, 21), (8, 20)]])
 def test_components(spark, edges):
