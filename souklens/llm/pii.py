@@ -8,7 +8,9 @@ Added spans are what the anchors find beyond that:
 * phone, card: where a base match failed because numbers stand next to each other, the longest run of whole digit groups
   with 8 to 15 digits after the plus sign, and runs of whole groups with 16 to 19 digits that pass the Luhn check;
 * url: addresses with a scheme that carry a user name before the host;
-* account: international account numbers that pass the mod-97 check, and digits after an account cue.
+* account: digits that follow an account cue, and the international account numbers that start before the end of the
+  cue's sentence or line or the next cue (49 characters at least): from each place where one may start, the longest run of
+  whole groups that passes the mod-97 check.
 
 Defined cases: a null text is an empty text without spans; each row is judged alone, so repeated rows get equal results;
 other columns pass through.  Ends are exclusive; places count code points.
@@ -36,7 +38,11 @@ _QUAD = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s/?#@<>\"']+@[A-Za-z0-9.-]+(?::[0-9]+)?[^\s<>\"']*")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_START = re.compile(r"[A-Z]{2}[0-9]{2}")
+_GROUP = re.compile(r"[A-Z0-9]{1,34}(?![A-Za-z0-9])")
+_NEXT_CUE = re.compile(rf"(?<![^\W_])(?:{'|'.join(f for c in CUES for f in (c, c.capitalize(), c.upper()))})")
+# No end of a sentence: a point after a short word (no., nr., Fa.) or before an account number.
+_END = re.compile(r"[\n\r]|(?:[!?]|(?<!\b\w)(?<!\b\w\w)(?<!\b\w\w\w)\.)(?=\s+(?![A-Z]{2}[0-9]{2})[^\W\d_a-z])")
 _AFTER_CUE = re.compile(r"(?:[ \t]*(?:number|nr|no|num|n°)\.?)?[ \t]*[:#=]?[ \t]*([0-9](?:[ -]?[0-9]){5,33})(?![0-9])", re.I)
 
 
@@ -72,6 +78,23 @@ def _iban(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _ibans(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Account numbers that start in the range, leftmost and longest first."""
+    at = start
+    while (m := _IBAN_START.search(text, at, end + 3)) and m.start() < end:
+        best, size, to = None, 0, m.start()
+        while size <= 34 and (g := _GROUP.match(text, to)):
+            size += g.end() - g.start()
+            if 15 <= size <= 34 and _iban(text[m.start():g.end()]):
+                best = g.end()
+            to = g.end() + 1
+            if text[g.end():to] != " ":
+                break
+        if best:
+            yield m.start(), best
+        at = best or m.start() + 1
+
+
 def _split_cards(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     """Runs of whole groups of a failed card match that are card numbers, leftmost and longest first."""
     groups = [(m.start(), m.end()) for m in _DIGITS.finditer(text, start, end)]
@@ -149,11 +172,9 @@ def find_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
         elif not (at and text[at - 1].isalnum()):
             if m := _AFTER_CUE.match(text, last + 1):
                 added.append((5, m.start(1), m.end(1)))
-            else:
-                for m in _IBAN.finditer(text, last + 1, last + 50):
-                    if _iban(m[0]):
-                        added.append((5, m.start(), m.end()))
-                        break
+            cue = m.start() if (m := _NEXT_CUE.search(text, last + 1)) else len(text)
+            end = m.start() if (m := _END.search(text, last + 1, cue)) else cue
+            added += ((5, a, b) for a, b in _ibans(text, last + 1, max(end, last + 50)))
     return sorted(base), sorted(set(added))
 
 

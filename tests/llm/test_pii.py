@@ -52,6 +52,26 @@ def test_added_spans_split_what_stands_together():
         ("account", "12345678")]
 
 
+def test_account_numbers_up_to_the_end_of_the_sentence():
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+
+    def found(text):
+        return [text[a:b] for k, a, b in pii.find_spans(text)[1] if pii.KINDS[k] == "account"]
+
+    assert found("IBAN DE89370400440532013000 BIC COBADEFFXXX") == ["DE89370400440532013000"]
+    assert found(f"IBAN: {de} EUR 500") == [de]
+    assert found(f"IBAN for wire transfers to our bank: {de}") == [de]
+    assert found(f"IBAN {de} or {gb}, BIC X") == [de, gb]
+    assert found(f"account no. 12345678, IBAN {gb}.") == ["12345678", gb]
+    assert found(f"account 12345678 or {de}") == ["12345678", de]
+    assert found(f"IBAN:\n{de}\nIBAN No. {gb}") == [de, gb]
+    assert found(f"The account of the whole of our small company at the bank (Fa. Moritz und Sohn): {de}") == [de]
+    far = " and so on, as is usual among friends of long words and many lines"
+    assert found(f"Use the IBAN.{far}\nCODE {de}") == []
+    assert found(f"IBAN {de}x") == []
+    assert found("IBAN " + "DE89 " * 20_000) == []
+
+
 def test_long_runs_of_digits_and_marks():
     assert pii.find_spans("9" * 50_000)[0] == []
     assert pii.find_spans("1." * 20_000)[0] == [(1, 8 * k, 8 * k + 7) for k in range(4_999)] + [(1, 39_992, 39_999)]
