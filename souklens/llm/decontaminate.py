@@ -5,8 +5,9 @@ each block holds its own dictionary and, term after term, the ascending places o
 table in the shared folder, so a term that is in every document is spread over all blocks and no list grows with the
 corpus.  ``search`` sends the test windows to all blocks: within a block a window with an absent word is dropped at once;
 for the others the lists are taken from the rarest term on, shifted by the term's offset and intersected, which leaves
-the exact phrases.  With ``slop`` it also counts proximity matches: occurrences of the rarest term around which every
-other word of the window stands within ``slop`` words of its place.
+the exact phrases.  With ``slop`` it also finds proximity matches: occurrences of the window's first word (the anchor; the same
+one in every block) around which every other word stands within ``slop`` words of its place, in the same document.  ``matches`` gives the exact
+and proximity matches one by one, ``search`` their counts by document.
 
 The test set is read in parts of bounded size (``PART_WORDS`` words); only one part at a time is on the driver and in the
 tasks, and the hits of the parts are merged by document.
@@ -77,9 +78,10 @@ class Windows:
         for item, text in items:
             words = alnum_words(text)
             for at in range(max(1, len(words) - size + 1) if words else 0):
-                of[tuple(words[at:at + size])].add(item)
+                of[tuple(words[at:at + size])].add((item, at))
         terms = Interner()
-        self.items = [sorted(v) for v in of.values()]
+        self.places = [sorted(v) for v in of.values()]      # (item, first word in it) of each window
+        self.items = [sorted({i for i, _ in v}) for v in self.places]
         self.numbers = [terms.numbers(list(w)) for w in of]
         self.terms = list(terms)
         self.sizes = np.array([len(w) for w in self.numbers], np.int64)
@@ -102,8 +104,8 @@ class Block:
         a, b = self.at[term], self.at[term + 1]
         return self.low[a:b].astype(np.int64) | (self.high[a:b].astype(np.int64) << 16)
 
-    def search(self, windows: Windows, slop: int | None = None) -> Iterator[tuple[int, np.ndarray, int]]:
-        """(window, first places of its occurrences, number of proximity matches) where there are any."""
+    def search(self, windows: Windows, slop: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(window, first places of its occurrences, anchors of its proximity matches) where there are any."""
         if not windows.numbers:
             return
         local = np.array([self.terms.get(w, -1) for w in windows.terms], np.int64)
@@ -119,7 +121,7 @@ class Block:
                     lists[t] = self.places(int(local[t]))
                 p = lists[t]
                 if got is None:
-                    got = first = p - k
+                    got = p - k
                     got = got[got >= 0]
                 else:
                     near = np.searchsorted(p, got + k)
@@ -128,8 +130,8 @@ class Block:
                 if not len(got):
                     break
             got = self._inside(got, got + len(terms))
-            close = self._close(first, terms, order, lists, local, slop) if slop is not None else 0
-            if len(got) or close:
+            close = self._close(terms, lists, local, slop) if slop is not None else got[:0]
+            if len(got) or len(close):
                 yield w, got, close
 
     def _inside(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -137,20 +139,26 @@ class Block:
         doc = np.searchsorted(self.starts, first, "right")
         return first[end <= self.starts[np.minimum(doc, len(self.starts) - 1)]]
 
-    def _close(self, first: np.ndarray, terms: np.ndarray, order: list, lists: dict, local: np.ndarray, slop: int) -> int:
-        anchor = first + order[0]
+    def _close(self, terms: np.ndarray, lists: dict, local: np.ndarray, slop: int) -> np.ndarray:
+        def places(t: int) -> np.ndarray:
+            if t not in lists:
+                lists[t] = self.places(int(local[t]))
+            return lists[t]
+
+        anchor = places(int(terms[0]))
         doc = np.searchsorted(self.starts, anchor, "right")
         least, most = self.starts[doc - 1], self.starts[np.minimum(doc, len(self.starts) - 1)]
-        good = np.ones(len(first), bool)
-        for k in order[1:]:
-            t = int(terms[k])
-            p = lists.setdefault(t, None) if t in lists else None
-            if p is None:
-                p = lists[t] = self.places(int(local[t]))
-            a = np.searchsorted(p, np.maximum(first + k - slop, least))
-            b = np.searchsorted(p, np.minimum(first + k + slop + 1, most))
+        good = np.ones(len(anchor), bool)
+        for k in range(1, len(terms)):
+            p = places(int(terms[k]))
+            a = np.searchsorted(p, np.maximum(anchor + k - slop, least))
+            b = np.searchsorted(p, np.minimum(anchor + k + slop + 1, most))
             good &= b > a
-        return int(good.sum())
+        return anchor[good]
+
+    def documents(self, places: np.ndarray) -> np.ndarray:
+        """The number in the block of the document at each place."""
+        return np.searchsorted(self.starts, places, "right") - 1
 
 
 def _parts(benchmark: DataFrame, most_words: int) -> Iterator[list[tuple[str, bytes]]]:
@@ -169,7 +177,7 @@ def _parts(benchmark: DataFrame, most_words: int) -> Iterator[list[tuple[str, by
 def search(index: DataFrame, benchmark: DataFrame, slop: int | None = None, window: int = WINDOW,
            part_words: int = PART_WORDS) -> DataFrame:
     """(id, n_words, n_hit, items, n_near) for each indexed document: words inside occurrences of test windows, the items
-    whose windows occur (as strings, sorted) and, with ``slop``, the number of proximity matches in its block."""
+    whose windows occur (as strings, sorted) and, with ``slop``, the number of distinct windows' proximity matches in it."""
     def matcher(windows: Windows):
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -177,13 +185,13 @@ def search(index: DataFrame, benchmark: DataFrame, slop: int | None = None, wind
                     row = batch.slice(k, 1).to_pylist()[0]
                     block = Block(row["sizes"], row["terms"], row["counts"], row["low"], row["high"])
                     edge = np.zeros(int(block.starts[-1]) + 1, np.int32)
-                    items, near = defaultdict(set), 0
+                    items, near = defaultdict(set), np.zeros(len(row["ids"]), np.int64)
                     for w, first, close in block.search(windows, slop):
-                        near += close
+                        np.add.at(near, block.documents(close), 1)
                         if len(first):
                             np.add.at(edge, first, 1)
                             np.add.at(edge, first + windows.sizes[w], -1)
-                            for d in np.unique(np.searchsorted(block.starts, first, "right") - 1).tolist():
+                            for d in np.unique(block.documents(first)).tolist():
                                 items[d].update(windows.items[w])
                     hit = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
                     doc = np.searchsorted(block.starts, hit, "right") - 1
@@ -193,7 +201,7 @@ def search(index: DataFrame, benchmark: DataFrame, slop: int | None = None, wind
                         [pa.array(row["ids"], pa.int64()), pa.array(row["sizes"], pa.int64()),
                          pa.array(places, pa.list_(pa.int64())),
                          pa.array([sorted(items.get(d, ())) for d in range(len(places))], pa.list_(pa.string())),
-                         pa.array([near] * len(places), pa.int64()),
+                         pa.array(near, pa.int64()),
                          pa.array([row["block"]] * len(places), pa.string()), pa.array(range(len(places)), pa.int64())],
                         ["id", "n_words", "places", "items", "n_near", "block", "at"])
         return match
@@ -214,6 +222,36 @@ def search(index: DataFrame, benchmark: DataFrame, slop: int | None = None, wind
     return all_.select("id", "n_words", F.size("places").cast("long").alias("n_hit"), "items", "n_near")
 
 
+def matches(index: DataFrame, benchmark: DataFrame, slop: int | None = None, window: int = WINDOW,
+            part_words: int = PART_WORDS) -> DataFrame:
+    """(id, item, window, place, kind) for each match of a test window in an indexed document: ``window`` is the window's
+    first word in the item, ``place`` the first word of an exact match or the anchor of a proximity match in the document.
+    Rows of the index with equal ids are not told apart; an exact match is a proximity match too."""
+    def matcher(windows: Windows):
+        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    row = batch.slice(k, 1).to_pylist()[0]
+                    block = Block(row["sizes"], row["terms"], row["counts"], row["low"], row["high"])
+                    for w, first, close in block.search(windows, slop):
+                        for kind, at in (("exact", first), ("near", close)):
+                            doc = block.documents(at)
+                            ids = [row["ids"][d] for d in doc.tolist()]
+                            for item, start in windows.places[w] if len(at) else ():
+                                yield pa.record_batch(
+                                    [pa.array(ids, pa.int64()), pa.array([item] * len(at), pa.string()),
+                                     pa.array([start] * len(at), pa.int64()), pa.array(at - block.starts[doc], pa.int64()),
+                                     pa.array([kind] * len(at), pa.string())], ["id", "item", "window", "place", "kind"])
+        return match
+
+    shape = "id long, item string, window long, place long, kind string"
+    all_ = None
+    for part in _parts(benchmark, part_words):
+        found = cut(index.mapInArrow(matcher(Windows(part, window)), shape), "matches")
+        all_ = found if all_ is None else all_.unionByName(found)
+    return index.mapInArrow(matcher(Windows([], window)), shape) if all_ is None else all_.distinct()
+
+
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
     """At least a twentieth of the words is inside test windows."""
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))

@@ -103,6 +103,25 @@ def test_proximity_matches(docs, spark):
     assert near(2)[2] == (0, 1)
 
 
+def test_matches_belong_to_their_documents(docs, spark):
+    rows = [(1, "alpha x beta gamma"), (2, "clean words here"), (3, "one alpha beta gamma"), (4, "alpha"), (5, "beta gamma")]
+    items = spark.createDataFrame([(9, "alpha beta gamma"), (8, "alpha beta gamma")], "item_id long, text string")
+    index = d.build_index(docs(rows))
+    one = d.build_index(docs(rows).coalesce(1))
+    assert one.count() == 1
+    for i in (index, one):
+        assert {r["id"]: (r["n_hit"], r["n_near"]) for r in d.search(i, items, slop=1).collect()} == {
+            1: (0, 1), 2: (0, 0), 3: (3, 1), 4: (0, 0), 5: (0, 0)}
+        got = {(r["id"], r["item"], r["window"], r["place"], r["kind"]) for r in d.matches(i, items, slop=1).collect()}
+        assert got == {(n, item, 0, place, kind) for item in "89"
+                       for n, place, kind in ((3, 1, "exact"), (3, 1, "near"), (1, 0, "near"))}
+    assert d.matches(one, items.limit(0)).collect() == []
+    # Which word is rarest in a block changes nothing.
+    rows = [(1, "alpha x beta x gamma"), (2, "alpha alpha gamma gamma")]
+    for r in (rows, rows[:1]):
+        assert d.matches(d.build_index(docs(r).coalesce(1)), items, slop=1).collect() == []
+
+
 def test_stage_drops_by_row(docs, spark):
     passage = " ".join(f"q{k}" for k in range(20))
     rows = [(1, passage), (1, "clean words"), (None, passage + " more"), (None, "clean"), (2, passage + " z" * 600), (3, None)]
