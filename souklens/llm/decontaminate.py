@@ -9,8 +9,9 @@ the exact phrases.  With ``slop`` it also finds proximity matches: occurrences o
 one in every block) around which every other word stands within ``slop`` words of its place, in the same document.  ``matches`` gives the exact
 and proximity matches one by one, ``search`` their counts by document.
 
-The test set is read in parts of bounded size (``PART_WORDS`` words); only one part at a time is on the driver and in the
-tasks, and the hits of the parts are merged by document.
+The test set is read in parts of bounded size (``PART_WORDS`` words).  Where there is more than one, each part is searched
+and its hits are written before the next is made into windows, so at most two parts' texts and one part's windows are on the
+driver and one part in the tasks; the written hits are merged by document.
 
 Defined cases: null and empty texts have no words, match nothing and are never contaminated; items without words have no
 window, an item with fewer than 13 words is one window.  Repeated items and repeated documents count one by one (equal
@@ -208,13 +209,15 @@ def search(index: DataFrame, benchmark: DataFrame, slop: int | None = None, wind
 
     named = index.withColumn("block", F.concat_ws(":", F.col("_metadata.file_name"), F.col("_metadata.row_index")))
     shape = "id long, n_words long, places array<long>, items array<string>, n_near long, block string, at long"
-    found = [named.mapInArrow(matcher(Windows(part, window)), shape) for part in _parts(benchmark, part_words)]
-    if not found:
-        found = [named.mapInArrow(matcher(Windows([], window)), shape)]
-    all_ = found[0]
-    if len(found) > 1:
-        for more in found[1:]:
-            all_ = all_.unionByName(more)
+    parts = _parts(benchmark, part_words)
+    part, more = next(parts, []), next(parts, None)
+    all_ = named.mapInArrow(matcher(Windows(part, window)), shape)
+    if more is not None:
+        all_ = cut(all_, "hits")
+        while more is not None:
+            found = named.mapInArrow(matcher(Windows(more, window)), shape).filter("size(places) > 0 or n_near > 0")
+            all_ = all_.unionByName(cut(found, "hits"))
+            more = next(parts, None)
         all_ = all_.groupBy("block", "at").agg(
             F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.sum("n_near").alias("n_near"),
             F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),

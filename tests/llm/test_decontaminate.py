@@ -103,6 +103,18 @@ def test_proximity_matches(docs, spark):
     assert near(2)[2] == (0, 1)
 
 
+def test_parts_are_written_one_by_one(docs, spark, monkeypatch):
+    steps, make, write = [], d.Windows, d.cut
+    monkeypatch.setattr(d, "Windows", lambda *a: steps.append("windows") or make(*a))
+    monkeypatch.setattr(d, "cut", lambda df, name: steps.append(name) or write(df, name))
+    rows = [(k, f"x{k} y z") for k in range(6)]
+    items = spark.createDataFrame(rows[:3], "item_id long, text string")
+    found = d.search(d.build_index(docs(rows)), items, part_words=1)
+    assert steps == ["positional-index"] + ["windows", "hits"] * 3
+    assert {r["id"]: (r["n_hit"], r["items"]) for r in found.collect()} == {
+        k: (3, [str(k)]) if k < 3 else (0, []) for k in range(6)}
+
+
 def test_matches_belong_to_their_documents(docs, spark):
     rows = [(1, "alpha x beta gamma"), (2, "clean words here"), (3, "one alpha beta gamma"), (4, "alpha"), (5, "beta gamma")]
     items = spark.createDataFrame([(9, "alpha beta gamma"), (8, "alpha beta gamma")], "item_id long, text string")
