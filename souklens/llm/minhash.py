@@ -17,7 +17,7 @@ A pair of similarity 0.75 shares no key in one of 2*10^5 cases, and passes the s
 but for one of 10^7; at 0.85 both are below 10^-9.
 
 Defined cases: null and empty texts have n_shingles 0 and are their own component.  Rows that share a doc_id are searched
-one by one.  A component is named by its smallest doc_id, and by null where all its rows have none; ``kept`` marks the rows
+one by one; their components are then reported as one (``keep_one_each`` keeps them apart).  A component is named by its smallest doc_id, and by null where all its rows have none; ``kept`` marks the rows
 with that doc_id, so it is false for rows without one (``keep_one_each`` keeps one of them where no row has one).  Empty
 tables give empty results; other columns are not read.
 """
@@ -248,7 +248,18 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``."""
     table, classes, parts = _components(docs)
-    names = parts.select("component", F.col("least.doc_id").alias("component_id"))
+    # Components that hold different texts of one doc_id are one in the report.
+    mark = F.xxhash64(*NAMED)
+    repeated = (table.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id")
+                .agg(F.min(mark).alias("a"), F.max(mark).alias("b")).filter("a <> b").select("doc_id"))
+    again = cut(table.filter("n_shingles > 0").select("doc_id", *NAMED).join(repeated, "doc_id", "left_semi").distinct()
+                .join(classes, NAMED).select("doc_id", "component"), "minhash-repeated-ids")
+    links = again.join(again.groupBy("doc_id").agg(F.min("component").alias("v")), "doc_id").select(
+        F.col("component").alias("u"), "v")
+    top = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    tops = parts.join(top, "component", "left").select("component", F.coalesce("top", "component").alias("top"), "least")
+    first = cut(tops.groupBy("top").agg(F.min("least.doc_id").alias("component_id")), "minhash-names")
+    names = tops.join(first, "top").select("component", "component_id")
     by_class = cut(classes.join(names, "component").select(*NAMED, "component_id"), "minhash-named")
     out = table.select("doc_id", *NAMED).join(by_class, NAMED, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

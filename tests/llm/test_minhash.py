@@ -112,6 +112,13 @@ def test_stage_with_rows_that_no_id_tells_apart(docs):
     assert sum((t or "").startswith("n0") for t in texts) == 1
 
 
+def test_texts_of_one_id_are_searched_one_by_one_and_reported_as_one(docs):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(200)) for x in "abc")
+    rows = [(5, a), (5, b), (1, a + " more"), (2, b + " more"), (3, c), (None, b)]
+    check = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(rows)).collect()}
+    assert check == {(5, 1, False), (1, 1, True), (2, 1, False), (3, 3, True), (None, 1, False)}
+
+
 def test_stage_keeps_different_texts_of_one_id(docs):
     near = " ".join(f"n{k}" for k in range(200))
     rows = [(1, "first text of this id"), (1, near), (2, near + " more"), (3, "a b c"), (3, "a b c"), (4, "first text of this id")]
