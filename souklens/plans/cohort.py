@@ -43,11 +43,16 @@ def h1_cohort_retention(L: Layers) -> DataFrame:
     return cohort_long(L)
 
 
-def cohort_pivot(L: Layers, periods: list[int]) -> DataFrame:
+def cohort_pivot(L: Layers, periods: list[int], strict: bool = False) -> DataFrame:
     """H2/H5: cohorts × the given period numbers, retention % (0.0 where no
     one returned), with the cohort size.  The period list is a parameter, so
-    the pivot needs no extra pass to discover its columns."""
-    c = cohort_long(L).where(F.col("period_number").isin(periods))
+    the pivot needs no extra pass to discover its columns.  ``strict``: other
+    periods are an error."""
+    listed = F.col("period_number").isin(periods)
+    if strict:
+        listed = F.when(listed, F.lit(True)).otherwise(F.raise_error(F.concat(
+            F.lit("period beyond the list: "), F.col("period_number").cast("string"))).cast("boolean"))
+    c = cohort_long(L).where(listed)
     p = (c.groupBy("cohort_ym", "cohort_size").pivot("period_number", periods)
          .agg(F.first("retention_pct")))
     p = p.select("cohort_ym", "cohort_size", *[F.coalesce(F.col(str(k)), F.lit(0.0)).alias(f"p{k}") for k in periods])
@@ -129,8 +134,9 @@ ALL_PERIODS = tuple(range(120))
 
 
 def h2_cohort_pivot_all(L: Layers, periods: tuple[int, ...] = ALL_PERIODS) -> DataFrame:
-    """H2: cohorts × period numbers (0.0 where nobody returned)."""
-    return cohort_pivot(L, list(periods))
+    """H2: cohorts × period numbers (0.0 where nobody returned).  A period that
+    is not in the list makes the query fail instead of being left out."""
+    return cohort_pivot(L, list(periods), strict=True)
 
 
 COHORT_JOBS["h2_cohort_pivot_all"] = h2_cohort_pivot_all
