@@ -74,5 +74,62 @@ SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, component_id = id
 FROM found LEFT JOIN (SELECT u AS id, count(*) AS n FROM both_ways GROUP BY 1) links USING (id)
 """
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+TOP_K = f"""
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND {_FINITE}),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM whole q JOIN whole c
+  ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scores)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5
+"""
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED = rf"""
+WITH docs AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+sizes AS (SELECT doc_id, len(w) AS n FROM docs WHERE len(w) > 0),
+corpus AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM sizes),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM docs) z GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, corpus GROUP BY term, nd),
+wanted AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) z),
+scores AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l)))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (term) JOIN tfs USING (term) JOIN sizes USING (doc_id), corpus GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scores WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 50
+"""
+
+
+def _codes(rounds: int = 6) -> str:
+    """Assignment and update, written out for each round."""
+    off = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+
+    def assigned(r: int) -> str:
+        return f"""a{r} AS MATERIALIZED (SELECT id, part, any_value(x) AS x, arg_min(entry, off * 16 + entry) AS entry, min(off) AS off
+  FROM (SELECT id, part, x, entry, CAST({off} AS BIGINT) AS off FROM parts JOIN b{r} USING (part)) z GROUP BY id, part)"""
+
+    steps = []
+    for r in range(rounds):
+        steps.append(assigned(r))
+        steps.append(f"""m{r} AS (SELECT part, entry, i, sum(y) AS s, count(*) AS n FROM (SELECT part, entry, unnest(x) AS y,
+  unnest(range(1, len(x) + 1)) AS i FROM a{r}) z GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(f.c, o.c) AS c FROM b{r} o LEFT JOIN (SELECT part, entry,
+  list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM m{r} GROUP BY ALL) f USING (part, entry))""")
+    steps.append(assigned(rounds))
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS id, vec_id, label,
+  list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {_FINITE}),
+parts AS MATERIALIZED (SELECT id, part, v[part * (len(v) // 8) + 1:(part + 1) * (len(v) // 8)] AS x FROM kept, range(8) r(part)),
+b0 AS MATERIALIZED (SELECT part, id AS entry, x AS c FROM parts WHERE id < 16),
+{", ".join(steps)},
+codes AS (SELECT id, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(off) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY id),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS digest FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256
+FROM kept JOIN codes USING (id), books
+"""
+
+
 ORACLES = {"op2_minhash": MINHASH, "op6_positional_index": DECONTAMINATION, "op8_stupid_backoff": STUPID_BACKOFF,
-           "op9_int8_tiles": VECTORS}
+           "op9_int8_tiles": VECTORS, "op11_histogram_selection": TOP_K, "op12_ball_tree": RANKED, "op13_equal_average": _codes()}
