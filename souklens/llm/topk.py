@@ -230,10 +230,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: float = SC
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for uid, part, own, s, c_ids, scores in _meetings(batches, lambda s: np.ones(len(s), bool)):
-            i, j, _ = _place(s, c_ids, scores, own)
-            best = np.where(s["by_id"], s["tied"], s["low"] + s["last"].astype(np.int64))
-            x, y = np.nonzero((scores > best[:, None]) & (c_ids[None, :] != own[:, None]))
-            i, j = np.concatenate([i, x]), np.concatenate([j, y])
+            least = np.where(s["by_id"], s["tied"], s["low"])[:, None]
+            last_id = np.where(s["by_id"], s["low"] + s["last"].astype(np.int64), np.iinfo(np.int64).max)[:, None]
+            i, j = np.nonzero(((scores > least) | ((scores == least) & (c_ids[None, :] <= last_id))) & (c_ids[None, :] != own[:, None]))
             order = np.lexsort((c_ids[j], -scores[i, j], i))  # rows alike in score and id: k of them are enough
             i, j = i[order], j[order]
             i, j = (a[np.arange(len(i)) - np.searchsorted(i, i) < max(k, FEW * k)] for a in (i, j))
