@@ -6,13 +6,45 @@ marks it for lazy caching on the executors, with disk as the overflow: it is
 computed once, when the job first runs, its plan stays small, and blocks lost
 with an executor are computed again.  Nothing runs or is written while the
 plan is built.
+
+``releasing`` ties the cached tables to the job's result: they leave the
+executors' storage when the result DataFrame is no longer held.  A plan that
+outlives it stays right and computes them again.
 """
 
 from __future__ import annotations
 
+import weakref
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+_SCOPE: ContextVar[list[DataFrame] | None] = ContextVar("cached tables of the job being built", default=None)
+
 
 def reused(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(cached)
+    return cached
+
+
+def releasing(build: Callable[[], DataFrame]) -> DataFrame:
+    """Build a job; what it marked with ``reused`` is released with its result."""
+    cached: list[DataFrame] = []
+    token = _SCOPE.set(cached)
+    try:
+        result = build()
+    finally:
+        _SCOPE.reset(token)
+    if cached:
+        weakref.finalize(result, _release, cached, result.sparkSession).atexit = False
+    return result
+
+
+def _release(cached: list[DataFrame], spark) -> None:
+    if spark.sparkContext._jsc is not None:  # the session may have ended meanwhile
+        for df in cached:
+            df.unpersist()

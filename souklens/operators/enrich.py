@@ -7,12 +7,13 @@ date is unknown), unlike the warehouse flag.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from souklens.functions.dates import day_name, year_month, year_quarter
-from souklens.functions.numeric import SECONDS_PER_HOUR, days_from_seconds, mean, seconds_between
-from souklens.functions.stats import asc, first_of, mode_by_count, sorted_set_join
+from souklens.functions.numeric import SECONDS_PER_HOUR, days_from_seconds, mean, ratio, seconds_between
+from souklens.functions.stats import asc, first_of, sorted_set_join
+
 
 def DELIVERED():
     return F.col("order_status") == "delivered"
@@ -123,24 +124,61 @@ def product_analytics(products: DataFrame, items: DataFrame, reviews: DataFrame,
             .join(_products(products, translation), "product_id", "left"))
 
 
+def _delivered_by_order(items: DataFrame, orders: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Delivered items with their review score and a mark on one row of each
+    (order, seller): a window over the rows of one order, which lie together
+    after the joins on order_id, so counting orders needs no distinct."""
+    x = _delivered_items_with_review(items, orders, reviews)
+    pair = Window.partitionBy("order_id", "seller_id").orderBy("order_item_id")
+    return x.withColumn("_first", F.row_number().over(pair) == 1)
+
+
+def _sums() -> list:
+    """First step of the ladder: what adds up from (seller, product) to the seller."""
+    return [F.count(F.lit(1)).alias("_rows"), F.count("order_item_id").alias("_items"), F.count_if("_first").alias("_orders"),
+            *[f(c).alias(f"_{n}_{c}") for c in ("price", "freight_value", "review_score") for n, f in (("s", F.sum), ("n", F.count))]]
+
+
+def _add_up(*more) -> list:
+    """Later steps: sums of the sums."""
+    names = ["_rows", "_items", "_orders", *[f"_{n}_{c}" for c in ("price", "freight_value", "review_score") for n in "sn"]]
+    return [*[F.sum(n).alias(n) for n in names], *more]
+
+
+def _seller_columns(df: DataFrame) -> DataFrame:
+    return df.withColumns({
+        "total_items_sold": F.col("_items"), "total_product_revenue": F.col("_s_price"), "total_freight_revenue": F.col("_s_freight_value"),
+        "avg_item_price": ratio("_s_price", "_n_price"), "avg_freight_value": ratio("_s_freight_value", "_n_freight_value"),
+        "avg_review_score": ratio("_s_review_score", "_n_review_score"), "n_unique_orders": F.col("_orders"),
+        "total_revenue": F.col("_s_price") + F.col("_s_freight_value")})
+
+
+SELLER_SUMS = ["total_items_sold", "total_product_revenue", "total_freight_revenue", "avg_item_price", "avg_freight_value",
+               "avg_review_score", "n_unique_orders"]
+
+
+def seller_sales(items: DataFrame, orders: DataFrame, reviews: DataFrame) -> DataFrame:
+    """The sums and averages of E5 alone: no product is read."""
+    x = _delivered_by_order(items, orders, reviews).groupBy("seller_id").agg(*_sums())
+    return _seller_columns(x).select("seller_id", *SELLER_SUMS, "total_revenue")
+
+
 def seller_analytics(sellers: DataFrame, items: DataFrame, orders: DataFrame, reviews: DataFrame,
                      products: DataFrame, translation: DataFrame) -> DataFrame:
     """E5: one row per selling seller (delivered orders); top category is the
-    most frequent English name, smallest on ties, 'unknown' if none."""
-    x = (_delivered_items_with_review(items, orders, reviews)
-         .join(_products(products, translation).select("product_id", "product_category_name_english"), "product_id", "left"))
-    agg = x.groupBy("seller_id").agg(
-        F.count("order_item_id").alias("total_items_sold"),
-        F.sum("price").alias("total_product_revenue"),
-        F.sum("freight_value").alias("total_freight_revenue"),
-        mean("price").alias("avg_item_price"),
-        mean("freight_value").alias("avg_freight_value"),
-        mean("review_score").alias("avg_review_score"),
-        F.count_distinct("order_id").alias("n_unique_orders"))
-    prods = x.select("seller_id", "product_id").distinct().groupBy("seller_id").agg(
-        F.count(F.lit(1)).alias("n_unique_products"))
-    top = mode_by_count(x, ["seller_id"], "product_category_name_english", "top_category")
-    return (agg.join(prods, "seller_id", "left").join(top, "seller_id", "left")
-            .withColumns({"top_category": F.coalesce(F.col("top_category"), F.lit("unknown")),
-                          "total_revenue": F.col("total_product_revenue") + F.col("total_freight_revenue")})
+    most frequent English name, smallest on ties, 'unknown' if none.
+
+    A ladder over one join of items, orders and reviews: (seller, product)
+    first, which meets the products, then (seller, category), then the seller.
+    Each step adds up the one before, so a seller with a third of all items is
+    reduced in the first step's partial aggregate."""
+    by_product = _delivered_by_order(items, orders, reviews).groupBy("seller_id", "product_id").agg(*_sums())
+    name = "product_category_name_english"
+    by_category = (by_product.join(_products(products, translation).select("product_id", name), "product_id", "left")
+                   .groupBy("seller_id", name).agg(*_add_up(F.count("*").alias("_products"))))
+    top = F.min(F.when(F.col(name).isNotNull(), F.struct((-F.col("_rows")).alias("n"), F.col(name).alias("v"))))
+    agg = _seller_columns(by_category.groupBy("seller_id").agg(
+        *_add_up(F.sum("_products").alias("n_unique_products"), top.alias("_top"))))
+    return (agg.withColumn("top_category", F.coalesce(F.col("_top.v"), F.lit("unknown")))
+            .select("seller_id", *SELLER_SUMS, "n_unique_products", "top_category", "total_revenue")
             .join(sellers.select("seller_id", "seller_state", "seller_city"), "seller_id", "left"))

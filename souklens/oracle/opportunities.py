@@ -44,25 +44,25 @@ pp AS (SELECT customer_unique_id, count(order_id) AS n FROM e_oe WHERE {DLV} AND
 o6 AS (SELECT (SELECT {pct("count(*) FILTER (WHERE n > 1)", "count(*)")} FROM pp) AS rate,
   (SELECT {avg_('total_order_revenue')} FROM e_oe WHERE {DLV}) AS aov),
 opp AS (
-  SELECT 'Improve Quality in ''' || c || '''' AS title,
-    'Revenue R$' || {f0('revenue')} || ' at ' || {f2('avg_score')} || '/5.0 stars, ' || {f2('all_score - avg_score')}
-      || ' below the platform average.' AS description,
-    'Revenue: R$' || {f0('revenue')} || ' | Score: ' || {f2('avg_score')} AS metric_value,
+  SELECT 'Raise the quality of ''' || c || '''' AS title,
+    'Sells for R$' || {f0('revenue')} || ' but scores ' || {f2('avg_score')} || ' of 5, ' || {f2('all_score - avg_score')}
+      || ' below all items.' AS description,
+    'Revenue R$' || {f0('revenue')} || ', score ' || {f2('avg_score')} AS metric_value,
     'Customer Satisfaction' AS category, 'High' AS priority FROM o1
-  UNION ALL SELECT 'Recruit Sellers in ' || st || ' (' || {f0('n_orders')} || ' orders, 0 sellers)',
-    'State ' || st || ' has ' || {f0('n_orders')} || ' customer orders and no registered seller.',
-    'Orders: ' || {f0('n_orders')} || ' | Sellers: 0', 'Geographic Expansion', 'High' FROM o2
-  UNION ALL SELECT 'Bundle Strategy for ''' || c || '''',
-    {f0('n_items')} || ' items at an average price of R$' || {f2('avg_price')} || ' against R$' || {f2('all_price')} || ' overall.',
-    'Items: ' || {f0('n_items')} || ' | Avg Price: R$' || {f2('avg_price')}, 'Revenue Growth', 'Medium' FROM o3
-  UNION ALL SELECT 'Fix Delivery Reliability in ' || st, st || ' has a late delivery rate of ' || {f1('late_rate')} || '%.',
-    'Late Rate: ' || {f1('late_rate')} || '% | Avg delay: ' || {f1('avg_delay')} || 'd', 'Logistics', 'High' FROM o4
-  UNION ALL SELECT CAST(n AS VARCHAR) || ' High-Revenue Sellers With Poor Customer Satisfaction',
-    CAST(n AS VARCHAR) || ' sellers above R$10,000 revenue score below 3.5; R$' || {f0('at_risk')} || ' of revenue at risk.',
-    'Sellers: ' || CAST(n AS VARCHAR) || ' | Revenue at risk: R$' || {f0('at_risk')}, 'Seller Management', 'High' FROM o5 WHERE n > 0
-  UNION ALL SELECT 'Retention Programme — 97% of Customers Are One-Time Buyers',
-    'Only ' || {f1('rate')} || '% of customers placed a second order; doubling it adds about R$' || {f0('aov * 2000')} || '.',
-    'Current repeat rate: ' || {f1('rate')} || '%', 'Customer Retention', 'Critical' FROM o6)
+  UNION ALL SELECT 'Find sellers in ' || st, 'Customers in ' || st || ' placed ' || {f0('n_orders')}
+      || ' delivered orders, and no seller of that state delivered any.',
+    'Orders ' || {f0('n_orders')} || ', sellers 0', 'Geographic Expansion', 'High' FROM o2
+  UNION ALL SELECT 'Sell ''' || c || ''' in bundles',
+    {f0('n_items')} || ' items at R$' || {f2('avg_price')} || ' each on average, where all items cost R$' || {f2('all_price')} || '.',
+    'Items ' || {f0('n_items')} || ', average price R$' || {f2('avg_price')}, 'Revenue Growth', 'Medium' FROM o3
+  UNION ALL SELECT 'Deliver on time in ' || st, {f1('late_rate')} || '% of the orders to ' || st || ' came late.',
+    'Late ' || {f1('late_rate')} || '%, average delay ' || {f1('avg_delay')} || ' days', 'Logistics', 'High' FROM o4
+  UNION ALL SELECT 'Help ' || CAST(n AS VARCHAR) || ' strong sellers with weak reviews',
+    CAST(n AS VARCHAR) || ' sellers with more than R$10,000 score below 3.5; they stand for R$' || {f0('at_risk')} || '.',
+    'Sellers ' || CAST(n AS VARCHAR) || ', revenue R$' || {f0('at_risk')}, 'Seller Management', 'High' FROM o5 WHERE n > 0
+  UNION ALL SELECT 'Bring buyers back: ' || format('{{:.0f}}', {r('100.0 - rate', 0)}) || '% buy once',
+    {f1('rate')} || '% of the customers order again; twice as many would add some R$' || {f0('aov * 2000')} || '.',
+    'Repeat rate ' || {f1('rate')} || '%', 'Customer Retention', 'Critical' FROM o6)
 """
 
 OPP_SQL = {

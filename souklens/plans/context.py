@@ -45,6 +45,7 @@ class Layers:
         self.spark = spark
         self.sf_dir = sf_dir
         self._raw = raw
+        self.stored = False  # star and enriched tables are read, not computed
 
     @classmethod
     def shared(cls, spark: SparkSession, sf_dir: str) -> "Layers":
@@ -79,6 +80,7 @@ class Layers:
                 return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in want.fields])
             return read
 
+        w.stored = True
         w.__dict__["raw"] = LazyTables({})
         w.__dict__["clean"] = LazyTables({n: reader("clean", n) for n in CLEAN_OUTPUTS})
         w.__dict__["star"] = LazyTables({n: reader("star", n) for n in shape.star})
@@ -87,6 +89,13 @@ class Layers:
         w.__dict__["enriched"] = LazyTables(enriched)
         return w
 
+    def with_clean(self, **tables: DataFrame) -> "Layers":
+        """The same layers on top of other versions of some cleaned tables."""
+        w = Layers(self.spark, self.sf_dir, self._raw)
+        w.__dict__["raw"] = self.raw
+        w.__dict__["clean"] = LazyTables({n: (lambda n=n: tables[n] if n in tables else self.clean[n]) for n in self.clean})
+        return w
+
     def over_clean(self, clean_dir: str, fmt: str = "parquet") -> "Layers":
         """The same layers on top of cleaned tables written to ``clean_dir``."""
         w = Layers(self.spark, self.sf_dir, self._raw)

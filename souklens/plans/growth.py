@@ -1,18 +1,19 @@
 """Monthly growth, trends and rule-based opportunities.
 
 Windows here run over the monthly aggregate (one row per calendar month), so
-their single partition is bounded by the calendar, not by the data.  Top-N
-lists are joined back as semi joins (no driver-side lists).
+their single partition is bounded by the calendar, not by the data; those of
+the opportunities run over the summary (a row per category, state and month).
+Top-N lists are joined back as semi joins (no driver-side lists).
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from souklens.functions.numeric import mean, mean_days, money, pct, ratio, rnd, share_if
+from souklens.functions.numeric import mean, money, pct, ratio, rnd, share_if
+from souklens.operators.enrich import seller_sales
+from souklens.operators.summary import avg_days_of, avg_of, summary_of
 from souklens.plans.context import Layers
 
 
@@ -102,6 +103,7 @@ def w14_rolling_revenue(L: Layers, window: int = 3) -> DataFrame:
 # --------------------------------------------------------------------------- opportunities
 
 OPP_COLS = ["title", "description", "metric_value", "category", "priority"]
+UPLIFT_ORDERS = 2000  # orders that a doubled repeat rate is taken to add
 
 
 def _fmt0(c) -> F.Column:
@@ -110,77 +112,82 @@ def _fmt0(c) -> F.Column:
     return F.format_number(rnd(F.col(c) if isinstance(c, str) else c, 0), 0)
 
 
-def _opp(df: DataFrame, title, description, metric, category: str, priority: str) -> DataFrame:
-    return df.select(title.alias("title"), description.alias("description"), metric.alias("metric_value"),
-                     F.lit(category).alias("category"), F.lit(priority).alias("priority"))
-
-
-def opportunities(L: Layers) -> DataFrame:
-    """Rule-based opportunity rows, ordered by priority."""
-    o = L.enriched["orders_enriched"].where(DELIVERED())
-    it = L.enriched["order_items_enriched"].where(DELIVERED())
-    rv = L.clean["order_reviews"].select("order_id", "review_score")
-    iwr = it.join(rv, "order_id", "left")
-    # O1: categories with >= 200 orders, revenue above the mean, score 0.3 below overall
-    cat = (iwr.where(F.col("product_category_name_english").isNotNull()).groupBy("product_category_name_english")
-           .agg(F.sum("item_revenue").alias("revenue"), mean("review_score").alias("avg_score"),
-                F.count_distinct("order_id").alias("n_orders")).where(F.col("n_orders") >= 200))
-    ref = cat.agg(mean("revenue").alias("_avg_rev")).crossJoin(F.broadcast(iwr.agg(mean("review_score").alias("_avg_score"))))
-    o1 = (cat.crossJoin(F.broadcast(ref)).where((F.col("revenue") > F.col("_avg_rev"))
-                                   & (F.col("avg_score") < F.col("_avg_score") - 0.3))
-          .orderBy(F.desc("revenue"), "product_category_name_english").limit(3))
-    o1 = _opp(o1, F.format_string("Improve Quality in '%s'", "product_category_name_english"),
-              F.format_string("Revenue R$%s at %.2f/5.0 stars, %.2f below the platform average.",
-                              _fmt0("revenue"), rnd("avg_score"), rnd(F.col("_avg_score") - F.col("avg_score"))),
-              F.format_string("Revenue: R$%s | Score: %.2f", _fmt0("revenue"), rnd("avg_score")),
-              "Customer Satisfaction", "High")
-    # O2: states with >= 100 delivered orders and no seller
-    cs = o.where(F.col("customer_state").isNotNull()).groupBy(F.col("customer_state").alias("state")).agg(
-        F.count("order_id").alias("n_orders"))
-    ss = L.enriched["seller_analytics"].where(F.col("seller_state").isNotNull()).groupBy(
-        F.col("seller_state").alias("state")).agg(F.count("seller_id").alias("n_sellers"))
-    o2 = (cs.join(ss, "state", "left_anti").where(F.col("n_orders") >= 100)
-          .orderBy(F.desc("n_orders"), "state").limit(4))
-    o2 = _opp(o2, F.format_string("Recruit Sellers in %s (%s orders, 0 sellers)", "state", _fmt0("n_orders")),
-              F.format_string("State %s has %s customer orders and no registered seller.", "state", _fmt0("n_orders")),
-              F.format_string("Orders: %s | Sellers: 0", _fmt0("n_orders")), "Geographic Expansion", "High")
-    # O3: categories >= 500 items, items above p75, average price below half the overall
-    ca = (it.where(F.col("product_category_name_english").isNotNull()).groupBy("product_category_name_english")
-          .agg(F.count("order_item_id").alias("n_items"), mean("price").alias("avg_price")).where(F.col("n_items") >= 500))
-    ref3 = ca.agg(F.percentile(F.col("n_items").cast("double"), 0.75).alias("_p75")).crossJoin(F.broadcast(
-        it.agg(mean("price").alias("_avg_price"))))
-    o3 = (ca.crossJoin(F.broadcast(ref3)).where((F.col("n_items") > F.col("_p75")) & (F.col("avg_price") < F.col("_avg_price") * 0.5))
-          .orderBy(F.desc("n_items"), "product_category_name_english").limit(2))
-    o3 = _opp(o3, F.format_string("Bundle Strategy for '%s'", "product_category_name_english"),
-              F.format_string("%s items at an average price of R$%.2f against R$%.2f overall.",
-                              _fmt0("n_items"), rnd("avg_price"), rnd("_avg_price")),
-              F.format_string("Items: %s | Avg Price: R$%.2f", _fmt0("n_items"), rnd("avg_price")), "Revenue Growth", "Medium")
-    # States with >= 200 orders of known punctuality and late rate above 15 %
-    hd = o.where(F.col("is_delayed").isNotNull() & F.col("customer_state").isNotNull())
-    sl = (hd.groupBy("customer_state").agg(share_if(F.col("is_delayed") == 1).alias("late_rate"),
-                                           F.count("order_id").alias("n_orders"), mean_days("delay_seconds").alias("avg_delay"))
-          .where((F.col("n_orders") >= 200) & (F.col("late_rate") > 15))
-          .orderBy(F.desc("late_rate"), "customer_state").limit(3))
-    o4 = _opp(sl, F.format_string("Fix Delivery Reliability in %s", "customer_state"),
-              F.format_string("%s has a late delivery rate of %.1f%%.", "customer_state", rnd("late_rate", 1)),
-              F.format_string("Late Rate: %.1f%% | Avg delay: %.1fd", rnd("late_rate", 1), rnd("avg_delay", 1)), "Logistics", "High")
-    # Sellers above 10,000 revenue with a score below 3.5 (a row only if any)
-    sa = L.enriched["seller_analytics"].where((F.col("total_revenue") > 10000) & (F.col("avg_review_score") < 3.5))
-    s5 = sa.agg(F.count(F.lit(1)).alias("n"), F.sum("total_revenue").alias("at_risk")).where(F.col("n") > 0)
-    o5 = _opp(s5, F.format_string("%d High-Revenue Sellers With Poor Customer Satisfaction", "n"),
-              F.format_string("%d sellers above R$10,000 revenue score below 3.5; R$%s of revenue at risk.",
-                              "n", _fmt0("at_risk")),
-              F.format_string("Sellers: %d | Revenue at risk: R$%s", "n", _fmt0("at_risk")), "Seller Management", "High")
-    # Repeat-rate uplift (always one row)
-    per = o.where(F.col("customer_unique_id").isNotNull()).groupBy("customer_unique_id").agg(F.count("order_id").alias("n"))
-    rr = per.agg(share_if(F.col("n") > 1).alias("rate")).crossJoin(F.broadcast(o.agg(mean("total_order_revenue").alias("_aov"))))
-    o6 = _opp(rr, F.lit("Retention Programme — 97% of Customers Are One-Time Buyers"),
-              F.format_string("Only %.1f%% of customers placed a second order; doubling it adds about R$%s.",
-                              rnd("rate", 1), _fmt0(F.col("_aov") * 2000)),
-              F.format_string("Current repeat rate: %.1f%%", rnd("rate", 1)), "Customer Retention", "Critical")
-    allo = reduce(DataFrame.unionByName, [o1, o2, o3, o4, o5, o6])
+def _rule(number: int, limit: int, holds, order, title, description, metric, category: str, priority: str) -> F.Column:
+    """One rule as a struct: whether it holds for the row, the number that its
+    rows are ranked by, how many may stay, and the text."""
+    return F.struct(F.lit(number).alias("rule"), F.lit(limit).alias("most"), F.coalesce(holds, F.lit(False)).alias("holds"),
+                    order.cast("decimal(38,10)").alias("by"), title.alias("title"), description.alias("description"),
+                    metric.alias("metric_value"), F.lit(category).alias("category"), F.lit(priority).alias("priority"))
+
+
+def opportunities(L: Layers, uplift_orders: int = UPLIFT_ORDERS) -> DataFrame:
+    """Rule-based opportunity rows, ordered by priority.
+
+    All rules read one summary (a row per category, state, month and total)
+    with the sellers at risk and the repeat rate added as rows.  References
+    such as the mean over categories are windows over these few rows, and each
+    row gives the rules that hold for it, so nothing is read or joined twice."""
+    c = L.clean
+    risk = (seller_sales(c["order_items"], c["orders"], c["order_reviews"])
+            .where((F.col("total_revenue") > 10000) & (F.col("avg_review_score") < 3.5))
+            .agg(F.count(F.lit(1)).alias("n_sellers"), F.sum("total_revenue").alias("at_risk"))
+            .select(F.lit("risk").alias("dim"), "n_sellers", "at_risk"))
+    persons = (c["orders"].where(DELIVERED()).join(c["customers"].select("customer_id", "customer_unique_id"), "customer_id")
+               .where(F.col("customer_unique_id").isNotNull()).groupBy("customer_unique_id").agg(F.count("order_id").alias("n"))
+               .agg(share_if(F.col("n") > 1).alias("repeat_rate")).select(F.lit("persons").alias("dim"), "repeat_rate"))
+    rows = summary_of(L).unionByName(risk, allowMissingColumns=True).unionByName(persons, allowMissingColumns=True)
+    every = Window.partitionBy()
+    is_cat, known_key = F.col("dim") == "category", F.col("key").isNotNull()
+    big, wide = is_cat & known_key & (F.col("n_orders") >= 200), is_cat & known_key & (F.col("n_items") >= 500)
+    total = F.col("dim") == "total"
+    place = F.when(F.col("dim").isin("customer_state", "seller_state"), F.col("key"))
+    rows = rows.withColumns({
+        "avg_score": avg_of("score"), "avg_price": avg_of("price"), "late_rate": pct("late", "known"),
+        "avg_delay": avg_days_of("delay", "known"),
+        "all_revenue": ratio(F.sum(F.when(big, F.col("revenue"))).over(every), F.count(F.when(big, F.col("revenue"))).over(every)),
+        "all_score": F.max(F.when(total, avg_of("score"))).over(every), "all_price": F.max(F.when(total, avg_of("price"))).over(every),
+        "p75": F.percentile(F.when(wide, F.col("n_items").cast("double")), 0.75).over(every),
+        "aov": F.max(F.when(total, avg_of("order_value"))).over(every),
+        "sold_from": F.max(F.when(F.col("dim") == "seller_state", F.lit(1))).over(Window.partitionBy(place))})
+    state = (F.col("dim") == "customer_state") & known_key
+    rules = F.array(
+        # O1: categories with >= 200 orders, revenue above the mean, score 0.3 below overall
+        _rule(1, 3, big & (F.col("revenue") > F.col("all_revenue")) & (F.col("avg_score") < F.col("all_score") - 0.3), F.col("revenue"),
+              F.format_string("Raise the quality of '%s'", "key"),
+              F.format_string("Sells for R$%s but scores %.2f of 5, %.2f below all items.",
+                              _fmt0("revenue"), rnd("avg_score"), rnd(F.col("all_score") - F.col("avg_score"))),
+              F.format_string("Revenue R$%s, score %.2f", _fmt0("revenue"), rnd("avg_score")), "Customer Satisfaction", "High"),
+        # O2: states with >= 100 delivered orders and no seller that delivered
+        _rule(2, 4, state & F.col("sold_from").isNull() & (F.col("n_orders") >= 100), F.col("n_orders"),
+              F.format_string("Find sellers in %s", "key"),
+              F.format_string("Customers in %s placed %s delivered orders, and no seller of that state delivered any.", "key", _fmt0("n_orders")),
+              F.format_string("Orders %s, sellers 0", _fmt0("n_orders")), "Geographic Expansion", "High"),
+        # O3: categories >= 500 items, items above p75, average price below half the overall
+        _rule(3, 2, wide & (F.col("n_items") > F.col("p75")) & (F.col("avg_price") < F.col("all_price") * 0.5), F.col("n_items"),
+              F.format_string("Sell '%s' in bundles", "key"),
+              F.format_string("%s items at R$%.2f each on average, where all items cost R$%.2f.",
+                              _fmt0("n_items"), rnd("avg_price"), rnd("all_price")),
+              F.format_string("Items %s, average price R$%.2f", _fmt0("n_items"), rnd("avg_price")), "Revenue Growth", "Medium"),
+        # States with >= 200 orders of known punctuality and late rate above 15 %
+        _rule(4, 3, state & (F.col("known") >= 200) & (F.col("late_rate") > 15), F.col("late_rate"),
+              F.format_string("Deliver on time in %s", "key"),
+              F.format_string("%.1f%% of the orders to %s came late.", rnd("late_rate", 1), "key"),
+              F.format_string("Late %.1f%%, average delay %.1f days", rnd("late_rate", 1), rnd("avg_delay", 1)), "Logistics", "High"),
+        # Sellers above 10,000 revenue with a score below 3.5 (a row only if any)
+        _rule(5, 1, (F.col("dim") == "risk") & (F.col("n_sellers") > 0), F.col("n_sellers"),
+              F.format_string("Help %d strong sellers with weak reviews", "n_sellers"),
+              F.format_string("%d sellers with more than R$10,000 score below 3.5; they stand for R$%s.", "n_sellers", _fmt0("at_risk")),
+              F.format_string("Sellers %d, revenue R$%s", "n_sellers", _fmt0("at_risk")), "Seller Management", "High"),
+        # Repeat-rate uplift (always one row)
+        _rule(6, 1, F.col("dim") == "persons", F.lit(1),
+              F.concat(F.lit("Bring buyers back: "), F.format_string("%.0f%% buy once", rnd(F.lit(100.0) - F.col("repeat_rate"), 0))),
+              F.format_string("%.1f%% of the customers order again; twice as many would add some R$%s.",
+                              rnd("repeat_rate", 1), _fmt0(F.col("aov") * uplift_orders)),
+              F.format_string("Repeat rate %.1f%%", rnd("repeat_rate", 1)), "Customer Retention", "Critical"))
+    ranked = (rows.select("key", F.explode(rules).alias("r")).select("key", "r.*").where("holds")
+              .withColumn("place", F.row_number().over(Window.partitionBy("rule").orderBy(F.desc("by"), "key"))))
     rank = F.array_position(F.array(*[F.lit(p) for p in PRIORITY_ORDER]), F.col("priority"))
-    return allo.withColumn("priority_rank", rank.cast("int"))
+    return ranked.where(F.col("place") <= F.col("most")).select(*OPP_COLS).withColumn("priority_rank", rank.cast("int"))
 
 
 def o7_opportunities(L: Layers) -> DataFrame:

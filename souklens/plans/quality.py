@@ -1,7 +1,8 @@
 """Data-quality and validation checks (V1-V14) as (check, status, detail) rows.
 
-Every check is a one-row aggregate (distinct counts, anti-join counts, sums)
-over the distributed tables; the rows are unioned, nothing is collected.
+Uniqueness and orphan checks come from key-presence masks (``operators.keys``)
+and sums over the same rows: each table is read once, the numbers end in one
+row, and that row is spread into the checks.  Nothing is collected.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from souklens.functions.numeric import money, pct, rnd
+from souklens.functions.reuse import reused
+from souklens.operators.keys import Source, key_masks, keys_of, orphans_of, rows_of
 from souklens.plans.context import Layers
 from souklens.sources.inline import local_table
 
@@ -20,128 +23,215 @@ def _n(c) -> Column:
     return F.format_number(F.col(c) if isinstance(c, str) else c, 0)
 
 
-def _row(df: DataFrame, name: str, passed: Column, detail: Column) -> DataFrame:
-    return df.select(F.lit(name).alias("check"), F.when(passed, "PASS").otherwise("FAIL").alias("status"),
-                     detail.alias("detail"))
+def _m(c) -> Column:
+    return F.format_number(F.col(c) if isinstance(c, str) else c, 2)
 
 
-def _unique(df: DataFrame, keys: list[str], name: str, detail: str = "unique") -> DataFrame:
-    """Rows vs distinct keys (distinct count over a pre-distinct projection)."""
-    k = F.struct(*keys) if len(keys) > 1 else F.col(keys[0])
-    a = df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(k).alias("uniq"))
-    if detail == "unique":
-        d = F.format_string("%s unique / %s rows", _n("uniq"), _n("rows"))
-    else:
-        d = F.format_string("Rows: %s", _n("rows"))
-    return _row(a, name, F.col("rows") == F.col("uniq"), d)
+def _check(name: str, passed: Column, detail: Column) -> Column:
+    return F.struct(F.lit(name).alias("check"), F.when(passed, "PASS").otherwise("FAIL").alias("status"), detail.alias("detail"))
 
 
-def _orphans(child: DataFrame, parent: DataFrame, key: str, name: str, what: str) -> DataFrame:
-    n = child.join(parent.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("n"))
-    return _row(n, name, F.col("n") == 0, F.format_string(what, _n("n")))
+def _checks(one: DataFrame, checks: list[Column]) -> DataFrame:
+    """The one row of numbers spread into one row for each check."""
+    return one.select(F.explode(F.array(*checks)).alias("r")).select("r.*")
+
+
+def _none(count: str, name: str, text: str) -> Column:
+    """A check that a count is zero."""
+    return _check(name, F.col(count) == 0, F.format_string(text, _n(count)))
 
 
 def v01_post_clean_validation(L: Layers) -> DataFrame:
     """V1: the 15 post-cleaning checks."""
     c = L.clean
-    oe, ie = L.enriched["orders_enriched"], L.enriched["order_items_enriched"]
-    items = c["order_items"]
-    checks = [
-        _unique(c["customers"], ["customer_id"], "customers PK"),
-        _unique(c["orders"], ["order_id"], "orders PK"),
-        _unique(c["products"], ["product_id"], "products PK"),
-        _unique(c["sellers"], ["seller_id"], "sellers PK"),
-        _row(c["order_reviews"].agg(F.count_distinct("order_id").alias("u"), F.count(F.lit(1)).alias("n")),
-             "order_reviews one-per-order", F.col("u") == F.col("n"),
-             F.format_string("%s unique order_id / %s rows", _n("u"), _n("n"))),
-        _orphans(c["orders"], c["customers"], "customer_id", "orders→customers FK", "%s orphan orders"),
-        _orphans(items, c["orders"], "order_id", "order_items→orders FK", "%s orphan items"),
-        _orphans(items, c["products"], "product_id", "order_items→products FK", "%s orphan items (product)"),
-        _orphans(items, c["sellers"], "seller_id", "order_items→sellers FK", "%s orphan items (seller)"),
-        _orphans(c["order_payments"], c["orders"], "order_id", "order_payments→orders FK", "%s orphan payments"),
-        _unique(oe, ["order_id"], "orders_enriched grain = 1 row per order"),
-        _row(ie.agg(F.count(F.lit(1)).alias("a")).crossJoin(F.broadcast(items.agg(F.count(F.lit(1)).alias("b")))),
-             "items_enriched row count matches order_items", F.col("a") == F.col("b"),
-             F.format_string("items_enriched=%s, order_items=%s", _n("a"), _n("b"))),
-        _row(items.agg((F.coalesce(F.sum("price"), F.lit(0)) + F.coalesce(F.sum("freight_value"), F.lit(0))).alias("a"))
-             .crossJoin(F.broadcast(oe.agg(F.coalesce(F.sum("total_order_revenue"), F.lit(0)).alias("b"))))
-             .withColumn("d", F.abs(F.col("a") - F.col("b"))),
-             "Revenue consistency: sum(order_items) ≈ sum(orders_enriched.total_order_revenue)", F.col("d") < 1.0,
-             F.format_string("order_items sum=R$%s, enriched sum=R$%s, diff=R$%s", F.format_number("a", 2),
-                             F.format_number("b", 2), F.format_number("d", 2))),
-        _row(c["orders"].agg(F.count(F.lit(1)).alias("_")), "orders dates are datetime",
-             F.lit(c["orders"].schema["order_purchase_timestamp"].dataType.typeName().startswith("timestamp")),
-             F.lit(c["orders"].schema["order_purchase_timestamp"].dataType.simpleString())),
-        _row(oe.agg(F.count_if(F.col("delivery_seconds") < 0).alias("n")), "No negative delivery_days",
-             F.col("n") == 0, F.format_string("%s orders with negative delivery days", _n("n"))),
-    ]
-    return reduce(DataFrame.unionByName, checks)
+    masks = key_masks([
+        Source("customers", c["customers"], {"customer": "customer_id"}),
+        Source("orders", c["orders"], {"order": "order_id", "customer": "customer_id"}),
+        Source("products", c["products"], {"product": "product_id"}),
+        Source("sellers", c["sellers"], {"seller": "seller_id"}),
+        Source("reviews", c["order_reviews"], {"order": "order_id"}),
+        Source("items", c["order_items"], {"order": "order_id", "product": "product_id", "seller": "seller_id"},
+               {"price": F.col("price"), "freight": F.col("freight_value")}),
+        Source("payments", c["order_payments"], {"order": "order_id"}),
+        Source("oe", L.enriched["orders_enriched"], {"order": "order_id"},
+               {"revenue": F.col("total_order_revenue"), "negative": (F.col("delivery_seconds") < 0).cast("int")}),
+        Source("ie", L.enriched["order_items_enriched"], {"order": "order_id"})])
+    unique = [("customers", "customer"), ("orders", "order"), ("products", "product"), ("sellers", "seller"), ("reviews", "order"), ("oe", "order")]
+    links = [("orders", "customers", "customer"), ("items", "orders", "order"), ("items", "products", "product"),
+             ("items", "sellers", "seller"), ("payments", "orders", "order")]
+    total = {name: F.coalesce(F.sum(name), F.lit(0)) for name in ("price", "freight", "revenue", "negative")}
+    one = masks.agg(
+        *[rows_of(t, d).alias(f"rows_{t}") for t, d in unique], *[keys_of(t, d).alias(f"keys_{t}") for t, d in unique],
+        *[orphans_of(child, parent, d).alias(f"{child}_{parent}") for child, parent, d in links],
+        rows_of("ie", "order").alias("rows_ie"), rows_of("items", "order").alias("rows_items"),
+        (total["price"] + total["freight"]).cast("decimal(38,2)").alias("a"), total["revenue"].cast("decimal(38,2)").alias("b"),
+        total["negative"].cast("long").alias("negative")).withColumn("d", F.abs(F.col("a") - F.col("b")))
+
+    def one_per_key(table: str, name: str, text: str = "%s unique / %s rows") -> Column:
+        return _check(name, F.col(f"rows_{table}") == F.col(f"keys_{table}"), F.format_string(text, _n(f"keys_{table}"), _n(f"rows_{table}")))
+
+    dates = c["orders"].schema["order_purchase_timestamp"].dataType
+    return _checks(one, [
+        one_per_key("customers", "customers PK"), one_per_key("orders", "orders PK"), one_per_key("products", "products PK"),
+        one_per_key("sellers", "sellers PK"),
+        one_per_key("reviews", "order_reviews one-per-order", "%s unique order_id / %s rows"),
+        _none("orders_customers", "orders→customers FK", "%s orphan orders"),
+        _none("items_orders", "order_items→orders FK", "%s orphan items"),
+        _none("items_products", "order_items→products FK", "%s orphan items (product)"),
+        _none("items_sellers", "order_items→sellers FK", "%s orphan items (seller)"),
+        _none("payments_orders", "order_payments→orders FK", "%s orphan payments"),
+        one_per_key("oe", "orders_enriched grain = 1 row per order"),
+        _check("items_enriched row count matches order_items", F.col("rows_ie") == F.col("rows_items"),
+               F.format_string("items_enriched=%s, order_items=%s", _n("rows_ie"), _n("rows_items"))),
+        _check("Revenue consistency: sum(order_items) ≈ sum(orders_enriched.total_order_revenue)", F.col("d") < 1.0,
+               F.format_string("order_items sum=R$%s, enriched sum=R$%s, diff=R$%s", _m("a"), _m("b"), _m("d"))),
+        _check("orders dates are datetime", F.lit(dates.typeName().startswith("timestamp")), F.lit(dates.simpleString())),
+        _none("negative", "No negative delivery_days", "%s orders with negative delivery days")])
+
+
+# Sums of the ladder below, from the orders up to the one row.
+_LADDER = ["rows_orders", "keys_orders", "rows_fact_orders", "keys_fact_orders", "rows_fact_sales", "keys_fact_sales",
+           "items_orders", "payments_orders", "reviews_orders", "sales_facts", "paid", "payment_total", "mismatched",
+           "sold", "delivered", "revenue", "seconds", "seconds_n", "late", "bad_quarters"]
+
+
+def _is_delivered() -> Column:
+    return F.coalesce(F.col("order_status") == "delivered", F.lit(False))
+
+
+def fact_order_measures() -> dict[str, Column]:
+    """V6, V8 and V9 from fact_orders alone, as aggregates: also observed while the table is written."""
+    dlv, q = _is_delivered(), F.quarter("order_purchase_timestamp")
+    return {"rows_fact_orders": F.count(F.lit(1)), "payment_total": F.coalesce(F.sum("payment_total"), F.lit(0)),
+            "delivered": F.count_if(dlv), "revenue": F.coalesce(F.sum(F.when(dlv, F.col("order_revenue"))), F.lit(0)),
+            "seconds": F.sum(F.when(dlv, F.col("delivery_seconds"))), "seconds_n": F.count(F.when(dlv, F.col("delivery_seconds"))),
+            "late": F.count_if(dlv & (F.col("is_delayed") == 1)), "bad_quarters": F.count_if(dlv & ~q.between(1, 4)),
+            "quarters": F.bit_or(F.when(dlv, F.pow(F.lit(2), q).cast("int")))}
+
+
+def fact_sales_measures() -> dict[str, Column]:
+    """V6 from fact_sales alone."""
+    return {"rows_fact_sales": F.count(F.lit(1)),
+            "sold": F.coalesce(F.sum(F.when(_is_delivered(), F.col("item_revenue"))), F.lit(0))}
+
+
+def _order_rows(L: Layers) -> DataFrame:
+    """One row per order_id that any table holds, with all that adds up.  Over
+    a bucketed warehouse neither aggregate needs an exchange."""
+    s, c = L.star, L.clean
+    dlv, q = _is_delivered(), F.quarter("order_purchase_timestamp")
+    facts = s["fact_orders"].select(
+        "order_id", "customer_id", F.lit(1).alias("n_fo"), F.col("payment_total").alias("_total"), dlv.cast("int").alias("_d"),
+        F.when(dlv, F.col("order_revenue")).alias("_rev"), F.when(dlv, F.col("delivery_seconds")).alias("_sec"),
+        (dlv & F.coalesce(F.col("is_delayed") == 1, F.lit(False))).cast("int").alias("_late"),
+        F.when(dlv, F.pow(F.lit(2), q).cast("int")).alias("_q"), (dlv & ~q.between(1, 4)).cast("int").alias("_badq"))
+    sales = (s["fact_sales"].groupBy("order_id", "order_item_id")
+             .agg(F.count(F.lit(1)).alias("n_fs"), F.sum(F.when(_is_delivered(), F.col("item_revenue"))).alias("_sold"))
+             .select("order_id", "n_fs", F.lit(1).alias("n_pair"), "_sold"))
+    parts = [facts, sales, c["orders"].select("order_id", F.lit(1).alias("n_o")), c["order_items"].select("order_id", F.lit(1).alias("n_i")),
+             c["order_payments"].select("order_id", F.lit(1).alias("n_p"), F.col("payment_value").alias("_paid")),
+             c["order_reviews"].select("order_id", F.lit(1).alias("n_r"))]
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    zero = {n: F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in
+            ("n_fo", "n_fs", "n_pair", "n_o", "n_i", "n_p", "n_r", "_total", "_d", "_late", "_badq", "_paid", "_sold")}
+    per = rows.groupBy("order_id").agg(
+        *zero.values(), F.max("customer_id").alias("customer_id"), F.max("_rev").alias("_high"), F.min("_rev").alias("_low"),
+        F.sum("_rev").alias("_rev"), F.sum("_sec").alias("seconds"), F.count("_sec").alias("seconds_n"), F.bit_or("_q").alias("quarters"))
+    known = F.col("order_id").isNotNull()
+
+    def alone(child: str, parent: str) -> Column:
+        return F.when(~known | (F.col(parent) == 0), F.col(child)).otherwise(F.lit(0))
+
+    off = F.greatest(F.abs(F.col("_sold") - F.col("_high")), F.abs(F.col("_sold") - F.col("_low"))) > 0.01
+    return per.select(
+        "customer_id", "quarters", "seconds", "seconds_n", F.col("n_o").alias("rows_orders"),
+        (known & (F.col("n_o") > 0)).cast("long").alias("keys_orders"), F.col("n_fo").alias("rows_fact_orders"),
+        (known & (F.col("n_fo") > 0)).cast("long").alias("keys_fact_orders"), F.col("n_fs").alias("rows_fact_sales"),
+        F.col("n_pair").alias("keys_fact_sales"), alone("n_i", "n_o").alias("items_orders"), alone("n_p", "n_o").alias("payments_orders"),
+        alone("n_r", "n_o").alias("reviews_orders"), alone("n_fs", "n_fo").alias("sales_facts"),
+        F.when(known & (F.col("n_fo") > 0), F.col("_paid")).otherwise(F.lit(0)).alias("paid"), F.col("_total").alias("payment_total"),
+        F.when(off, F.col("_d")).otherwise(F.lit(0)).alias("mismatched"), F.col("_sold").alias("sold"), F.col("_d").alias("delivered"),
+        F.coalesce("_rev", F.lit(0)).alias("revenue"), F.col("_late").alias("late"), F.col("_badq").alias("bad_quarters"))
+
+
+def warehouse_numbers(L: Layers) -> DataFrame:
+    """All numbers of V4-V9 as one row.  A ladder: sums by order_id, then by
+    customer_id together with the customers, then by person, then in total, so
+    each table is read once; every step adds up the one before and is combined
+    map-side.  Where the facts are computed and not stored, they and the checks
+    share the items and payments."""
+    if not L.stored:
+        L = L.with_clean(order_items=reused(L.clean["order_items"].select("order_id", "order_item_id", "price", "freight_value")),
+                         order_payments=reused(L.clean["order_payments"].select("order_id", "payment_type", "payment_installments", "payment_value")))
+    c, s = L.clean, L.star
+    by_customer = (_order_rows(L)
+                   .unionByName(c["customers"].select("customer_id", F.lit(1).alias("n_c")), allowMissingColumns=True)
+                   .unionByName(s["dim_customer"].select("customer_id", F.lit(1).alias("n_dim"), F.col("customer_unique_id").alias("person")),
+                                allowMissingColumns=True)
+                   .groupBy("customer_id").agg(*[F.sum(n).alias(n) for n in _LADDER], F.bit_or("quarters").alias("quarters"),
+                                               F.coalesce(F.sum("n_c"), F.lit(0)).alias("rows_customers"),
+                                               F.coalesce(F.sum("n_dim"), F.lit(0)).alias("n_dim"), F.max("person").alias("person")))
+    known = F.col("customer_id").isNotNull()
+    more = ["rows_customers", "keys_customers", "facts_customers"]
+    by_person = (by_customer.withColumns({
+        "keys_customers": (known & (F.col("rows_customers") > 0)).cast("long"),
+        "facts_customers": F.when(~known | (F.col("n_dim") == 0), F.col("rows_fact_orders")),
+        "has_dim": known & (F.col("n_dim") > 0)})
+        .groupBy("has_dim", "person").agg(*[F.sum(n).alias(n) for n in _LADDER + more], F.bit_or("quarters").alias("quarters")))
+    buyer = F.col("has_dim") & (F.col("delivered") > 0)
+    one = by_person.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _LADDER + more], F.bit_or("quarters").alias("quarters"),
+                        F.count_if(buyer).alias("persons"), F.count_if(buyer & (F.col("delivered") > 1)).alias("repeaters"))
+    for t, key in (("products", "product_id"), ("sellers", "seller_id")):
+        one = one.crossJoin(F.broadcast(c[t].agg(F.count(F.lit(1)).alias(f"rows_{t}"), F.count_distinct(key).alias(f"keys_{t}"))))
+    return one
+
+
+def warehouse_check_rows(one: DataFrame) -> DataFrame:
+    """V4-V9 from their numbers."""
+    one = one.withColumns({
+        "days": F.col("seconds") / (F.nullif(F.col("seconds_n"), F.lit(0)) * 86400.0), "rate": pct("repeaters", "persons"),
+        "aov": F.col("revenue").cast("double") / F.nullif(F.col("delivered"), F.lit(0)),
+        "revenue_off": F.abs(F.col("revenue") - F.col("sold")), "nq": F.coalesce(F.bit_count("quarters"), F.lit(0))})
+
+    def unique(table: str, name: str) -> Column:
+        return _check(name, F.col(f"rows_{table}") == F.col(f"keys_{table}"), F.format_string("Rows: %s", _n(f"rows_{table}")))
+
+    return _checks(one, [
+        unique("customers", "customers.customer_id unique"), unique("orders", "orders.order_id unique"),
+        unique("products", "products.product_id unique"), unique("sellers", "sellers.seller_id unique"),
+        unique("fact_orders", "fact_orders.order_id unique"), unique("fact_sales", "fact_sales order_id + order_item_id unique"),
+        *[_none(n, name, "Orphan rows: %s") for n, name in (
+            ("items_orders", "order_items -> orders"), ("payments_orders", "order_payments -> orders"),
+            ("reviews_orders", "order_reviews -> orders"), ("sales_facts", "fact_sales -> fact_orders"),
+            ("facts_customers", "fact_orders -> dim_customer"))],
+        # V6: delivered revenue at order grain equals revenue at item grain
+        _check("Fact revenue reconciliation", F.col("revenue_off") < 0.01,
+               F.format_string("fact_orders=R$%s, fact_sales=R$%s, diff=R$%s", _m("revenue"), _m("sold"), _m("revenue_off"))),
+        # V7: per delivered order, item revenue vs order revenue (tolerance 0.01)
+        _none("mismatched", "Order revenue matches sales grain", "Mismatched delivered orders: %s"),
+        # V8: payment totals equal the payment rows (no duplication by joins)
+        _check("Payment totals not duplicated", F.abs(F.col("payment_total") - F.col("paid")) < 0.01,
+               F.format_string("fact_orders=R$%s, order_payments=R$%s", _m("payment_total"), _m("paid"))),
+        # V9: sanity ranges
+        _check("Customer population is valid", F.col("persons") > 0, F.format_string("Customers: %s", _n("persons"))),
+        _check("Repeat customer calculation is valid", F.coalesce((F.col("rate") >= 0) & (F.col("rate") <= 100), F.lit(False)),
+               F.format_string("Repeat rate: %.2f%%", rnd(F.coalesce(F.col("rate"), F.lit(0.0))))),
+        _check("Delivered order count", F.col("delivered") > 0, F.format_string("Delivered orders: %s", _n("delivered"))),
+        _check("Average delivery days valid", F.coalesce(F.col("days") >= 0, F.lit(False)),
+               F.format_string("Average delivery: %.2f days", rnd(F.coalesce(F.col("days"), F.lit(0.0))))),
+        _check("Delayed orders are within delivered orders", (F.col("late") >= 0) & (F.col("late") <= F.col("delivered")),
+               F.format_string("Delayed: %s", _n("late"))),
+        _check("No invalid quarter values", F.col("bad_quarters") == 0, F.format_string("Distinct quarters: %d", "nq")),
+        _check("Delivered orders > 0", F.col("delivered") > 0, _n("delivered")),
+        _check("Revenue > 0", F.col("revenue") > 0, F.format_string("R$ %s", _m("revenue"))),
+        _check("AOV > 0", F.coalesce(F.col("aov") > 0, F.lit(False)),
+               F.format_string("R$ %s", _m(rnd(F.coalesce(F.col("aov"), F.lit(0.0))))))])
 
 
 def v04_v09_warehouse_checks(L: Layers) -> DataFrame:
     """V4 uniqueness, V5 orphans, V6 reconciliation, V7 per-order mismatch,
     V8 payment totals, V9 sanity ranges."""
-    s, c = L.star, L.clean
-    fo, fs = s["fact_orders"], s["fact_sales"]
-    d = fo.where(F.col("order_status") == "delivered")
-    checks = [
-        _unique(c["customers"], ["customer_id"], "customers.customer_id unique", "rows"),
-        _unique(c["orders"], ["order_id"], "orders.order_id unique", "rows"),
-        _unique(c["products"], ["product_id"], "products.product_id unique", "rows"),
-        _unique(c["sellers"], ["seller_id"], "sellers.seller_id unique", "rows"),
-        _unique(fo, ["order_id"], "fact_orders.order_id unique", "rows"),
-        _unique(fs, ["order_id", "order_item_id"], "fact_sales order_id + order_item_id unique", "rows"),
-        _orphans(c["order_items"], c["orders"], "order_id", "order_items -> orders", "Orphan rows: %s"),
-        _orphans(c["order_payments"], c["orders"], "order_id", "order_payments -> orders", "Orphan rows: %s"),
-        _orphans(c["order_reviews"], c["orders"], "order_id", "order_reviews -> orders", "Orphan rows: %s"),
-        _orphans(fs, fo, "order_id", "fact_sales -> fact_orders", "Orphan rows: %s"),
-        _orphans(fo, s["dim_customer"], "customer_id", "fact_orders -> dim_customer", "Orphan rows: %s"),
-    ]
-    # V6: delivered revenue at order grain equals revenue at item grain
-    a = d.agg(F.coalesce(F.sum("order_revenue"), F.lit(0)).alias("a"))
-    b = fs.where(F.col("order_status") == "delivered").agg(F.coalesce(F.sum("item_revenue"), F.lit(0)).alias("b"))
-    checks.append(_row(a.crossJoin(F.broadcast(b)).withColumn("dd", F.abs(F.col("a") - F.col("b"))), "Fact revenue reconciliation",
-                       F.col("dd") < 0.01, F.format_string("fact_orders=R$%s, fact_sales=R$%s, diff=R$%s",
-                                                           F.format_number("a", 2), F.format_number("b", 2),
-                                                           F.format_number("dd", 2))))
-    # V7: per delivered order, item revenue vs order revenue (tolerance 0.01)
-    per = fs.where(F.col("order_status") == "delivered").groupBy("order_id").agg(F.sum("item_revenue").alias("si"))
-    mm = (d.select("order_id", "order_revenue").join(per, "order_id", "left")
-          .agg(F.count_if(F.abs(F.coalesce(F.col("si"), F.lit(0)) - F.col("order_revenue")) > 0.01).alias("n")))
-    checks.append(_row(mm, "Order revenue matches sales grain", F.col("n") == 0,
-                       F.format_string("Mismatched delivered orders: %s", _n("n"))))
-    # V8: payment totals equal the payment rows (no duplication by joins)
-    pa = fo.agg(F.coalesce(F.sum("payment_total"), F.lit(0)).alias("a"))
-    pb = c["order_payments"].join(fo.select("order_id"), "order_id", "left_semi").agg(
-        F.coalesce(F.sum("payment_value"), F.lit(0)).alias("b"))
-    checks.append(_row(pa.crossJoin(F.broadcast(pb)), "Payment totals not duplicated", F.abs(F.col("a") - F.col("b")) < 0.01,
-                       F.format_string("fact_orders=R$%s, order_payments=R$%s", F.format_number("a", 2),
-                                       F.format_number("b", 2))))
-    # V9: sanity ranges
-    per_c = (d.join(s["dim_customer"].select("customer_id", "customer_unique_id"), "customer_id")
-             .groupBy("customer_unique_id").agg(F.count_distinct("order_id").alias("k")))
-    cu = per_c.agg(F.count(F.lit(1)).alias("n"), pct(F.count_if(F.col("k") > 1), F.count(F.lit(1))).alias("rate"))
-    checks.append(_row(cu, "Customer population is valid", F.col("n") > 0, F.format_string("Customers: %s", _n("n"))))
-    checks.append(_row(cu, "Repeat customer calculation is valid",
-                       F.coalesce((F.col("rate") >= 0) & (F.col("rate") <= 100), F.lit(False)),
-                       F.format_string("Repeat rate: %.2f%%", rnd(F.coalesce(F.col("rate"), F.lit(0.0))))))
-    k = d.agg(F.count(F.lit(1)).alias("n"), (F.sum("delivery_seconds") / (F.count("delivery_seconds") * 86400.0)).alias("days"),
-              F.count_if(F.col("is_delayed") == 1).alias("late"), F.coalesce(F.sum("order_revenue"), F.lit(0)).alias("rev"))
-    checks += [
-        _row(k, "Delivered order count", F.col("n") > 0, F.format_string("Delivered orders: %s", _n("n"))),
-        _row(k, "Average delivery days valid", F.coalesce(F.col("days") >= 0, F.lit(False)),
-             F.format_string("Average delivery: %.2f days", rnd(F.coalesce(F.col("days"), F.lit(0.0))))),
-        _row(k, "Delayed orders are within delivered orders", (F.col("late") >= 0) & (F.col("late") <= F.col("n")),
-             F.format_string("Delayed: %s", _n("late"))),
-        _row(d.agg(F.count_if(~F.quarter("order_purchase_timestamp").between(1, 4)).alias("bad"),
-                   F.count_distinct(F.quarter("order_purchase_timestamp")).alias("nq")),
-             "No invalid quarter values", F.col("bad") == 0, F.format_string("Distinct quarters: %d", "nq")),
-        _row(k, "Delivered orders > 0", F.col("n") > 0, _n("n")),
-        _row(k, "Revenue > 0", F.col("rev") > 0, F.format_string("R$ %s", F.format_number("rev", 2))),
-        _row(k, "AOV > 0", F.coalesce(F.col("rev") / F.col("n") > 0, F.lit(False)),
-             F.format_string("R$ %s", F.format_number(rnd(F.coalesce(F.col("rev").cast("double") / F.col("n"), F.lit(0.0))), 2))),
-    ]
-    return reduce(DataFrame.unionByName, checks)
+    return warehouse_check_rows(warehouse_numbers(L))
 
 
 WAREHOUSE_TABLES = ["customers", "orders", "order_items", "order_payments", "order_reviews", "products", "sellers",
@@ -187,13 +277,20 @@ def v11_table_inventory(L: Layers) -> DataFrame:
 def v14_orders_without_children(L: Layers) -> DataFrame:
     """Orders without items, payments or reviews, by status (raw tables)."""
     raw = L.raw
-    o = raw["orders"].select("order_id", "order_status")
-    flags = (o.join(raw["order_items"].select("order_id").distinct().withColumn("_i", F.lit(1)), "order_id", "left")
-             .join(raw["order_payments"].select("order_id").distinct().withColumn("_p", F.lit(1)), "order_id", "left")
-             .join(raw["order_reviews"].select("order_id").distinct().withColumn("_r", F.lit(1)), "order_id", "left"))
-    return flags.groupBy("order_status").agg(
-        F.count(F.lit(1)).alias("orders"), F.count_if(F.col("_i").isNull()).alias("without_items"),
-        F.count_if(F.col("_p").isNull()).alias("without_payments"), F.count_if(F.col("_r").isNull()).alias("without_reviews"))
+    children = ["order_items", "order_payments", "order_reviews"]
+    o = raw["orders"].select("order_id", F.struct("order_status").alias("is_order"))
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True),
+                  [o, *[raw[t].select("order_id", F.lit(1 << k).alias("bit")) for k, t in enumerate(children)]])
+    # every order row keeps its own status; the children are one mask per key
+    per = (rows.groupBy("order_id", "is_order").agg(F.count_if(F.col("is_order").isNotNull()).alias("n"), F.bit_or("bit").alias("bits"))
+           .groupBy("order_id").agg(F.collect_list(F.when(F.col("is_order").isNotNull(), F.struct("is_order.order_status", "n"))).alias("orders"),
+                                    F.bit_or("bits").alias("bits"))
+           .select(F.explode("orders").alias("o"),
+                   F.when(F.col("order_id").isNull(), F.lit(0)).otherwise(F.coalesce("bits", F.lit(0))).alias("bits")))
+    return per.groupBy(F.col("o.order_status").alias("order_status")).agg(
+        F.sum("o.n").alias("orders"),
+        *[F.coalesce(F.sum(F.when(F.col("bits").bitwiseAND(1 << k) == 0, F.col("o.n"))), F.lit(0)).alias(f"without_{t[6:]}")
+          for k, t in enumerate(children)])
 
 
 def v14_null_counts(L: Layers) -> DataFrame:

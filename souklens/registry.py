@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from souklens.functions.reuse import releasing
 from souklens.oracle.base import compose
 from souklens.plans.context import Layers
 
@@ -32,7 +33,7 @@ def _load() -> None:
 def run(name: str, layers: Layers) -> DataFrame:
     _load()
     job, layer = _JOBS[name]
-    return job(getattr(layers, layer) if layer else layers)
+    return releasing(lambda: job(getattr(layers, layer) if layer else layers))
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
