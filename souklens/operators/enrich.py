@@ -26,7 +26,8 @@ def _items_per_order(items: DataFrame) -> DataFrame:
 
 
 def orders_enriched(orders: DataFrame, customers: DataFrame, payments: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per order."""
+    """One row per order.  Payments and items meet their order first, so
+    over tables bucketed by order_id only the customers need an exchange."""
     pay = payments.groupBy("order_id").agg(
         F.sum("payment_value").alias("total_payment_value"),
         sorted_set_join("payment_type", "|").alias("payment_methods"),
@@ -36,7 +37,9 @@ def orders_enriched(orders: DataFrame, customers: DataFrame, payments: DataFrame
     cust = customers.select("customer_id", "customer_unique_id", "customer_state", "customer_city",
                             "customer_zip_code_prefix")
     p = "order_purchase_timestamp"
-    df = orders.join(cust, "customer_id", "left").join(pay, "order_id", "left").join(it, "order_id", "left")
+    columns = ["customer_id", *[c for c in orders.columns if c != "customer_id"], *cust.columns[1:], *pay.columns[1:], *it.columns[1:]]
+    df = (orders.join(pay, "order_id", "left").join(it, "order_id", "left").join(cust, "customer_id", "left")
+          .select("order_id", *[c for c in columns if c != "order_id"]))
     df = df.withColumns({
         "order_year": F.year(p), "order_month": F.month(p), "order_year_month": year_month(p),
         "order_quarter": year_quarter(p), "order_day_of_week": day_name(p), "order_week": F.weekofyear(p),

@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,34 +24,83 @@ class FilterSpec:
     payment_types: tuple[str, ...] = ()                   # offered but, as in the source, never applied to orders
 
 
-def filter_orders_by_day(orders: DataFrame, spec: FilterSpec) -> DataFrame:
+def in_months(df: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
+    """Rows whose year and month columns, where the table has them, fall into
+    the months of the days ``first`` to ``last``.  They follow from a filter on
+    the purchase time; said of the partition columns of a stored table, they
+    keep its other folders closed."""
+    if "order_year" in df.columns:
+        df = df.where(F.col("order_year").between(first.year, last.year))
+    if "order_year_month" in df.columns:
+        df = df.where(F.col("order_year_month").between(f"{first:%Y-%m}", f"{last:%Y-%m}"))
+    return df
+
+
+def _between_midnights(df: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
+    start, end = (F.lit(dt.datetime.combine(d, dt.time())).cast("timestamp_ntz") for d in (first, last))
+    return in_months(df, first, last).where((F.col("order_purchase_timestamp") >= start) & (F.col("order_purchase_timestamp") <= end))
+
+
+def order_condition(spec: FilterSpec) -> Column:
     """F20 order part: calendar-day range (inclusive), states, statuses."""
-    o = orders
+    keep = F.lit(True)
     if spec.date_range:
-        d = F.to_date("order_purchase_timestamp")
-        o = o.where(d.between(F.lit(spec.date_range[0]), F.lit(spec.date_range[1])))
+        keep &= F.to_date("order_purchase_timestamp").between(F.lit(spec.date_range[0]), F.lit(spec.date_range[1]))
     if spec.customer_states:
-        o = o.where(F.col("customer_state").isin(*spec.customer_states))
+        keep &= F.col("customer_state").isin(*spec.customer_states)
     if spec.order_statuses:
-        o = o.where(F.col("order_status").isin(*spec.order_statuses))
-    return o
+        keep &= F.col("order_status").isin(*spec.order_statuses)
+    return F.coalesce(keep, F.lit(False))
+
+
+def item_condition(spec: FilterSpec) -> Column:
+    """F20 item part, beside the item's order being kept."""
+    keep = F.lit(True)
+    if spec.categories:
+        keep &= F.col("product_category_name_english").isin(*spec.categories)
+    return F.coalesce(keep, F.lit(False)) & seller_condition(spec)
+
+
+def review_condition(spec: FilterSpec) -> Column:
+    """F20 review part, beside the review's order being kept."""
+    return F.coalesce(F.col("review_score").isin(*spec.review_scores), F.lit(False)) if spec.review_scores else F.lit(True)
+
+
+def seller_condition(spec: FilterSpec) -> Column:
+    return F.coalesce(F.col("seller_state").isin(*spec.seller_states), F.lit(False)) if spec.seller_states else F.lit(True)
 
 
 def apply_filters(orders: DataFrame, items: DataFrame, reviews: DataFrame, sellers: DataFrame,
                   spec: FilterSpec) -> dict[str, DataFrame]:
     """the filtered bundle.  Items and reviews keep only rows of kept orders."""
-    o = filter_orders_by_day(orders, spec)
+    def months(df: DataFrame) -> DataFrame:
+        return in_months(df, *spec.date_range) if spec.date_range else df
+
+    o = months(orders).where(order_condition(spec))
     kept = o.select("order_id")
-    it = items.join(kept, "order_id", "left_semi")
-    if spec.categories:
-        it = it.where(F.col("product_category_name_english").isin(*spec.categories))
-    if spec.seller_states:
-        it = it.where(F.col("seller_state").isin(*spec.seller_states))
-    rv = reviews.join(kept, "order_id", "left_semi")
-    if spec.review_scores:
-        rv = rv.where(F.col("review_score").isin(*spec.review_scores))
-    s = sellers.where(F.col("seller_state").isin(*spec.seller_states)) if spec.seller_states else sellers
-    return {"orders": o, "items": it, "reviews": rv, "sellers": s}
+    return {"orders": o, "items": months(items).join(kept, "order_id", "left_semi").where(item_condition(spec)),
+            "reviews": reviews.join(kept, "order_id", "left_semi").where(review_condition(spec)),
+            "sellers": sellers.where(seller_condition(spec))}
+
+
+def filter_sizes(orders: DataFrame, items: DataFrame, reviews: DataFrame, sellers: DataFrame,
+                 specs: dict[str, FilterSpec]) -> DataFrame:
+    """How many rows each of several filters keeps: (filter, orders, items,
+    reviews, sellers).  Every table is read once for all of them: an order
+    carries one flag per filter, and items and reviews meet the flags by
+    order_id."""
+    names = list(specs)
+    flagged = orders.select("order_id", *[order_condition(s).alias(f"_o{k}") for k, s in enumerate(specs.values())])
+
+    def kept(df: DataFrame, condition, name: str) -> DataFrame:
+        return df.agg(*[F.count_if(condition(k, s)).alias(f"{name}{k}") for k, s in enumerate(specs.values())])
+
+    one = kept(flagged, lambda k, s: F.col(f"_o{k}"), "orders")
+    for name, df, condition in (("items", items, item_condition), ("reviews", reviews, review_condition)):
+        one = one.crossJoin(F.broadcast(kept(df.join(flagged, "order_id"), lambda k, s: F.col(f"_o{k}") & condition(s), name)))
+    one = one.crossJoin(F.broadcast(kept(sellers, lambda k, s: seller_condition(s), "sellers")))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("filter"), *[F.col(f"{t}{k}").alias(t) for t in ("orders", "items", "reviews", "sellers")])
+                                          for k, n in enumerate(names)])).alias("r")).select("r.*")
 
 
 def apply_order_filters(orders: DataFrame, date_range=None, customer_states=None, order_statuses=None,
@@ -61,8 +110,7 @@ def apply_order_filters(orders: DataFrame, date_range=None, customer_states=None
     ignored, as in the source."""
     o = orders
     if date_range and date_range[0] and date_range[1]:
-        start, end = (F.lit(dt.datetime.combine(d, dt.time())).cast("timestamp_ntz") for d in date_range)
-        o = o.where((F.col("order_purchase_timestamp") >= start) & (F.col("order_purchase_timestamp") <= end))
+        o = _between_midnights(o, *date_range)
     if customer_states:
         o = o.where(F.col("customer_state").isin(*customer_states))
     if order_statuses:
@@ -75,8 +123,7 @@ def apply_item_filters(items: DataFrame, date_range=None, customer_states=None,
     """the same rules on item rows (customer_states unused, as in the source)."""
     it = items
     if date_range and date_range[0] and date_range[1]:
-        start, end = (F.lit(dt.datetime.combine(d, dt.time())).cast("timestamp_ntz") for d in date_range)
-        it = it.where((F.col("order_purchase_timestamp") >= start) & (F.col("order_purchase_timestamp") <= end))
+        it = _between_midnights(it, *date_range)
     if categories:
         it = it.where(F.col("product_category_name_english").isin(*categories))
     if seller_states:

@@ -16,7 +16,26 @@ FO = "fo AS (SELECT * FROM e_oe WHERE order_status IN ('delivered', 'shipped')),
 HAS = f"{DLV} AND delivery_seconds IS NOT NULL"
 HD = f"{HAS} AND is_delayed IS NOT NULL"
 
+_BY = {"o": {"date": "CAST(order_purchase_timestamp AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'",
+             "state": "customer_state IN ('NATION_1', 'NATION_2', 'NATION_3')", "status": "order_status IN ('delivered', 'shipped')"},
+       "i": {"category": "product_category_name_english IN ('Category 1', 'Category 2')", "seller state": "seller_state IN ('NATION_2', 'NATION_4')"},
+       "r": {"score": "review_score IN (1, 5)"}, "s": {"seller state": "seller_state IN ('NATION_2', 'NATION_4')"}}
+
+
+def _sizes(name: str) -> str:
+    def where(part: str) -> str:
+        return " AND ".join(c for n, c in _BY[part].items() if name in (n, "all")) or "true"
+
+    kept = f"order_id IN (SELECT order_id FROM e_oe WHERE {where('o')})"
+    return (f"SELECT '{name}' AS filter, (SELECT count(*) FROM e_oe WHERE {where('o')}) AS orders, "
+            f"(SELECT count(*) FROM e_items WHERE {kept} AND {where('i')}) AS items, "
+            f"(SELECT count(*) FROM cl_reviews WHERE {kept} AND {where('r')}) AS reviews, "
+            f"(SELECT count(*) FROM e_sell WHERE {where('s')}) AS sellers")
+
+
 PAGES_SQL = {
+    "f20_filter_sizes": W + "x AS (" + " UNION ALL ".join(
+        _sizes(n) for n in ("date", "state", "status", "category", "seller state", "score", "all")) + ") SELECT * FROM x",
     "y01_filtered_kpis": W + FO + f"""oa AS (SELECT count(*) AS total_orders, count(*) FILTER (WHERE {DLV}) AS delivered_orders,
   coalesce({r(avg_(f'CASE WHEN {DLV} THEN total_order_revenue END'))}, 0.0) AS aov,
   coalesce({r(pct(f'count(*) FILTER (WHERE {DLV})', 'count(*)'))}, 0.0) AS delivered_rate,

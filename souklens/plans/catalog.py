@@ -2,139 +2,75 @@
 
 from __future__ import annotations
 
-from souklens.oracle.sqlsuite import SUITE_SQL
-from souklens.plans import sqlsuite
+from pyspark.sql import types as T
+
+from souklens.functions.numeric import rnd
+from souklens.operators import clean as C
+from souklens.operators import star as D
+from souklens.oracle.cleanlog import CLEANLOG_SQL
+from souklens.oracle.delivery import DELIVERY_SQL
+from souklens.oracle.eda import EDA_SQL
+from souklens.oracle.enrich import ENRICH_COLS, ENRICH_SQL
+from souklens.oracle.growth import GROWTH_SQL
+from souklens.oracle.insights import INSIGHTS_SQL
+from souklens.oracle.kpi import KPI_SQL
+from souklens.oracle.metrics import METRICS_SQL
+from souklens.oracle.model import DS, FO, FS, MODEL_SQL
+from souklens.oracle.opportunities import OPP_SQL
+from souklens.oracle.pages import PAGES_SQL
+from souklens.oracle.quality import QUALITY_SQL
+from souklens.oracle.segments import SEG_SQL
+from souklens.oracle.sqlsuite import SCRIPT_SQL, SUITE_SQL
+from souklens.plans import cohort, delivery, eda, growth, insights, kpi, metrics, pages, quality, rfm, script, sellers, sqlsuite
 from souklens.registry import register
 
-for _name, _job in sqlsuite.SUITE.items():
-    register(_name, _job, "star", SUITE_SQL[_name])
-
-from souklens.oracle.kpi import KPI_SQL  # noqa: E402
-from souklens.plans import kpi  # noqa: E402
-
-for _name, _job in kpi.KPI_JOBS.items():
-    register(_name, _job, "star", KPI_SQL[_name])
-register("l06_payment_performance",
-         lambda L: kpi.l06_payment_performance(L.star, L.clean["order_payments"]), None,
-         KPI_SQL["l06_payment_performance"])
-
-from pyspark.sql import types as _T  # noqa: E402
-
-from souklens.oracle.enrich import ENRICH_COLS, ENRICH_SQL  # noqa: E402
+SQL = {**SUITE_SQL, **KPI_SQL, **ENRICH_SQL, **EDA_SQL, **SEG_SQL, **GROWTH_SQL, **OPP_SQL, **DELIVERY_SQL, **QUALITY_SQL, **MODEL_SQL,
+       **PAGES_SQL, **METRICS_SQL, **INSIGHTS_SQL, **CLEANLOG_SQL, **SCRIPT_SQL}
 
 
 def project_out(df, cols):
     """Reference column order; DECIMAL money leaves as DOUBLE."""
-    types = dict((f.name, f.dataType) for f in df.schema.fields)
-    return df.select([df[c].cast("double").alias(c) if isinstance(types[c], _T.DecimalType) else df[c] for c in cols])
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return df.select([df[c].cast("double").alias(c) if isinstance(types[c], T.DecimalType) else df[c] for c in cols])
 
 
-for _name, (_table, _cols) in ENRICH_COLS.items():
-    register(_name, (lambda t, c: lambda E: project_out(E[t], c))(_table, _cols), "enriched", ENRICH_SQL[_name])
+def _geolocation_zip(L):
+    return L.clean["geolocation_zip"].withColumns({c: rnd(c, 6) for c in ("geolocation_lat", "geolocation_lng")})
 
-from souklens.oracle.eda import EDA_SQL  # noqa: E402
-from souklens.plans import eda  # noqa: E402
 
-for _name, _job in eda.EDA_JOBS.items():
-    register(_name, _job, None, EDA_SQL.get(_name))
+# Jobs over the star schema
+for _name, _job in {**sqlsuite.SUITE, **kpi.KPI_JOBS}.items():
+    register(_name, _job, "star", SQL[_name])
+for _name, _table, _cols in (("d05_fact_orders", "fact_orders", FO), ("d06_fact_sales", "fact_sales", FS), ("d09_dim_seller", "dim_seller", DS)):
+    register(_name, lambda S, t=_table, c=_cols: project_out(S[t], c), "star", SQL[_name])
+for _name, _table in (("d07_dim_customer", "dim_customer"), ("d08_dim_product", "dim_product"), ("d10_dim_date", "dim_date"),
+                      ("d11_dim_geography", "dim_geography")):
+    register(_name, lambda S, t=_table: S[t], "star", SQL[_name])
 
-from souklens.plans import cohort, rfm, sellers  # noqa: E402
+# The enriched tables
+for _name, (_table, _cols) in ENRICH_COLS.items():
+    register(_name, lambda E, t=_table, c=_cols: project_out(E[t], c), "enriched", SQL[_name])
 
-for _jobs in (rfm.RFM_JOBS, cohort.COHORT_JOBS, sellers.SELLER_JOBS):
+# Jobs over all layers
+for _jobs in (eda.EDA_JOBS, rfm.RFM_JOBS, cohort.COHORT_JOBS, sellers.SELLER_JOBS, growth.GROWTH_JOBS, delivery.DELIVERY_JOBS,
+              quality.QUALITY_JOBS, pages.PAGE_JOBS, metrics.METRIC_JOBS, insights.INSIGHT_JOBS, script.SCRIPT_JOBS):
     for _name, _job in _jobs.items():
-        register(_name, _job, None, None)
-
-from souklens.oracle.segments import SEG_SQL  # noqa: E402
-from souklens.registry import _SQL  # noqa: E402
-
-_SQL.update(SEG_SQL)
-
-from souklens.oracle.growth import GROWTH_SQL  # noqa: E402
-from souklens.plans import growth  # noqa: E402
-
-for _name, _job in growth.GROWTH_JOBS.items():
-    register(_name, _job, None, GROWTH_SQL.get(_name))
-
-from souklens.oracle.delivery import DELIVERY_SQL  # noqa: E402
-from souklens.plans import delivery  # noqa: E402
-
-for _name, _job in delivery.DELIVERY_JOBS.items():
-    register(_name, _job, None, DELIVERY_SQL.get(_name))
-
-from souklens.oracle.quality import QUALITY_SQL  # noqa: E402
-from souklens.plans import quality  # noqa: E402
-
-for _name, _job in quality.QUALITY_JOBS.items():
-    register(_name, _job, None, QUALITY_SQL.get(_name))
-
-from souklens.operators import clean as _C  # noqa: E402
-from souklens.oracle.model import DS, FO, FS, MODEL_SQL  # noqa: E402
-
-
-def _c03(L):
-    from souklens.functions.numeric import rnd
-    z = L.clean["geolocation_zip"]
-    return z.withColumns({c: rnd(c, 6) for c in ("geolocation_lat", "geolocation_lng")})
-
-
-register("c03_geolocation_zip", _c03, None, MODEL_SQL["c03_geolocation_zip"])
-register("c11_cleaning_log", lambda L: _C.cleaning_log({k: L.raw[k] for k in L.raw}), None)
-register("c12_row_counts", lambda L: _C.row_counts({k: L.raw[k] for k in L.raw}, L.clean), None,
-         MODEL_SQL["c12_row_counts"])
-register("d05_fact_orders", lambda S: project_out(S["fact_orders"], FO), "star", MODEL_SQL["d05_fact_orders"])
-register("d06_fact_sales", lambda S: project_out(S["fact_sales"], FS), "star", MODEL_SQL["d06_fact_sales"])
-register("d07_dim_customer", lambda S: S["dim_customer"], "star", MODEL_SQL["d07_dim_customer"])
-register("d08_dim_product", lambda S: S["dim_product"], "star", MODEL_SQL["d08_dim_product"])
-register("d09_dim_seller", lambda S: project_out(S["dim_seller"], DS), "star", MODEL_SQL["d09_dim_seller"])
-register("d10_dim_date", lambda S: S["dim_date"], "star", MODEL_SQL["d10_dim_date"])
-register("d11_dim_geography", lambda S: S["dim_geography"], "star", MODEL_SQL["d11_dim_geography"])
-
-from souklens.oracle.pages import PAGES_SQL  # noqa: E402
-from souklens.plans import pages  # noqa: E402
-
-for _name, _job in pages.PAGE_JOBS.items():
-    register(_name, _job, None, PAGES_SQL.get(_name))
-
-from souklens.oracle.metrics import METRICS_SQL  # noqa: E402
-from souklens.plans import metrics  # noqa: E402
-
-for _name, _job in metrics.METRIC_JOBS.items():
-    register(_name, _job, None, METRICS_SQL.get(_name))
-
-from souklens.oracle.insights import INSIGHTS_SQL  # noqa: E402
-from souklens.plans import insights  # noqa: E402
-
-for _name, _job in insights.INSIGHT_JOBS.items():
-    register(_name, _job, None, INSIGHTS_SQL.get(_name))
-
-from souklens.oracle.cleanlog import CLEANLOG_SQL  # noqa: E402
-
-_SQL.update(CLEANLOG_SQL)
-
-from souklens.oracle.opportunities import OPP_SQL  # noqa: E402
-
-_SQL.update(OPP_SQL)
-_SQL["v13_engine_smoke"] = INSIGHTS_SQL["v13_engine_smoke"]
-
-from souklens.oracle.sqlsuite import SCRIPT_SQL  # noqa: E402
-from souklens.plans import script  # noqa: E402
-
-for _name, _job in script.SCRIPT_JOBS.items():
-    register(_name, _job, None, SCRIPT_SQL.get(_name))
-
-# The cleaned tables themselves; D3/D4: the per-order summaries
-# folded into fact_orders.  The oracle reads the same cleaned/warehouse CTEs.
-from souklens.operators import star as _D  # noqa: E402
-
-_CLEAN_OUTPUTS = {"c01_customers": ("customers", "cl_customers"), "c02_geolocation": ("geolocation", "cl_geo"),
-                  "c04_orders": ("orders", "cl_orders"), "c05_order_items": ("order_items", "cl_items"),
-                  "c06_order_payments": ("order_payments", "cl_payments"), "c07_order_reviews": ("order_reviews", "cl_reviews"),
-                  "c08_products": ("products", "cl_products"), "c09_sellers": ("sellers", "cl_sellers"),
-                  "c10_category_translation": ("category_translation", "cl_translation")}
-for _name, (_table, _cte) in _CLEAN_OUTPUTS.items():
+        register(_name, _job, None, SQL.get(_name))
+register("l06_payment_performance", lambda L: kpi.l06_payment_performance(L.star, L.clean["order_payments"]), None,
+         SQL["l06_payment_performance"])
+
+# The cleaned tables themselves; D1, D3, D4: what is folded into
+# fact_orders.  The oracle reads the same cleaned/warehouse CTEs.
+for _name, _table, _cte in (("c01_customers", "customers", "cl_customers"), ("c02_geolocation", "geolocation", "cl_geo"),
+                            ("c04_orders", "orders", "cl_orders"), ("c05_order_items", "order_items", "cl_items"),
+                            ("c06_order_payments", "order_payments", "cl_payments"), ("c07_order_reviews", "order_reviews", "cl_reviews"),
+                            ("c08_products", "products", "cl_products"), ("c09_sellers", "sellers", "cl_sellers"),
+                            ("c10_category_translation", "category_translation", "cl_translation")):
     register(_name, lambda L, t=_table: L.clean[t], None, f"SELECT * FROM {_cte}")
-register("d03_payment_summary", lambda L: _D.payment_summary(L.clean["order_payments"]), None,
+register("c03_geolocation_zip", _geolocation_zip, None, SQL["c03_geolocation_zip"])
+register("c11_cleaning_log", lambda L: C.cleaning_log({k: L.raw[k] for k in L.raw}), None, SQL["c11_cleaning_log"])
+register("c12_row_counts", lambda L: C.row_counts({k: L.raw[k] for k in L.raw}, L.clean), None, SQL["c12_row_counts"])
+register("d01_prepare_orders", lambda L: D.prepare_orders(L.clean["orders"]), None, "SELECT * FROM o_orders")
+register("d03_payment_summary", lambda L: D.payment_summary(L.clean["order_payments"]), None,
          "SELECT p.*, t.primary_payment_type FROM o_pay p LEFT JOIN o_pay_type t ON p.order_id = t.order_id")
-register("d04_item_summary", lambda L: _D.item_summary(L.clean["order_items"]), None, "SELECT * FROM o_items")
-register("d01_prepare_orders", lambda L: _D.prepare_orders(L.clean["orders"]), None,
-         "SELECT * FROM o_orders")
+register("d04_item_summary", lambda L: D.item_summary(L.clean["order_items"]), None, "SELECT * FROM o_items")

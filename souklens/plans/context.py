@@ -6,7 +6,6 @@ from collections.abc import Callable, Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from souklens.operators import clean as C
 from souklens.operators import enrich as E
@@ -58,34 +57,23 @@ class Layers:
         return cls._shared[key]
 
     @classmethod
-    def from_warehouse(cls, spark: SparkSession, wh_dir: str, fmt: str = "parquet") -> "Layers":
-        """Layers over tables written by ``io.build_warehouse``: the cleaned
-        tables, the star schema and the enriched order/item tables are read
-        back (partition columns pruned by time filters); the per-entity
-        enriched tables derive from them as usual.  Columns come back in the
-        order and types of the lazily defined tables (taken from a plan over
-        empty inputs, so no job runs).  The raw inputs are not available here,
-        so the raw-audit jobs (C11, C12, V14 null counts) need ``Layers(spark,
-        sf_dir)``."""
-        from souklens.sources.io import CLEAN_OUTPUTS, MATERIALISED_ENRICHED
-        from souklens.sources.schema import RAW_SCHEMAS
-
-        shape = cls(spark, raw={n: spark.createDataFrame([], st) for n, st in RAW_SCHEMAS.items()})
+    def from_warehouse(cls, spark: SparkSession, wh_dir: str) -> "Layers":
+        """Layers over tables written by ``warehouse.build_warehouse``: the
+        cleaned tables, the star schema and the enriched order/item tables are
+        read back (bucketed by order_id, partition columns pruned by time
+        filters); the per-entity enriched tables derive from them as usual.
+        The raw inputs are not available here, so the raw-audit jobs (C11,
+        C12, V14 null counts) need ``Layers(spark, sf_dir)``."""
+        from souklens.sources.warehouse import open_warehouse
+
+        tables = open_warehouse(spark, wh_dir)
         w = cls(spark, wh_dir)
-
-        def reader(layer: str, name: str) -> Callable[[], DataFrame]:
-            def read() -> DataFrame:
-                want = getattr(shape, layer)[name].schema
-                df = spark.read.format(fmt).load(f"{wh_dir}/{name}")
-                return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in want.fields])
-            return read
-
         w.stored = True
         w.__dict__["raw"] = LazyTables({})
-        w.__dict__["clean"] = LazyTables({n: reader("clean", n) for n in CLEAN_OUTPUTS})
-        w.__dict__["star"] = LazyTables({n: reader("star", n) for n in shape.star})
+        for layer in ("clean", "star"):
+            w.__dict__[layer] = LazyTables({n: (lambda df=df: df) for n, df in tables[layer].items()})
         enriched = dict(Layers.enriched.func(w)._builders)
-        enriched.update({n: reader("enriched", n) for n in MATERIALISED_ENRICHED})
+        enriched.update({n: (lambda df=df: df) for n, df in tables["enriched"].items()})
         w.__dict__["enriched"] = LazyTables(enriched)
         return w
 
@@ -96,20 +84,6 @@ class Layers:
         w.__dict__["clean"] = LazyTables({n: (lambda n=n: tables[n] if n in tables else self.clean[n]) for n in self.clean})
         return w
 
-    def over_clean(self, clean_dir: str, fmt: str = "parquet") -> "Layers":
-        """The same layers on top of cleaned tables written to ``clean_dir``."""
-        w = Layers(self.spark, self.sf_dir, self._raw)
-        shape = self.clean
-
-        def reader(name: str) -> Callable[[], DataFrame]:
-            def read() -> DataFrame:
-                df = self.spark.read.format(fmt).load(f"{clean_dir}/{name}")
-                return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in shape[name].schema.fields])
-            return read
-
-        w.__dict__["clean"] = LazyTables({n: reader(n) for n in shape})
-        return w
-
     @cached_property
     def raw(self) -> Mapping[str, DataFrame]:
         if self._raw is not None:

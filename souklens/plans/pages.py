@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from souklens.functions.numeric import brl, mean, mean_days, money, pct, rnd, share_if
 from souklens.functions.quantiles import exact_quantiles
 from souklens.operators.filters import (FilterSpec, apply_filters, apply_item_filters, apply_order_filters,
-                                        filter_options, kept_share)
+                                        filter_options, filter_sizes, kept_share)
 from souklens.plans.context import Layers
 from souklens.sources.inline import local_table
 
@@ -23,6 +23,13 @@ EXAMPLE_FILTER = FilterSpec(order_statuses=("delivered", "shipped"))
 # Registered example for the helper filters F21/F22: purchases from the
 # first to the last day of 1995 (the end bound is that day's midnight).
 EXAMPLE_DATES = (dt.date(1995, 1, 1), dt.date(1995, 12, 31))
+# Registered examples of F20: one filter for each selector, and all together.
+EXAMPLE_FILTERS = {
+    "date": FilterSpec(date_range=EXAMPLE_DATES), "state": FilterSpec(customer_states=("NATION_1", "NATION_2", "NATION_3")),
+    "status": EXAMPLE_FILTER, "category": FilterSpec(categories=("Category 1", "Category 2")),
+    "seller state": FilterSpec(seller_states=("NATION_2", "NATION_4")), "score": FilterSpec(review_scores=(1, 5)),
+    "all": FilterSpec(EXAMPLE_DATES, ("NATION_1", "NATION_2", "NATION_3"), EXAMPLE_FILTER.order_statuses, ("Category 1", "Category 2"),
+                      ("NATION_2", "NATION_4"), (1, 5))}
 
 
 def DELIVERED():
@@ -53,6 +60,12 @@ def y01_filtered_kpis(L: Layers, spec: FilterSpec = EXAMPLE_FILTER) -> DataFrame
     return oa.crossJoin(F.broadcast(ia)).crossJoin(F.broadcast(ra)).crossJoin(F.broadcast(ca)).crossJoin(F.broadcast(sa))
 
 
+def f20_filter_sizes(L: Layers, specs: dict[str, FilterSpec] | None = None) -> DataFrame:
+    """rows that each filter keeps of orders, items, reviews and sellers."""
+    return filter_sizes(L.enriched["orders_enriched"], L.enriched["order_items_enriched"], L.clean["order_reviews"],
+                        L.enriched["seller_analytics"], specs or EXAMPLE_FILTERS)
+
+
 def f23_filter_share(L: Layers, spec: FilterSpec = EXAMPLE_FILTER) -> DataFrame:
     return kept_share(L.enriched["orders_enriched"], _bundle(L, spec)["orders"])
 
@@ -158,7 +171,7 @@ def y10_executive_figures(L: Layers) -> DataFrame:
     return lead.crossJoin(F.broadcast(sc)).crossJoin(F.broadcast(tc)).crossJoin(F.broadcast(fs)).crossJoin(F.broadcast(nc))
 
 
-PAGE_JOBS = {"y01_filtered_kpis": y01_filtered_kpis, "f21_order_filter": f21_order_filter,
+PAGE_JOBS = {"y01_filtered_kpis": y01_filtered_kpis, "f20_filter_sizes": f20_filter_sizes, "f21_order_filter": f21_order_filter,
              "f22_item_filter": f22_item_filter, "f23_filter_share": f23_filter_share,
              "f24_filter_options": f24_filter_options, "y02_status_counts": y02_status_counts,
              "y02_top5_category_share": y02_top5_category_share, "y08_state_summary": y08_state_summary,

@@ -36,13 +36,30 @@ def _checks(one: DataFrame, checks: list[Column]) -> DataFrame:
     return one.select(F.explode(F.array(*checks)).alias("r")).select("r.*")
 
 
+def _known(one: DataFrame, observed: dict | None) -> DataFrame:
+    """The one row with observed numbers in place of its own; what only they
+    needed is then neither aggregated nor read."""
+    return one.withColumns({k: F.lit(v) for k, v in observed.items() if k in one.columns}) if observed else one
+
+
 def _none(count: str, name: str, text: str) -> Column:
     """A check that a count is zero."""
     return _check(name, F.col(count) == 0, F.format_string(text, _n(count)))
 
 
-def v01_post_clean_validation(L: Layers) -> DataFrame:
-    """V1: the 15 post-cleaning checks."""
+def item_measures() -> dict[str, Column]:
+    """V1's item sums, as aggregates: also observed while the table is written."""
+    return {"price": F.coalesce(F.sum("price"), F.lit(0)), "freight": F.coalesce(F.sum("freight_value"), F.lit(0))}
+
+
+def order_enriched_measures() -> dict[str, Column]:
+    """V1's sums over orders_enriched."""
+    return {"oe_revenue": F.coalesce(F.sum("total_order_revenue"), F.lit(0)), "negative": F.count_if(F.col("delivery_seconds") < 0)}
+
+
+def v01_post_clean_validation(L: Layers, observed: dict | None = None) -> DataFrame:
+    """V1: the 15 post-cleaning checks.  Sums and counts that were observed
+    while the tables were written are not read again."""
     c = L.clean
     masks = key_masks([
         Source("customers", c["customers"], {"customer": "customer_id"}),
@@ -54,18 +71,20 @@ def v01_post_clean_validation(L: Layers) -> DataFrame:
                {"price": F.col("price"), "freight": F.col("freight_value")}),
         Source("payments", c["order_payments"], {"order": "order_id"}),
         Source("oe", L.enriched["orders_enriched"], {"order": "order_id"},
-               {"revenue": F.col("total_order_revenue"), "negative": (F.col("delivery_seconds") < 0).cast("int")}),
+               {"oe_revenue": F.col("total_order_revenue"), "negative": (F.col("delivery_seconds") < 0).cast("int")}),
         Source("ie", L.enriched["order_items_enriched"], {"order": "order_id"})])
     unique = [("customers", "customer"), ("orders", "order"), ("products", "product"), ("sellers", "seller"), ("reviews", "order"), ("oe", "order")]
     links = [("orders", "customers", "customer"), ("items", "orders", "order"), ("items", "products", "product"),
              ("items", "sellers", "seller"), ("payments", "orders", "order")]
-    total = {name: F.coalesce(F.sum(name), F.lit(0)) for name in ("price", "freight", "revenue", "negative")}
+    total = {name: F.coalesce(F.sum(name), F.lit(0)) for name in ("price", "freight", "oe_revenue", "negative")}
     one = masks.agg(
         *[rows_of(t, d).alias(f"rows_{t}") for t, d in unique], *[keys_of(t, d).alias(f"keys_{t}") for t, d in unique],
         *[orphans_of(child, parent, d).alias(f"{child}_{parent}") for child, parent, d in links],
         rows_of("ie", "order").alias("rows_ie"), rows_of("items", "order").alias("rows_items"),
-        (total["price"] + total["freight"]).cast("decimal(38,2)").alias("a"), total["revenue"].cast("decimal(38,2)").alias("b"),
-        total["negative"].cast("long").alias("negative")).withColumn("d", F.abs(F.col("a") - F.col("b")))
+        *[t.cast("decimal(38,2)").alias(name) for name, t in total.items()])
+    one = _known(one, observed).withColumns({
+        "a": (F.col("price") + F.col("freight")).cast("decimal(38,2)"), "b": F.col("oe_revenue").cast("decimal(38,2)"),
+        "negative": F.col("negative").cast("long")}).withColumn("d", F.abs(F.col("a") - F.col("b")))
 
     def one_per_key(table: str, name: str, text: str = "%s unique / %s rows") -> Column:
         return _check(name, F.col(f"rows_{table}") == F.col(f"keys_{table}"), F.format_string(text, _n(f"keys_{table}"), _n(f"rows_{table}")))
@@ -154,12 +173,22 @@ def _order_rows(L: Layers) -> DataFrame:
         F.coalesce("_rev", F.lit(0)).alias("revenue"), F.col("_late").alias("late"), F.col("_badq").alias("bad_quarters"))
 
 
-def warehouse_numbers(L: Layers) -> DataFrame:
+def mismatched_orders(L: Layers) -> DataFrame:
+    """V7 alone, as one row: delivered orders whose items do not add up to
+    their revenue.  Over a bucketed warehouse the aggregate and the join start
+    from the files, without an exchange on order_id."""
+    sold = (L.star["fact_sales"].where(F.col("order_status") == "delivered").groupBy("order_id").agg(F.sum("item_revenue").alias("_sold")))
+    off = F.abs(F.coalesce("_sold", F.lit(0)) - F.col("order_revenue")) > 0.01
+    return (L.star["fact_orders"].where(F.col("order_status") == "delivered").select("order_id", "order_revenue")
+            .join(sold, "order_id", "left").agg(F.count_if(off).alias("mismatched")))
+
+
+def warehouse_numbers(L: Layers, observed: dict | None = None) -> DataFrame:
     """All numbers of V4-V9 as one row.  A ladder: sums by order_id, then by
     customer_id together with the customers, then by person, then in total, so
     each table is read once; every step adds up the one before and is combined
     map-side.  Where the facts are computed and not stored, they and the checks
-    share the items and payments."""
+    share the items and payments; where they are stored, V7 is joined in place."""
     if not L.stored:
         L = L.with_clean(order_items=reused(L.clean["order_items"].select("order_id", "order_item_id", "price", "freight_value")),
                          order_payments=reused(L.clean["order_payments"].select("order_id", "payment_type", "payment_installments", "payment_value")))
@@ -183,7 +212,9 @@ def warehouse_numbers(L: Layers) -> DataFrame:
                         F.count_if(buyer).alias("persons"), F.count_if(buyer & (F.col("delivered") > 1)).alias("repeaters"))
     for t, key in (("products", "product_id"), ("sellers", "seller_id")):
         one = one.crossJoin(F.broadcast(c[t].agg(F.count(F.lit(1)).alias(f"rows_{t}"), F.count_distinct(key).alias(f"keys_{t}"))))
-    return one
+    if L.stored:
+        one = one.drop("mismatched").crossJoin(F.broadcast(mismatched_orders(L)))
+    return _known(one, observed)
 
 
 def warehouse_check_rows(one: DataFrame) -> DataFrame:
@@ -234,6 +265,19 @@ def v04_v09_warehouse_checks(L: Layers) -> DataFrame:
     return warehouse_check_rows(warehouse_numbers(L))
 
 
+def written_checks(L: Layers, observed: dict[str, dict]) -> DataFrame:
+    """The rows of V1 to V9 for a warehouse that was just written, with the job
+    that each belongs to: counts, sums and ranges as observed on the written
+    rows, the rest from one pass over the keys."""
+    seen = {f"rows_{t}": m["rows"] for t, m in observed.items()} | {k: v for m in observed.values() for k, v in m.items() if k != "rows"}
+    v1 = {"rows_reviews": seen["rows_order_reviews"], "rows_oe": seen["rows_orders_enriched"], "rows_ie": seen["rows_order_items_enriched"],
+          "rows_items": seen["rows_order_items"], **seen}
+    jobs = {"v01_post_clean_validation": v01_post_clean_validation(L, v1),
+            "v02_v03_table_checks": v02_v03_table_checks(L, rows={t: m["rows"] for t, m in observed.items()}),
+            "v04_v09_warehouse_checks": warehouse_check_rows(warehouse_numbers(L, seen))}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("job"), "*") for name, df in jobs.items()])
+
+
 WAREHOUSE_TABLES = ["customers", "orders", "order_items", "order_payments", "order_reviews", "products", "sellers",
                     "geolocation", "geolocation_zip", "category_translation", "fact_orders", "fact_sales", "dim_customer",
                     "dim_product", "dim_seller", "dim_date", "dim_geography"]
@@ -243,22 +287,23 @@ def _table(L: Layers, name: str) -> DataFrame | None:
     return L.star[name] if name in L.star else L.clean[name] if name in L.clean else None
 
 
-def v02_v03_table_checks(L: Layers, expected: dict[str, int | None] | None = None) -> DataFrame:
+def v02_v03_table_checks(L: Layers, expected: dict[str, int | None] | None = None, rows: dict[str, int] | None = None) -> DataFrame:
     """V2/V3: for each expected table whether it exists, and whether it has the
     expected number of rows, as (check, status, detail) rows.  ``expected``
     maps table names to row counts; None asks for one row at least.  Without
-    it every warehouse table is expected, with rows."""
+    it every warehouse table is expected, with rows.  ``rows`` gives counts
+    that are known already; such tables are not read."""
     parts = []
-    for name, rows in (expected or dict.fromkeys(WAREHOUSE_TABLES)).items():
+    for name, least in (expected or dict.fromkeys(WAREHOUSE_TABLES)).items():
         df = _table(L, name)
         parts.append(local_table(L.spark, [(f"Table exists: {name}", "FAIL" if df is None else "PASS",
                                             "missing" if df is None else "found")],
                                  "check string, status string, detail string"))
         if df is None:
             continue
-        n = df.agg(F.count(F.lit(1)).alias("n"))
-        good = F.col("n") > 0 if rows is None else F.col("n") == rows
-        want = "at least 1" if rows is None else str(rows)
+        n = local_table(L.spark, [(rows[name],)], "n long") if rows and name in rows else df.agg(F.count(F.lit(1)).alias("n"))
+        good = F.col("n") > 0 if least is None else F.col("n") == least
+        want = "at least 1" if least is None else str(least)
         parts.append(n.select(F.lit(f"Row count: {name}").alias("check"), F.when(good, "PASS").otherwise("FAIL").alias("status"),
                               F.format_string(f"%d rows, expected {want}", F.col("n")).alias("detail")))
     return reduce(DataFrame.unionByName, parts)

@@ -1,4 +1,4 @@
-"""Sources and sinks.
+"""Sources and sinks (S1-S11); the warehouse itself is in ``warehouse``.
 
 Scans are typed (no inference); sinks write partitioned files in parallel.
 Nothing here funnels data through a single task: CSV/JSON/text exports are
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souklens.sources.schema import RAW_SCHEMAS
+from souklens.sources.warehouse import (CLEAN_OUTPUTS, MATERIALISED_ENRICHED, PRIMARY_KEYS,  # noqa: F401
+                                        WAREHOUSE_PARTITIONS, build_warehouse, require_keys)
 
 TIMESTAMP_COLUMNS = {
     "orders": ["order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date",
@@ -44,7 +46,7 @@ def load_all_tables(spark: SparkSession, base_dir: str, files: Mapping[str, str]
 
 
 def save(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
-    """Full replace of one table."""
+    """S3: full replace of one table."""
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -64,58 +66,6 @@ def load_processed(spark: SparkSession, path: str, timestamp_cols: list[str] = (
     return df.withColumns(casts) if casts else df
 
 
-# Partition columns of the materialised tables: facts by purchase year, the
-# enriched order and item tables by purchase month (time filters prune files).
-WAREHOUSE_PARTITIONS = {"fact_orders": ["order_year"], "fact_sales": ["order_year"],
-                        "orders_enriched": ["order_year_month"], "order_items_enriched": ["order_year_month"]}
-CLEAN_OUTPUTS = ("customers", "orders", "order_items", "order_payments", "order_reviews", "products", "sellers",
-                 "geolocation", "geolocation_zip", "category_translation")
-# Enriched tables that most jobs read and that are worth storing; the
-# per-entity ones (E3-E5) are cheap aggregates of these and the cleaned tables.
-MATERIALISED_ENRICHED = ("orders_enriched", "order_items_enriched")
-
-
-PRIMARY_KEYS = {"customers": ["customer_id"], "orders": ["order_id"], "products": ["product_id"], "sellers": ["seller_id"]}
-
-
-def require_keys(tables: Mapping[str, DataFrame], keys: Mapping[str, list[str]] = PRIMARY_KEYS) -> None:
-    """Fail with the tables whose key repeats or is NULL (strict C1, C4, C8, C9)."""
-    bad = []
-    for name, df in tables.items():
-        key = keys[name]
-        groups = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-        missing = F.coalesce(*[F.when(F.col(k).isNull(), F.lit(True)) for k in key], F.lit(False))
-        n = groups.where((F.col("n") > 1) | missing).count()
-        if n:
-            bad.append(f"{name}: {n} values of {', '.join(key)} repeat or are missing")
-    if bad:
-        raise ValueError("; ".join(bad))
-
-
-def build_warehouse(layers, out_dir: str, fmt: str = "parquet", strict: bool = False) -> list[str]:
-    """Write the cleaned source tables, the seven warehouse tables and the
-    enriched order/item tables (full replace; facts partitioned by purchase
-    year, enriched order/item tables by purchase month).  Read them back with
-    ``Layers.from_warehouse`` so later jobs start from these tables instead
-    of cleaning and joining the raw inputs again.  ``strict`` fails before
-    anything is written when a primary key repeats or is missing."""
-    written = []
-    if strict:
-        require_keys({name: layers.clean[name] for name in PRIMARY_KEYS})
-    for name in CLEAN_OUTPUTS:
-        save(layers.clean[name], f"{out_dir}/{name}", fmt)
-        written.append(name)
-    # the rest is built from the cleaned tables just written, so cleaning runs once
-    layers = layers.over_clean(out_dir, fmt)
-    for name in layers.star:
-        save(layers.star[name], f"{out_dir}/{name}", fmt, WAREHOUSE_PARTITIONS.get(name))
-        written.append(name)
-    for name in MATERIALISED_ENRICHED:
-        save(layers.enriched[name], f"{out_dir}/{name}", fmt, WAREHOUSE_PARTITIONS.get(name))
-        written.append(name)
-    return written
-
-
 def run_query(spark: SparkSession, text: str, params: Mapping[str, object] | None = None) -> DataFrame:
     """A parametrised statement (``:name`` markers, e.g. ``LIMIT :limit``)."""
     return spark.sql(text, args=dict(params or {}))

@@ -1,6 +1,8 @@
 """Plan hygiene for every registered job: no cartesian products, no Python
 evaluation, and every nested-loop join broadcasts a side of at most one row."""
 
+import pytest
+
 from souklens import registry
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +84,55 @@ def test_building_a_plan_starts_no_job(spark):
         assert not list(sc.statusTracker().getJobIdsForGroup("plans"))
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def _scans(spark, name) -> tuple[dict, int]:
+    """Files that the physical plan scans, with how often, and its joins; broadcasts off, before any reuse."""
+    import re
+    from collections import Counter
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = registry.spark_queries()[name](spark, SF)
+        found, joins, stack = Counter(), 0, [df._jdf.queryExecution().executedPlan()]
+        while stack:
+            p = stack.pop()
+            if p.nodeName().startswith("AdaptiveSparkPlan"):
+                stack.append(p.inputPlan())
+                continue
+            if m := re.search(r"FileScan parquet.*?/(\w+)\.parquet\]", p.simpleString(1000)):
+                found[m[1]] += 1
+            joins += "Join" in p.nodeName()
+            kids = p.children()
+            stack.extend(kids.apply(i) for i in range(kids.size()))
+        return found, joins
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name,most,joins", [
+    ("o7_opportunities", {"lineitem": 2, "part": 2, "orders": 5}, 14), ("e5_seller_analytics", {"lineitem": 1, "part": 2}, 6),
+    ("v04_v09_warehouse_checks", {"lineitem": 0, "orders": 6}, 10),  # items and payments are cached for the job, read once each
+    ("v01_post_clean_validation", {"lineitem": 4, "orders": 5}, 12), ("v14_orders_without_children", {"lineitem": 2, "orders": 1}, 0)])
+def test_tables_are_read_a_bounded_number_of_times(spark, name, most, joins):
+    found, n = _scans(spark, name)
+    assert {t: k for t, k in found.items() if k > most.get(t, 99)} == {}
+    assert n <= joins
+
+
+def test_cached_tables_leave_with_their_job(spark):
+    import gc
+
+    def stored():
+        return spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    gc.collect()
+    before = stored()
+    df = registry.spark_queries()["v04_v09_warehouse_checks"](spark, SF)
+    rows = sorted(map(tuple, df.collect()))
+    assert stored() == before + 2
+    later = df.where("status = 'PASS'")
+    del df
+    gc.collect()
+    assert stored() == before
+    assert len(later.collect()) == len(rows)  # a plan that outlives the job computes them again
