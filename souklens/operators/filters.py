@@ -70,15 +70,18 @@ def seller_condition(spec: FilterSpec) -> Column:
     return F.coalesce(F.col("seller_state").isin(*spec.seller_states), F.lit(False)) if spec.seller_states else F.lit(True)
 
 
+def filter_orders_by_day(orders: DataFrame, spec: FilterSpec) -> DataFrame:
+    """F20 order part."""
+    return (in_months(orders, *spec.date_range) if spec.date_range else orders).where(order_condition(spec))
+
+
 def apply_filters(orders: DataFrame, items: DataFrame, reviews: DataFrame, sellers: DataFrame,
                   spec: FilterSpec) -> dict[str, DataFrame]:
     """the filtered bundle.  Items and reviews keep only rows of kept orders."""
-    def months(df: DataFrame) -> DataFrame:
-        return in_months(df, *spec.date_range) if spec.date_range else df
-
-    o = months(orders).where(order_condition(spec))
+    o = filter_orders_by_day(orders, spec)
     kept = o.select("order_id")
-    return {"orders": o, "items": months(items).join(kept, "order_id", "left_semi").where(item_condition(spec)),
+    it = in_months(items, *spec.date_range) if spec.date_range else items
+    return {"orders": o, "items": it.join(kept, "order_id", "left_semi").where(item_condition(spec)),
             "reviews": reviews.join(kept, "order_id", "left_semi").where(review_condition(spec)),
             "sellers": sellers.where(seller_condition(spec))}
 

@@ -34,7 +34,7 @@ def delivered_rows(orders: DataFrame, customers: DataFrame, items: DataFrame, re
         seconds_between(p, "order_delivered_customer_date").alias("delivery_seconds"),
         seconds_between("order_estimated_delivery_date", "order_delivered_customer_date").alias("delay_seconds"))
     by_order = (o.join(items.select("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value"), "order_id", "left")
-                .join(reviews.select("order_id", "review_score"), "order_id", "left"))
+                .join(reviews.select("order_id", "review_score", F.lit(1).alias("reviewed")), "order_id", "left"))
     kinds = products.select("product_id", "product_category_name").join(translation, "product_category_name", "left").select(
         "product_id", F.col("product_category_name_english").alias("category"))
     rows = (by_order.join(kinds, "product_id", "left").join(sellers.select("seller_id", "seller_state"), "seller_id", "left")
@@ -69,6 +69,7 @@ def delivered_summary(rows: DataFrame) -> DataFrame:
         F.count(F.when(F.col("order_item_id").isNotNull(), F.col("review_score"))).alias("score_n"),
         F.count_if(mark).alias("orders"),
         F.count_if(F.col("first_of_category") & F.col("order_item_id").isNotNull()).alias("orders_by_category"),
+        F.count_if(F.col("first_of_category") & F.col("order_item_id").isNotNull() & F.col("reviewed").isNotNull()).alias("reviewed_by_category"),
         F.count_if(F.col("first_of_seller_state") & F.col("order_item_id").isNotNull()).alias("orders_by_seller_state"),
         F.sum(of_order(F.col("order_value"))).alias("order_value_sum"),
         F.count(of_order(F.col("order_value"))).alias("order_value_n"),

@@ -141,3 +141,27 @@ SELECT * FROM x""",
 
 PAGES_SQL["y02_payment_counts"] = ("SELECT payment_type, count(*) AS payments FROM cl_payments "
                                    "WHERE payment_type IS NOT NULL GROUP BY 1")
+
+
+def _scores(join: str) -> str:
+    return W + f"""x AS (SELECT i.order_id, i.product_category_name_english AS c, rv.review_score FROM e_items i {join} cl_reviews rv
+  ON rv.order_id = i.order_id WHERE i.{DLV}),
+g AS (SELECT c, {avg_('review_score')} AS s, count(DISTINCT order_id) AS n FROM x WHERE c IS NOT NULL GROUP BY 1)
+SELECT c AS category, {r('s', 4)} AS avg_score, n AS n_orders, (SELECT {r(avg_('review_score'), 4)} FROM x) AS overall_score,
+  CASE WHEN s < 3.8 THEN 'low' WHEN s >= 4.2 THEN 'high' ELSE 'middle' END AS band FROM g WHERE n >= 200"""
+
+
+_EDGES = list(zip([-300, -14, -7, -3, 0, 3, 7, 14], [-14, -7, -3, 0, 3, 7, 14, 300],
+                  ["Early >14d", "Early 8-14d", "Early 3-7d", "Early ≤3d", "Late ≤3d", "Late 3-7d", "Late 7-14d", "Late >14d"]))
+PAGES_SQL |= {
+    "y05_category_scores": _scores("LEFT JOIN"), "y07_category_scores": _scores("JOIN"),
+    "y06_top_sellers": W + f"""x AS (SELECT * FROM e_sell ORDER BY total_revenue DESC, seller_id LIMIT 30)
+SELECT substr(seller_id, 1, 12) || '…' AS seller_short, seller_state, {m('total_revenue')} AS total_revenue, n_unique_orders, total_items_sold,
+  {r('avg_review_score', 4)} AS avg_review_score, top_category FROM x""",
+    "y07_delay_buckets": W + f"""x AS (SELECT o.is_delayed, rv.review_score, CASE """ + " ".join(
+        f"WHEN delivery_delay_days > {a} AND delivery_delay_days <= {b} THEN '{name}'" for a, b, name in _EDGES) + f""" END AS bucket
+  FROM e_oe o JOIN cl_reviews rv ON rv.order_id = o.order_id WHERE {HD})
+SELECT bucket, {r(avg_('review_score'), 4)} AS avg_score, count(review_score) AS orders,
+  (SELECT {r(avg_('review_score'), 4)} FROM x WHERE is_delayed = 0) AS ontime_score,
+  (SELECT {r(avg_('review_score'), 4)} FROM x WHERE is_delayed = 1) AS late_score FROM x WHERE bucket IS NOT NULL GROUP BY 1 HAVING count(review_score) > 0""",
+}

@@ -135,7 +135,7 @@ QUALITY_SQL = {
         f"SELECT 'Table exists: {t}' AS \"check\", 'PASS' AS status, 'found' AS detail UNION ALL SELECT 'Row count: {t}', "
         f"if(count(*) > 0, 'PASS', 'FAIL'), count(*) || ' rows, expected at least 1' FROM {v}" for t, v in TABLES.items()) + ") z",
     "v11_table_inventory": "WITH " + EXTRA + "\nSELECT * FROM (" + "\nUNION ALL ".join(
-        f"SELECT '{t}' AS \"table\", count(*) AS rows, {COLS[t]} AS columns FROM {v}" for t, v in TABLES.items()) + ") z",
+        f"SELECT '{t}' AS \"table\", count(*) AS rows, {COLS[t]} AS columns, CAST(NULL AS BIGINT) AS bytes FROM {v}" for t, v in TABLES.items()) + ") z",
     "v14_orders_without_children": """SELECT o.order_status, count(*) AS orders,
   count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM fx_order_items i WHERE i.order_id = o.order_id)) AS without_items,
   count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM fx_order_payments p WHERE p.order_id = o.order_id)) AS without_payments,
@@ -174,3 +174,54 @@ def _spot() -> str:
 
 
 QUALITY_SQL["v12_spot_checks"] = _spot()
+
+
+def _repeats(name: str, table: str, cols: list[str]) -> str:
+    return (f"SELECT '{name}' AS what, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n) - count(*) AS BIGINT) AS repeats, "
+            f"count(*) FILTER (WHERE n > 1) AS repeated_values, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS rows_involved "
+            f"FROM (SELECT count(*) AS n FROM fx_{table} GROUP BY {', '.join(cols)}) z")
+
+
+QUALITY_SQL["v14_duplicates"] = "SELECT * FROM (" + " UNION ALL ".join(
+    [_repeats(t, t, cols) for t, cols in RAW_COLS.items()]
+    + [_repeats(f"order_reviews.{c}", "order_reviews", [c]) for c in ("review_id", "order_id")]) + ") z"
+
+NUMERIC = {"customers": ["customer_zip_code_prefix"], "geolocation": ["geolocation_zip_code_prefix", "geolocation_lat", "geolocation_lng"],
+           "order_items": ["order_item_id", "price", "freight_value"],
+           "order_payments": ["payment_sequential", "payment_installments", "payment_value"], "order_reviews": ["review_score"],
+           "products": [c for c in RAW_COLS["products"] if c.startswith("product_") and c not in ("product_id", "product_category_name")],
+           "sellers": ["seller_zip_code_prefix"]}
+QUALITY_SQL["v14_outliers"] = "WITH v AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS tab, '{c}' AS col, CAST({c} AS DOUBLE) AS v FROM fx_{t} WHERE {c} IS NOT NULL" for t, cols in NUMERIC.items() for c in cols
+) + f"""), q AS (SELECT tab, col, {r('quantile_cont(v, 0.25)', 6)} AS q1, {r('quantile_cont(v, 0.5)', 6)} AS median, {r('quantile_cont(v, 0.75)', 6)} AS q3
+  FROM v GROUP BY ALL),
+f AS (SELECT *, {r('q1 - 1.5 * (q3 - q1)', 6)} AS low_fence, {r('q3 + 1.5 * (q3 - q1)', 6)} AS high_fence FROM q)
+SELECT tab AS "table", col AS "column", q1, median, q3, low_fence, high_fence, count(*) AS n,
+  count(*) FILTER (WHERE {r('v', 6)} < low_fence) AS below, count(*) FILTER (WHERE {r('v', 6)} > high_fence) AS above
+FROM v JOIN f USING (tab, col) GROUP BY ALL"""
+
+
+def _lists() -> str:
+    from souklens.oracle.base import m, pct as _pct
+
+    def gap(name: str, expr: str, table: str) -> str:
+        return f"SELECT 'enriched tables' AS list, '{name}' AS key, CAST(({expr}) AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS share FROM {table}"
+
+    return W + f"""c AS (SELECT product_category_name_english AS key, sum(item_revenue) AS v FROM e_items WHERE order_status = 'delivered'
+  AND product_category_name_english IS NOT NULL GROUP BY 1 ORDER BY v DESC, key LIMIT 5),
+st AS (SELECT customer_state AS key, coalesce(sum(total_order_revenue), 0) AS v FROM e_oe WHERE order_status = 'delivered'
+  AND customer_state IS NOT NULL GROUP BY 1 ORDER BY v DESC, key LIMIT 5),
+p AS (SELECT payment_type AS key, count(*) AS n FROM cl_payments WHERE payment_type IS NOT NULL GROUP BY 1),
+q AS (SELECT 'top categories' AS list, key, {m('v')} AS value, CAST(NULL AS DOUBLE) AS share FROM c
+UNION ALL SELECT 'top states', key, {m('v')}, NULL FROM st
+UNION ALL SELECT 'payment mix', key, CAST(n AS DOUBLE), {r(_pct('n', '(SELECT sum(n) FROM p)'), 1)} FROM p
+UNION ALL """ + " UNION ALL ".join([
+        gap("first purchase", "epoch(min(order_purchase_timestamp))", "e_oe"), gap("last purchase", "epoch(max(order_purchase_timestamp))", "e_oe"),
+        gap("least delivery days", r("min(delivery_days)"), "e_oe"), gap("most delivery days", r("max(delivery_days)"), "e_oe"),
+        gap("negative delivery days", "count(*) FILTER (WHERE delivery_days < 0)", "e_oe"),
+        gap("orders without revenue", "count(*) FILTER (WHERE total_order_revenue IS NULL)", "e_oe"),
+        gap("items without category", "count(*) FILTER (WHERE product_category_name_english IS NULL)", "e_items"),
+        gap("items uncategorised", "count(*) FILTER (WHERE product_category_name_english = 'Unknown / Uncategorized')", "e_items")]) + ") SELECT * FROM q"
+
+
+QUALITY_SQL["v12_spot_lists"] = _lists()

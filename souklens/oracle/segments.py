@@ -160,4 +160,4 @@ FROM sc WHERE avg_review_score IS NOT NULL AND total_revenue > 0""",
 
 SEG_SQL["h2_cohort_pivot_all"] = COHORT_CTES + "SELECT cohort_ym, cohort_size, " + ", ".join(
     f"coalesce(max(retention_pct) FILTER (WHERE period_number = {k}), 0.0) AS p{k}" for k in range(120)
-) + " FROM clong GROUP BY cohort_ym, cohort_size"
+) + ", string_agg(period_number || ':' || format('{:.2f}', retention_pct), ',' ORDER BY period_number) AS rates FROM clong GROUP BY cohort_ym, cohort_size"

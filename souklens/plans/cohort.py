@@ -43,24 +43,26 @@ def h1_cohort_retention(L: Layers) -> DataFrame:
     return cohort_long(L)
 
 
-def cohort_pivot(L: Layers, periods: list[int], strict: bool = False) -> DataFrame:
-    """H2/H5: cohorts × the given period numbers, retention % (0.0 where no
-    one returned), with the cohort size.  The period list is a parameter, so
-    the pivot needs no extra pass to discover its columns.  ``strict``: other
-    periods are an error."""
-    listed = F.col("period_number").isin(periods)
-    if strict:
-        listed = F.when(listed, F.lit(True)).otherwise(F.raise_error(F.concat(
-            F.lit("period beyond the list: "), F.col("period_number").cast("string"))).cast("boolean"))
-    c = cohort_long(L).where(listed)
-    p = (c.groupBy("cohort_ym", "cohort_size").pivot("period_number", periods)
-         .agg(F.first("retention_pct")))
-    p = p.select("cohort_ym", "cohort_size", *[F.coalesce(F.col(str(k)), F.lit(0.0)).alias(f"p{k}") for k in periods])
-    return p
+def cohort_rows(L: Layers) -> DataFrame:
+    """H2 as sparse rows: per cohort its size and ``rates``, a map from every
+    period in which somebody returned to the retention %.  Exact for any number
+    of periods; a row holds as many entries as the calendar has months."""
+    return cohort_long(L).groupBy("cohort_ym", "cohort_size").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("period_number", "retention_pct")))).alias("rates"))
+
+
+def cohort_pivot(L: Layers, periods: list[int]) -> DataFrame:
+    """H2/H5: the given period numbers as columns, retention % (0.0 where no
+    one returned), beside the cohort's size and its sparse row.  The period
+    list is a parameter, so no pass over the data is needed to discover its
+    columns, and what lies beyond it stays in ``rates``."""
+    return cohort_rows(L).select("cohort_ym", "cohort_size", *[F.coalesce(F.try_element_at("rates", F.lit(k)), F.lit(0.0)).alias(f"p{k}")
+                                                                for k in periods], "rates")
 
 
 def h5_cohort_heatmap(L: Layers, n_periods: int = 13) -> DataFrame:
-    return cohort_pivot(L, list(range(n_periods)))
+    """H5: the first periods of the cohorts that have any of them."""
+    return cohort_pivot(L, list(range(n_periods))).drop("rates")
 
 
 def h3_cohort_range(L: Layers) -> DataFrame:
@@ -128,15 +130,15 @@ COHORT_JOBS = {"h1_cohort_retention": h1_cohort_retention, "h3_cohort_range": h3
                "h9_clv_distribution": h9_clv_distribution, "h10_clv_by_orders": h10_clv_by_orders}
 
 
-# Ten years of monthly periods: the columns of H2 are a parameter, so no pass
-# over the data is needed to discover them.
+# Ten years of monthly periods as columns; every later one is in ``rates``.
 ALL_PERIODS = tuple(range(120))
 
 
 def h2_cohort_pivot_all(L: Layers, periods: tuple[int, ...] = ALL_PERIODS) -> DataFrame:
-    """H2: cohorts × period numbers (0.0 where nobody returned).  A period that
-    is not in the list makes the query fail instead of being left out."""
-    return cohort_pivot(L, list(periods), strict=True)
+    """H2: cohorts × period numbers (0.0 where nobody returned), and the whole
+    sparse row as text (``period:rate`` by period)."""
+    text = F.array_join(F.transform(F.map_entries("rates"), lambda e: F.format_string("%d:%.2f", e["key"], e["value"])), ",")
+    return cohort_pivot(L, list(periods)).withColumn("rates", text)
 
 
 COHORT_JOBS["h2_cohort_pivot_all"] = h2_cohort_pivot_all

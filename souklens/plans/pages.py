@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from souklens.functions.numeric import brl, mean, mean_days, money, pct, rnd, share_if
+from souklens.functions.buckets import fixed_bucket
+from souklens.functions.numeric import brl, mean, mean_days, money, pct, ratio, rnd, share_if
 from souklens.functions.quantiles import exact_quantiles
 from souklens.operators.filters import (FilterSpec, apply_filters, apply_item_filters, apply_order_filters,
                                         filter_options, filter_sizes, kept_share)
+from souklens.operators.summary import avg_of, summary_of
 from souklens.plans.context import Layers
 from souklens.sources.inline import local_table
 
@@ -271,3 +273,58 @@ def y02_payment_counts(L: Layers, payment_types: tuple[str, ...] = ()) -> DataFr
 
 
 PAGE_JOBS["y02_payment_counts"] = y02_payment_counts
+
+
+def _category_scores(L: Layers, orders: str, least: int) -> DataFrame:
+    s = summary_of(L)
+    overall = F.max(F.when(F.col("dim") == "total", avg_of("score"))).over(Window.partitionBy())
+    rows = s.withColumn("_all", overall).where((F.col("dim") == "category") & F.col("key").isNotNull() & (F.col(orders) >= least))
+    return rows.select(F.col("key").alias("category"), rnd(avg_of("score"), 4).alias("avg_score"), F.col(orders).alias("n_orders"),
+                       rnd("_all", 4).alias("overall_score"),
+                       F.when(avg_of("score") < 3.8, "low").when(avg_of("score") >= 4.2, "high").otherwise("middle").alias("band"))
+
+
+def y05_category_scores(L: Layers, least_orders: int = 200) -> DataFrame:
+    """Mean review score of the categories with many delivered orders,
+    reviewed or not."""
+    return _category_scores(L, "n_orders", least_orders)
+
+
+def y06_top_sellers(L: Layers, top_n: int = 30) -> DataFrame:
+    """The sellers with the highest revenue, as a table."""
+    return (L.enriched["seller_analytics"].orderBy(F.desc("total_revenue"), "seller_id").limit(top_n)
+            .select(F.concat(F.substring("seller_id", 1, 12), F.lit("…")).alias("seller_short"), "seller_state",
+                    money("total_revenue").alias("total_revenue"), "n_unique_orders", "total_items_sold",
+                    rnd("avg_review_score", 4).alias("avg_review_score"), "top_category"))
+
+
+def y07_category_scores(L: Layers, least_orders: int = 200) -> DataFrame:
+    """The same over reviewed orders alone."""
+    return _category_scores(L, "reviewed_by_category", least_orders)
+
+
+# The review page's own delay edges (days) and their labels.
+PAGE_DELAY_EDGES = [-300, -14, -7, -3, 0, 3, 7, 14, 300]
+PAGE_DELAY_LABELS = ["Early >14d", "Early 8-14d", "Early 3-7d", "Early ≤3d", "Late ≤3d", "Late 3-7d", "Late 7-14d", "Late >14d"]
+
+
+def y07_delay_buckets(L: Layers) -> DataFrame:
+    """Mean score and orders per delay bucket of the page's edges (beyond
+    them an order counts in no bucket), with the on-time and late means of all."""
+    o = L.enriched["orders_enriched"].where(DELIVERED() & F.col("delivery_seconds").isNotNull() & F.col("is_delayed").isNotNull())
+    d = o.join(L.clean["order_reviews"].select("order_id", "review_score"), "order_id").groupBy(
+        fixed_bucket("delivery_delay_days", PAGE_DELAY_EDGES, PAGE_DELAY_LABELS).alias("bucket"), "is_delayed").agg(
+        F.sum("review_score").alias("s"), F.count("review_score").alias("n"))
+    whole = Window.partitionBy()
+
+    def score(late: int):
+        return ratio(F.sum(F.when(F.col("is_delayed") == late, F.col("s"))).over(whole), F.sum(F.when(F.col("is_delayed") == late, F.col("n"))).over(whole))
+
+    x = d.withColumns({"ontime": score(0), "late": score(1)}).groupBy("bucket", "ontime", "late").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return x.where(F.col("bucket").isNotNull() & (F.col("n") > 0)).select(
+        "bucket", rnd(ratio("s", "n"), 4).alias("avg_score"), F.col("n").alias("orders"),
+        rnd("ontime", 4).alias("ontime_score"), rnd("late", 4).alias("late_score"))
+
+
+PAGE_JOBS.update({"y05_category_scores": y05_category_scores, "y06_top_sellers": y06_top_sellers,
+                  "y07_category_scores": y07_category_scores, "y07_delay_buckets": y07_delay_buckets})

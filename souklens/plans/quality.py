@@ -9,16 +9,22 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souklens.functions.numeric import money, pct, rnd
+from souklens.functions.quantiles import exact_quantiles
 from souklens.functions.reuse import reused
 from souklens.operators.keys import Source, key_masks, keys_of, orphans_of, rows_of
+from souklens.operators.summary import summary_of
 from souklens.plans.context import Layers
 from souklens.sources.inline import local_table
 
 
+# Fixed value: the category name of products without one.
+UNCATEGORISED = "Unknown / Uncategorized"
+
+
 def _n(c) -> Column:
     return F.format_number(F.col(c) if isinstance(c, str) else c, 0)
 
@@ -309,16 +315,70 @@ def v02_v03_table_checks(L: Layers, expected: dict[str, int | None] | None = Non
     return reduce(DataFrame.unionByName, parts)
 
 
+def stored_size(df: DataFrame) -> DataFrame:
+    """One row: number and bytes of the files behind a stored table, from the
+    scan's hidden file metadata (no column is read)."""
+    files = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).distinct()
+    return files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
 def v11_table_inventory(L: Layers) -> DataFrame:
-    """Every warehouse table with its row and column count."""
+    """Every warehouse table with its rows and columns and, where it is
+    stored, its bytes (NULL for a table that is only defined)."""
     parts = []
     for t in WAREHOUSE_TABLES:
         df = _table(L, t)
-        parts.append(df.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(t).alias("table"), "rows", F.lit(len(df.columns)).alias("columns")))
+        size = stored_size(df).select("bytes") if L.stored else local_table(L.spark, [(None,)], "bytes long")
+        parts.append(df.agg(F.count(F.lit(1)).alias("rows")).crossJoin(F.broadcast(size)).select(
+            F.lit(t).alias("table"), "rows", F.lit(len(df.columns)).alias("columns"), "bytes"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _digested(df: DataFrame, columns: list[str]) -> DataFrame:
+    """128 bits of each row's ``columns``.  NULLs leave a hash as it is, so
+    which columns are NULL is hashed too."""
+    cols = [F.col(c) for c in columns]
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cols])
+    return df.select(F.xxhash64(F.lit(1), *cols, nulls).alias("h1"), F.xxhash64(F.lit(2), nulls, *cols[::-1]).alias("h2"))
+
+
+def v14_duplicates(L: Layers) -> DataFrame:
+    """Repeated rows of every raw table, and repeated review keys.  Rows
+    are compared by digests, so the wide text rows are not moved; all tables
+    share one aggregate over (what, digest)."""
+    what = {t: (t, L.raw[t].columns) for t in L.raw}
+    what |= {"order_reviews.review_id": ("order_reviews", ["review_id"]), "order_reviews.order_id": ("order_reviews", ["order_id"])}
+    rows = reduce(DataFrame.unionByName, [_digested(L.raw[t], cols).select(F.lit(name).alias("what"), "h1", "h2") for name, (t, cols) in what.items()])
+    per = rows.groupBy("what", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("what").agg(F.sum("n").alias("rows"), (F.sum("n") - F.count(F.lit(1))).alias("repeats"),
+                                   F.count_if(F.col("n") > 1).alias("repeated_values"),
+                                   F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows_involved"))
+
+
+def v14_outliers(L: Layers, reach: float = 1.5) -> DataFrame:
+    """Per numeric column of the raw tables the quartiles, the fences
+    ``reach`` quartile distances beyond them and the rows outside.  One
+    distributed pass over the counts of distinct values gives all quartiles;
+    the fences (one row per column) are joined back to those counts."""
+    parts = []
+    for t in L.raw:
+        cols = [c for c, kind in L.raw[t].dtypes if kind in ("int", "bigint", "double") or kind.startswith("decimal")]
+        if cols:
+            stack = ", ".join(f"'{c}', cast(`{c}` as double)" for c in cols)
+            parts.append(L.raw[t].selectExpr(f"'{t}' as `table`", f"stack({len(cols)}, {stack}) as (`column`, v)"))
+    keys = ["table", "column"]
+    values = reduce(DataFrame.unionByName, parts).where(F.col("v").isNotNull())
+    q = exact_quantiles(values, "v", [0.25, 0.5, 0.75], keys=keys).select(
+        *keys, *[rnd(F.col("_q")[k], 6).alias(n) for k, n in enumerate(("q1", "median", "q3"))])
+    fences = q.withColumns({"low_fence": rnd(F.col("q1") - reach * (F.col("q3") - F.col("q1")), 6),
+                            "high_fence": rnd(F.col("q3") + reach * (F.col("q3") - F.col("q1")), 6)})
+    counts = values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+    v = rnd("v", 6)
+    return counts.join(F.broadcast(fences), keys).groupBy(*keys, *fences.columns[2:]).agg(
+        F.sum("n").alias("n"), F.coalesce(F.sum(F.when(v < F.col("low_fence"), F.col("n"))), F.lit(0)).alias("below"),
+        F.coalesce(F.sum(F.when(v > F.col("high_fence"), F.col("n"))), F.lit(0)).alias("above"))
+
+
 def v14_orders_without_children(L: Layers) -> DataFrame:
     """Orders without items, payments or reviews, by status (raw tables)."""
     raw = L.raw
@@ -352,7 +412,8 @@ def v14_null_counts(L: Layers) -> DataFrame:
 QUALITY_JOBS = {"v01_post_clean_validation": v01_post_clean_validation,
                 "v04_v09_warehouse_checks": v04_v09_warehouse_checks, "v02_v03_table_checks": v02_v03_table_checks,
                 "v11_table_inventory": v11_table_inventory,
-                "v14_orders_without_children": v14_orders_without_children, "v14_null_counts": v14_null_counts}
+                "v14_orders_without_children": v14_orders_without_children, "v14_null_counts": v14_null_counts,
+                "v14_duplicates": v14_duplicates, "v14_outliers": v14_outliers}
 
 
 def v13_engine_smoke(L: Layers) -> DataFrame:
@@ -407,3 +468,33 @@ def v12_spot_checks(L: Layers) -> DataFrame:
 
 
 QUALITY_JOBS["v12_spot_checks"] = v12_spot_checks
+
+
+def v12_spot_lists(L: Layers, top: int = 5) -> DataFrame:
+    """The payment mix, the top categories and states by delivered
+    revenue, the purchase span, delivery extremes and gaps of the enriched
+    tables, as (list, key, value, share) rows; times as epoch seconds."""
+    s = summary_of(L)
+    w = Window.partitionBy("dim").orderBy(F.desc("_v"), "key")
+    tops = (s.where(F.col("dim").isin("category", "customer_state") & F.col("key").isNotNull())
+            .withColumn("_v", F.when(F.col("dim") == "category", F.col("revenue")).otherwise(F.coalesce("order_value_sum", F.lit(0))))
+            .withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top)
+            .select(F.concat(F.lit("top "), F.when(F.col("dim") == "category", "categories").otherwise("states")).alias("list"), "key",
+                    money("_v").alias("value"), F.lit(None).cast("double").alias("share")))
+    pay = L.clean["order_payments"].where(F.col("payment_type").isNotNull()).groupBy("payment_type").agg(F.count(F.lit(1)).alias("n"))
+    mix = pay.crossJoin(F.broadcast(pay.agg(F.sum("n").alias("_t")))).select(
+        F.lit("payment mix").alias("list"), F.col("payment_type").alias("key"), F.col("n").cast("double").alias("value"), rnd(pct("n", "_t"), 1).alias("share"))
+    oe, ie = L.enriched["orders_enriched"], L.enriched["order_items_enriched"]
+    seconds = F.unix_timestamp(F.col("order_purchase_timestamp").cast("timestamp"))
+    one = oe.agg(F.min(seconds).alias("first purchase"), F.max(seconds).alias("last purchase"),
+                 rnd(F.min("delivery_days")).alias("least delivery days"), rnd(F.max("delivery_days")).alias("most delivery days"),
+                 F.count_if(F.col("delivery_days") < 0).alias("negative delivery days"),
+                 F.count_if(F.col("total_order_revenue").isNull()).alias("orders without revenue")).crossJoin(F.broadcast(
+        ie.agg(F.count_if(F.col("product_category_name_english").isNull()).alias("items without category"),
+               F.count_if(F.col("product_category_name_english") == UNCATEGORISED).alias("items uncategorised"))))
+    stack = ", ".join(f"'{n}', cast(`{n}` as double)" for n in one.columns)
+    rest = one.selectExpr("'enriched tables' as list", f"stack({len(one.columns)}, {stack}) as (key, value)", "cast(null as double) as share")
+    return tops.unionByName(mix).unionByName(rest)
+
+
+QUALITY_JOBS["v12_spot_lists"] = v12_spot_lists

@@ -10,13 +10,14 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souklens.sources.schema import RAW_SCHEMAS
 from souklens.sources.warehouse import (CLEAN_OUTPUTS, MATERIALISED_ENRICHED, PRIMARY_KEYS,  # noqa: F401
                                         WAREHOUSE_PARTITIONS, build_warehouse, require_keys)
 
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 TIMESTAMP_COLUMNS = {
     "orders": ["order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date",
                "order_delivered_customer_date", "order_estimated_delivery_date"],
@@ -32,7 +33,47 @@ def load_table(spark: SparkSession, name: str, base_dir: str, files: Mapping[str
         raise ValueError(f"Unknown table: {name}. Known: {sorted(RAW_SCHEMAS)}")
     path = f"{base_dir}/{(files or {}).get(name, name + '.csv')}"
     return (spark.read.schema(RAW_SCHEMAS[name]).option("header", True).option("mode", "PERMISSIVE")
-            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
+            .option("timestampNTZFormat", TIME_FORMAT).csv(path))
+
+
+CORRUPT = "_corrupt_record"
+REJECTED = "table string, column string, raw string"
+
+
+def _coerced(column: str, kind: str, time_format: str | None = None) -> Column:
+    """A text cell as ``kind``; NULL where it is none."""
+    if kind.startswith("timestamp"):
+        return F.try_to_timestamp(F.col(column), *([F.lit(time_format)] if time_format else [])).cast("timestamp_ntz")
+    return F.expr(f"try_cast(trim(`{column}`) AS {kind})")
+
+
+def _rejected(df: DataFrame, name: str, kinds: Mapping[str, str], time_format: str | None = None) -> DataFrame:
+    """(table, column, raw) for every cell that holds text which is not of its
+    column's kind, and for every line that does not have the table's columns."""
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("raw"), _coerced(c, k, time_format).isNull().alias("lost"))
+             for c, k in kinds.items() if k != "string"]
+    if CORRUPT in df.columns:
+        cells.append(F.struct(F.lit(CORRUPT).alias("column"), F.col(CORRUPT).alias("raw"), F.lit(True).alias("lost")))
+    if not cells:
+        return df.sparkSession.createDataFrame([], REJECTED)
+    return df.select(F.explode(F.array(*cells)).alias("c")).where(F.col("c.raw").isNotNull() & F.col("c.lost")).select(
+        F.lit(name).alias("table"), "c.column", "c.raw")
+
+
+def load_checked(spark: SparkSession, name: str, base_dir: str, files: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """S1 with an account of what coercion loses: the typed table, as
+    ``load_table`` gives it, and the rejected cells (table, column, raw).
+    Lines with too few or too many cells are listed whole, as column
+    ``_corrupt_record``; their readable cells stay in the table."""
+    if name not in RAW_SCHEMAS:
+        raise ValueError(f"Unknown table: {name}. Known: {sorted(RAW_SCHEMAS)}")
+    kinds = {f.name: f.dataType.simpleString() for f in RAW_SCHEMAS[name].fields}
+    text = (spark.read.schema(", ".join(f"`{c}` string" for c in [*kinds, CORRUPT])).option("header", True).option("mode", "PERMISSIVE")
+            # a line is judged by all of its cells, whichever columns a query needs
+            .option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
+            .csv(f"{base_dir}/{(files or {}).get(name, name + '.csv')}"))
+    typed = text.select(*[(F.col(c) if k == "string" else _coerced(c, k, TIME_FORMAT)).alias(c) for c, k in kinds.items()])
+    return typed, _rejected(text, name, kinds, TIME_FORMAT)
 
 
 def load_all_tables(spark: SparkSession, base_dir: str, files: Mapping[str, str] | None = None,
@@ -59,13 +100,28 @@ def save(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str]
 def load_processed(spark: SparkSession, path: str, timestamp_cols: list[str] = (), numeric_cols: Mapping[str, str] = {},
                    fmt: str = "csv") -> DataFrame:
     """Re-read a processed table with lenient coercion: unparsable
-    timestamps and numbers become NULL instead of failing."""
-    df = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
-    casts = {c: F.try_to_timestamp(F.col(c).cast("string")).cast("timestamp_ntz") for c in timestamp_cols}
-    casts.update({c: F.expr(f"try_cast(`{c}` AS {t})") for c, t in numeric_cols.items()})
+    timestamps and numbers become NULL instead of failing.
+    ``rejected_cells`` lists them."""
+    df = _processed(spark, path, fmt)
+    casts = {c: _coerced(c, k) for c, k in _kinds(timestamp_cols, numeric_cols).items()}
     return df.withColumns(casts) if casts else df
 
 
+def rejected_cells(spark: SparkSession, path: str, name: str, timestamp_cols: list[str] = (), numeric_cols: Mapping[str, str] = {},
+                   fmt: str = "csv") -> DataFrame:
+    """S4's account: (table, column, raw) of the cells that ``load_processed``
+    turns to NULL."""
+    return _rejected(_processed(spark, path, fmt), name, _kinds(timestamp_cols, numeric_cols))
+
+
+def _processed(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    return spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
+
+
+def _kinds(timestamp_cols: list[str], numeric_cols: Mapping[str, str]) -> dict[str, str]:
+    return {**dict.fromkeys(timestamp_cols, "timestamp_ntz"), **numeric_cols}
+
+
 def run_query(spark: SparkSession, text: str, params: Mapping[str, object] | None = None) -> DataFrame:
     """A parametrised statement (``:name`` markers, e.g. ``LIMIT :limit``)."""
     return spark.sql(text, args=dict(params or {}))
@@ -113,13 +169,25 @@ def export_kpis(layers, out_dir: str) -> list[str]:
     return names
 
 
-def export_metrics(layers, out_dir: str) -> list[str]:
-    """The exploratory metrics (A1-A25) as JSON lines, one folder each."""
+def metrics_document(layers) -> DataFrame:
+    """The exploratory metrics (A1-A25) as one JSON value: an object with
+    the rows of each job, in one row.  Each job's rows (all bounded: groups,
+    bins, top lists, a sample) are gathered by an aggregate and the one-row
+    parts are joined; nothing is collected."""
     from souklens.plans.eda import EDA_JOBS
+    from souklens.plans.insights import a25_eda_insights
+
+    parts = [job(layers).agg(F.sort_array(F.collect_list(F.struct("*"))).alias(name))
+             for name, job in {**EDA_JOBS, "a25_eda_insights": a25_eda_insights}.items()]
+    one = parts[0]
+    for p in parts[1:]:
+        one = one.crossJoin(F.broadcast(p))
+    return one.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document"))
+
 
-    for name, job in EDA_JOBS.items():
-        export_json(job(layers), f"{out_dir}/{name}")
-    return list(EDA_JOBS)
+def export_metrics(layers, path: str) -> None:
+    """The metrics document as one file of text."""
+    metrics_document(layers).coalesce(1).write.mode("overwrite").text(path)
 
 
 def export_json(df: DataFrame, path: str) -> None:
