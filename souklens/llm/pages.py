@@ -1,11 +1,16 @@
 """Main text of web pages by site template removal (operator 5).
 
 1. Every page is read into its elements.  Each block element with text gets a hash of its subtree: tag names and texts, but
-   no attributes, since links and counters differ from page to page.
-2. Spark counts, for each host, the different pages that hold a subtree outside their article; pages that give the same
-   text count as one.  Subtrees on at least half of a host's pages, and on ten at least, are its template.
-3. Each page drops its host's template subtrees, except those that are, hold or stand inside its article or main element,
-   which stays whole however often it or its parts recur.  It also drops everything that its markup names as no main text (menus, headers,
+   no attributes, since links and counters differ from page to page.  A block of links (three at least, half of its text)
+   also gets a hash of its skeleton: tag names, attribute names and classes without any text, equal neighbours once, since
+   menus and link lists recur with other entries.
+2. Spark counts, for each host, the different pages that hold a subtree; pages that give the same text count as one, so
+   copies of an article never make it a template.  Subtrees on at least half of a host's pages, and on ten at least, are its
+   template.  Hosts with fewer pages have none; their pages are cleaned by what the markup names alone.
+3. Inside an article or main element a subtree is counted on its own, and only if it holds five words at least and is no
+   heading: short labels and headings recur in articles as a matter of course, whole sentences recur as notices.
+4. Each page drops its host's template subtrees, except those that are or hold its article or main element.  It also drops
+   everything that its markup names as no main text (menus, headers,
    footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers), and gives the blocks of its article,
    or else of its main element, or else of its body without blocks made of links.
 
@@ -31,11 +36,14 @@ from pyspark.sql import functions as F
 from souklens.llm.storage import cut
 
 SHARE, LEAST_PAGES = 0.5, 10
+LINKS = 3           # of a block that may be template by its skeleton
+INSIDE_WORDS = 5    # that a subtree inside an article holds before it may be template
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
                   r"|<[!?/][^>]*>", re.S)
 _NAMED = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?",
                     re.I)
+_NAME = re.compile(r"(?:^|(?<=[\s\"']))[a-zA-Z][\w:-]*(?=\s*=|\s|/|$)")
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0  -     　\x85]+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)|^//(?:[^/?#@]*@)?([^/?#:]+)")
 
@@ -53,6 +61,8 @@ JUNK_WORDS = frozenset("""ad ads adv advert adverts advertisement advertisements
     subscribe subscription signup login search searchbox pagination pager toolbar skip""".split())
 READER_WORDS = frozenset(("comment", "reply"))     # class names of an article that a reader wrote
 HEADED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
+HEADINGS = HEADED - {"section"}
+_INSIDE, _SKELETON = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F    # tell the kinds of hashes apart
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar "
                        "toolbar".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -64,14 +74,16 @@ _RAW_END = {n: re.compile(rf"</{n}[^>]*>", re.I) for n in RAW}
 
 
 class Element:
-    __slots__ = ("tag", "first", "end", "junk", "named", "main", "parts", "digest", "depth", "spared")
+    __slots__ = ("tag", "first", "end", "junk", "named", "main", "parts", "digest", "depth", "spared", "inside", "shape", "skeleton", "links")
 
-    def __init__(self, tag: str, first: int, junk: bool, named: bool, main: str, depth: int):
+    def __init__(self, tag: str, first: int, junk: bool, named: bool, main: str, depth: int, shape: str):
         self.tag, self.first, self.end, self.junk, self.main, self.depth = tag, first, first, junk, main, depth
         self.named = named      # a class or id name says that it is no main text
         self.parts: list[str] | None = [tag]
-        self.digest = 0
+        self.digest = self.skeleton = self.links = 0
+        self.shape: list[str] | None = [shape]
         self.spared = False     # is, holds or stands inside the page's article or main element
+        self.inside = False     # stands inside it
 
 
 class Page:
@@ -121,6 +133,7 @@ class Page:
         for e in self.elements:
             if inside is not None and e.depth <= inside:
                 inside = None
+            e.inside = inside is not None
             e.spared = inside is not None or e.main != "" and not e.named and shown.find(1, e.first, e.end) >= 0
             if inside is None and e.spared:
                 inside = e.depth
@@ -174,7 +187,8 @@ class Page:
             junk = True
         words = (JUNK_WORDS if not main else READER_WORDS if main == "article" else frozenset())
         named = tag not in ("body", "html") and not words.isdisjoint(names)
-        e = Element(tag, len(self.texts), junk, named, main, len(self._stack))
+        shape = f"{tag} {' '.join(sorted({a.lower() for a in _NAME.findall(attributes)}))} {' '.join(names)}" if attributes else tag
+        e = Element(tag, len(self.texts), junk, named, main, len(self._stack), shape)
         self.elements.append(e)
         self._stack.append(e)
         self._links += tag == "a"
@@ -207,15 +221,37 @@ class Page:
         if e.tag in BLOCK:
             self._block += 1
         e.digest = xxhash.xxh3_64_intdigest("\x00".join(e.parts).encode("utf-8", "replace"))
-        e.parts = None
+        e.skeleton = xxhash.xxh3_64_intdigest("\x00".join(e.shape))
+        e.parts = e.shape = None
+        e.links += e.tag == "a"
         if self._stack:
-            self._stack[-1].parts.append(f"{e.tag}{e.digest:x}")
+            up = self._stack[-1]
+            up.parts.append(f"{e.tag}{e.digest:x}")
+            up.links += e.links
+            if up.shape[-1] != (mark := f"{e.skeleton:x}"):
+                up.shape.append(mark)
+
+    def _keys(self, e: Element) -> Iterator[int]:
+        """The signed hashes by which a block element is counted, and found, as template."""
+        if e.tag not in BLOCK or e.tag in ("html", "body") or e.spared and not e.inside:
+            return
+        if e.links >= LINKS:
+            size = sum(map(len, self.texts[e.first:e.end]))
+            if 2 * sum(len(t) for t, link in zip(self.texts[e.first:e.end], self.linked[e.first:e.end]) if link) >= size:
+                yield _signed(e.skeleton ^ _SKELETON ^ (_INSIDE if e.inside else 0))
+        if not e.inside:
+            yield _signed(e.digest)
+        elif e.tag not in HEADINGS:
+            words = 0
+            for t in self.texts[e.first:e.end]:
+                words += len(t.split())
+                if words >= INSIDE_WORDS:
+                    yield _signed(e.digest ^ _INSIDE)
+                    return
 
     def subtrees(self) -> set[int]:
         """Signed hashes of the block elements that hold text and may be template."""
-        return {_signed(e.digest) for e in self.elements
-                if e.tag in BLOCK and e.tag not in ("html", "body") and not e.spared
-                and any(t.strip() for t in self.texts[e.first:e.end])}
+        return {k for e in self.elements if any(t.strip() for t in self.texts[e.first:e.end]) for k in self._keys(e)}
 
     def identity(self) -> int:
         """Signed hash of the text that the page gives without a template: copies of a page have the same."""
@@ -229,8 +265,7 @@ class Page:
     def _main_text(self, template: frozenset, by_name: bool) -> str:
         keep = bytearray(b"\x01") * len(self.texts)
         for e in self.elements:
-            if e.junk or e.named and by_name or (template and e.tag in BLOCK and e.tag not in ("html", "body") and not e.spared
-                          and _signed(e.digest) in template):
+            if e.junk or e.named and by_name or template and any(k in template for k in self._keys(e)):
                 keep[e.first:e.end] = bytes(e.end - e.first)
         for kind in ("article", "main"):
             inside = bytearray(len(self.texts))

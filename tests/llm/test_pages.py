@@ -88,6 +88,49 @@ def test_articles_stay_whole_however_often_they_recur(spark):
     assert all(got[100 + k] == "Only text." for k in range(30))
 
 
+def test_the_method_alone_cleans_pages_without_semantic_tags(spark):
+    """No tag, class or word of these pages is known to the lists: menus with other entries on every page go by their
+    skeleton, the notice by its text, inside the main element too; what belongs to a page stays."""
+    words = "amber basil cedar delta ember fjord grove haven inlet jetty".split()
+
+    def links(k, n):
+        return "".join(f'<span class="q"><a href="/{k}/{j}">{words[(k * 7 + j * 3) % 10]} {k}</a></span>' for j in range(n))
+
+    def page(k, host="h.example"):
+        return (k, f"http://{host}/{k}", f'<body><div class="x1"><p>Story {k} begins here.</p><div class="x2">{links(k, 3 + k % 4)}</div>'
+                f'<p>It has <a href="/{k}">one link {k}</a> in its text.</p><div>All rights belong to nobody at all.</div><p>End {k}.</p></div></body>')
+    inside = [(k, u, h.replace('<div class="x1">', '<div role="main">')) for k, u, h in (page(100 + k, "m.example") for k in range(20))]
+    rows = [page(k) for k in range(20)] + inside + [page(200, "lone.example")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in p.main_texts(frame).collect()}
+    for k in [*range(20), *range(100, 120)]:
+        assert got[k] == f"Story {k} begins here.\nIt has one link {k} in its text.\nEnd {k}."
+    assert "All rights" in got[200]  # a host of one page has no template
+
+
+def brute_templates(rows, share=0.5, least=10):
+    """Subtrees counted by host over the different pages, page by page."""
+    seen = {}
+    for url, html in rows:
+        if host := p.host_of(url):
+            page = p.Page(html or "")
+            seen.setdefault(host, {}).setdefault(page.identity(), set()).update(page.subtrees())
+    out = {}
+    for host, pages in seen.items():
+        for s in set().union(*pages.values()):
+            n = sum(s in have for have in pages.values())
+            if n >= least and n >= share * len(pages):
+                out.setdefault(host, set()).add(s)
+    return out
+
+
+@pytest.mark.parametrize("share,least", [(0.5, 10), (0.02, 2)])
+def test_templates_of_the_test_table(spark, share, least):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = {r["host"]: set(r["template"]) for r in p.site_templates(pages, share, least).collect()}
+    assert got and got == brute_templates([(r["url"], r["html"]) for r in pages.select("url", "html").collect()], share, least)
+
+
 @pytest.mark.parametrize("url,host", [("http://A.b.C:80/x", "a.b.c"), ("https://u:p@h.x?q", "h.x"), ("//h.y/z", "h.y"), ("", ""),
                                       (None, ""), ("mailto:a@b", ""), ("http://dot./", "dot"), ("HTTP://Q#f", "q")])
 def test_hosts_are_the_same_in_both_places(spark, url, host):
