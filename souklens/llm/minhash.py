@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souklens.llm.components import connected_components, stars
-from souklens.llm.storage import cut
+from souklens.llm.storage import cut, free_name, scratch
 from souklens.llm.text import WordHashes, chunks, mix, shingle_sets
 
 BANDS, ROWS = 32, 4
@@ -41,6 +41,7 @@ THRESHOLD = 75          # percent
 SIGNATURE_LEAST = 70    # equal minima of 128 that a pair needs before its sets are compared
 BLOCK = 1_500           # classes in one block of a bucket that is searched in full, and their shingles
 BLOCK_SHINGLES = 1_000_000
+SHARE = 200             # partners of one class that are confirmed in one group
 
 _rng = np.random.default_rng(20_240_229)
 _A = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,6 +86,14 @@ def _key() -> list:
             F.xxhash64(F.lit(2), "text").alias("h2")]
 
 
+FLAT = ["h1", "h2", "d", "no_id"]
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    """doc_id as two columns without NULL, so that rows meet by plain equality and stay where the join put them."""
+    return df.withColumns({"d": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull()})
+
+
 def signature_table(docs: DataFrame) -> DataFrame:
     """(doc_id, h1, h2, n_shingles, f1, f2, sig, bands) for each row; the last four are null where there are no words."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +126,10 @@ def _alike(a: np.ndarray, b: np.ndarray) -> bool:
     return bool(len(a)) and 100 * both >= THRESHOLD * (len(a) + len(b) - both)
 
 
-def confirm_on_sets(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The ``pairs(u, v)`` whose full shingle sets reach the threshold; ``texts(id, text)``."""
+def confirm_on_sets(texts: DataFrame) -> DataFrame:
+    """(u, v) for each row v of ``texts(id, text, u, share, shares)`` whose full shingle set reaches the threshold with that
+    of its partner u.  The rows of one u are dealt into ``shares`` groups (a column of u's own row), each of which gets a
+    copy of u's text, so a u with thousands of partners is many groups, and each partner's text is moved once."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, kept = WordHashes(), None, None
         for batch in batches:
@@ -132,9 +143,10 @@ def confirm_on_sets(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             rows = batch.filter(pa.array(good, pa.bool_()))
             yield pa.record_batch([rows.column(0), rows.column(1)], ["u", "v"])
 
-    both = (pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
-            .join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u"))
-    return both.select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long").distinct()
+    partners = texts.filter("u is not null").select("u", "share", F.col("id").alias("v"), F.col("text").alias("tv"))
+    centres = texts.filter("shares is not null").select(F.col("id").alias("u"), F.col("text").alias("tu"),
+                                                        F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    return partners.join(centres, ["u", "share"]).select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long")
 
 
 def _signatures_agree(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -211,8 +223,14 @@ NAMED = ["n_shingles", "f1", "f2"]
 
 def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The signature table, the classes (NAMED, id, component) and the components (component, least): ``least`` is the
-    doc_id, h1 and h2 of the row that represents the component."""
+    doc_id, h1 and h2 of the row that represents the component.  What is written on the way leaves the shared folder."""
+    with scratch(docs.sparkSession) as s:
+        return tuple(s.keep(df) for df in _search(docs))
+
+
+def _search(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     table = cut(signature_table(docs), "minhash-signatures")
+    narrow = table.select("doc_id", "h1", "h2", "n_shingles", "f1", "f2")
     least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")
     rep = cut(table.filter("n_shingles > 0").groupBy(*NAMED).agg(
         F.min(least).alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
@@ -222,38 +240,45 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     members = cut(keys.join(shared.select("key", "first"), "key"), "minhash-buckets")
     some = cut(members.select("id").distinct(), "minhash-candidates")
     sigs = cut(rep.select("id", "sig").join(some, "id", "left_semi"), "minhash-candidate-signatures")
-    want = rep.join(some, "id", "left_semi").select("id", F.col("least.doc_id").alias("d"), F.col("least.h1").alias("a"),
-                                                    F.col("least.h2").alias("b"))
-    texts = cut(docs.select(*_key(), "text").join(want, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h1") == F.col("a"))
-                                                  & (F.col("h2") == F.col("b"))).select("id", "text").dropDuplicates(["id"]),
-                "minhash-candidate-texts")
     star = members.filter("first < id").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
-    star = _signatures_agree(star, sigs).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    links = cut(confirm_on_sets(star, texts), "minhash-links")
+    star = cut(_signatures_agree(star, sigs).groupBy("v").agg(F.min("u").alias("u")), "minhash-star")
+    shares = star.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
+    partner = star.join(shares, "u").select(F.col("v").alias("id"), "u", F.pmod(F.xxhash64("v"), F.col("shares")).cast("int").alias("share"))
+    # Keys first, then each candidate's text once; rows alike in their key are one row before they are joined.
+    want = (rep.select("id", F.col("least.doc_id").alias("doc_id"), F.col("least.h1").alias("h1"), F.col("least.h2").alias("h2"))
+            .join(some, "id", "left_semi").join(partner, "id", "left").join(shares.withColumnRenamed("u", "id"), "id", "left"))
+    texts = cut(_flat(docs.select(*_key(), "text")).join(_flat(want).drop("doc_id"), FLAT).dropDuplicates(FLAT)
+                .select("id", "text", "u", "share", "shares"), "minhash-candidate-texts")
+    links = cut(confirm_on_sets(texts), "minhash-links")
     first = cut(connected_components(links), "minhash-components")
     of = some.join(first, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
     spread = cut(members.select("key", "id", "n_shingles").join(of, "id"), "minhash-members")
     open_ = cut(_blocks(spread).join(sigs, "id").groupBy("key", "i", "j").applyInArrow(
         _with_partners, "key long, i int, j int, id long, component long"), "minhash-open")
-    joined = cut(open_.join(texts, "id").groupBy("key", "i", "j").applyInArrow(_component_links, "u long, v long")
+    joined = cut(open_.join(texts.select("id", "text"), "id").groupBy("key", "i", "j").applyInArrow(_component_links, "u long, v long")
                  .filter("u <> v").distinct(), "minhash-more-links")
     second = connected_components(joined).select(F.col("node").alias("component"), F.col("component").alias("merged"))
     final = of.join(second, "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
     classes = cut(rep.select(*NAMED, "id", "least").join(final.filter("id <> component"), "id", "left").select(
         *NAMED, "id", F.coalesce("component", "id").alias("component"), "least"), "minhash-merged")
     parts = cut(classes.groupBy("component").agg(F.min("least").alias("least")), "minhash-least")
-    return table, classes.drop("least"), parts
+    return narrow, classes.drop("least"), parts
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``."""
+    with scratch(docs.sparkSession) as s:
+        return s.keep(_report(docs))
+
+
+def _report(docs: DataFrame) -> DataFrame:
     table, classes, parts = _components(docs)
+    worded = table.filter("n_shingles > 0").select("doc_id", *NAMED)
     # Components that hold different texts of one doc_id are one in the report.
     mark = F.xxhash64(*NAMED)
-    repeated = (table.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id")
+    repeated = (worded.filter("doc_id is not null").groupBy("doc_id")
                 .agg(F.min(mark).alias("a"), F.max(mark).alias("b")).filter("a <> b").select("doc_id"))
-    again = cut(table.filter("n_shingles > 0").select("doc_id", *NAMED).join(repeated, "doc_id", "left_semi").distinct()
-                .join(classes, NAMED).select("doc_id", "component"), "minhash-repeated-ids")
+    again = cut(worded.join(repeated, "doc_id", "left_semi").distinct().join(classes, NAMED).select("doc_id", "component"), "minhash-repeated-ids")
     links = again.join(again.groupBy("doc_id").agg(F.min("component").alias("v")), "doc_id").select(
         F.col("component").alias("u"), "v")
     top = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("top"))
@@ -261,34 +286,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = cut(tops.groupBy("top").agg(F.min("least.doc_id").alias("component_id")), "minhash-names")
     names = tops.join(first, "top").select("component", "component_id")
     by_class = cut(classes.join(names, "component").select(*NAMED, "component_id"), "minhash-named")
-    out = table.select("doc_id", *NAMED).join(by_class, NAMED, "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    # Rows without words have no class and stay out of the join: they would all have the same key.
+    out = worded.join(by_class, NAMED).select("doc_id", "n_shingles", "component_id").unionByName(
+        table.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each group of near duplicates, all columns as they are, whether its rows have a doc_id or
-    not.  Rows without words stay; of those that share doc_id and text one stays, and all that have no doc_id."""
-    table, _, parts = _components(docs)
-    key = ["doc_id", "h1", "h2"]
-    least = parts.select("least.doc_id", "least.h1", "least.h2").select(*[F.col(c).alias(f"__{c}") for c in key])
-
-    def same(right: DataFrame, h1: str, h2: str):
-        return F.col("doc_id").cast("long").eqNullSafe(right["__doc_id"]) & (F.col(h1) == right["__h1"]) & (
-            F.col(h2) == right["__h2"])
-
-    rows = table.groupBy(*key).agg(F.max(F.col("n_shingles") > 0).alias("worded"), F.count(F.lit(1)).alias("n"))
-    marked = rows.join(least, same(least, "h1", "h2"), "left").withColumn("keep", F.col("__h1").isNotNull() | ~F.col("worded"))
-    drop = cut(marked.filter("(not keep or n > 1) and (worded or doc_id is not null)")
-               .select(*[F.col(c).alias(f"__{c}") for c in key], "keep"), "minhash-dropped")
-    named, hashes = docs.columns, {"__a": _key()[1], "__b": _key()[2]}
-    keyed = docs.withColumns(hashes)
-
-    once = keyed.join(drop, same(drop, "__a", "__b"), "left_anti")
-    kept = drop.filter("keep")
-    twice = keyed.join(kept, same(kept, "__a", "__b"), "left_semi").dropDuplicates(["doc_id", "__a", "__b"])
-    return once.select(*named).unionByName(twice.select(*named))
+    not.  Rows without words stay; of those that share doc_id and text one stays, and all that have no doc_id.  Columns of
+    any name pass through.  What goes is decided by keys; the texts move once."""
+    with scratch(docs.sparkSession) as s:
+        table, _, parts = _components(docs)
+        key = ["doc_id", "h1", "h2"]
+        stays = _flat(parts.select("least.doc_id", "least.h1", "least.h2")).select(*FLAT)
+        goes = s.keep(cut(_flat(table.filter("n_shingles > 0").select(*key).distinct()).select(*FLAT).join(stays, FLAT, "left_anti"),
+                          "minhash-dropped"))
+    own = {c: free_name(docs, f"_llm_{c}") for c in FLAT}
+    _, h1, h2 = _key()
+    i = F.col("doc_id").cast("long")
+    keyed = docs.withColumns({own["h1"]: h1, own["h2"]: h2, own["d"]: F.coalesce(i, F.lit(0)), own["no_id"]: i.isNull()})
+    # Rows with neither id nor words all stay; they would meet in one key.
+    bare = F.col(own["no_id"]) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = keyed.filter(~bare).dropDuplicates(list(own.values()))
+    kept = once.join(goes.select(*[F.col(c).alias(n) for c, n in own.items()]), list(own.values()), "left_anti")
+    return kept.select(*docs.columns).unionByName(keyed.filter(bare).select(*docs.columns))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,6 +126,39 @@ def test_stage_keeps_different_texts_of_one_id(docs):
     assert kept == [(1, "first text of this id"), (1, near), (3, "a b c")]
 
 
+def test_stage_leaves_columns_of_any_name_alone(spark):
+    names = ["__a", "__b", "h1", "d", "no_id", "_llm_h1", "_llm_d", "component", "mark"]
+    rows = [(k, t, *[f"{n} of {k}" for n in names]) for k, t in ((1, "a b c d e f"), (2, "a b c d e f"), (3, None), (None, " "), (None, " "))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = minhash.keep_one_each(frame)
+    assert kept.columns == frame.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], *rows[2:]], key=str)
+
+
+def test_intermediate_tables_leave_the_shared_folder(spark, docs):
+    from pathlib import Path
+
+    from souklens.llm.storage import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:")) / "llm"
+    rows = [(k, f"word{k % 7} " * 6 + "a b c d e") for k in range(30)]
+    before = set(folder.glob("*")) if folder.exists() else set()
+    kept = minhash.keep_one_each(docs(rows))
+    left = {p.name.rpartition("-")[0].rpartition("-")[0] or p.name for p in set(folder.glob("*")) - before}
+    assert len(set(folder.glob("*")) - before) == 1, left
+    assert kept.count() == 7
+    found = minhash.near_duplicates(docs(rows))
+    assert len(set(folder.glob("*")) - before) == 3  # the drop list, the signatures and the named classes
+    assert found.count() == 30
+
+
+def test_a_centre_with_many_partners_is_dealt_into_shares(docs, monkeypatch):
+    monkeypatch.setattr(minhash, "SHARE", 7)
+    base = [f"x{k}" for k in range(120)]
+    rows = [(0, " ".join(base))] + [(n, " ".join(base[:n % 110] + [f"y{n}"] + base[n % 110 + 1:])) for n in range(1, 90)]
+    check(minhash.near_duplicates(docs(rows)).collect(), rows)
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(k, k + 1) for k in range(60)], [(0, k) for k in range(1, 200)],
                                    [(5, 3), (3, 5), (9, 7), (7, 8), (20, 21), (8, 20)]])
 def test_components(spark, edges):
