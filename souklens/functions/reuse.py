@@ -8,13 +8,15 @@ with an executor are computed again.  Nothing runs or is written while the
 plan is built.
 
 ``releasing`` ties the cached tables to the job's result: they leave the
-executors' storage when the result DataFrame is no longer held.  A plan that
-outlives it stays right and computes them again.
+executors' storage when the result DataFrame is no longer held.  Jobs that mark
+the same table share it; it leaves with the last of them.  A plan that outlives
+them stays right and computes it again.
 """
 
 from __future__ import annotations
 
 import weakref
+from collections import Counter
 from collections.abc import Callable
 from contextvars import ContextVar
 
@@ -22,6 +24,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 _SCOPE: ContextVar[list[DataFrame] | None] = ContextVar("cached tables of the job being built", default=None)
+# How many results hold a cached table, by session and meaning of its plan.
+_HOLDERS: Counter = Counter()
+
+
+def _meaning(df: DataFrame) -> tuple:
+    return df.sparkSession.sparkContext.applicationId, df.semanticHash()
 
 
 def reused(df: DataFrame) -> DataFrame:
@@ -40,11 +48,16 @@ def releasing(build: Callable[[], DataFrame]) -> DataFrame:
     finally:
         _SCOPE.reset(token)
     if cached:
-        weakref.finalize(result, _release, cached, result.sparkSession).atexit = False
+        held = [(df, _meaning(df)) for df in cached]
+        _HOLDERS.update(key for _, key in held)
+        weakref.finalize(result, _release, held, result.sparkSession).atexit = False
     return result
 
 
-def _release(cached: list[DataFrame], spark) -> None:
-    if spark.sparkContext._jsc is not None:  # the session may have ended meanwhile
-        for df in cached:
-            df.unpersist()
+def _release(held: list[tuple[DataFrame, tuple]], spark) -> None:
+    for df, key in held:
+        _HOLDERS[key] -= 1
+        if not _HOLDERS[key]:
+            del _HOLDERS[key]
+            if spark.sparkContext._jsc is not None:  # the session may have ended meanwhile
+                df.unpersist()

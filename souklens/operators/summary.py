@@ -1,6 +1,6 @@
 """Delivered items summarised by several keys in one pass.
 
-Category, customer state, seller state, month and the total come from one
+Category, customer state, seller state, month, delivery time, punctuality and the total come from one
 ``GROUPING SETS`` aggregate over the delivered orders' items, so a job that
 needs several of them reads each table once.
 
@@ -15,10 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souklens.functions.dates import year_month
-from souklens.functions.numeric import ratio, seconds_between
+from souklens.functions.buckets import fixed_bucket
+from souklens.functions.numeric import days_from_seconds, ratio, seconds_between
 
 # Grouped columns and the names of the sets that they stand for, in order.
-SETS = {"category": "category", "customer_state": "customer_state", "seller_state": "seller_state", "ym": "month"}
+SETS = {"category": "category", "customer_state": "customer_state", "seller_state": "seller_state", "ym": "month",
+        "label": "label", "delivery_bin": "delivery_bin", "punctuality": "punctuality"}
+# Delivery-time bins (days, right-closed) and their labels.
+DELIVERY_EDGES = [0, 5, 10, 15, 20, 30, 60, 300]
+DELIVERY_LABELS = ["0-5d", "5-10d", "10-15d", "15-20d", "20-30d", "30-60d", "60d+"]
 TOTAL = "total"
 
 
@@ -32,12 +37,19 @@ def delivered_rows(orders: DataFrame, customers: DataFrame, items: DataFrame, re
     o = orders.where(F.col("order_status") == "delivered").select(
         "order_id", "customer_id", year_month(p).alias("ym"),
         seconds_between(p, "order_delivered_customer_date").alias("delivery_seconds"),
+        seconds_between(p, "order_estimated_delivery_date").alias("estimated_seconds"),
         seconds_between("order_estimated_delivery_date", "order_delivered_customer_date").alias("delay_seconds"))
     by_order = (o.join(items.select("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value"), "order_id", "left")
                 .join(reviews.select("order_id", "review_score", F.lit(1).alias("reviewed")), "order_id", "left"))
+    english = F.col("product_category_name_english")
     kinds = products.select("product_id", "product_category_name").join(translation, "product_category_name", "left").select(
-        "product_id", F.col("product_category_name_english").alias("category"))
-    rows = (by_order.join(kinds, "product_id", "left").join(sellers.select("seller_id", "seller_state"), "seller_id", "left")
+        "product_id", english.alias("category"), F.coalesce(english, "product_category_name").alias("_name"))
+    late = F.col("delay_seconds") > 0
+    rows = (by_order.join(kinds, "product_id", "left")
+            .withColumns({"label": F.when(F.col("order_item_id").isNotNull(), F.coalesce("_name", F.lit("Unknown"))),
+                          "delivery_bin": fixed_bucket(days_from_seconds("delivery_seconds"), DELIVERY_EDGES, DELIVERY_LABELS),
+                          "punctuality": F.when(late, "late").when(~late, "on time")}).drop("_name")
+            .join(sellers.select("seller_id", "seller_state"), "seller_id", "left")
             .join(customers.select("customer_id", "customer_state"), "customer_id", "left"))
     one = Window.partitionBy("order_id")
 
@@ -46,12 +58,15 @@ def delivered_rows(orders: DataFrame, customers: DataFrame, items: DataFrame, re
 
     return rows.withColumns({
         "first_of_order": first(), "first_of_category": first("category"), "first_of_seller_state": first("seller_state"),
+        "first_of_label": first("label"),
         "order_value": F.sum("price").over(one) + F.sum("freight_value").over(one)})
 
 
 def delivered_summary(rows: DataFrame) -> DataFrame:
     """(dim, key, …): the sums and counts of ``delivered_rows`` for each
-    category, customer state, seller state and month, and in total."""
+    category (English name, or with the own name where it has none as
+    ``label``), customer state, seller state, month, delivery time and
+    punctuality, and in total."""
     mark = F.col("first_of_order")
 
     def of_order(value: str | Column) -> Column:
@@ -71,6 +86,7 @@ def delivered_summary(rows: DataFrame) -> DataFrame:
         F.count_if(F.col("first_of_category") & F.col("order_item_id").isNotNull()).alias("orders_by_category"),
         F.count_if(F.col("first_of_category") & F.col("order_item_id").isNotNull() & F.col("reviewed").isNotNull()).alias("reviewed_by_category"),
         F.count_if(F.col("first_of_seller_state") & F.col("order_item_id").isNotNull()).alias("orders_by_seller_state"),
+        F.count_if(F.col("first_of_label") & F.col("order_item_id").isNotNull()).alias("orders_by_label"),
         F.sum(of_order(F.col("order_value"))).alias("order_value_sum"),
         F.count(of_order(F.col("order_value"))).alias("order_value_n"),
         F.count(of_order(F.col("delay_seconds"))).alias("known"),
@@ -78,6 +94,8 @@ def delivered_summary(rows: DataFrame) -> DataFrame:
         F.sum(of_order(F.col("delay_seconds"))).alias("delay_seconds_sum"),
         F.sum(of_order(F.col("delivery_seconds"))).alias("delivery_seconds_sum"),
         F.count(of_order(F.col("delivery_seconds"))).alias("delivery_n"),
+        F.sum(of_order(F.col("estimated_seconds"))).alias("estimated_seconds_sum"),
+        F.count(of_order(F.col("estimated_seconds"))).alias("estimated_n"),
         F.sum(of_order(F.col("review_score"))).alias("order_score_sum"),
         F.count(of_order(F.col("review_score"))).alias("order_score_n"))
     n, full = len(SETS), (1 << len(SETS)) - 1
@@ -86,9 +104,10 @@ def delivered_summary(rows: DataFrame) -> DataFrame:
         own = F.col("gid") == full - (1 << (n - 1 - k))
         dim, key = F.when(own, name).otherwise(dim), F.when(own, F.col(column)).otherwise(key)
     orders = (F.when(F.col("dim") == "category", F.col("orders_by_category"))
-              .when(F.col("dim") == "seller_state", F.col("orders_by_seller_state")).otherwise(F.col("orders")))
+              .when(F.col("dim") == "seller_state", F.col("orders_by_seller_state"))
+              .when(F.col("dim") == "label", F.col("orders_by_label")).otherwise(F.col("orders")))
     return (wide.withColumns({"dim": dim, "key": key}).withColumn("n_orders", orders)
-            .drop("gid", "orders", "orders_by_category", "orders_by_seller_state", *SETS))
+            .drop("gid", "orders", "orders_by_category", "orders_by_seller_state", "orders_by_label", *SETS))
 
 
 def summary_of(layers) -> DataFrame:

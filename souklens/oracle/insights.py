@@ -88,84 +88,6 @@ UNION ALL SELECT 'Delayed Rate', """ + f2("delayed_rate") + " FROM k",
 }
 
 
-def _f(spec: str, x: str) -> str:
-    return f"format('{{:{spec}}}', {x})"
-
-
-def _text_rows(src: str, rows: list[tuple[str, str]], id_col: str = "id", topic_col: str = "topic", text_col: str = "insight") -> str:
-    return "\nUNION ALL ".join(
-        f"SELECT {i + 1} AS {id_col}, '{t}' AS {topic_col}, {e} AS {text_col} FROM {src}" for i, (t, e) in enumerate(rows))
-
-
-def _eda(key: str) -> str:
-    from souklens.oracle.eda import EDA_SQL
-    return EDA_SQL[key].strip()
-
-
-def _a25() -> str:
-    i, m, f2, f4 = (lambda x: _f(",", x)), (lambda x: _f(",.2f", x)), (lambda x: _f(".2f", x)), (lambda x: _f(".4f", x))
-    rows = [
-        ("Revenue", f"'Delivered revenue R$ ' || {m('total_revenue_brl')} || ' from ' || {i('delivered_orders')} || ' delivered orders.'"),
-        ("Freight", f"'Freight is ' || {f2('freight_pct_of_revenue')} || '% of revenue.'"),
-        ("Basket", f"'AOV R$ ' || {m('avg_order_value')} || ' with ' || {f4('avg_items_per_order')} || ' items per order.'"),
-        ("Cancellation", f"{f2('cancellation_rate_pct')} || '% of orders were canceled.'"),
-        ("Retention", f"{f2('repeat_buyer_rate_pct')} || '% of customers bought more than once.'"),
-        ("Satisfaction", f"'Average review score ' || {f4('avg_review_score')} || '.'"),
-        ("Delivery", f"'Average delivery ' || {f2('avg_delivery_days')} || ' days, median ' || {f2('median_delivery_days')} || ', p90 ' || {f2('p90_delivery_days')} || '.'"),
-        ("Punctuality", f"{f2('on_time_delivery_rate')} || '% on time; late orders run ' || {f2('avg_delay_when_late_days')} || ' days late on average.'"),
-        ("Delay and reviews", f"'On-time orders score ' || {f4('on_time')} || ', late orders ' || {f4('late')} || '.'"),
-        ("Freight and price", f"'Freight-price correlation r = ' || {f4('freight_price_correlation')} || '.'"),
-        ("Peak month", f"'Peak revenue month ' || peak_revenue_month || ' with R$ ' || {m('peak_revenue_value')} || '.'"),
-        ("Top category", f"category || ' leads with R$ ' || {m('revenue')} || '.'"),
-    ]
-    return ("WITH k AS (" + _eda("a05_business_kpis") + "),\nlg AS (" + _eda("a14_logistics") + "),\n"
-            "ot AS (SELECT max(CASE WHEN delivery = 'on_time' THEN avg_score END) AS on_time, "
-            "max(CASE WHEN delivery = 'late' THEN avg_score END) AS late FROM (" + _eda("a20_ontime_vs_late") + ") z),\n"
-            "cr AS (" + _eda("a17_freight_price_corr") + "),\nms AS (" + _eda("a06_monthly_summary") + "),\n"
-            "tp AS (SELECT * FROM (" + _eda("a07_top_categories_revenue") + ") t ORDER BY revenue DESC, category LIMIT 1),\n"
-            "x AS (SELECT k.*, lg.median_delivery_days, lg.p90_delivery_days, ot.*, cr.*, ms.*, tp.* "
-            "FROM k CROSS JOIN lg CROSS JOIN ot CROSS JOIN cr CROSS JOIN ms CROSS JOIN tp)\n" + _text_rows("x", rows))
-
-
-def _n3() -> str:
-    from souklens.oracle.pages import PAGES_SQL
-    rows = [
-        ("Leading state", "leading_state", f"leading_state || ' holds ' || {_f('.2f', 'leading_state_share')} || '% of delivered revenue.'"),
-        ("Delivery drives satisfaction", f"{_f('.4f', 'ontime_score')} || ' vs ' || {_f('.4f', 'late_score')}",
-         f"'On-time orders score ' || {_f('.4f', 'ontime_score')} || ', late orders ' || {_f('.4f', 'late_score')} || '.'"),
-        ("Top category", "top_category", f"top_category || ' earns R$ ' || {_f(',.2f', 'top_category_revenue')} || "
-                                         f"' against a category mean of R$ ' || {_f(',.2f', 'mean_category_revenue')} || '.'"),
-        ("Delivery gap", "concat_ws(' / ', fastest_state, slowest_state)",
-         "'Fastest state ' || coalesce(fastest_state, 'n/a') || ', slowest state ' || coalesce(slowest_state, 'n/a') || '.'"),
-        ("One-time buyers", f"{_f('.2f', 'one_time_revenue_share')} || '%'",
-         f"'One-time buyers bring ' || {_f('.2f', 'one_time_revenue_share')} || '% of delivered revenue.'"),
-    ]
-    body = "\nUNION ALL ".join(f"SELECT {i + 1} AS id, '{t}' AS title, {mt} AS metric, {d} AS detail FROM y"
-                               for i, (t, mt, d) in enumerate(rows))
-    return "WITH y AS (" + PAGES_SQL["y10_executive_figures"].strip() + ")\n" + body
-
-
-def _n2() -> str:
-    i, m = (lambda x: _f(",", x)), (lambda x: _f(",.2f", x))
-    titles = ("SELECT * FROM (VALUES (0, '', '# Business performance report'), (1, ' ', '## Key figures'), "
-              "(2, ' ', '## Monthly performance'), (3, ' ', '## Categories'), (4, ' ', '## States')) v(section, \"key\", line)")
-    return ("WITH ins AS (" + INSIGHTS_SQL["n01_business_insights"] + "),\nk2 AS (" + _body("k2_monthly_performance")
-            + "),\nk3 AS (" + _body("k3_category_performance") + "),\nk4 AS (" + _body("k4_state_performance") + ")\n"
-            + "SELECT section, \"key\", line, CAST(row_number() OVER (ORDER BY section, \"key\" NULLS FIRST) AS INTEGER) AS seq FROM ("
-            + titles + "\nUNION ALL SELECT 1, metric, '- ' || metric || ': ' || value FROM ins"
-            + f"\nUNION ALL SELECT 2, order_year_month, '| ' || order_year_month || ' | ' || {i('orders')} || ' | R$ ' || {m('revenue')}"
-              f" || ' | R$ ' || {m('average_order_value')} || ' |' FROM k2"
-            + f"\nUNION ALL SELECT 3, category, '| ' || category || ' | ' || {i('orders')} || ' | ' || {i('items_sold')} || ' | R$ '"
-              f" || {m('revenue')} || ' |' FROM k3"
-            + f"\nUNION ALL SELECT 4, customer_state, '| ' || customer_state || ' | ' || {i('orders')} || ' | R$ ' || {m('revenue')}"
-              " || ' |' FROM k4) lines")
-
-
-INSIGHTS_SQL["a25_eda_insights"] = _a25()
-INSIGHTS_SQL["n03_executive_insights"] = _n3()
-INSIGHTS_SQL["n02_report_lines"] = _n2()
-
-
 def _v13() -> str:
     from souklens.oracle.growth import GROWTH_SQL, MONTHLY
     from souklens.oracle.segments import COHORT_CTES, SEG_SQL, SELLER_CTES

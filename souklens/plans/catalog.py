@@ -19,13 +19,14 @@ from souklens.oracle.model import DS, FO, FS, MODEL_SQL
 from souklens.oracle.opportunities import OPP_SQL
 from souklens.oracle.pages import PAGES_SQL
 from souklens.oracle.quality import QUALITY_SQL
+from souklens.oracle.report import REPORT_SQL
 from souklens.oracle.segments import SEG_SQL
 from souklens.oracle.sqlsuite import SCRIPT_SQL, SUITE_SQL
-from souklens.plans import cohort, delivery, eda, growth, insights, kpi, metrics, pages, quality, rfm, script, sellers, sqlsuite
+from souklens.plans import cohort, delivery, eda, growth, insights, kpi, metrics, pages, quality, report, rfm, script, sellers, sqlsuite
 from souklens.registry import register
 
 SQL = {**SUITE_SQL, **KPI_SQL, **ENRICH_SQL, **EDA_SQL, **SEG_SQL, **GROWTH_SQL, **OPP_SQL, **DELIVERY_SQL, **QUALITY_SQL, **MODEL_SQL,
-       **PAGES_SQL, **METRICS_SQL, **INSIGHTS_SQL, **CLEANLOG_SQL, **SCRIPT_SQL}
+       **PAGES_SQL, **METRICS_SQL, **INSIGHTS_SQL, **REPORT_SQL, **CLEANLOG_SQL, **SCRIPT_SQL}
 
 
 def project_out(df, cols):
@@ -53,7 +54,7 @@ for _name, (_table, _cols) in ENRICH_COLS.items():
 
 # Jobs over all layers
 for _jobs in (eda.EDA_JOBS, rfm.RFM_JOBS, cohort.COHORT_JOBS, sellers.SELLER_JOBS, growth.GROWTH_JOBS, delivery.DELIVERY_JOBS,
-              quality.QUALITY_JOBS, pages.PAGE_JOBS, metrics.METRIC_JOBS, insights.INSIGHT_JOBS, script.SCRIPT_JOBS):
+              quality.QUALITY_JOBS, pages.PAGE_JOBS, metrics.METRIC_JOBS, insights.INSIGHT_JOBS, report.REPORT_JOBS, script.SCRIPT_JOBS):
     for _name, _job in _jobs.items():
         register(_name, _job, None, SQL.get(_name))
 register("l06_payment_performance", lambda L: kpi.l06_payment_performance(L.star, L.clean["order_payments"]), None,

@@ -1,4 +1,4 @@
-"""Insight, report and summary rows.
+"""Insight and summary rows (N1, N4); N2, N3 and A25 are in ``report``.
 
 Each row is a formatted projection of one-row (or top-1) aggregates; the
 rows are unioned, never assembled on the driver.  Numbers use the same
@@ -10,13 +10,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from souklens.plans import eda, kpi
+from souklens.plans import kpi
 from souklens.plans.context import Layers
-from souklens.plans.pages import y10_executive_figures
-from souklens.sources.inline import local_table
 
 
 def _i(c: str) -> Column:
@@ -112,55 +109,6 @@ def n01_business_insights(L: Layers) -> DataFrame:
     return one.select(F.inline(F.array(*rows)))
 
 
-def n02_report_lines(L: Layers) -> DataFrame:
-    """The report as ordered text lines (section, key, line, seq) built from the same
-    tables: a title, a KPI section, and one line per month, category and state."""
-    ins = n01_business_insights(L)
-    w = L.star
-    head = ins.select(F.lit(1).alias("section"), F.concat(F.lit("- "), F.col("metric"), F.lit(": "), F.col("value")).alias("line"),
-                      F.col("metric").alias("key"))
-    months = kpi.k2_monthly_performance(w).select(
-        F.lit(2).alias("section"), F.format_string("| %s | %s | R$ %s | R$ %s |", "order_year_month", _i("orders"), _m("revenue"),
-                                                   _m("average_order_value")).alias("line"), F.col("order_year_month").alias("key"))
-    cats = kpi.k3_category_performance(w).select(
-        F.lit(3).alias("section"), F.format_string("| %s | %s | %s | R$ %s |", "category", _i("orders"), _i("items_sold"),
-                                                   _m("revenue")).alias("line"), F.col("category").alias("key"))
-    states = kpi.k4_state_performance(w).select(
-        F.lit(4).alias("section"), F.format_string("| %s | %s | R$ %s |", "customer_state", _i("orders"), _m("revenue")).alias("line"),
-        F.col("customer_state").alias("key"))
-    titles = local_table(L.spark, [(0, "# Business performance report", ""), (1, "## Key figures", " "),
-                                   (2, "## Monthly performance", " "), (3, "## Categories", " "), (4, "## States", " ")],
-                         "section int, line string, key string")
-    body = reduce(DataFrame.unionByName, [titles, head, months, cats, states])
-    # one row per month, category and state: the numbering is over a bounded set
-    return body.select("section", "key", "line", F.row_number().over(Window.orderBy("section", "key")).alias("seq"))
-
-
-def n03_executive_insights(L: Layers) -> DataFrame:
-    """Executive insight rows from the page figures (Y10), one row in,
-    five rows out."""
-    y = y10_executive_figures(L)
-
-    def row(i, title, metric, detail):
-        return F.struct(F.lit(i).alias("id"), F.lit(title).alias("title"), metric.alias("metric"), detail.alias("detail"))
-
-    rows = [
-        row(1, "Leading state", F.col("leading_state"),
-            F.format_string("%s holds %.2f%% of delivered revenue.", "leading_state", "leading_state_share")),
-        row(2, "Delivery drives satisfaction", F.format_string("%.4f vs %.4f", "ontime_score", "late_score"),
-            F.format_string("On-time orders score %.4f, late orders %.4f.", "ontime_score", "late_score")),
-        row(3, "Top category", F.col("top_category"),
-            F.format_string("%s earns R$ %s against a category mean of R$ %s.", F.col("top_category"),
-                            _m("top_category_revenue"), _m("mean_category_revenue"))),
-        row(4, "Delivery gap", F.concat_ws(" / ", "fastest_state", "slowest_state"),
-            F.format_string("Fastest state %s, slowest state %s.", F.coalesce("fastest_state", F.lit("n/a")),
-                            F.coalesce("slowest_state", F.lit("n/a")))),
-        row(5, "One-time buyers", F.format_string("%.2f%%", "one_time_revenue_share"),
-            F.format_string("One-time buyers bring %.2f%% of delivered revenue.", "one_time_revenue_share")),
-    ]
-    return y.select(F.inline(F.array(*rows)))
-
-
 def n04_overview_kpis(L: Layers) -> DataFrame:
     """The overview KPI set as (Metric, Value) rows (an unpivot)."""
     k = kpi.l02_kpis(L.star).select(
@@ -171,38 +119,4 @@ def n04_overview_kpis(L: Layers) -> DataFrame:
                         "'Average Delivery Days', e, 'Delayed Orders', f, 'Delayed Rate', g) as (Metric, Value)")
 
 
-def a25_eda_insights(L: Layers) -> DataFrame:
-    """Twelve insight lines built from the exploratory metrics."""
-    k = eda.a05_business_kpis(L)
-    lg = eda.a14_logistics(L)
-    ot = eda.a20_ontime_vs_late(L).groupBy().agg(
-        F.max(F.when(F.col("delivery") == "on_time", F.col("avg_score"))).alias("on_time"),
-        F.max(F.when(F.col("delivery") == "late", F.col("avg_score"))).alias("late"))
-    corr = eda.a17_freight_price_corr(L)
-    top = eda.a07_top_categories_revenue(L).orderBy(F.desc("revenue"), "category").limit(1)
-    ms = eda.a06_monthly_summary(L)
-    x = k.crossJoin(F.broadcast(lg.drop("avg_delivery_days", "avg_freight_per_item"))).crossJoin(F.broadcast(ot)).crossJoin(F.broadcast(corr)).crossJoin(F.broadcast(ms))
-    lines = [
-        ("Revenue", F.format_string("Delivered revenue R$ %s from %s delivered orders.", _m("total_revenue_brl"), _i("delivered_orders"))),
-        ("Freight", F.format_string("Freight is %.2f%% of revenue.", "freight_pct_of_revenue")),
-        ("Basket", F.format_string("AOV R$ %s with %.4f items per order.", _m("avg_order_value"), "avg_items_per_order")),
-        ("Cancellation", F.format_string("%.2f%% of orders were canceled.", "cancellation_rate_pct")),
-        ("Retention", F.format_string("%.2f%% of customers bought more than once.", "repeat_buyer_rate_pct")),
-        ("Satisfaction", F.format_string("Average review score %.4f.", "avg_review_score")),
-        ("Delivery", F.format_string("Average delivery %.2f days, median %.2f, p90 %.2f.", "avg_delivery_days",
-                                     "median_delivery_days", "p90_delivery_days")),
-        ("Punctuality", F.format_string("%.2f%% on time; late orders run %.2f days late on average.", "on_time_delivery_rate",
-                                        "avg_delay_when_late_days")),
-        ("Delay and reviews", F.format_string("On-time orders score %.4f, late orders %.4f.", "on_time", "late")),
-        ("Freight and price", F.format_string("Freight-price correlation r = %.4f.", "freight_price_correlation")),
-        ("Peak month", F.format_string("Peak revenue month %s with R$ %s.", F.col("peak_revenue_month"), _m("peak_revenue_value"))),
-    ]
-    lines.append(("Top category", F.format_string("%s leads with R$ %s.", F.col("category"), _m("revenue"))))
-    x = x.crossJoin(F.broadcast(top))
-    rows = [F.struct(F.lit(i + 1).alias("id"), F.lit(t).alias("topic"), e.alias("insight")) for i, (t, e) in enumerate(lines)]
-    return x.select(F.inline(F.array(*rows)))
-
-
-INSIGHT_JOBS = {"n01_business_insights": n01_business_insights, "n02_report_lines": n02_report_lines,
-                "n03_executive_insights": n03_executive_insights, "n04_overview_kpis": n04_overview_kpis,
-                "a25_eda_insights": a25_eda_insights}
+INSIGHT_JOBS = {"n01_business_insights": n01_business_insights, "n04_overview_kpis": n04_overview_kpis}

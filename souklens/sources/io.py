@@ -175,7 +175,7 @@ def metrics_document(layers) -> DataFrame:
     bins, top lists, a sample) are gathered by an aggregate and the one-row
     parts are joined; nothing is collected."""
     from souklens.plans.eda import EDA_JOBS
-    from souklens.plans.insights import a25_eda_insights
+    from souklens.plans.report import a25_eda_insights
 
     parts = [job(layers).agg(F.sort_array(F.collect_list(F.struct("*"))).alias(name))
              for name, job in {**EDA_JOBS, "a25_eda_insights": a25_eda_insights}.items()]
