@@ -2,9 +2,11 @@
 
 1. Equal vectors of one label are one class with a multiplicity; only classes are compared, and only within a label.
 2. The classes of a label are dealt into tiles of some 2,048 vectors.  A tile is one row: unit vectors in full precision,
-   their int8 codes with a scale, and for each vector the exact length of its quantisation error.
+   their int8 codes with a scale, and for each vector the exact length of its quantisation error.  Vectors whose components
+   are single-precision numbers travel as such.
 3. Each pair of tiles of a label is one bounded group, so a label with a third of all vectors is many groups.  The codes'
-   product is an exact integer product (sums below 2^24 in float32).  With x = s*q + r the cosine differs from the scaled
+   product is an exact integer product at any length: at most 1,040 components are summed in single precision (sums below
+   2^24), and these sums in double.  With x = s*q + r the cosine differs from the scaled
    product by at most |r_x| + |r_y| + |r_x||r_y|; only pairs that may reach the threshold within that bound are computed
    again in double precision.
 4. A tile pair gives, for each class, the number of linked vectors, and a spanning star for each group that it sees, not
@@ -27,7 +29,8 @@ from souklens.llm.storage import cut
 
 THRESHOLD = 0.98
 TILE = 2_048
-_SLACK = 1e-9  # rounding of the double sums
+_SLACK = 1e-9  # rounding of the double sums, for every 2^16 components
+EXACT = 1_040  # products of codes (127 * 127 at most) whose sum stays below 2^24
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,13 +44,17 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, codes_a, codes_b)
     """All (row of a, row of b) of raw vectors with cosine >= threshold."""
     (qa, sa, ea), (qb, sb, eb) = codes_a, codes_b
     fb = np.ascontiguousarray(qb.T.astype(np.float32))
+    slack = _SLACK * (1 + fb.shape[0] / (1 << 16))
     norm_a, norm_b = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
     rows, cols = [], []
     for at in range(0, len(a), 256):
         part = slice(at, at + 256)
-        near = (qa[part].astype(np.float32) @ fb) * sa[part][:, None] * sb[None, :]
+        fa, near = qa[part].astype(np.float32), 0
+        for c in range(0, fb.shape[0], EXACT):
+            near = near + (fa[:, c:c + EXACT] @ fb[c:c + EXACT]).astype(np.float64)
+        near = near * sa[part][:, None] * sb[None, :]
         bound = ea[part][:, None] + eb[None, :] + ea[part][:, None] * eb[None, :]
-        i, j = np.nonzero(near + bound >= threshold - _SLACK)
+        i, j = np.nonzero(near + bound >= threshold - slack)
         i += at
         for k in range(0, len(i), 1 << 16):
             x, y = i[k:k + (1 << 16)], j[k:k + (1 << 16)]
@@ -65,6 +72,12 @@ def _usable():
             & F.exists(v, lambda x: x != 0))
 
 
+def single(values: np.ndarray) -> bool:
+    """Whether single precision holds all values as they are."""
+    with np.errstate(over="ignore"):
+        return bool((values.astype(np.float32).astype(np.float64) == values).all())
+
+
 def _finite_norm(vectors: np.ndarray) -> np.ndarray:
     """Vectors scaled by powers of two so that squares neither overflow nor vanish; cosines stay as they are."""
     top = np.abs(vectors).max(1, keepdims=True)
@@ -90,7 +103,7 @@ def linked_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int =
         codes, scale, error = quantise(scaled / np.sqrt((scaled * scaled).sum(1))[:, None])
         one = {c: [table.column(c)[0].as_py()] for c in ("label", "dim", "tile", "tiles")}
         arrays = {"ids": table.column("id").to_numpy().astype("<i8"), "copies": table.column("copies").to_numpy().astype("<i8"),
-                  "full": raw.astype("<f8"), "codes": codes, "scale": scale, "error": error}
+                  "full": raw.astype("<f4" if single(raw) else "<f8"), "codes": codes, "scale": scale, "error": error}
         return pa.table({**one, **{k: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for k, x in arrays.items()}})
 
     kind = dict(label="string", dim="long", tile="long", tiles="long")
@@ -107,7 +120,8 @@ def linked_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int =
         opened = {}
         for r in table.to_pylist():
             opened[r["tile"]] = (np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["copies"], "<i8"),
-                                 _finite_norm(np.frombuffer(r["full"], "<f8").reshape(-1, dim)),
+                                 _finite_norm(np.frombuffer(r["full"], f"<f{len(r['full']) * 8 // (len(r['ids']) * dim)}").astype(np.float64)
+                                              .reshape(-1, dim)),
                                  (np.frombuffer(r["codes"], np.int8).reshape(-1, dim), np.frombuffer(r["scale"], "<f8"),
                                   np.frombuffer(r["error"], "<f8")))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
@@ -129,8 +143,11 @@ def linked_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int =
                 .select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                         F.coalesce("component", "id").alias("component_id")))
     component = F.coalesce("component_id", "vec_id")
-    return rows.select("vec_id", "k1", "k2").join(by_class, ["k1", "k2"], "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+    # Rows that link with nothing have no class and stay out of the join: they would all have the same key.
+    linked = rows.filter("k1 is not null").select("vec_id", "k1", "k2").join(by_class, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
+    alone = rows.filter("k1 is null").select("vec_id", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).select(
+        "vec_id", F.col("n_links").cast("long").alias("n_links"), component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 

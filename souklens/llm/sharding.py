@@ -1,7 +1,8 @@
 """A uniform shuffle into shards of exact size by a hypergeometric communication matrix (operator 3).
 
 1. Each input partition is put in random order by a local sort, without an exchange, and written once with its rows'
-   partition and rank, so that every later step sees the same draw.
+   partition and rank, so that every later step sees the same draw.  The key of this order and that of step 3 are hashes of
+   the row's number under different names: independent of each other, and from partition to partition.
 2. From the partitions' row counts alone the driver draws how many rows of each partition go to each shard: the
    multivariate hypergeometric law, which is what a uniform permutation of all rows induces.  Ranks are cut at the running
    totals of that row of the matrix, so every shard gets exactly its size.
@@ -23,11 +24,13 @@ import random
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from souklens.llm.storage import cut
+from souklens.llm.storage import cut, free_name, new_folder
 
 SHARDS = 8
 CELL_ROWS = 10_000
 SEED = 7_919
+MATRIX_LINES = 4_096            # of the matrix in one plan
+BROADCAST_NUMBERS = 20_000_000  # of the matrix in a broadcast: 160 MB
 _NEGLIGIBLE = 1e-18  # of the most likely value's weight; a double cannot hold the sum of what is below
 
 
@@ -71,33 +74,44 @@ def communication_matrix(rows: list[int], sizes: list[int], rng: random.Random)
     return out
 
 
-def _free(df: DataFrame, name: str) -> str:
-    while name.lower() in {c.lower() for c in df.columns}:
-        name = "_" + name
-    return name
+def draws(docs: DataFrame, seed: int, row: str, deal: str, slot: str) -> DataFrame:
+    """``docs`` with a number for each row and two random keys: hashes of the row's number under two different names, so
+    that neither a row's keys nor those of different partitions have anything to do with each other."""
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    return numbered.withColumns({deal: F.xxhash64(row, F.lit(seed), F.lit("deal")), slot: F.xxhash64(row, F.lit(seed), F.lit("slot"))})
+
+
+def _matrix_table(spark: SparkSession, lines: list[dict], part: str, cuts: str) -> DataFrame:
+    """The matrix as a small table in the shared folder, written some thousand lines at a time, so that no plan holds it."""
+    path = new_folder(spark, "shard-matrix")
+    for at in range(0, max(1, len(lines)), MATRIX_LINES):
+        text = F.lit(json.dumps(lines[at:at + MATRIX_LINES]))
+        some = spark.range(1).select(F.explode(F.from_json(text, "array<struct<p:bigint,c:array<bigint>>>")).alias("x"))
+        some.select(F.col("x.p").alias(part), F.col("x.c").alias(cuts)).write.mode("append").parquet(path)
+    return spark.read.schema(f"`{part}` bigint, `{cuts}` array<bigint>").parquet(path)
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, cell_rows: int = CELL_ROWS,
                         shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
     """``docs`` with its shard (0 to ``shards - 1``) and its slot there (gapless from 0)."""
     spark = docs.sparkSession
-    place, key, part, rank, cuts, cell, size, before = (
-        _free(docs, f"_llm_{x}") for x in ("place", "key", "part", "rank", "cuts", "cell", "size", "before"))
-    local = (docs.withColumn(key, F.rand(seed)).sortWithinPartitions(key)
-             .withColumn(place, F.monotonically_increasing_id()).withColumn(key, F.rand(seed + 1)))
-    fixed = cut(local.withColumn(part, F.shiftright(place, 33)).withColumn(rank, F.col(place).bitwiseAND((1 << 33) - 1)),
+    row, place, deal, key, part, rank, cuts, cell, size, before = (free_name(docs, f"_llm_{x}") for x in (
+        "row", "place", "deal", "key", "part", "rank", "cuts", "cell", "size", "before"))
+    local = draws(docs, seed, row, deal, key).sortWithinPartitions(deal, row).withColumn(place, F.monotonically_increasing_id())
+    fixed = cut(local.withColumn(part, F.shiftright(place, 33)).withColumn(rank, F.col(place).bitwiseAND((1 << 33) - 1)).drop(row, deal),
                 "shard-input")
     counts = sorted((r[0], r[1]) for r in fixed.groupBy(part).count().collect())  # one number for each partition
     total = sum(n for _, n in counts)
     sizes = [total // shards + (k < total % shards) for k in range(shards)]
     matrix = communication_matrix([n for _, n in counts], sizes, random.Random(seed))
     lines = [{"p": p, "c": [sum(line[:k + 1]) for k in range(shards)]} for (p, _), line in zip(counts, matrix)]
-    table = (spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(lines)), "array<struct<p:bigint,c:array<bigint>>>"))
-                                   .alias("x")).select(F.col("x.p").alias(part), F.col("x.c").alias(cuts)))
+    table = _matrix_table(spark, lines, part, cuts)
+    if len(lines) * shards <= BROADCAST_NUMBERS:  # as many numbers as partitions times shards
+        table = F.broadcast(table)
     cells = max(1, -(-sizes[0] // cell_rows))
-    dealt = (fixed.join(F.broadcast(table), part)  # one line for each input partition
+    dealt = (fixed.join(table, part)
              .withColumn(shard_col, F.size(F.filter(cuts, lambda c: c <= F.col(rank))))
-             .withColumn(cell, F.floor(F.col(key) * cells).cast("int")))
+             .withColumn(cell, F.floor(F.shiftrightunsigned(key, 11) / F.lit(2.0 ** 53) * cells).cast("int")))
     sized = dealt.groupBy(shard_col, cell).agg(F.count(F.lit(1)).alias(size))
     offsets = sized.select(shard_col, cell, (F.sum(size).over(Window.partitionBy(shard_col).orderBy(cell)) - F.col(size))
                            .alias(before))

@@ -80,6 +80,31 @@ def test_bounds_hold():
     assert (np.abs(near - unit @ unit.T) <= error[:, None] + error[None, :] + error[:, None] * error[None, :] + 1e-12).all()
 
 
+@pytest.mark.parametrize("dim", [5_000, 10_000])
+def test_no_link_is_lost_between_long_vectors(spark, dim):
+    """Sums of codes pass 2^24 here; pairs stand just above and just below the threshold."""
+    rng = np.random.default_rng(dim)
+    rows = []
+    for k in range(20):
+        v = rng.choice([-1.0, 1.0], dim)
+        w = v.copy()
+        flipped = rng.choice(dim, int(dim * 0.01) + (k % 2), replace=False)  # cosine 0.98, or a little less
+        w[flipped] *= -1
+        rows += [(2 * k, v.tolist(), 0), (2 * k + 1, w.tolist(), 0)]
+    got = result(spark, rows)
+    assert got == brute(rows) and sum(n for _, n, _ in got) == 20
+
+
+def test_doubles_stay_doubles(spark):
+    assert e.single(np.array([[0.5, np.float64(np.float32(0.1))]])) and not e.single(np.array([[0.1]])) and not e.single(np.array([[1e300]]))
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=6)
+    rows = [(k, (base + rng.normal(size=6) * 0.1).tolist(), 0) for k in range(60)] + [(99, (base * 1e300 / 10).tolist(), 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in e.linked_vectors(frame, tile=7).collect()), key=str)
+    assert [g for g in got if g[0] != 99] and got == sorted(brute([(i, (np.array(v) / (1e299 if i == 99 else 1)).tolist(), y) for i, v, y in rows]), key=str)
+
+
 def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r["vec_id"], list(r["embedding"]), r["label"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]

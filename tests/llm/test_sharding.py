@@ -59,6 +59,37 @@ def test_every_row_goes_everywhere(docs):
     assert len(seen) == 8 and min(seen.values()) > 30
 
 
+def test_draws_of_rows_and_partitions_are_independent(docs):
+    """The joint law: taken in the order of their deal, the rows of one partition tell nothing by their slot keys about the
+    deal keys of another partition's rows (or their own), whichever two partitions."""
+    import numpy as np
+
+    n, parts = 2_000, 4
+    frame = docs([(k, "x") for k in range(n * parts)]).repartition(parts)
+    drawn = s.draws(frame, s.SEED, "row", "deal", "key").select("row", "deal", "key").collect()
+    deal, key = ([], [])
+    for p in sorted({r["row"] >> 33 for r in drawn}):
+        rows = sorted((r for r in drawn if r["row"] >> 33 == p), key=lambda r: r["row"])[:1_900]
+        deal.append(np.array([r["deal"] for r in rows], float))
+        key.append(np.array([r["key"] for r in rows], float))
+    for p in range(parts):
+        order = np.argsort(deal[p])
+        for q in range(parts):
+            for x, y in ((key[p][order], deal[q]), (key[p], deal[q]), (key[p][order], key[q])) if p != q else ((key[p], deal[p]),):
+                assert abs(np.corrcoef(x, y)[0, 1]) < 0.12, (p, q)
+
+
+def test_shard_and_slot_are_uniform_together(docs):
+    """Pairs of rows of different partitions: every combination of their shards is as frequent as any permutation makes it."""
+    frame = docs([(k, "x") for k in range(12)]).coalesce(3)
+    seen = Counter()
+    for seed in range(60):
+        got = {r["doc_id"]: (r["shard"], r["slot"]) for r in s.shuffle_into_shards(frame, shards=2, seed=seed).collect()}
+        for a, b in ((0, 4), (4, 8), (1, 9), (3, 7)):
+            seen[got[a][0], got[b][0], got[a][1] >= 3] += 1
+    assert len(seen) == 8 and min(seen.values()) >= 12
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
