@@ -4,11 +4,13 @@ A document is a sparse vector: its component for a term with ``tf`` occurrences
 with m from its length and the corpus' mean; a query's component is the term's weight, so a score is an inner product.
 
 ``build_index`` gathers documents where they lie into blocks of some 2 million words (4,096 documents at most), one row each.
-Within a block they are split at the median of the widest of 32 signed hash projections until 32 remain, which gives a tree with
-eight children a node; documents lie in tree order, and each node's radius, the largest distance of a member from the centroid,
-is stored.  ``search`` visits a block's nodes best first.  For a node with centroid c and radius r, no member's score exceeds
-q*c + |q'| * r, where q' is the query on the terms that the node holds: other terms add nothing to any member.  A subtree is left
-out only if this bound is below the k-th best score known; every document of the leaves that remain is scored in integers.
+Within a block they are split at the median of the widest of 32 signed hash projections until 16 remain, which gives a tree with
+eight children a node; documents lie in tree order, and each node's radii are stored: the largest distance of a member from the
+centroid over all terms, and in each of 256 bands of terms.  ``search`` visits a block's nodes best first.  For a node with
+centroid c and radius r, no member's score exceeds q*c + |q'| * r, where q' is the query on the terms that the node holds (other
+terms add nothing to any member), nor, band by band, q*c + the sum of the weights of these terms times their band's radius; the
+smaller of the two is the bound.  A subtree is left out only if it is below the k-th best score known; every document of the
+leaves that remain is scored in integers.
 
 Rounding is safe: centroid sums are integers, radii are computed with the rounding error of every sum added and rounded up,
 and the bound itself is raised by a part in 10^9.  Bounds decide only what is looked at.
@@ -41,9 +43,10 @@ from souklens.llm.text import Interner, alnum_words, chunks
 
 K = 50
 BLOCK_WORDS, BLOCK_DOCS = 2_000_000, 4_096
-LEAF, STEP = 32, 3       # documents in a leaf; halvings between a node and its children
+LEAF, STEP = 16, 3       # documents in a leaf; halvings between a node and its children
 PART_ITEMS = 2_000
 SHARES = 64              # of a query's found rows in the first step of the merge
+BANDS = 256              # of terms with a radius of their own
 _DIMS = 32               # of the projections that documents are split by
 _INDEX = "ids array<long>, sizes binary, starts binary, terms binary, numbers binary, counts binary, widths array<int>, n_docs long, n_words long"
 _TREE = _INDEX + ", radii binary"
@@ -157,15 +160,21 @@ class Block:
         return _row([self.ids[k] for k in order], self.sizes[order], np.concatenate([[0], np.cumsum(lengths)]), self.terms, numbers,
                     counts) | {"radii": radii.tobytes()}
 
+    def bands(self) -> np.ndarray:
+        """The band of each of the block's terms."""
+        return ((self.terms >> np.uint64(40)) % np.uint64(BANDS)).astype(np.int64)
+
     def _radii(self, levels: list[np.ndarray], docs: np.ndarray, numbers: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """(nodes, 1 + BANDS): for each node, level by level, the radius over all terms and that in each band."""
         n, width = len(self.sizes), max(1, len(self.terms))
-        square = np.bincount(docs, v * v, n)
+        band = self.bands()
+        place = docs * BANDS + band[numbers]
+        square = np.bincount(place, v * v, n * BANDS).reshape(n, BANDS)
         out, cell, node_of, sums = [], None, None, None
         for borders in reversed(levels):
             node = np.searchsorted(borders, np.arange(n), "right") - 1
             if cell is None:
-                key = node[docs] * width + numbers
-                keys, cell = np.unique(key, return_inverse=True)
+                keys, cell = np.unique(node[docs] * width + numbers, return_inverse=True)
                 sums = np.bincount(cell, v, len(keys))
             else:
                 up = np.searchsorted(borders, below, "right") - 1  # this level's node of each node of the level below
@@ -173,11 +182,13 @@ class Block:
                 sums, cell = np.bincount(at, sums, len(keys)), at[cell]
             node_of, term, below = keys // width, keys % width, borders[:-1]
             members = np.diff(borders).astype(np.float64)
-            dot = np.bincount(docs, v * sums[cell], n) / members[node]
-            centre = (np.bincount(node_of, sums * sums, len(members)) / (members * members))[node]
-            error = (len(v) + len(keys) + 16) * 2.0 ** -52 * (square + 2 * dot + centre)
-            far = np.sqrt(np.maximum(square - 2 * dot + centre, 0) + error) * (1 + 1e-12)
-            out.append(np.maximum.reduceat(far, borders[:-1]) if n else far)
+            dot = np.bincount(place, v * sums[cell], n * BANDS).reshape(n, BANDS) / members[node][:, None]
+            centre = (np.bincount(node_of * BANDS + band[term], sums * sums, len(members) * BANDS).reshape(-1, BANDS) / (members * members)[:, None])[node]
+            # squared distances, each raised by more than the rounding of its sums
+            far = np.maximum(square - 2 * dot + centre, 0) + (len(v) + len(keys) + 16) * 2.0 ** -52 * (square + 2 * dot + centre)
+            far = np.sqrt(np.concatenate([far.sum(1, keepdims=True), far], 1)) * (1 + 1e-9)
+            far = np.nextafter(far.astype(np.float32), np.float32(np.inf))
+            out.append(np.maximum.reduceat(far, borders[:-1], axis=0))
         return np.concatenate(out[::-1])
 
 
@@ -220,7 +231,8 @@ class Searcher:
         term = of[kept]
         values = block.values(docs, block.counts[kept])
         self.levels = cuts(len(block.sizes), leaf)
-        self.radii = np.split(radii, np.cumsum([len(b) - 1 for b in self.levels])[:-1])
+        self.radii = np.split(radii.reshape(-1, 1 + BANDS), np.cumsum([len(b) - 1 for b in self.levels])[:-1])
+        self.bands = ((part.terms >> np.uint64(40)) % np.uint64(BANDS)).astype(np.int64)
         self.lists = []  # for each level, last the documents: (start of each term, node, sum)
         for borders in self.levels:
             node = np.searchsorted(borders, docs, "right") - 1
@@ -229,14 +241,26 @@ class Searcher:
             self.lists.append((np.searchsorted(term[new], np.arange(len(part.terms) + 1)), node[new], sums))
         self.lists.append((np.searchsorted(term, np.arange(len(part.terms) + 1)), docs, values))
 
-    def _cells(self, level: int, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Nodes (ascending) that hold a term of the query, the weighted sums and the weights there."""
+    def cells(self, level: int, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Nodes (ascending) that hold a term of the query, the weighted sums, the weights and the terms' bands there."""
         starts, node, sums = self.lists[level]
         a, n = starts[terms], starts[terms + 1] - starts[terms]
         at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
         node, w = node[at], np.repeat(weights, n)
         order = np.argsort(node, kind="stable")
-        return node[order], (w * sums[at])[order], w[order]
+        return node[order], (w * sums[at])[order], w[order], np.repeat(self.bands[terms], n)[order]
+
+    def bounds(self, level: int, a: int, b: int, cells: tuple[np.ndarray, ...]) -> np.ndarray:
+        """What no member of the nodes ``a`` to ``b`` of a level scores more than."""
+        node, sums, w, band = cells
+        x, y = np.searchsorted(node, (a, b))
+        if x == y:
+            return np.zeros(b - a)
+        at, w, radii = node[x:y] - a, w[x:y].astype(np.float64), self.radii[level]
+        inner = np.bincount(at, sums[x:y], b - a) / np.diff(self.levels[level][a:b + 1])
+        whole = np.sqrt(np.bincount(at, w * w, b - a)) * radii[a:b, 0]
+        banded = np.bincount(at, w * radii[node[x:y], 1 + band[x:y]], b - a)
+        return np.where(inner > 0, (inner + np.minimum(whole, banded)) * (1 + 1e-9) + 1, 0)
 
     def run(self, q: int, floor: int, leaves: int | None, found) -> int:
         """Visits subtrees best first; ``found(places, scores)`` takes scores of at least the floor and gives the new one."""
@@ -253,15 +277,8 @@ class Searcher:
 
         def bounds(level: int, a: int, b: int) -> np.ndarray:
             if cells[level] is None:
-                cells[level] = self._cells(level, terms, weights)
-            node, sums, w = cells[level]
-            x, y = np.searchsorted(node, (a, b))
-            if x == y:
-                return np.zeros(b - a)
-            inner = np.bincount(node[x:y] - a, sums[x:y], b - a)
-            norm = np.sqrt(np.bincount(node[x:y] - a, w[x:y].astype(np.float64) ** 2, b - a))
-            members = np.diff(self.levels[level][a:b + 1])
-            return np.where(inner > 0, (inner / members + norm * self.radii[level][a:b]) * (1 + 1e-9) + 1, 0)
+                cells[level] = self.cells(level, terms, weights)
+            return self.bounds(level, a, b, cells[level])
 
         heap = [(-float(bounds(0, 0, 1)[0]), 0, 0)]
         scored = 0
@@ -270,8 +287,8 @@ class Searcher:
             if level == last:
                 scored += 1
                 if cells[-1] is None:
-                    cells[-1] = self._cells(-1, terms, weights)
-                docs, parts, _ = cells[-1]
+                    cells[-1] = self.cells(-1, terms, weights)
+                docs, parts = cells[-1][:2]
                 a, b = self.levels[last][node], self.levels[last][node + 1]
                 x, y = np.searchsorted(docs, (a, b))
                 scores = np.zeros(b - a, np.int64)
@@ -378,7 +395,7 @@ def search(index: tuple[DataFrame, int, int], items: DataFrame, k: int = K, part
                         part = Part({name[2:]: value for name, value in r.items() if name.startswith("q_")})
                         best = [_Best(k, int(f)) for f in part.floors]
                     block = Block(r, n, words)
-                    searcher = Searcher(block, np.frombuffer(r["radii"], "<f8"), part, leaf)
+                    searcher = Searcher(block, np.frombuffer(r["radii"], "<f4"), part, leaf)
                     for q, b in enumerate(best):
                         searcher.run(q, b.floor, leaves, lambda places, scores: b.add([block.ids[p] for p in places.tolist()], scores))
             for q, b in enumerate(best or []):
