@@ -2,6 +2,8 @@
 
 from souklens.oracle.base import avg_, avg_days, div, m, pct, r
 from souklens.oracle.enrich import E_ORDERS
+from souklens.plans.eda import (DELAY_EDGES, DELAY_LABELS, DELIVERY_BIN_EDGES, DELIVERY_BIN_LABELS, FREIGHT_EDGES, FREIGHT_LABELS,
+                                SEGMENT_LABELS)
 
 W = "WITH " + E_ORDERS + ",\n"
 DLV = "order_status = 'delivered'"
@@ -27,13 +29,11 @@ DEL_ITEMS = f"SELECT * FROM e_items WHERE {DLV}"
 DEL_REVIEWED = f"SELECT d.*, rv.review_score FROM ({DEL_DAYS}) d JOIN cl_reviews rv ON rv.order_id = d.order_id"
 ITEMS_REVIEWED = f"SELECT i.*, rv.review_score FROM ({DEL_ITEMS}) i JOIN cl_reviews rv ON rv.order_id = i.order_id"
 
-DELAY = ([-200, -14, -7, -3, 0, 3, 7, 14, 300],
-         ["Early >14d", "Early 8-14d", "Early 3-7d", "Early 0-3d", "Late 0-3d", "Late 3-7d", "Late 7-14d", "Late >14d"])
-FREIGHT = ([0, 10, 20, 30, 50, 500], ["R$0-10", "R$10-20", "R$20-30", "R$30-50", "R$50+"])
-DBIN = ([0, 5, 10, 15, 20, 30, 60, 300], ["0-5d", "5-10d", "10-15d", "15-20d", "20-30d", "30-60d", "60d+"])
+DELAY, FREIGHT, DBIN = (DELAY_EDGES, DELAY_LABELS), (FREIGHT_EDGES, FREIGHT_LABELS), (DELIVERY_BIN_EDGES, DELIVERY_BIN_LABELS)
 CORR = ["delivery_days", "delivery_delay_days", "total_order_revenue", "item_count", "freight_revenue", "review_score"]
-SEG = """CASE WHEN total_orders >= 3 THEN 'High-Frequency (3+ orders)' WHEN total_orders = 2 THEN 'Returning (2 orders)'
-  WHEN total_spend_payment >= 500 THEN 'High-Value (1 order, R$500+)' ELSE 'Single-Purchase (<R$500)' END"""
+_MANY, _TWO, _HIGH, _ONE = SEGMENT_LABELS
+SEG = f"""CASE WHEN total_orders >= 3 THEN '{_MANY}' WHEN total_orders = 2 THEN '{_TWO}'
+  WHEN total_spend_payment >= 500 THEN '{_HIGH}' ELSE '{_ONE}' END"""
 
 
 def _corr_sql() -> str:

@@ -1,83 +1,14 @@
-"""Oracle SQL for the KPI insight rows (N1) and the overview unpivot."""
+"""Oracle SQL for the overview unpivot (N4) and the engine smoke row."""
 
 from souklens.oracle.kpi import KPI_SQL
 
 
-def _body(key: str) -> str:
-    return KPI_SQL[key].strip()
-
-
-def i(x: str) -> str:
-    return f"format('{{:,}}', {x})"
-
-
-def m2(x: str) -> str:
-    return f"format('{{:,.2f}}', {x})"
-
-
 def f2(x: str) -> str:
     return f"format('{{:.2f}}', {x})"
 
 
-def ins(src: str, cat: str, metric: str, value: str, obs: str, meaning: str) -> str:
-    meaning = meaning.replace("'", "''")
-    return (f"SELECT '{cat}' AS category, '{metric}' AS metric, {value} AS value, {obs} AS observation, "
-            f"'{meaning}' AS business_meaning FROM {src}")
-
-
-N1_ROWS = [
-    ins("k", "Overall Performance", "Delivered Orders", i("delivered_orders"), f"{i('delivered_orders')} || ' orders were delivered.'",
-        "Completed-order volume behind the revenue figures."),
-    ins("k", "Overall Performance", "Total Revenue", f"'R$ ' || {m2('total_revenue')}",
-        f"'Delivered-order revenue reached R$ ' || {m2('total_revenue')} || '.'", "Primary revenue KPI."),
-    ins("k", "Overall Performance", "Average Order Value", f"'R$ ' || {m2('average_order_value')}",
-        f"'The average delivered order generated R$ ' || {m2('average_order_value')} || '.'", "Baseline for basket-size strategies."),
-    ins("k", "Customer", "Unique Customers", i("unique_customers"),
-        f"{i('unique_customers')} || ' unique customers are represented in delivered-order analytics.'",
-        "Customer base of the delivered-order analysis."),
-    ins("k", "Customer", "Repeat Customers", i("repeat_customers"),
-        f"{i('repeat_customers')} || ' customers placed more than one delivered order.'", "Observed returning segment."),
-    ins("k", "Customer", "Repeat Customer Rate", f"{f2('repeat_customer_rate')} || '%'",
-        f"'The repeat customer rate is ' || {f2('repeat_customer_rate')} || '%.'", "Retention is an opportunity area."),
-    ins("k", "Delivery", "Average Delivery Time", f"{f2('average_delivery_days')} || ' days'",
-        f"'Average delivery time was ' || {f2('average_delivery_days')} || ' days.'", "Logistics baseline."),
-    ins("k", "Delivery", "Estimated Delivery Time", f"{f2('average_estimated_delivery_days')} || ' days'",
-        f"'The average estimated delivery time was ' || {f2('average_estimated_delivery_days')} || ' days.'",
-        "Actual versus promised delivery."),
-    ins("k", "Delivery", "Average Delivery Difference", f"{f2('average_delivery_delay_days')} || ' days'",
-        f"'Average delivery difference was ' || {f2('average_delivery_delay_days')} || ' days.'",
-        "Negative means earlier than estimated on average."),
-    ins("k", "Delivery", "Delayed Order Rate", f"{f2('delayed_order_rate')} || '%'",
-        f"{i('delayed_orders')} || ' delivered orders were classified as delayed, representing ' || {f2('delayed_order_rate')} || '%.'",
-        "Share of completed orders past the estimate."),
-    ins("best", "Monthly Performance", "Highest Revenue Month", "order_year_month",
-        f"order_year_month || ' generated R$ ' || {m2('revenue')} || ' revenue from ' || {i('orders')} || ' orders.'",
-        "Strongest monthly revenue period."),
-    ins("worst", "Monthly Performance", "Lowest Revenue Month", "order_year_month",
-        f"order_year_month || ' generated R$ ' || {m2('revenue')} || ' revenue from ' || {i('orders')} || ' orders.'",
-        "Weakest monthly revenue period."),
-    ins("cat", "Product Category", "Top Revenue Category", "category",
-        f"category || ' generated R$ ' || {m2('revenue')} || ' revenue across ' || {i('orders')} || ' orders.'",
-        "Leading revenue category."),
-    ins("st", "Geography", "Top Customer State", "customer_state",
-        f"customer_state || ' generated R$ ' || {m2('revenue')} || ' revenue from ' || {i('orders')} || ' delivered orders.'",
-        "Largest revenue state."),
-    ins("pay", "Payment", "Top Payment Method", "payment_type",
-        f"payment_type || ' accounted for R$ ' || {m2('payment_value')} || ' across ' || {i('orders')} || ' delivered orders.'",
-        "Dominant payment method."),
-]
-
 INSIGHTS_SQL = {
-    "n01_business_insights": (
-        "WITH k AS (" + _body("k1_kpi_summary") + "),\n"
-        "mth AS (" + _body("k2_monthly_performance") + "),\n"
-        "best AS (SELECT * FROM mth ORDER BY revenue DESC, order_year_month LIMIT 1),\n"
-        "worst AS (SELECT * FROM mth ORDER BY revenue ASC, order_year_month LIMIT 1),\n"
-        "cat AS (SELECT * FROM (" + _body("k3_category_performance") + ") c ORDER BY revenue DESC, category LIMIT 1),\n"
-        "st AS (SELECT * FROM (" + _body("k4_state_performance") + ") s ORDER BY revenue DESC, customer_state LIMIT 1),\n"
-        "pay AS (SELECT * FROM (" + _body("k5_payment_performance") + ") p WHERE payment_type IS NOT NULL "
-        "ORDER BY payment_value DESC, payment_type LIMIT 1)\n" + "\nUNION ALL ".join(N1_ROWS)),
-    "n04_overview_kpis": "WITH k AS (" + _body("l02_kpis") + """)
+    "n04_overview_kpis": "WITH k AS (" + KPI_SQL["l02_kpis"].strip() + """)
 SELECT 'Total Orders' AS Metric, CAST(total_orders AS VARCHAR) AS Value FROM k
 UNION ALL SELECT 'Delivered Orders', CAST(delivered_orders AS VARCHAR) FROM k
 UNION ALL SELECT 'Total Revenue', """ + f2("total_revenue") + """ FROM k

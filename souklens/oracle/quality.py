@@ -2,6 +2,7 @@
 
 from souklens.oracle.base import r
 from souklens.oracle.enrich import E_ORDERS
+from souklens.plans.quality import V1_CHECKS, V49_CHECKS
 
 W = "WITH " + E_ORDERS + ",\n"
 
@@ -30,50 +31,50 @@ def orphans(child: str, parent: str, key: str, name: str, fmt: str) -> str:
 
 
 V1 = [
-    uniq("cl_customers", "customer_id", "customers PK"),
-    uniq("cl_orders", "order_id", "orders PK"),
-    uniq("cl_products", "product_id", "products PK"),
-    uniq("cl_sellers", "seller_id", "sellers PK"),
-    row("order_reviews one-per-order", "u = rows", f"{n('u')} || ' unique order_id / ' || {n('rows')} || ' rows'",
+    uniq("cl_customers", "customer_id", V1_CHECKS[0]),
+    uniq("cl_orders", "order_id", V1_CHECKS[1]),
+    uniq("cl_products", "product_id", V1_CHECKS[2]),
+    uniq("cl_sellers", "seller_id", V1_CHECKS[3]),
+    row(V1_CHECKS[4], "u = rows", f"{n('u')} || ' unique order_id / ' || {n('rows')} || ' rows'",
         "SELECT count(DISTINCT order_id) AS u, count(*) AS rows FROM cl_reviews"),
-    orphans("cl_orders", "cl_customers", "customer_id", "orders→customers FK", "%s orphan orders"),
-    orphans("cl_items", "cl_orders", "order_id", "order_items→orders FK", "%s orphan items"),
-    orphans("cl_items", "cl_products", "product_id", "order_items→products FK", "%s orphan items (product)"),
-    orphans("cl_items", "cl_sellers", "seller_id", "order_items→sellers FK", "%s orphan items (seller)"),
-    orphans("cl_payments", "cl_orders", "order_id", "order_payments→orders FK", "%s orphan payments"),
-    uniq("e_oe", "order_id", "orders_enriched grain = 1 row per order"),
-    row("items_enriched row count matches order_items", "a = b", f"'items_enriched=' || {n('a')} || ', order_items=' || {n('b')}",
+    orphans("cl_orders", "cl_customers", "customer_id", V1_CHECKS[5], "%s orphan orders"),
+    orphans("cl_items", "cl_orders", "order_id", V1_CHECKS[6], "%s orphan items"),
+    orphans("cl_items", "cl_products", "product_id", V1_CHECKS[7], "%s orphan items (product)"),
+    orphans("cl_items", "cl_sellers", "seller_id", V1_CHECKS[8], "%s orphan items (seller)"),
+    orphans("cl_payments", "cl_orders", "order_id", V1_CHECKS[9], "%s orphan payments"),
+    uniq("e_oe", "order_id", V1_CHECKS[10]),
+    row(V1_CHECKS[11], "a = b", f"'items_enriched=' || {n('a')} || ', order_items=' || {n('b')}",
         "SELECT (SELECT count(*) FROM e_items) AS a, (SELECT count(*) FROM cl_items) AS b"),
-    row("Revenue consistency: sum(order_items) ≈ sum(orders_enriched.total_order_revenue)", "abs(a - b) < 1.0",
+    row(V1_CHECKS[12], "abs(a - b) < 1.0",
         f"'order_items sum=R$' || {m2('a')} || ', enriched sum=R$' || {m2('b')} || ', diff=R$' || {m2('abs(a - b)')}",
         "SELECT coalesce(sum(price), 0) + coalesce(sum(freight_value), 0) AS a, "
         "(SELECT coalesce(sum(total_order_revenue), 0) FROM e_oe) AS b FROM cl_items"),
-    row("orders dates are datetime", "true", "'timestamp_ntz'", "SELECT 1"),
-    row("No negative delivery_days", "k = 0", f"{n('k')} || ' orders with negative delivery days'",
+    row(V1_CHECKS[13], "true", "'timestamp_ntz'", "SELECT 1"),
+    row(V1_CHECKS[14], "k = 0", f"{n('k')} || ' orders with negative delivery days'",
         "SELECT count(*) FILTER (WHERE delivery_seconds < 0) AS k FROM e_oe"),
 ]
 
 DLV = "SELECT * FROM fact_orders WHERE order_status = 'delivered'"
 V49 = [
-    uniq("cl_customers", "customer_id", "customers.customer_id unique", True),
-    uniq("cl_orders", "order_id", "orders.order_id unique", True),
-    uniq("cl_products", "product_id", "products.product_id unique", True),
-    uniq("cl_sellers", "seller_id", "sellers.seller_id unique", True),
-    uniq("fact_orders", "order_id", "fact_orders.order_id unique", True),
-    uniq("fact_sales", "(order_id, order_item_id)", "fact_sales order_id + order_item_id unique", True),
-    orphans("cl_items", "cl_orders", "order_id", "order_items -> orders", "Orphan rows: %s"),
-    orphans("cl_payments", "cl_orders", "order_id", "order_payments -> orders", "Orphan rows: %s"),
-    orphans("cl_reviews", "cl_orders", "order_id", "order_reviews -> orders", "Orphan rows: %s"),
-    orphans("fact_sales", "fact_orders", "order_id", "fact_sales -> fact_orders", "Orphan rows: %s"),
-    orphans("fact_orders", "dim_customer", "customer_id", "fact_orders -> dim_customer", "Orphan rows: %s"),
-    row("Fact revenue reconciliation", "abs(a - b) < 0.01",
+    uniq("cl_customers", "customer_id", V49_CHECKS[0], True),
+    uniq("cl_orders", "order_id", V49_CHECKS[1], True),
+    uniq("cl_products", "product_id", V49_CHECKS[2], True),
+    uniq("cl_sellers", "seller_id", V49_CHECKS[3], True),
+    uniq("fact_orders", "order_id", V49_CHECKS[4], True),
+    uniq("fact_sales", "(order_id, order_item_id)", V49_CHECKS[5], True),
+    orphans("cl_items", "cl_orders", "order_id", V49_CHECKS[6], "Orphan rows: %s"),
+    orphans("cl_payments", "cl_orders", "order_id", V49_CHECKS[7], "Orphan rows: %s"),
+    orphans("cl_reviews", "cl_orders", "order_id", V49_CHECKS[8], "Orphan rows: %s"),
+    orphans("fact_sales", "fact_orders", "order_id", V49_CHECKS[9], "Orphan rows: %s"),
+    orphans("fact_orders", "dim_customer", "customer_id", V49_CHECKS[10], "Orphan rows: %s"),
+    row(V49_CHECKS[11], "abs(a - b) < 0.01",
         f"'fact_orders=R$' || {m2('a')} || ', fact_sales=R$' || {m2('b')} || ', diff=R$' || {m2('abs(a - b)')}",
         f"SELECT (SELECT coalesce(sum(order_revenue), 0) FROM ({DLV}) d) AS a, "
         "(SELECT coalesce(sum(item_revenue), 0) FROM fact_sales WHERE order_status = 'delivered') AS b"),
-    row("Order revenue matches sales grain", "k = 0", f"'Mismatched delivered orders: ' || {n('k')}",
+    row(V49_CHECKS[12], "k = 0", f"'Mismatched delivered orders: ' || {n('k')}",
         f"SELECT count(*) FILTER (WHERE abs(coalesce(si, 0) - order_revenue) > 0.01) AS k FROM ({DLV}) d LEFT JOIN "
         "(SELECT order_id AS oid, sum(item_revenue) AS si FROM fact_sales WHERE order_status = 'delivered' GROUP BY 1) s ON s.oid = d.order_id"),
-    row("Payment totals not duplicated", "abs(a - b) < 0.01", f"'fact_orders=R$' || {m2('a')} || ', order_payments=R$' || {m2('b')}",
+    row(V49_CHECKS[13], "abs(a - b) < 0.01", f"'fact_orders=R$' || {m2('a')} || ', order_payments=R$' || {m2('b')}",
         "SELECT (SELECT coalesce(sum(payment_total), 0) FROM fact_orders) AS a, (SELECT coalesce(sum(payment_value), 0) "
         "FROM cl_payments WHERE order_id IN (SELECT order_id FROM fact_orders)) AS b"),
 ]
@@ -82,19 +83,19 @@ CU = (f"SELECT count(*) AS n, CAST(count(*) FILTER (WHERE k > 1) AS DOUBLE) * 10
 K = ("SELECT count(*) AS n, CAST(sum(delivery_seconds) AS DOUBLE) / (count(delivery_seconds) * 86400.0) AS days, "
      f"count(*) FILTER (WHERE is_delayed = 1) AS late, coalesce(sum(order_revenue), 0) AS rev FROM ({DLV}) d")
 V49 += [
-    row("Customer population is valid", "n > 0", f"'Customers: ' || {n('n')}", CU),
-    row("Repeat customer calculation is valid", "coalesce(rate >= 0 AND rate <= 100, false)",
+    row(V49_CHECKS[14], "n > 0", f"'Customers: ' || {n('n')}", CU),
+    row(V49_CHECKS[15], "coalesce(rate >= 0 AND rate <= 100, false)",
         f"'Repeat rate: ' || format('{{:.2f}}', {r('coalesce(rate, 0.0)')}) || '%'", CU),
-    row("Delivered order count", "n > 0", f"'Delivered orders: ' || {n('n')}", K),
-    row("Average delivery days valid", "coalesce(days >= 0, false)",
+    row(V49_CHECKS[16], "n > 0", f"'Delivered orders: ' || {n('n')}", K),
+    row(V49_CHECKS[17], "coalesce(days >= 0, false)",
         f"'Average delivery: ' || format('{{:.2f}}', {r('coalesce(days, 0.0)')}) || ' days'", K),
-    row("Delayed orders are within delivered orders", "late >= 0 AND late <= n", f"'Delayed: ' || {n('late')}", K),
-    row("No invalid quarter values", "bad = 0", "'Distinct quarters: ' || CAST(nq AS VARCHAR)",
+    row(V49_CHECKS[18], "late >= 0 AND late <= n", f"'Delayed: ' || {n('late')}", K),
+    row(V49_CHECKS[19], "bad = 0", "'Distinct quarters: ' || CAST(nq AS VARCHAR)",
         f"SELECT count(*) FILTER (WHERE quarter(order_purchase_timestamp) NOT BETWEEN 1 AND 4) AS bad, "
         f"count(DISTINCT quarter(order_purchase_timestamp)) AS nq FROM ({DLV}) d"),
-    row("Delivered orders > 0", "n > 0", n('n'), K),
-    row("Revenue > 0", "rev > 0", f"'R$ ' || {m2('rev')}", K),
-    row("AOV > 0", "coalesce(rev / n > 0, false)", f"'R$ ' || {m2(r('coalesce(CAST(rev AS DOUBLE) / n, 0.0)'))}", K),
+    row(V49_CHECKS[20], "n > 0", n('n'), K),
+    row(V49_CHECKS[21], "rev > 0", f"'R$ ' || {m2('rev')}", K),
+    row(V49_CHECKS[22], "coalesce(rev / n > 0, false)", f"'R$ ' || {m2(r('coalesce(CAST(rev AS DOUBLE) / n, 0.0)'))}", K),
 ]
 
 TABLES = {"customers": "cl_customers", "orders": "cl_orders", "order_items": "cl_items", "order_payments": "cl_payments",

@@ -1,4 +1,4 @@
-"""Oracle SQL of the reports (N2, N3, A25): the numbers in plain SQL, and each
+"""Oracle SQL of the reports (N1, N2, N3, A25): the numbers in plain SQL, and each
 rule's line written out as a concatenation."""
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from souklens.oracle.base import avg_, avg_days, m, pct, r
 from souklens.oracle.enrich import E_ORDERS
 from souklens.oracle.kpi import CAT, KPI_SQL
 from souklens.oracle.segments import SEG_SQL
-from souklens.plans.report import BY_KEY, MEASURES, RULES
+from souklens.plans.report import BY_KEY, MEANINGS, MEASURES, RULES
 
 DLV = "order_status = 'delivered'"
 _BIN = ("CASE WHEN delivery_days > 0 AND delivery_days <= 5 THEN '0-5d' WHEN delivery_days > 5 AND delivery_days <= 10 THEN '5-10d' "
@@ -104,7 +104,10 @@ def _report(name: str, select: str) -> str:
     return _rows() + f",\nlines AS ({_lines(name)})\n{select}"
 
 
+_MEANINGS = ", ".join("({}, '{}', '{}')".format(*x) for x in MEANINGS)
 REPORT_SQL = {
+    "n01_business_insights": _report("N1", "SELECT category, title AS metric, metric AS value, txt AS observation, business_meaning "
+                                     f"FROM lines JOIN (VALUES {_MEANINGS}) v(section, category, business_meaning) USING (section)"),
     "n02_report_lines": _report("N2", 'SELECT section, "key", txt AS line, CAST(row_number() OVER (ORDER BY section, lines.line, rank) AS INTEGER) AS seq FROM lines'),
     "n03_executive_insights": _report("N3", "SELECT section AS id, title, metric, txt AS detail FROM lines"),
     "a25_eda_insights": _report("A25", "SELECT section AS id, title AS topic, txt AS insight FROM lines"),

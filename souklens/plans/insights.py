@@ -1,14 +1,7 @@
-"""Insight and summary rows (N1, N4); N2, N3 and A25 are in ``report``.
-
-Each row is a formatted projection of one-row (or top-1) aggregates; the
-rows are unioned, never assembled on the driver.  Numbers use the same
-formats as the KPI exports: thousands separators, two decimals.
-"""
+"""The overview KPI set (N4); N1, N2, N3 and A25 are in ``report``."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,99 +9,10 @@ from souklens.plans import kpi
 from souklens.plans.context import Layers
 
 
-def _i(c: str) -> Column:
-    return F.format_number(F.col(c), 0)
-
-
-def _m(c: str) -> Column:
-    return F.format_number(F.col(c), 2)
-
-
 def _f2(c: str) -> Column:
     return F.format_string("%.2f", F.col(c))
 
 
-INSIGHT_COLS = ["category", "metric", "value", "observation", "business_meaning"]
-
-
-def _ins(prefix: str, category: str, metric: str, value: Column, observation: Column, meaning: str) -> Column:
-    """One insight as a struct over the combined one-row frame (``prefix``
-    names the source struct column)."""
-    return F.struct(F.lit(category).alias("category"), F.lit(metric).alias("metric"), value.alias("value"),
-                    observation.alias("observation"), F.lit(meaning).alias("business_meaning"))
-
-
-def _one_row(**parts: DataFrame) -> DataFrame:
-    """Cross-join one-row frames, each packed into a struct column named by
-    its key; all are provably one row, so this is a tiny broadcast."""
-    frames = [df.select(F.struct(*df.columns).alias(name)) for name, df in parts.items()]
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), frames)
-
-
-def _top1(df: DataFrame, order: list[Column]) -> DataFrame:
-    return df.orderBy(*order).limit(1)
-
-
-def n01_business_insights(L: Layers) -> DataFrame:
-    """Fifteen insight rows from the KPI exports K1-K5.  The six one-row
-    sources are combined into one row (struct per source) and expanded with
-    ``inline``, so each source is computed once."""
-    w = L.star
-    mth = kpi.k2_monthly_performance(w)
-    one = _one_row(
-        k=kpi.k1_kpi_summary(w),
-        best=_top1(mth, [F.desc("revenue"), "order_year_month"]),
-        worst=_top1(mth, [F.asc("revenue"), "order_year_month"]),
-        cat=_top1(kpi.k3_category_performance(w), [F.desc("revenue"), "category"]),
-        st=_top1(kpi.k4_state_performance(w), [F.desc("revenue"), "customer_state"]),
-        pay=_top1(kpi.k5_payment_performance(w).where(F.col("payment_type").isNotNull()), [F.desc("payment_value"), "payment_type"]))
-    month_obs = "%s generated R$ %s revenue from %s orders."
-    rows = [
-        _ins("k", "Overall Performance", "Delivered Orders", _i("k.delivered_orders"),
-             F.format_string("%s orders were delivered.", _i("k.delivered_orders")), "Completed-order volume behind the revenue figures."),
-        _ins("k", "Overall Performance", "Total Revenue", F.format_string("R$ %s", _m("k.total_revenue")),
-             F.format_string("Delivered-order revenue reached R$ %s.", _m("k.total_revenue")), "Primary revenue KPI."),
-        _ins("k", "Overall Performance", "Average Order Value", F.format_string("R$ %s", _m("k.average_order_value")),
-             F.format_string("The average delivered order generated R$ %s.", _m("k.average_order_value")),
-             "Baseline for basket-size strategies."),
-        _ins("k", "Customer", "Unique Customers", _i("k.unique_customers"),
-             F.format_string("%s unique customers are represented in delivered-order analytics.", _i("k.unique_customers")),
-             "Customer base of the delivered-order analysis."),
-        _ins("k", "Customer", "Repeat Customers", _i("k.repeat_customers"),
-             F.format_string("%s customers placed more than one delivered order.", _i("k.repeat_customers")),
-             "Observed returning segment."),
-        _ins("k", "Customer", "Repeat Customer Rate", F.format_string("%s%%", _f2("k.repeat_customer_rate")),
-             F.format_string("The repeat customer rate is %s%%.", _f2("k.repeat_customer_rate")), "Retention is an opportunity area."),
-        _ins("k", "Delivery", "Average Delivery Time", F.format_string("%s days", _f2("k.average_delivery_days")),
-             F.format_string("Average delivery time was %s days.", _f2("k.average_delivery_days")), "Logistics baseline."),
-        _ins("k", "Delivery", "Estimated Delivery Time", F.format_string("%s days", _f2("k.average_estimated_delivery_days")),
-             F.format_string("The average estimated delivery time was %s days.", _f2("k.average_estimated_delivery_days")),
-             "Actual versus promised delivery."),
-        _ins("k", "Delivery", "Average Delivery Difference", F.format_string("%s days", _f2("k.average_delivery_delay_days")),
-             F.format_string("Average delivery difference was %s days.", _f2("k.average_delivery_delay_days")),
-             "Negative means earlier than estimated on average."),
-        _ins("k", "Delivery", "Delayed Order Rate", F.format_string("%s%%", _f2("k.delayed_order_rate")),
-             F.format_string("%s delivered orders were classified as delayed, representing %s%%.", _i("k.delayed_orders"),
-                             _f2("k.delayed_order_rate")), "Share of completed orders past the estimate."),
-        _ins("best", "Monthly Performance", "Highest Revenue Month", F.col("best.order_year_month"),
-             F.format_string(month_obs, F.col("best.order_year_month"), _m("best.revenue"), _i("best.orders")),
-             "Strongest monthly revenue period."),
-        _ins("worst", "Monthly Performance", "Lowest Revenue Month", F.col("worst.order_year_month"),
-             F.format_string(month_obs, F.col("worst.order_year_month"), _m("worst.revenue"), _i("worst.orders")),
-             "Weakest monthly revenue period."),
-        _ins("cat", "Product Category", "Top Revenue Category", F.col("cat.category"),
-             F.format_string("%s generated R$ %s revenue across %s orders.", F.col("cat.category"), _m("cat.revenue"),
-                             _i("cat.orders")), "Leading revenue category."),
-        _ins("st", "Geography", "Top Customer State", F.col("st.customer_state"),
-             F.format_string("%s generated R$ %s revenue from %s delivered orders.", F.col("st.customer_state"),
-                             _m("st.revenue"), _i("st.orders")), "Largest revenue state."),
-        _ins("pay", "Payment", "Top Payment Method", F.col("pay.payment_type"),
-             F.format_string("%s accounted for R$ %s across %s delivered orders.", F.col("pay.payment_type"),
-                             _m("pay.payment_value"), _i("pay.orders")), "Dominant payment method."),
-    ]
-    return one.select(F.inline(F.array(*rows)))
-
-
 def n04_overview_kpis(L: Layers) -> DataFrame:
     """The overview KPI set as (Metric, Value) rows (an unpivot)."""
     k = kpi.l02_kpis(L.star).select(
@@ -119,4 +23,4 @@ def n04_overview_kpis(L: Layers) -> DataFrame:
                         "'Average Delivery Days', e, 'Delayed Orders', f, 'Delayed Rate', g) as (Metric, Value)")
 
 
-INSIGHT_JOBS = {"n01_business_insights": n01_business_insights, "n04_overview_kpis": n04_overview_kpis}
+INSIGHT_JOBS = {"n04_overview_kpis": n04_overview_kpis}

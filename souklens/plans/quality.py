@@ -25,6 +25,51 @@ from souklens.sources.inline import local_table
 UNCATEGORISED = "Unknown / Uncategorized"
 
 
+# The names of the checks of V1 and of V4 to V9, in order.
+V1_CHECKS = [
+    "customers PK",
+    "orders PK",
+    "products PK",
+    "sellers PK",
+    "order_reviews one-per-order",
+    "orders→customers FK",
+    "order_items→orders FK",
+    "order_items→products FK",
+    "order_items→sellers FK",
+    "order_payments→orders FK",
+    "orders_enriched grain = 1 row per order",
+    "items_enriched row count matches order_items",
+    "Revenue consistency: sum(order_items) ≈ sum(orders_enriched.total_order_revenue)",
+    "orders dates are datetime",
+    "No negative delivery_days",
+]
+V49_CHECKS = [
+    "customers.customer_id unique",
+    "orders.order_id unique",
+    "products.product_id unique",
+    "sellers.seller_id unique",
+    "fact_orders.order_id unique",
+    "fact_sales order_id + order_item_id unique",
+    "order_items -> orders",
+    "order_payments -> orders",
+    "order_reviews -> orders",
+    "fact_sales -> fact_orders",
+    "fact_orders -> dim_customer",
+    "Fact revenue reconciliation",
+    "Order revenue matches sales grain",
+    "Payment totals not duplicated",
+    "Customer population is valid",
+    "Repeat customer calculation is valid",
+    "Delivered order count",
+    "Average delivery days valid",
+    "Delayed orders are within delivered orders",
+    "No invalid quarter values",
+    "Delivered orders > 0",
+    "Revenue > 0",
+    "AOV > 0",
+]
+
+
 def _n(c) -> Column:
     return F.format_number(F.col(c) if isinstance(c, str) else c, 0)
 
@@ -97,21 +142,21 @@ def v01_post_clean_validation(L: Layers, observed: dict | None = None) -> DataFr
 
     dates = c["orders"].schema["order_purchase_timestamp"].dataType
     return _checks(one, [
-        one_per_key("customers", "customers PK"), one_per_key("orders", "orders PK"), one_per_key("products", "products PK"),
-        one_per_key("sellers", "sellers PK"),
-        one_per_key("reviews", "order_reviews one-per-order", "%s unique order_id / %s rows"),
-        _none("orders_customers", "orders→customers FK", "%s orphan orders"),
-        _none("items_orders", "order_items→orders FK", "%s orphan items"),
-        _none("items_products", "order_items→products FK", "%s orphan items (product)"),
-        _none("items_sellers", "order_items→sellers FK", "%s orphan items (seller)"),
-        _none("payments_orders", "order_payments→orders FK", "%s orphan payments"),
-        one_per_key("oe", "orders_enriched grain = 1 row per order"),
-        _check("items_enriched row count matches order_items", F.col("rows_ie") == F.col("rows_items"),
+        one_per_key("customers", V1_CHECKS[0]), one_per_key("orders", V1_CHECKS[1]), one_per_key("products", V1_CHECKS[2]),
+        one_per_key("sellers", V1_CHECKS[3]),
+        one_per_key("reviews", V1_CHECKS[4], "%s unique order_id / %s rows"),
+        _none("orders_customers", V1_CHECKS[5], "%s orphan orders"),
+        _none("items_orders", V1_CHECKS[6], "%s orphan items"),
+        _none("items_products", V1_CHECKS[7], "%s orphan items (product)"),
+        _none("items_sellers", V1_CHECKS[8], "%s orphan items (seller)"),
+        _none("payments_orders", V1_CHECKS[9], "%s orphan payments"),
+        one_per_key("oe", V1_CHECKS[10]),
+        _check(V1_CHECKS[11], F.col("rows_ie") == F.col("rows_items"),
                F.format_string("items_enriched=%s, order_items=%s", _n("rows_ie"), _n("rows_items"))),
-        _check("Revenue consistency: sum(order_items) ≈ sum(orders_enriched.total_order_revenue)", F.col("d") < 1.0,
+        _check(V1_CHECKS[12], F.col("d") < 1.0,
                F.format_string("order_items sum=R$%s, enriched sum=R$%s, diff=R$%s", _m("a"), _m("b"), _m("d"))),
-        _check("orders dates are datetime", F.lit(dates.typeName().startswith("timestamp")), F.lit(dates.simpleString())),
-        _none("negative", "No negative delivery_days", "%s orders with negative delivery days")])
+        _check(V1_CHECKS[13], F.lit(dates.typeName().startswith("timestamp")), F.lit(dates.simpleString())),
+        _none("negative", V1_CHECKS[14], "%s orders with negative delivery days")])
 
 
 # Sums of the ladder below, from the orders up to the one row.
@@ -234,34 +279,34 @@ def warehouse_check_rows(one: DataFrame) -> DataFrame:
         return _check(name, F.col(f"rows_{table}") == F.col(f"keys_{table}"), F.format_string("Rows: %s", _n(f"rows_{table}")))
 
     return _checks(one, [
-        unique("customers", "customers.customer_id unique"), unique("orders", "orders.order_id unique"),
-        unique("products", "products.product_id unique"), unique("sellers", "sellers.seller_id unique"),
-        unique("fact_orders", "fact_orders.order_id unique"), unique("fact_sales", "fact_sales order_id + order_item_id unique"),
+        unique("customers", V49_CHECKS[0]), unique("orders", V49_CHECKS[1]),
+        unique("products", V49_CHECKS[2]), unique("sellers", V49_CHECKS[3]),
+        unique("fact_orders", V49_CHECKS[4]), unique("fact_sales", V49_CHECKS[5]),
         *[_none(n, name, "Orphan rows: %s") for n, name in (
-            ("items_orders", "order_items -> orders"), ("payments_orders", "order_payments -> orders"),
-            ("reviews_orders", "order_reviews -> orders"), ("sales_facts", "fact_sales -> fact_orders"),
-            ("facts_customers", "fact_orders -> dim_customer"))],
+            ("items_orders", V49_CHECKS[6]), ("payments_orders", V49_CHECKS[7]),
+            ("reviews_orders", V49_CHECKS[8]), ("sales_facts", V49_CHECKS[9]),
+            ("facts_customers", V49_CHECKS[10]))],
         # V6: delivered revenue at order grain equals revenue at item grain
-        _check("Fact revenue reconciliation", F.col("revenue_off") < 0.01,
+        _check(V49_CHECKS[11], F.col("revenue_off") < 0.01,
                F.format_string("fact_orders=R$%s, fact_sales=R$%s, diff=R$%s", _m("revenue"), _m("sold"), _m("revenue_off"))),
         # V7: per delivered order, item revenue vs order revenue (tolerance 0.01)
-        _none("mismatched", "Order revenue matches sales grain", "Mismatched delivered orders: %s"),
+        _none("mismatched", V49_CHECKS[12], "Mismatched delivered orders: %s"),
         # V8: payment totals equal the payment rows (no duplication by joins)
-        _check("Payment totals not duplicated", F.abs(F.col("payment_total") - F.col("paid")) < 0.01,
+        _check(V49_CHECKS[13], F.abs(F.col("payment_total") - F.col("paid")) < 0.01,
                F.format_string("fact_orders=R$%s, order_payments=R$%s", _m("payment_total"), _m("paid"))),
         # V9: sanity ranges
-        _check("Customer population is valid", F.col("persons") > 0, F.format_string("Customers: %s", _n("persons"))),
-        _check("Repeat customer calculation is valid", F.coalesce((F.col("rate") >= 0) & (F.col("rate") <= 100), F.lit(False)),
+        _check(V49_CHECKS[14], F.col("persons") > 0, F.format_string("Customers: %s", _n("persons"))),
+        _check(V49_CHECKS[15], F.coalesce((F.col("rate") >= 0) & (F.col("rate") <= 100), F.lit(False)),
                F.format_string("Repeat rate: %.2f%%", rnd(F.coalesce(F.col("rate"), F.lit(0.0))))),
-        _check("Delivered order count", F.col("delivered") > 0, F.format_string("Delivered orders: %s", _n("delivered"))),
-        _check("Average delivery days valid", F.coalesce(F.col("days") >= 0, F.lit(False)),
+        _check(V49_CHECKS[16], F.col("delivered") > 0, F.format_string("Delivered orders: %s", _n("delivered"))),
+        _check(V49_CHECKS[17], F.coalesce(F.col("days") >= 0, F.lit(False)),
                F.format_string("Average delivery: %.2f days", rnd(F.coalesce(F.col("days"), F.lit(0.0))))),
-        _check("Delayed orders are within delivered orders", (F.col("late") >= 0) & (F.col("late") <= F.col("delivered")),
+        _check(V49_CHECKS[18], (F.col("late") >= 0) & (F.col("late") <= F.col("delivered")),
                F.format_string("Delayed: %s", _n("late"))),
-        _check("No invalid quarter values", F.col("bad_quarters") == 0, F.format_string("Distinct quarters: %d", "nq")),
-        _check("Delivered orders > 0", F.col("delivered") > 0, _n("delivered")),
-        _check("Revenue > 0", F.col("revenue") > 0, F.format_string("R$ %s", _m("revenue"))),
-        _check("AOV > 0", F.coalesce(F.col("aov") > 0, F.lit(False)),
+        _check(V49_CHECKS[19], F.col("bad_quarters") == 0, F.format_string("Distinct quarters: %d", "nq")),
+        _check(V49_CHECKS[20], F.col("delivered") > 0, _n("delivered")),
+        _check(V49_CHECKS[21], F.col("revenue") > 0, F.format_string("R$ %s", _m("revenue"))),
+        _check(V49_CHECKS[22], F.coalesce(F.col("aov") > 0, F.lit(False)),
                F.format_string("R$ %s", _m(rnd(F.coalesce(F.col("aov"), F.lit(0.0))))))])
 
 

@@ -1,4 +1,4 @@
-"""Reports from rules: N2, N3 and A25 as data.
+"""Reports from rules: N1, N2, N3 and A25 as data.
 
 ``report_rows`` is one table of every number that the reports quote: a row per
 (domain, key), ranked within its domain, all of it bounded by the calendar and
@@ -34,6 +34,21 @@ MEASURES = ["orders", "items", "revenue", "aov", "share", "cum", "mean", "score"
 
 # report, section, line, domain, first and last rank (0: all), title, metric, text
 RULES: list[tuple] = [
+    ("N1", 1, 1, "total", 1, 1, "Delivered Orders", "{orders:0}", "{orders:0} orders reached their buyer."),
+    ("N1", 2, 1, "total", 1, 1, "Total Revenue", "R$ {revenue:2}", "These orders brought R$ {revenue:2}."),
+    ("N1", 3, 1, "total", 1, 1, "Average Order Value", "R$ {aov:2}", "One of them is worth R$ {aov:2} on average."),
+    ("N1", 4, 1, "persons", 1, 1, "Unique Customers", "{customers:0}", "They were placed by {customers:0} customers."),
+    ("N1", 5, 1, "persons", 1, 1, "Repeat Customers", "{orders:0}", "{orders:0} of the customers ordered again."),
+    ("N1", 6, 1, "persons", 1, 1, "Repeat Customer Rate", "{rate:p2}%", "That is {rate:p2}% of all customers."),
+    ("N1", 7, 1, "total", 1, 1, "Average Delivery Time", "{days:p2} days", "From purchase to delivery it took {days:p2} days."),
+    ("N1", 8, 1, "total", 1, 1, "Estimated Delivery Time", "{promised:p2} days", "Buyers were told {promised:p2} days."),
+    ("N1", 9, 1, "total", 1, 1, "Average Delivery Difference", "{difference:p2} days", "Delivery and promise differ by {difference:p2} days."),
+    ("N1", 10, 1, "total", 1, 1, "Delayed Order Rate", "{rate:p2}%", "{late:0} orders came after the promised day, {rate:p2}% of them all."),
+    ("N1", 11, 1, "month", 1, 1, "Highest Revenue Month", "{key}", "{key} sold most: R$ {revenue:2} in {orders:0} orders."),
+    ("N1", 12, 1, "total", 1, 1, "Lowest Revenue Month", "{month.last.key}", "{month.last.key} sold least: R$ {month.last.revenue:2} in {month.last.orders:0} orders."),
+    ("N1", 13, 1, "category", 1, 1, "Top Revenue Category", "{key}", "{key} sold for R$ {revenue:2} in {orders:0} orders."),
+    ("N1", 14, 1, "state", 1, 1, "Top Customer State", "{key}", "Buyers in {key} spent R$ {revenue:2} in {orders:0} orders."),
+    ("N1", 15, 1, "payment", 1, 1, "Top Payment Method", "{key}", "R$ {value:2} were paid by {key}, for {orders:0} orders."),
     ("N2", 0, 1, "total", 1, 1, "", "", "# Marketplace report"),
     ("N2", 1, 1, "total", 1, 1, "", "", "## 1. Summary"),
     ("N2", 1, 2, "total", 1, 1, "", "", "{orders:0} delivered orders brought R$ {revenue:2}, R$ {aov:2} each."),
@@ -112,6 +127,15 @@ RULES: list[tuple] = [
     ("A25", 11, 1, "total", 1, 1, "Waiting", "", "Orders within 5 days score {delivery.0-5d.score:p2}, those of 20 to 30 days {delivery.20-30d.score:p2}."),
     ("A25", 12, 1, "score", 1, 1, "Ratings", "", "{key} has the lowest score of the larger categories, {score:p2}."),
 ]
+# Category and meaning of N1's rows, by section.
+MEANINGS = [
+    (1, "Overall Performance", "Completed-order volume behind the revenue figures."), (2, "Overall Performance", "Primary revenue KPI."),
+    (3, "Overall Performance", "Baseline for basket-size strategies."), (4, "Customer", "Customer base of the delivered-order analysis."),
+    (5, "Customer", "Observed returning segment."), (6, "Customer", "Retention is an opportunity area."), (7, "Delivery", "Logistics baseline."),
+    (8, "Delivery", "Actual versus promised delivery."), (9, "Delivery", "Negative means earlier than estimated on average."),
+    (10, "Delivery", "Share of completed orders past the estimate."), (11, "Monthly Performance", "Strongest monthly revenue period."),
+    (12, "Monthly Performance", "Weakest monthly revenue period."), (13, "Product Category", "Leading revenue category."),
+    (14, "Geography", "Largest revenue state."), (15, "Payment", "Dominant payment method.")]
 # Domains whose rows are quoted by their key instead of their rank.
 BY_KEY = ("punctuality", "delivery")
 
@@ -244,6 +268,13 @@ def report(L: Layers, name: str, rules: list[tuple] | None = None) -> DataFrame:
     return lines.select("section", "line", "rank", F.coalesce("key", F.lit("")).alias("key"), *[render(c).alias(c) for c in ("title", "metric", "text")])
 
 
+def n01_business_insights(L: Layers) -> DataFrame:
+    """Fifteen insights, each with its category, value and meaning."""
+    meanings = local_table(L.spark, MEANINGS, "section int, category string, business_meaning string")
+    return report(L, "N1").join(F.broadcast(meanings), "section").select(
+        "category", F.col("title").alias("metric"), F.col("metric").alias("value"), F.col("text").alias("observation"), "business_meaning")
+
+
 def n02_report_lines(L: Layers) -> DataFrame:
     """The report's ten sections as numbered lines."""
     x = report(L, "N2")
@@ -261,4 +292,4 @@ def a25_eda_insights(L: Layers) -> DataFrame:
     return report(L, "A25").select(F.col("section").alias("id"), F.col("title").alias("topic"), F.col("text").alias("insight"))
 
 
-REPORT_JOBS = {"n02_report_lines": n02_report_lines, "n03_executive_insights": n03_executive_insights, "a25_eda_insights": a25_eda_insights}
+REPORT_JOBS = {"n01_business_insights": n01_business_insights, "n02_report_lines": n02_report_lines, "n03_executive_insights": n03_executive_insights, "a25_eda_insights": a25_eda_insights}
