@@ -7,7 +7,9 @@ into the place in the next with one small count, so any token, or any range of t
 ``write_tokens`` writes a table of segments in ascending order of doc_id: each row holds the ids of whole documents (about
 ``SEGMENT`` tokens; a longer document is a segment of its own), the documents' lengths, and the levels.  The rows' order,
 and with it every document's first token, is fixed by (part, segment).  ``read_tokens`` reads the documents' ids back from
-the files alone.
+the files alone.  ``tokens_at`` reads single tokens: the files are not compressed and hold a page for each segment, whose
+part and segment are in the page index, so a search for some segments reads their pages and no others, and in an opened
+segment a token costs one chunk, one bit and one rank a level.
 
 Defined cases: null and empty texts are the end id alone.  Rows with equal doc_id stand next to each other in no special
 order, rows without doc_id come first.  A hot doc_id is spread over parts.  An empty table writes no segment.  Other
@@ -135,19 +137,56 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
                .repartitionByRange("doc_id", F.rand(11)).sortWithinPartitions("doc_id"))
-    ordered.mapInArrow(encode, "part int, segment int, n_tokens long, doc_ids array<long>, sizes array<long>, codes binary"
-                       ).write.parquet(path)
+    made = ordered.mapInArrow(encode, "part int, segment int, n_tokens long, doc_ids array<long>, sizes array<long>, codes binary")
+    made.write.option("compression", "uncompressed").option("parquet.page.row.count.limit", "1").parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document: ids as little-endian unsigned 32-bit numbers, ``start`` the ids
-    of all documents before it."""
-    table = spark.read.parquet(path)
+def _starts(table: DataFrame) -> DataFrame:
+    """(part, segment, n_tokens, first): the ids of all segments before each one."""
     parts = table.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row for each written partition
     offsets = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     inside = Window.partitionBy("part").orderBy("segment")
     starts = table.select("part", "segment", "n_tokens").withColumn("inside", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
-    starts = starts.join(offsets, "part").select("part", "segment", (F.col("before") + F.col("inside")).alias("first"))
+    return starts.join(offsets, "part").select("part", "segment", "n_tokens", (F.col("before") + F.col("inside")).alias("first"))
+
+
+def tokens_at(spark: SparkSession, path: str, places: DataFrame, pushed: int = 1_000) -> DataFrame:
+    """(place, id) for each of ``places(place)`` among all ids of the files, counted from 0; places beyond them, null ones and
+    repeated ones give no row of their own.  Where ``pushed`` segments at most are asked for, their numbers go to the scan,
+    which then opens no other page."""
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                codes = Codes(row["codes"])
+                yield pa.record_batch([pa.array([row["first"] + p for p in row["places"]], pa.int64()),
+                                       pa.array([codes[p] for p in row["places"]], pa.int64())], ["place", "id"])
+
+    table = spark.read.parquet(path)
+    span = F.lit(SEGMENT)
+    starts = _starts(table).withColumn("range", F.explode(F.sequence(
+        F.floor(F.col("first") / span), F.floor((F.col("first") + F.col("n_tokens") - 1) / span))))
+    asked = places.select(F.col("place").cast("long").alias("place")).distinct().withColumn("range", F.floor(F.col("place") / span))
+    found = (asked.join(starts, "range").filter("place >= first and place < first + n_tokens")
+             .groupBy("part", "segment", "first").agg(F.sort_array(F.collect_list(F.col("place") - F.col("first"))).alias("places")))
+    some = found.select("part", "segment").limit(pushed + 1).collect()
+    wanted = table.select("part", "segment", "codes")
+    if len(some) <= pushed:
+        by_part: dict[int, list[int]] = {}
+        for r in some:
+            by_part.setdefault(r["part"], []).append(r["segment"])
+        keep = F.lit(False)
+        for part, segments in by_part.items():
+            keep |= (F.col("part") == part) & F.col("segment").isin(*segments)
+        wanted = wanted.filter(keep)
+    return wanted.join(found, ["part", "segment"]).select("first", "codes", "places").mapInArrow(look_up, "place long, id long")
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every document: ids as little-endian unsigned 32-bit numbers, ``start`` the ids
+    of all documents before it."""
+    table = spark.read.parquet(path)
+    starts = _starts(table).drop("n_tokens")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -107,6 +107,35 @@ def test_written_files_read_back(docs, spark, tmp_path, plain, monkeypatch):
     assert addressable.read_tokens(spark, f"{tmp_path}/none").collect() == []
 
 
+@pytest.mark.parametrize("pushed", [1_000, 3])
+def test_single_tokens_equal_a_full_read(spark, docs, tmp_path, monkeypatch, pushed):
+    monkeypatch.setattr(addressable, "SEGMENT", 64)
+    path = f"{tmp_path}/codes"
+    addressable.write_tokens(docs([(k, "some words of a text " * (1 + k % 40)) for k in range(60)] + ROWS), path, segment=64)
+    rows = sorted(addressable.read_tokens(spark, path).collect(), key=lambda r: r["start"])
+    every = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in rows])
+    wanted = [0, 1, 63, 64, 65, len(every) - 1, *range(100, len(every), 97), len(every), len(every) + 10 ** 9, -1, None, 0]
+    places = spark.createDataFrame([(w, "x", 1) for w in wanted], "place long, codes string, part int")
+    got = {r["place"]: r["id"] for r in addressable.tokens_at(spark, path, places, pushed).collect()}
+    assert got == {w: int(every[w]) for w in wanted if w is not None and 0 <= w < len(every)}
+    assert addressable.tokens_at(spark, path, places.limit(0), pushed).collect() == []
+
+
+def test_a_search_for_one_token_opens_one_page(spark, docs, tmp_path):
+    """The page index holds each segment's numbers, the pages are not compressed, and the scan gets the filter."""
+    import pyarrow.parquet as pq
+
+    path = tmp_path / "codes"
+    addressable.write_tokens(docs([(k, "words " * 300) for k in range(200)]).coalesce(1), str(path), segment=1_000)
+    for f in path.glob("*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        column = next(meta.row_group(0).column(i) for i in range(meta.num_columns) if meta.row_group(0).column(i).path_in_schema == "codes")
+        assert column.compression == "UNCOMPRESSED" and column.has_offset_index
+    one = spark.createDataFrame([(12_345,)], "place long")
+    plan = addressable.tokens_at(spark, str(path), one)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(segment," in plan or "In(segment," in plan
+
+
 def test_addressable_query(spark, plain):
     sf = "/root/testdata/sf0.001"
     texts = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
