@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souklens.llm.storage import cut
+from souklens.llm.storage import cut, free_name
 from souklens.llm.text import Interner, alnum_words, chunks
 
 WINDOW = 13
@@ -265,8 +265,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     so rows without an id, or with the same id and other texts, are judged one by one."""
     mark = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")
     index = build_index(docs.select(mark.alias("mark"), "text"), "mark")
-    bad = cut(search(index, benchmark).filter(contaminated()).select(F.col("id").alias("__mark")).distinct(), "contaminated")
-    return docs.join(bad, mark == F.col("__mark"), "left_anti").select(*docs.columns)
+    name = free_name(docs, "_llm_mark")  # columns of any name pass through
+    bad = cut(search(index, benchmark).filter(contaminated()).select(F.col("id").alias(name)).distinct(), "contaminated")
+    return docs.withColumn(name, mark).join(bad, name, "left_anti").select(*docs.columns)
 
 
 def op6_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:

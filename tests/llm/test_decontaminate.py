@@ -141,3 +141,12 @@ def test_stage_drops_by_row(docs, spark):
     assert kept.columns == docs(rows).columns
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(
         [(1, "clean words"), (None, "clean"), rows[4], (3, None)], key=str)
+
+
+def test_stage_leaves_columns_of_any_name_alone(spark):
+    passage = " ".join(f"w{k}" for k in range(20))
+    names = ["__mark", "_llm_mark", "mark", "id"]
+    rows = [(k, t, *[f"{n} of {k}" for n in names]) for k, t in ((1, passage), (2, "clean text"), (None, None))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = d.drop_contaminated(frame, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert kept.columns == frame.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(rows[1:], key=str)
