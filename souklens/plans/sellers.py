@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -38,8 +39,9 @@ def with_tiers(df: DataFrame) -> DataFrame:
     return scored.drop(*[f"_e{i}" for i in range(len(TIERS))])
 
 
-def seller_scorecard(L: Layers) -> DataFrame:
-    """I1-I6."""
+def seller_scorecard(L: Layers, columns: Sequence[str] | None = None) -> DataFrame:
+    """I1-I6.  A job that reads only some columns names them: only those and
+    the tiers' values are then kept for the second reading."""
     sa = L.enriched["seller_analytics"]
     oe = L.enriched["orders_enriched"]
     d_items = L.enriched["order_items_enriched"].where(DELIVERED())
@@ -61,6 +63,8 @@ def seller_scorecard(L: Layers) -> DataFrame:
                F.nullif(F.count_distinct("customer_unique_id"), F.lit(0)).alias("n_customers_served")))
     sc = (sa.join(per, "seller_id", "left")
           .withColumn("seller_aov", ratio("total_revenue", "n_unique_orders")))
+    if columns is not None:
+        sc = sc.select(*dict.fromkeys([*columns, *[value for value, _, _ in TIERS]]))
     sc = with_tiers(reused(sc))
     return sc.withColumn("performance_flag", performance_flag())
 
@@ -93,7 +97,7 @@ def i1_seller_scorecard(L: Layers) -> DataFrame:
 
 def i7_opportunity_lists(L: Layers, limit: int = 20) -> DataFrame:
     """Five lists of at most ``limit`` sellers each, each with its own sort."""
-    sc = seller_scorecard(L)
+    sc = seller_scorecard(L, ["seller_id"])
     spec = [("top_performers", FLAGS[0], F.desc("total_revenue")),
             ("high_rev_low_sat", FLAGS[1], F.desc("total_revenue")),
             ("hidden_gems", FLAGS[2], F.desc("avg_review_score")),
@@ -108,12 +112,12 @@ def i7_opportunity_lists(L: Layers, limit: int = 20) -> DataFrame:
 
 
 def i8_flag_summary(L: Layers) -> DataFrame:
-    return seller_scorecard(L).groupBy("performance_flag").agg(
+    return seller_scorecard(L, []).groupBy("performance_flag").agg(
         F.count(F.lit(1)).alias("sellers"), money(F.sum("total_revenue")).alias("revenue"))
 
 
 def i9_seller_scatter(L: Layers, size_cap: int = 500) -> DataFrame:
-    sc = seller_scorecard(L)
+    sc = seller_scorecard(L, ["seller_id", "n_unique_orders"])
     pts = sc.where(F.col("avg_review_score").isNotNull() & (F.col("total_revenue") > 0))
     return pts.select(
         "seller_id", money("total_revenue").alias("total_revenue"), rnd("avg_review_score", 4).alias("avg_review_score"),
