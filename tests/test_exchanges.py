@@ -31,6 +31,10 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _count(plan, key):
+    return plan.count(f"Exchange hashpartitioning({key}#")
+
+
 def _exchanges(df):
     return _plan(df).count("Exchange hashpartitioning(")
 
@@ -63,10 +67,13 @@ def test_numbering_and_join_share_one_exchange(spark, table):
         assert _exchanges(joined) == 2  # one for each side
 
 
-def test_seller_sums_do_not_number_the_items(spark):
+def test_seller_sums_move_the_items_once(spark):
     with _large_tables(spark):
         c = Layers(spark, SMALL).clean
-        assert "l_linenumber" not in _plan(seller_sales(c["order_items"], c["orders"], c["order_reviews"]))
+        plan = _plan(seller_sales(c["order_items"], c["orders"], c["order_reviews"]))
+    assert not any("l_orderkey" in line for line in plan.split("\n") if "Exchange hashpartitioning" in line)
+    assert _count(plan, "order_id") == 3  # items, orders, reviews
+    assert _count(plan, "seller_id") == 1
 
 
 def test_customers_meet_orders_not_items(spark):
