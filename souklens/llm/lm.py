@@ -2,7 +2,8 @@
 
 The counts of all n-grams of the corpus (orders 1 to ``ORDER``) meet the n-grams of every document by hash:
 
-1. Documents are gathered into blocks of some 250,000 words; a block keeps its own dictionary and its words as numbers.
+1. Documents are gathered into blocks of some 1,000,000 words; a block keeps its own dictionary and its words as numbers,
+   the frequent ones small.  Larger blocks share more of their n-grams and lie closer, so less is moved.
 2. Every block gives its distinct n-grams with their counts, cut by the upper bits of the n-gram's 56-bit hash into
    partitions of the count table: one row for each block and partition.  Counting within the block first means that an
    n-gram of a third of all documents is one entry of each block.
@@ -37,7 +38,7 @@ from souklens.llm.text import Interner, alnum_words, chunks, ngram_hashes
 
 ORDER = 3
 BACKOFF = 0.4
-BLOCK_WORDS = 250_000
+BLOCK_WORDS = 1_000_000
 HASH_BITS = 56
 PARTITION_GRAMS = 2_000_000
 _SALT = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63],
@@ -52,10 +53,15 @@ def word_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             nonlocal made, ids, sizes, numbers, terms, total
+            words = np.concatenate(numbers)
+            order = np.argsort(-np.bincount(words, minlength=len(terms)), kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            named = list(terms)
             out = pa.record_batch(
                 [pa.array([(part << 32) + made], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
-                 pa.array([sizes], pa.list_(pa.int64())), pa.array([b" ".join(terms)], pa.binary()),
-                 pa.array([pack_numbers(np.concatenate(numbers))], pa.binary())],
+                 pa.array([sizes], pa.list_(pa.int64())), pa.array([pack(b" ".join(named[k] for k in order))], pa.binary()),
+                 pa.array([pack_numbers(rank[words])], pa.binary())],
                 ["block", "ids", "sizes", "terms", "numbers"])
             made, ids, sizes, numbers, terms, total = made + 1, [], [], [], Interner(), 0
             return out
@@ -81,7 +87,7 @@ class Grams:
 
     def __init__(self, sizes: list[int], terms: bytes, numbers: bytes, order: int):
         self.sizes = np.array(sizes, np.int64)
-        table = np.array([xxhash.xxh3_64_intdigest(w) for w in terms.split()], np.uint64)
+        table = np.array([xxhash.xxh3_64_intdigest(w) for w in unpack(terms).split()], np.uint64)
         words = table[unpack_numbers(numbers).astype(np.int64)]
         self.document = np.repeat(np.arange(len(sizes)), self.sizes)
         self.depth = np.arange(len(words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
@@ -97,40 +103,40 @@ def _bucket_bounds(bits: int) -> np.ndarray:
     return np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(HASH_BITS - bits) if bits else np.zeros(0, np.uint64)
 
 
+def pack(data: bytes) -> bytes:
+    """Bytes compressed, behind their length."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+
+
+def unpack(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.Codec("zstd").decompress(data[8:], decompressed_size=size, asbytes=True) if size else b""
+
+
 def pack_numbers(values: np.ndarray) -> bytes:
-    """Numbers as byte planes, lowest bytes first, as many as the largest needs: the upper planes are almost empty, so
-    the exchange's compression leaves little of them."""
+    """Numbers as compressed byte planes, lowest bytes first, as many as the largest needs: the upper planes are almost
+    empty, so compression leaves little of them."""
     width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
     planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
-    return bytes([width]) + np.ascontiguousarray(planes).tobytes()
+    return bytes([width]) + pack(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack_numbers(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    planes = np.frombuffer(unpack(data[1:]), np.uint8).reshape(data[0], -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :data[0]] = planes.T
     return out.view("<u8").ravel()
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Ascending 64-bit numbers as differences of as many bytes as the largest needs."""
-    if not len(values):
-        return b""
-    gaps = np.diff(values, prepend=np.uint64(0))
-    width = max(1, -(-int(gaps[1:].max(initial=0)).bit_length() // 8))
-    head = int(values[0]).to_bytes(8, "little")
-    return bytes([width]) + head + np.ascontiguousarray(gaps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    """Ascending 64-bit numbers as their differences: most need fewer bytes than the largest, so planes cost less."""
+    return int(values[0]).to_bytes(8, "little") + pack_numbers(np.diff(values)) if len(values) else b""
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(0, np.uint64)
-    width = data[0]
-    raw = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    gaps = np.zeros((len(raw) + 1, 8), np.uint8)
-    gaps[1:, :width] = raw
-    gaps[0] = np.frombuffer(data[1:9], np.uint8)
-    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(data, "<u8", 1), unpack_numbers(data[8:])]), dtype=np.uint64)
 
 
 def stupid_backoff(docs: DataFrame, order: int = ORDER, block_words: int = BLOCK_WORDS,

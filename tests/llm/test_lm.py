@@ -67,6 +67,13 @@ def test_byte_planes_round_trip():
         assert lm.unpack_numbers(lm.pack_numbers(np.array(v, np.uint64))).tolist() == v
 
 
+def test_differences_take_no_more_bytes_than_most_of_them_need():
+    v = np.cumsum(np.concatenate([np.full(5000, 200), [2**40], np.full(5000, 200)]).astype(np.uint64), dtype=np.uint64)
+    assert (lm.unpack_sorted(lm.pack_sorted(v)) == v).all()
+    assert len(lm.pack_sorted(v)) < 2 * len(v)  # one wide gap does not widen all
+    assert len(lm.pack_numbers(np.arange(20_000) % 7)) < 5_000
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
