@@ -123,14 +123,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
         for piece, texts in chunks(batches, "text", 1 << 20):
             flat, counts = ids_of(texts)
+            flat = np.insert(flat, np.cumsum(counts), np.uint32(end_id))
             at = 0
-            for d, n in zip(piece.column(0).to_pylist(), counts.tolist()):
-                if total and total + n + 1 > segment:
+            for d, n in zip(piece.column(0).to_pylist(), (counts + 1).tolist()):
+                if total and total + n > segment:
                     yield row()
                 ids.append(d)
-                sizes.append(n + 1)
-                parts.append(np.append(flat[at:at + n], np.uint32(end_id)))
-                total += n + 1
+                sizes.append(n)
+                parts.append(flat[at:at + n])
+                total += n
                 at += n
         if ids:
             yield row()
@@ -194,9 +195,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 row = batch.slice(k, 1).to_pylist()[0]
                 codes, sizes = Codes(row["codes"]), np.array(row["sizes"], np.int64)
                 ends = np.cumsum(sizes)
+                every = codes.read(0, len(codes)).astype("<u4").tobytes()
                 yield pa.record_batch(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(row["first"] + ends - sizes), pa.array(sizes),
-                     pa.array([codes.read(b - n, b).astype("<u4").tobytes() for n, b in zip(sizes.tolist(), ends.tolist())],
+                     pa.array([every[4 * (b - n):4 * b] for n, b in zip(sizes.tolist(), ends.tolist())],
                               pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return (table.select("part", "segment", "doc_ids", "sizes", "codes").join(starts, ["part", "segment"])

@@ -55,6 +55,22 @@ def test_tables_start_anew(plain):
         assert ids.tolist() == [i for t in texts for i in plain.encode(t, add_special_tokens=False).ids]
 
 
+def test_letters_are_cut_once_whatever_marks_and_case_they_stand_with():
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.model, self.asked = tokenizer, self, []
+
+        def tokenize(self, text):
+            self.asked.append(text)
+            return self.tokenizer.model.tokenize(text)
+
+    e = tokens.Encoder(most=10)
+    e.tokenizer = Counting(e.tokenizer)
+    for k in range(5):  # the table of words starts anew in between, that of the pieces does not
+        e([f"Word{'!' * k} word{',' * k} WORD".encode()])
+    assert e.tokenizer.asked.count("word") == 1
+
+
 def test_other_files_are_encoded_plainly():
     import public_tokenizers
 
