@@ -159,12 +159,6 @@ def v01_post_clean_validation(L: Layers, observed: dict | None = None) -> DataFr
         _none("negative", V1_CHECKS[14], "%s orders with negative delivery days")])
 
 
-# Sums of the ladder below, from the orders up to the one row.
-_LADDER = ["rows_orders", "keys_orders", "rows_fact_orders", "keys_fact_orders", "rows_fact_sales", "keys_fact_sales",
-           "items_orders", "payments_orders", "reviews_orders", "sales_facts", "paid", "payment_total", "mismatched",
-           "sold", "delivered", "revenue", "seconds", "seconds_n", "late", "bad_quarters"]
-
-
 def _is_delivered() -> Column:
     return F.coalesce(F.col("order_status") == "delivered", F.lit(False))
 
@@ -186,42 +180,49 @@ def fact_sales_measures() -> dict[str, Column]:
 
 
 def _order_rows(L: Layers) -> DataFrame:
-    """One row per order_id that any table holds, with all that adds up.  Over
-    a bucketed warehouse neither aggregate needs an exchange."""
+    """One row per fact, with ``nth`` of its order, and per order_id without
+    one: the fact's own numbers beside those that the other tables add up to
+    by order_id.  Only fixed-width numbers are added up, so the aggregate is a
+    hash table with one narrow entry an order; the facts join it as they are.
+    A NULL order_id meets no other."""
     s, c = L.star, L.clean
     dlv, q = _is_delivered(), F.quarter("order_purchase_timestamp")
     facts = s["fact_orders"].select(
-        "order_id", "customer_id", F.lit(1).alias("n_fo"), F.col("payment_total").alias("_total"), dlv.cast("int").alias("_d"),
+        "order_id", "customer_id", F.row_number().over(Window.partitionBy("order_id").orderBy("order_id")).alias("nth"),
+        F.col("payment_total").alias("_total"), dlv.alias("_d"),
         F.when(dlv, F.col("order_revenue")).alias("_rev"), F.when(dlv, F.col("delivery_seconds")).alias("_sec"),
-        (dlv & F.coalesce(F.col("is_delayed") == 1, F.lit(False))).cast("int").alias("_late"),
-        F.when(dlv, F.pow(F.lit(2), q).cast("int")).alias("_q"), (dlv & ~q.between(1, 4)).cast("int").alias("_badq"))
+        (dlv & F.coalesce(F.col("is_delayed") == 1, F.lit(False))).alias("_late"),
+        F.when(dlv, F.pow(F.lit(2), q).cast("int")).alias("_q"), (dlv & ~q.between(1, 4)).alias("_badq"))
     sales = (s["fact_sales"].groupBy("order_id", "order_item_id")
              .agg(F.count(F.lit(1)).alias("n_fs"), F.sum(F.when(_is_delivered(), F.col("item_revenue"))).alias("_sold"))
              .select("order_id", "n_fs", F.lit(1).alias("n_pair"), "_sold"))
-    parts = [facts, sales, c["orders"].select("order_id", F.lit(1).alias("n_o")), c["order_items"].select("order_id", F.lit(1).alias("n_i")),
+    parts = [sales, c["orders"].select("order_id", F.lit(1).alias("n_o")), c["order_items"].select("order_id", F.lit(1).alias("n_i")),
              c["order_payments"].select("order_id", F.lit(1).alias("n_p"), F.col("payment_value").alias("_paid")),
              c["order_reviews"].select("order_id", F.lit(1).alias("n_r"))]
-    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
-    zero = {n: F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in
-            ("n_fo", "n_fs", "n_pair", "n_o", "n_i", "n_p", "n_r", "_total", "_d", "_late", "_badq", "_paid", "_sold")}
-    per = rows.groupBy("order_id").agg(
-        *zero.values(), F.max("customer_id").alias("customer_id"), F.max("_rev").alias("_high"), F.min("_rev").alias("_low"),
-        F.sum("_rev").alias("_rev"), F.sum("_sec").alias("seconds"), F.count("_sec").alias("seconds_n"), F.bit_or("_q").alias("quarters"))
-    known = F.col("order_id").isNotNull()
-
-    def alone(child: str, parent: str) -> Column:
-        return F.when(~known | (F.col(parent) == 0), F.col(child)).otherwise(F.lit(0))
-
-    off = F.greatest(F.abs(F.col("_sold") - F.col("_high")), F.abs(F.col("_sold") - F.col("_low"))) > 0.01
-    return per.select(
-        "customer_id", "quarters", "seconds", "seconds_n", F.col("n_o").alias("rows_orders"),
-        (known & (F.col("n_o") > 0)).cast("long").alias("keys_orders"), F.col("n_fo").alias("rows_fact_orders"),
-        (known & (F.col("n_fo") > 0)).cast("long").alias("keys_fact_orders"), F.col("n_fs").alias("rows_fact_sales"),
-        F.col("n_pair").alias("keys_fact_sales"), alone("n_i", "n_o").alias("items_orders"), alone("n_p", "n_o").alias("payments_orders"),
-        alone("n_r", "n_o").alias("reviews_orders"), alone("n_fs", "n_fo").alias("sales_facts"),
-        F.when(known & (F.col("n_fo") > 0), F.col("_paid")).otherwise(F.lit(0)).alias("paid"), F.col("_total").alias("payment_total"),
-        F.when(off, F.col("_d")).otherwise(F.lit(0)).alias("mismatched"), F.col("_sold").alias("sold"), F.col("_d").alias("delivered"),
-        F.coalesce("_rev", F.lit(0)).alias("revenue"), F.col("_late").alias("late"), F.col("_badq").alias("bad_quarters"))
+    sums = (reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).groupBy("order_id")
+            .agg(*[F.sum(n).alias(n) for n in ("n_fs", "n_pair", "n_o", "n_i", "n_p", "n_r", "_sold", "_paid")]))
+    rows = facts.join(sums, "order_id", "full_outer")
+    return rows.select(F.col("order_id").isNotNull().alias("known"), *rows.columns[1:])
+
+
+def _order_totals() -> dict[str, Column]:
+    """What adds up over ``_order_rows``; an order's sums count on one of its rows."""
+    known, here = F.col("known"), F.coalesce("nth", F.lit(1)) == 1
+    has_order = F.coalesce(F.col("n_o") > 0, F.lit(False))
+
+    def once(value: str, holds: Column | None = None) -> Column:
+        return F.sum(F.when(here if holds is None else here & holds, F.col(value)))
+
+    off = F.abs(F.coalesce("_sold", F.lit(0)) - F.col("_rev")) > 0.01
+    alone = ~known | ~has_order
+    sums = {"rows_orders": once("n_o"), "keys_orders": F.count_if(here & known & has_order), "rows_fact_orders": F.count("nth"),
+            "keys_fact_orders": F.count_if(known & (F.col("nth") == 1)), "rows_fact_sales": once("n_fs"), "keys_fact_sales": once("n_pair"),
+            "items_orders": once("n_i", alone), "payments_orders": once("n_p", alone), "reviews_orders": once("n_r", alone),
+            "sales_facts": F.sum(F.when(F.col("nth").isNull(), F.col("n_fs"))), "paid": F.sum(F.when(known & (F.col("nth") == 1), F.col("_paid"))),
+            "payment_total": F.sum("_total"), "mismatched": F.count_if(F.col("_d") & off), "sold": once("_sold"),
+            "delivered": F.count_if("_d"), "revenue": F.sum("_rev"), "seconds": F.sum("_sec"), "seconds_n": F.count("_sec"),
+            "late": F.count_if("_late"), "bad_quarters": F.count_if("_badq")}
+    return {**{name: F.coalesce(total, F.lit(0)) for name, total in sums.items()}, "quarters": F.bit_or("_q")}
 
 
 def mismatched_orders(L: Layers) -> DataFrame:
@@ -235,32 +236,32 @@ def mismatched_orders(L: Layers) -> DataFrame:
 
 
 def warehouse_numbers(L: Layers, observed: dict | None = None) -> DataFrame:
-    """All numbers of V4-V9 as one row.  A ladder: sums by order_id, then by
-    customer_id together with the customers, then by person, then in total, so
-    each table is read once; every step adds up the one before and is combined
-    map-side.  Where the facts are computed and not stored, they and the checks
-    share the items and payments; where they are stored, V7 is joined in place."""
+    """All numbers of V4-V9 as one row: sums over the orders, and a ladder of
+    the few numbers that customers need, by customer_id together with the
+    customers, then by person, then in total.  Where the facts are computed and
+    not stored, they and the checks share the items, and both sums share the
+    orders' rows; where they are stored, V7 is joined in place."""
     if not L.stored:
-        L = L.with_clean(order_items=reused(L.clean["order_items"].select("order_id", "order_item_id", "price", "freight_value")),
-                         order_payments=reused(L.clean["order_payments"].select("order_id", "payment_type", "payment_installments", "payment_value")))
+        L = L.with_clean(order_items=reused(L.clean["order_items"].select("order_id", "order_item_id", "price", "freight_value")))
     c, s = L.clean, L.star
-    by_customer = (_order_rows(L)
-                   .unionByName(c["customers"].select("customer_id", F.lit(1).alias("n_c")), allowMissingColumns=True)
-                   .unionByName(s["dim_customer"].select("customer_id", F.lit(1).alias("n_dim"), F.col("customer_unique_id").alias("person")),
-                                allowMissingColumns=True)
-                   .groupBy("customer_id").agg(*[F.sum(n).alias(n) for n in _LADDER], F.bit_or("quarters").alias("quarters"),
-                                               F.coalesce(F.sum("n_c"), F.lit(0)).alias("rows_customers"),
-                                               F.coalesce(F.sum("n_dim"), F.lit(0)).alias("n_dim"), F.max("person").alias("person")))
+    orders = _order_rows(L) if L.stored else reused(_order_rows(L))
+    totals = orders.agg(*[total.alias(name) for name, total in _order_totals().items()])
+    facts = s["fact_orders"].withColumn("_d", _is_delivered()) if L.stored else orders.where(F.col("nth").isNotNull())
+    parts = [facts.select("customer_id", F.lit(1).alias("n_fo"), F.col("_d").cast("int").alias("n_d")),
+             c["customers"].select("customer_id", F.lit(1).alias("n_c")),
+             s["dim_customer"].select("customer_id", F.lit(1).alias("n_dim"), F.col("customer_unique_id").alias("person"))]
+    by_customer = (reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).groupBy("customer_id")
+                   .agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("n_fo", "n_d", "n_c", "n_dim")], F.max("person").alias("person")))
     known = F.col("customer_id").isNotNull()
     more = ["rows_customers", "keys_customers", "facts_customers"]
-    by_person = (by_customer.withColumns({
-        "keys_customers": (known & (F.col("rows_customers") > 0)).cast("long"),
-        "facts_customers": F.when(~known | (F.col("n_dim") == 0), F.col("rows_fact_orders")),
-        "has_dim": known & (F.col("n_dim") > 0)})
-        .groupBy("has_dim", "person").agg(*[F.sum(n).alias(n) for n in _LADDER + more], F.bit_or("quarters").alias("quarters")))
-    buyer = F.col("has_dim") & (F.col("delivered") > 0)
-    one = by_person.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _LADDER + more], F.bit_or("quarters").alias("quarters"),
-                        F.count_if(buyer).alias("persons"), F.count_if(buyer & (F.col("delivered") > 1)).alias("repeaters"))
+    by_person = (by_customer.select(
+        "person", "n_d", F.col("n_c").alias("rows_customers"), (known & (F.col("n_c") > 0)).cast("long").alias("keys_customers"),
+        F.when(~known | (F.col("n_dim") == 0), F.col("n_fo")).alias("facts_customers"), (known & (F.col("n_dim") > 0)).alias("has_dim"))
+        .groupBy("has_dim", "person").agg(*[F.sum(n).alias(n) for n in ["n_d", *more]]))
+    buyer = F.col("has_dim") & (F.col("n_d") > 0)
+    one = totals.crossJoin(F.broadcast(by_person.agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in more],
+        F.count_if(buyer).alias("persons"), F.count_if(buyer & (F.col("n_d") > 1)).alias("repeaters"))))
     for t, key in (("products", "product_id"), ("sellers", "seller_id")):
         one = one.crossJoin(F.broadcast(c[t].agg(F.count(F.lit(1)).alias(f"rows_{t}"), F.count_distinct(key).alias(f"keys_{t}"))))
     if L.stored:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from souklens.functions.reuse import releasing
 from souklens.operators.enrich import seller_sales
-from souklens.plans import sellers
+from souklens.plans import growth, quality, sellers
 from souklens.plans.context import Layers
 from souklens.operators.summary import delivered_rows
 from souklens.sources import fixtures
@@ -89,3 +89,52 @@ def test_flag_summary_keeps_only_what_it_reads(spark):
     plan = _plan(result)
     assert "InMemoryRelation" in plan or "InMemoryTableScan" in plan
     assert "n_customers_served" not in plan and "seller_city" not in plan
+
+
+@contextlib.contextmanager
+def _whole_plans(spark):
+    """Plans with their reused exchanges, before anything runs."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def _rows_sent(df, exchange):
+    """Columns of what goes into the exchanges whose line holds ``exchange``: the line's own and its child's."""
+    lines = _plan(df).split("\n")
+    return [line + lines[k + 1] for k, line in enumerate(lines) if exchange in line]
+
+
+def test_numbering_moves_the_lines_own_columns(spark):
+    with _large_tables(spark):
+        sent = _rows_sent(Layers(spark, SMALL).clean["order_items"], "Exchange hashpartitioning(order_id")
+    assert len(sent) == 1 and "l_extendedprice" in sent[0]
+    assert not any(made in sent[0] for made in ("AS product_id", "AS seller_id", "AS price", "AS freight_value"))
+
+
+def test_items_come_back_with_one_name(spark):
+    with _large_tables(spark):
+        c = Layers(spark, SMALL).clean
+        sent = _rows_sent(delivered_rows(c["orders"], c["customers"], c["order_items"], c["order_reviews"], c["products"], c["category_translation"],
+                                         c["sellers"]), "Exchange hashpartitioning(order_id")
+    back = [x for x in sent if "seller_state" in x]
+    assert back and not any("category" in x for x in back)
+
+
+def test_opportunities_number_the_items_once(spark):
+    with _large_tables(spark), _whole_plans(spark):
+        plan = _plan(growth.o7_opportunities(Layers(spark, SMALL)))
+    assert [line for line in plan.split("\n") if "ReusedExchange" in line and "l_extendedprice" in line]
+    assert not any("AS price" in x for x in _rows_sent(growth.o7_opportunities(Layers(spark, SMALL)), "Exchange hashpartitioning(order_id"))
+
+
+def test_order_sums_are_hashed_and_customers_narrow(spark):
+    with _large_tables(spark):
+        L = Layers(spark, SMALL)
+        assert "SortAggregate" not in _plan(quality._order_rows(L))
+        L.stored = True  # all in one plan, nothing cached
+        plan = _plan(quality.warehouse_numbers(L))
+    by_customer = [line for line in plan.split("\n") if "Aggregate(keys=[customer_id" in line or "SortAggregate(key=[customer_id" in line]
+    assert by_customer and not any("payment_total" in line or "n_i" in line or "seconds" in line for line in by_customer)
