@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from souklens.functions.reuse import releasing
 from souklens.operators.enrich import seller_sales
+from souklens.operators.star import payment_summary
 from souklens.plans import growth, quality, sellers
 from souklens.plans.context import Layers
 from souklens.operators.summary import delivered_rows
@@ -138,3 +139,10 @@ def test_order_sums_are_hashed_and_customers_narrow(spark):
         plan = _plan(quality.warehouse_numbers(L))
     by_customer = [line for line in plan.split("\n") if "Aggregate(keys=[customer_id" in line or "SortAggregate(key=[customer_id" in line]
     assert by_customer and not any("payment_total" in line or "n_i" in line or "seconds" in line for line in by_customer)
+
+
+def test_payments_are_moved_once_by_order(spark):
+    with _large_tables(spark):
+        plan = _plan(payment_summary(Layers(spark, SMALL).clean["order_payments"]))
+    assert plan.count("Exchange hashpartitioning(") == plan.count("FileScan parquet")
+    assert _count(plan, "order_id") == plan.count("Exchange hashpartitioning(") and "Window" not in plan
