@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +35,13 @@ def segment_table(spark) -> DataFrame:
     return local_table(spark, [(r, f, s) for (r, f), s in SEGMENT_MAP.items()], "R int, F int, segment string")
 
 
-def compute_rfm(L: Layers) -> DataFrame:
-    """One row per person with a delivered, revenue-bearing order."""
+def compute_rfm(L: Layers, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row per person with a delivered, revenue-bearing order.  A job
+    that reads only some columns names them: only those and the scored values
+    are then kept for the second reading."""
     o = L.enriched["orders_enriched"].where((F.col("order_status") == "delivered")
                                             & F.col("total_order_revenue").isNotNull()
                                             & F.col("customer_unique_id").isNotNull())
-    snap = o.agg((F.max("order_purchase_timestamp") + F.expr("INTERVAL 1 DAY")).alias("_snap"))
     per = o.groupBy("customer_unique_id").agg(
         F.max("order_purchase_timestamp").alias("last_order_date"),
         F.min("order_purchase_timestamp").alias("first_order_date"),
@@ -46,15 +49,17 @@ def compute_rfm(L: Layers) -> DataFrame:
         F.sum("total_order_revenue").alias("monetary"),
         # the place of the person's first order, in the same pass
         first_of(asc("order_purchase_timestamp") + asc("order_id"), ["customer_state", "customer_city"]))
-    rfm = (per.crossJoin(F.broadcast(snap))
-           .withColumns({"recency_days": F.floor(F.timestamp_diff("SECOND", F.col("last_order_date"),
-                                                                  F.col("_snap")) / 86400).cast("int"),
-                         "customer_state": F.col("_best.customer_state"),
-                         "customer_city": F.col("_best.customer_city")})
-           .drop("_snap", "_best"))
+    per = per.withColumns({"customer_state": F.col("_best.customer_state"), "customer_city": F.col("_best.customer_city")}).drop("_best")
+    if columns is not None:
+        per = per.select(*dict.fromkeys([*columns, "last_order_date", "frequency", "monetary"]))
+    # the last day of all is the last of the persons' own: the orders are read once
+    per = reused(per)
+    snap = per.agg((F.max("last_order_date") + F.expr("INTERVAL 1 DAY")).alias("_snap"))
+    rfm = per.crossJoin(F.broadcast(snap)).withColumn(
+        "recency_days", F.floor(F.timestamp_diff("SECOND", F.col("last_order_date"), F.col("_snap")) / 86400).cast("int")).drop("_snap")
     # recency (days) and frequency (order counts) have calendar/count-bounded
     # domains; a person's spend does not, so its edges stay distributed
-    rfm = with_quintiles(reused(rfm), [("recency_days", "R", True), ("frequency", "F", False),
+    rfm = with_quintiles(rfm, [("recency_days", "R", True), ("frequency", "F", False),
                                             ("monetary", "M", False)], distributed=("monetary",))
     rfm = rfm.withColumn("rfm_score", F.concat(F.col("R").cast("string"), F.col("F").cast("string"),
                                                F.col("M").cast("string")))
@@ -72,7 +77,7 @@ def r11_rfm_table(L: Layers) -> DataFrame:
 
 
 def r13_segment_summary(L: Layers) -> DataFrame:
-    s = compute_rfm(L).groupBy("segment").agg(
+    s = compute_rfm(L, ["customer_unique_id"]).groupBy("segment").agg(
         F.count("customer_unique_id").alias("n_customers"), rnd(mean("recency_days")).alias("avg_recency"),
         rnd(mean("frequency"), 4).alias("avg_frequency"), rnd(mean("monetary")).alias("avg_monetary"),
         F.sum("monetary").alias("_rev"))
@@ -84,13 +89,13 @@ def r13_segment_summary(L: Layers) -> DataFrame:
 
 def r14_segment_headcounts(L: Layers) -> DataFrame:
     s = F.col("segment")
-    return compute_rfm(L).agg(
+    return compute_rfm(L, []).agg(
         F.count_if(s == "Champions").alias("champions"), F.count_if(s == "New Customers").alias("new_customers"),
         F.count_if(s.isin("At Risk", "Can't Lose Them")).alias("at_risk"), F.count_if(s == "Lost").alias("lost"))
 
 
 def r15_score_distributions(L: Layers) -> DataFrame:
-    long = compute_rfm(L).selectExpr("stack(3, 'R', R, 'F', F, 'M', M) as (score_type, score)")
+    long = compute_rfm(L, []).selectExpr("stack(3, 'R', R, 'F', F, 'M', M) as (score_type, score)")
     return long.groupBy("score_type", "score").agg(F.count(F.lit(1)).alias("customers"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from souklens.functions.reuse import releasing
 from souklens.operators.enrich import seller_sales
 from souklens.operators.star import payment_summary
-from souklens.plans import growth, quality, sellers
+from souklens.plans import growth, quality, report, rfm, sellers
 from souklens.plans.context import Layers
 from souklens.operators.summary import delivered_rows
 from souklens.sources import fixtures
@@ -146,3 +146,22 @@ def test_payments_are_moved_once_by_order(spark):
         plan = _plan(payment_summary(Layers(spark, SMALL).clean["order_payments"]))
     assert plan.count("Exchange hashpartitioning(") == plan.count("FileScan parquet")
     assert _count(plan, "order_id") == plan.count("Exchange hashpartitioning(") and "Window" not in plan
+
+
+def test_seller_insights_read_the_numbered_items(spark):
+    """The sellers' sums take the summary's exchange of the items, and none is cached apart."""
+    with _large_tables(spark), _whole_plans(spark):
+        L = Layers(spark, SMALL)
+        sent = _rows_sent(report._of_summary(L).select("key").unionByName(report._sellers(L).select(F.col("domain").alias("key"))),
+                          "Exchange hashpartitioning(order_id")
+        plan = _plan(report._sellers(L))
+    assert sum("l_extendedprice" in x for x in sent) and not any("AS price" in x for x in sent)
+    assert "InMemoryRelation" not in plan and "InMemoryTableScan" not in plan
+
+
+def test_segments_keep_only_what_they_read(spark):
+    with _large_tables(spark):
+        result = releasing(lambda: rfm.r13_segment_summary(Layers(spark, SMALL)))
+        plan, whole = _plan(result), releasing(lambda: rfm.compute_rfm(Layers(spark, SMALL)))
+    assert "InMemoryTableScan" in plan and "customer_state" not in plan and "first_order_date" not in plan
+    assert {"customer_state", "customer_city", "first_order_date", "last_order_date", "recency_days"} <= set(whole.columns)
