@@ -7,7 +7,7 @@ bounded even for a person holding a large share of all orders.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from souklens.functions.buckets import histogram
@@ -29,9 +29,9 @@ def _person_months(L: Layers) -> DataFrame:
 
 def cohort_long(L: Layers) -> DataFrame:
     """H1: cohort month × period number: distinct persons, cohort size, retention %."""
-    pm = _person_months(L)
-    first = pm.groupBy("customer_unique_id").agg(F.min(F.struct("mno", "ym")).alias("_f"))
-    x = pm.join(first, "customer_unique_id").select(
+    # a person has at most one row per month of the calendar
+    first = F.min(F.struct("mno", "ym")).over(Window.partitionBy("customer_unique_id"))
+    x = _person_months(L).withColumn("_f", first).select(
         "customer_unique_id", F.col("_f.ym").alias("cohort_ym"), (F.col("mno") - F.col("_f.mno")).alias("period_number"))
     cells = x.groupBy("cohort_ym", "period_number").agg(F.count(F.lit(1)).alias("n_customers"))
     sizes = cells.where(F.col("period_number") == 0).select("cohort_ym", F.col("n_customers").alias("cohort_size"))

@@ -467,12 +467,13 @@ def v13_engine_smoke(L: Layers) -> DataFrame:
     series, plus the peak month and the repeat rate, as one row."""
     from souklens.plans import cohort, growth, rfm, sellers
 
-    r = rfm.compute_rfm(L).agg(F.count(F.lit(1)).alias("rfm_rows"))
+    r = rfm.compute_rfm(L, []).agg(F.count(F.lit(1)).alias("rfm_rows"))
     c = cohort.cohort_long(L).agg(F.count_distinct("cohort_ym").alias("cohorts"),
                                   (F.max("period_number") + 1).alias("periods"))
-    s = sellers.seller_scorecard(L).agg(F.count(F.lit(1)).alias("scorecard_rows"))
+    s = sellers.seller_scorecard(L, []).agg(F.count(F.lit(1)).alias("scorecard_rows"))
+    # a row per month, computed once for both readings
+    m = reused(growth.monthly_growth(L)).agg(F.count(F.lit(1)).alias("growth_months"))
     g = growth.w13_growth_headline(L).select(F.col("peak_month"))
-    m = growth.monthly_growth(L).agg(F.count(F.lit(1)).alias("growth_months"))
     h = cohort.h6_h7_repeat_summary(L).select(F.col("repeat_rate_pct"))
     return r.crossJoin(F.broadcast(c)).crossJoin(F.broadcast(s)).crossJoin(F.broadcast(m)).crossJoin(F.broadcast(g)).crossJoin(F.broadcast(h))
 

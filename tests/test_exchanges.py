@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from souklens.functions.reuse import releasing
 from souklens.operators.enrich import seller_sales
 from souklens.operators.star import payment_summary
-from souklens.plans import growth, quality, report, rfm, sellers
+from souklens.plans import cohort, growth, quality, report, rfm, sellers
 from souklens.plans.context import Layers
 from souklens.operators.summary import delivered_rows
 from souklens.sources import fixtures
@@ -165,3 +165,16 @@ def test_segments_keep_only_what_they_read(spark):
         plan, whole = _plan(result), releasing(lambda: rfm.compute_rfm(Layers(spark, SMALL)))
     assert "InMemoryTableScan" in plan and "customer_state" not in plan and "first_order_date" not in plan
     assert {"customer_state", "customer_city", "first_order_date", "last_order_date", "recency_days"} <= set(whole.columns)
+
+
+def test_cohorts_need_no_join_by_person(spark):
+    with _large_tables(spark), _whole_plans(spark):
+        cells = _plan(cohort.cohort_long(Layers(spark, SMALL)))
+    assert "Window" in cells and not [x for x in cells.split("\n") if "SortMergeJoin [customer_unique_id" in x]
+
+
+def test_smoke_reads_the_months_once_and_keeps_narrow_sellers(spark):
+    result = releasing(lambda: quality.v13_engine_smoke(Layers(spark, SMALL)))
+    plan = _plan(result)
+    assert "n_customers_served" not in plan and "top_category" not in plan and "customer_city" not in plan
+    assert plan.count("rev_flag") and "InMemoryTableScan" in plan
