@@ -4,14 +4,20 @@ Each takes the warehouse dict (``fact_orders``, ``fact_sales``,
 ``dim_customer``, ``dim_product``) and returns a DataFrame with the same
 column names as the reference's SQL.  Money is summed as DECIMAL, averages
 are sum/count, durations are averaged from whole seconds.
+
+A caller that runs several queries gives them ``shared_tables``: what more than
+one of them reads is then computed once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from souklens.functions.numeric import mean, mean_days, money, pct, ratio, rnd, share_if
+from souklens.functions.reuse import reused
 
 def DELIVERED():
     return F.col("order_status") == "delivered"
@@ -34,6 +40,12 @@ def _with_customer(w, fo: DataFrame) -> DataFrame:
     return fo.join(w["dim_customer"].select("customer_id", "customer_unique_id", "customer_state"), "customer_id")
 
 
+def _orders_with_customer(w) -> DataFrame:
+    if "orders_with_customer" in w:
+        return w["orders_with_customer"]
+    return _with_customer(w, w["fact_orders"])
+
+
 def _delayed_pct() -> F.Column:
     return share_if(F.col("is_delayed") == 1)
 
@@ -60,6 +72,8 @@ def q02_monthly_mom(w) -> DataFrame:
 
 
 def _sales_with_category(w) -> DataFrame:
+    if "sales_with_category" in w:
+        return w["sales_with_category"]
     p = w["dim_product"].select("product_id", category_name().alias("category"))
     return w["fact_sales"].where(DELIVERED()).join(p, "product_id", "left") \
         .withColumn("category", F.coalesce(F.col("category"), F.lit("Unknown")))
@@ -71,6 +85,8 @@ def category_revenue(w) -> DataFrame:
     Two-level aggregate: (category, order) first — combined map-side —
     then per category, so the distinct count needs no extra expand.
     """
+    if "category_revenue" in w:
+        return w["category_revenue"]
     per_order = _sales_with_category(w).groupBy("category", "order_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("item_revenue").alias("rev"))
     return per_order.groupBy("category").agg(
@@ -84,7 +100,7 @@ def q03_top_categories(w, limit: int = 20) -> DataFrame:
 
 
 def q04_repeat_customers(w) -> DataFrame:
-    per = (_with_customer(w, w["fact_orders"]).groupBy("customer_unique_id")
+    per = (_orders_with_customer(w).groupBy("customer_unique_id")
            .agg(F.count_distinct("order_id").alias("order_count")))
     return per.agg(F.count(F.lit(1)).alias("total_customers"),
                    F.count_if(F.col("order_count") > 1).alias("repeat_customers"),
@@ -92,7 +108,7 @@ def q04_repeat_customers(w) -> DataFrame:
 
 
 def q05_top_customers(w, limit: int = 20) -> DataFrame:
-    per = (_with_customer(w, _delivered_orders(w)).groupBy("customer_unique_id").agg(
+    per = (_orders_with_customer(w).where(DELIVERED()).groupBy("customer_unique_id").agg(
         F.count("order_id").alias("orders"),
         F.sum("order_revenue").alias("rev"),
         mean("order_revenue").alias("aov"),
@@ -136,7 +152,7 @@ def q08_delivery_kpis(w) -> DataFrame:
 
 
 def q09_revenue_by_state(w) -> DataFrame:
-    return _with_customer(w, _delivered_orders(w)).groupBy("customer_state").agg(
+    return _orders_with_customer(w).where(DELIVERED()).groupBy("customer_state").agg(
         F.count("order_id").alias("orders"),
         money(F.sum("order_revenue")).alias("revenue"),
         rnd(mean("order_revenue")).alias("average_order_value"))
@@ -192,7 +208,7 @@ def q15_top_products(w, limit: int = 20) -> DataFrame:
 
 
 def q16_delivery_by_state(w) -> DataFrame:
-    return _with_customer(w, _delivered_orders(w)).groupBy("customer_state").agg(
+    return _orders_with_customer(w).where(DELIVERED()).groupBy("customer_state").agg(
         F.count(F.lit(1)).alias("delivered_orders"),
         rnd(mean_days("delivery_seconds")).alias("avg_delivery_days"),
         rnd(mean_days("delay_seconds")).alias("avg_delay_days"),
@@ -234,3 +250,33 @@ SUITE = {
     "q17_multi_payment": q17_multi_payment,
     "q18_quarterly": q18_quarterly,
 }
+
+# The columns of each table that the suite reads.
+SUITE_READS = {
+    "fact_orders": ("order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_year_month", "delivery_seconds",
+                    "estimated_seconds", "delay_seconds", "is_delayed", "order_revenue", "payment_total", "payment_rows",
+                    "primary_payment_type", "review_score"),
+    "fact_sales": ("order_id", "product_id", "seller_id", "order_status", "item_revenue"),
+    "dim_customer": ("customer_id", "customer_unique_id", "customer_state"),
+    "dim_product": ("product_id", "product_category_name", "product_category_name_english"),
+}
+# The columns of the orders with their customer that Q4, Q5, Q9 and Q16 read.
+WITH_CUSTOMER_READS = ("order_id", "customer_unique_id", "customer_state", "order_status", "order_purchase_timestamp", "order_revenue",
+                       "delivery_seconds", "delay_seconds", "is_delayed")
+
+
+def shared_tables(star: Mapping[str, DataFrame], stored: bool = False) -> Mapping[str, DataFrame]:
+    """The tables for a run of the whole suite.  Facts, joins and sums that
+    several queries read are marked for caching, with the columns that they
+    read, when the first of them asks for one; stored facts are read as they
+    are.  Other columns are not there, so a query that needs more fails."""
+    from souklens.plans.context import LazyTables
+
+    w = {n: (lambda n=n: star[n].select(*SUITE_READS[n])) for n in SUITE_READS}
+    if not stored:
+        w |= {n: (lambda n=n: reused(star[n].select(*SUITE_READS[n]))) for n in ("fact_orders", "fact_sales")}
+    plain = LazyTables(w)
+    joined = LazyTables({**{n: (lambda n=n: plain[n]) for n in plain},
+                         "orders_with_customer": lambda: reused(_orders_with_customer(plain).select(*WITH_CUSTOMER_READS)),
+                         "sales_with_category": lambda: reused(_sales_with_category(plain))})
+    return LazyTables({**{n: (lambda n=n: joined[n]) for n in joined}, "category_revenue": lambda: reused(category_revenue(joined))})
